@@ -1,0 +1 @@
+"""HTTP-traffic analytics and scoring on Spark DataFrames."""
