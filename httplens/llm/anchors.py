@@ -96,56 +96,52 @@ def _record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
-MARKS = "rid bigint, rank bigint, pos int, size int, grain bigint, around bigint, n int, met boolean"
+MARKS = "rid bigint, rank bigint, pos int, grain bigint, around bigint, met boolean, counts boolean"
 
 
 def mark(texts: DataFrame, shape: Shape) -> DataFrame:
-    """Anchors of (rid, rank, text). n: so many of the batch share grain and surroundings; met:
-    another anchor of the batch already shows that this one's windows count, and stands for it."""
+    """Anchors of (rid, rank, text). counts: another anchor of the batch with the same grain and
+    surroundings already shows that this one's windows count; met: and stands for it from here on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, rank = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows: list[list[np.ndarray]] = [[], [], [], [], []]
+            rows: list[list[np.ndarray]] = [[], [], [], []]
             for lo, hi, data, at in tb.blocks(batch.column(2)):
                 for i in range(hi - lo):
                     raw, start, end = units(shape, data[at[i] : at[i + 1]])
                     if len(start) >= shape.window:
                         pos, grain, around = anchors(shape, raw, start, end)
-                        for x, y in zip(rows, (np.full(len(pos), lo + i), pos, np.full(len(pos), len(start)), grain, around), strict=True):
+                        for x, y in zip(rows, (np.full(len(pos), lo + i), pos, grain, around), strict=True):
                             x.append(y)
             if not rows[0]:
                 continue
-            row, pos, size, grain, around = map(np.concatenate, rows)
+            row, pos, grain, around = map(np.concatenate, rows)
             order = np.lexsort((pos, rank[row], around, grain))
-            row, pos, size, grain, around = (x[order] for x in (row, pos, size, grain, around))
+            row, pos, grain, around = (x[order] for x in (row, pos, grain, around))
             first = np.r_[True, (grain[1:] != grain[:-1]) | (around[1:] != around[:-1])]
             kind = np.cumsum(first) - 1
-            n = np.bincount(kind)[kind]
-            met = ~first
-            if shape.ranked:
-                met &= rank[row] > rank[row[first]][kind]
-                n = np.ones(len(n), np.int64)
+            counts = rank[row] > rank[row[first]][kind] if shape.ranked else np.bincount(kind)[kind] > 1
             yield _record(
-                rid=rid[row], rank=rank[row], pos=pos.astype(np.int32), size=size.astype(np.int32), grain=grain.view(np.int64), around=around.view(np.int64),
-                n=n.astype(np.int32), met=met,
+                rid=rid[row], rank=rank[row], pos=pos.astype(np.int32), grain=grain.view(np.int64), around=around.view(np.int64), met=~first & counts, counts=counts
             )
 
     return texts.mapInArrow(run, MARKS)
 
 
-MET = "rid bigint, rank bigint, pos int, size int, grain bigint, whole boolean, apart boolean"
+MET = "rid bigint, pos int, grain bigint, whole boolean, apart boolean"
+_KEPT = ("rid", "pos", "grain")
 
 
 def meet(marks: DataFrame, shape: Shape) -> DataFrame:
     """Of the anchors that stand for themselves: whole, if all windows around count because equal
     surroundings lie elsewhere (for ``ranked``, in a text of smaller rank); apart, if it goes on as
     the one of its surroundings, because its grain has others too (of other rank, if ranked)."""
-    schema = ("grain", "around", "rank", "rid", "pos", "size", "n")
+    schema = ("grain", "around", "rid", "pos", *(("rank",) if shape.ranked else ()))
 
     def settle(cols: dict[str, np.ndarray], spread: bool) -> pa.RecordBatch:
         """Whole grains in order; with ``spread``, known to have several surroundings and ranks."""
-        grain, around, rank = cols["grain"], cols["around"], cols["rank"]
+        grain, around, rank = cols["grain"], cols["around"], cols.get("rank")
         new = np.r_[True, grain[1:] != grain[:-1]]
         first = new | np.r_[True, around[1:] != around[:-1]]
         kind, own = np.cumsum(first) - 1, np.cumsum(new) - 1
@@ -154,12 +150,12 @@ def meet(marks: DataFrame, shape: Shape) -> DataFrame:
             at = np.flatnonzero(new)
             apart = (np.minimum.reduceat(rank, at) < np.maximum.reduceat(rank, at))[own] | spread
         else:
-            whole = np.bincount(kind, weights=cols["n"])[kind] > 1
+            whole = np.bincount(kind)[kind] > 1
             apart = np.ones(len(grain), bool)
         several = (np.bincount(own[first])[own] > 1) | spread
         apart &= first & several
         keep = whole | apart
-        return _record(**{c: cols[c][keep] for c in ("rid", "rank", "pos", "size", "grain")}, whole=whole[keep], apart=apart[keep])
+        return _record(**{c: cols[c][keep] for c in _KEPT}, whole=whole[keep], apart=apart[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -187,20 +183,20 @@ def meet(marks: DataFrame, shape: Shape) -> DataFrame:
                 if len(held["grain"]) > HELD:  # one: all but the first and last two are whole or the first's equals
                     some = {c: x[2:-2] for c, x in held.items()}
                     whole = some["rank"] > held["rank"][0] if shape.ranked else np.ones(len(some["rank"]), bool)
-                    yield _record(**{c: some[c][whole] for c in ("rid", "rank", "pos", "size", "grain")}, whole=whole[whole], apart=np.zeros(int(whole.sum()), bool))
+                    yield _record(**{c: some[c][whole] for c in _KEPT}, whole=whole[whole], apart=np.zeros(int(whole.sum()), bool))
                     held = {c: np.concatenate([x[:2], x[-2:]]) for c, x in held.items()}
         if held is not None and len(held["grain"]):
             yield settle(held, spread == held["grain"][0])
 
     own = marks.where("not met").select(*schema)
-    return own.repartition("grain").sortWithinPartitions("grain", "around", "rank").mapInArrow(run, MET)
+    return own.repartition("grain").sortWithinPartitions("grain", "around", *schema[4:]).mapInArrow(run, MET)
 
 
 AROUND = "grain bigint, rid bigint, rank bigint, pos int, left int, around binary"
 
 
-def surroundings(texts: DataFrame, met: DataFrame, shape: Shape) -> DataFrame:
-    """The surroundings of anchors that are apart, as bytes; ``left``: units before the anchor."""
+def surroundings(texts: DataFrame, apart: DataFrame, shape: Shape) -> DataFrame:
+    """The surroundings of anchors of (rid, at), as bytes; ``left``: units before the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,8 +215,7 @@ def surroundings(texts: DataFrame, met: DataFrame, shape: Shape) -> DataFrame:
                 g, r, k, p, left = map(np.concatenate, out[:5])
                 yield _record(grain=g, rid=r, rank=k, pos=p.astype(np.int32), left=left.astype(np.int32), around=pa.array(out[5], pa.binary()))
 
-    own = met.where("apart").groupBy("rid").agg(F.collect_list(F.struct("pos", "grain")).alias("at"))
-    joined = texts.join(own, "rid").select("rid", "rank", "text", "at")
+    joined = texts.join(apart, "rid").select("rid", "rank", "text", "at")
     return joined.mapInArrow(run, AROUND)
 
 
@@ -336,21 +331,28 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def covered(texts: DataFrame, shape: Shape, solve: Solve, windows: Windows, crowd: int = CROWD) -> DataFrame:
-    """(rid, spans) of texts with windows that count; spans: array of (lo, hi) in units, in any
-    order, overlapping ones included."""
+    """``texts`` (id, text) with spans: array of (lo, hi) in units that windows which count cover, in
+    any order, overlapping, hi perhaps past the end; null where there are none.
+
+    Each step is written and what it read is dropped, so that disk follows the largest step."""
     marks = staged(mark(texts.select("rid", "rank", "text"), shape))
     met = staged(meet(marks, shape))
     w, g = shape.window, shape.grain
-    whole = [df.select("rid", F.greatest(F.lit(0), F.col("pos") - (w - g)).alias("lo"), F.least("size", F.col("pos") + w).alias("hi")) for df in (marks.where("met or n > 1"), met.where("whole"))]
-    near = compare(surroundings(texts, met, shape), shape, solve, windows, crowd)
-    spans = staged(whole[0].union(whole[1]).union(near).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    span = F.struct(F.greatest(F.lit(0), F.col("pos") - (w - g)).alias("lo"), (F.col("pos") + w).alias("hi"))
+    sure = marks.where("counts").select("rid", "pos").union(met.where("whole").select("rid", "pos"))
+    sure = staged(sure.groupBy("rid").agg(F.collect_set(span).alias("sure")))
+    apart = staged(met.where("apart").groupBy("rid").agg(F.collect_list(F.struct("pos", "grain")).alias("at")))
     release(marks, met)
-    return spans
+    near = compare(surroundings(texts, apart, shape), shape, solve, windows, crowd)
+    near = near.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("near"))
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    both = texts.join(sure, "rid", "left").join(near, "rid", "left")
+    return both.select("id", "text", F.concat(F.coalesce("sure", none), F.coalesce("near", none)).alias("spans"))
 
 
 def mask_of(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Which of n units any of the spans covers."""
     change = np.zeros(n + 1, dtype=np.int64)
     np.add.at(change, lo, 1)
-    np.add.at(change, hi, -1)
+    np.add.at(change, np.minimum(hi, n), -1)
     return np.cumsum(change)[:n] > 0

@@ -34,15 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written once and read again. Shuffle files of frames that nothing refers to any more
-    are dropped when the driver collects its garbage, so that is asked for here."""
+    are dropped when the driver collects its garbage, so that is asked for first."""
     spark = df.sparkSession
+    gc.collect()
+    spark._jvm.System.gc()
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
     return out
 
 

@@ -95,8 +95,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     Null text has no words; rows of one id don't remove each other's words; a null id is larger
     than any; an empty table gives an empty one; other columns are ignored."""
     shape = an.Shape(words=True, window=window, grain=grain, ranked=True)
-    texts = an.texts_of(df, id_col, text_col)
-    spans = an.covered(texts, shape, solver(window, grain), opener(window), crowd)
+    joined = an.covered(an.texts_of(df, id_col, text_col), shape, solver(window, grain), opener(window), crowd)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,5 +120,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                     names=["id", "n_words", "removed", "kept"],
                 )
 
-    joined = texts.join(spans, "rid", "left").select("id", "text", "spans")
     return joined.mapInArrow(run, f"id {kind}, n_words bigint, removed array<struct<lo:int,hi:int>>, kept string").withColumnRenamed("id", id_col)

@@ -59,3 +59,7 @@ def queries() -> dict[str, Query]:
         "op9_passage_dedup": _table("documents", _passages),
         "op10_simhash": _table("documents", simhash.near_duplicates),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

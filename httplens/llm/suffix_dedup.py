@@ -156,8 +156,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     nothing; equal rows remove each other whole; null ids are rows like any other; an empty table
     gives an empty one; other columns are ignored."""
     shape = an.Shape(words=False, window=window, grain=grain, ranked=False)
-    texts = an.texts_of(df, id_col, text_col)
-    spans = an.covered(texts, shape, solver(window), opener(window), crowd)
+    joined = an.covered(an.texts_of(df, id_col, text_col), shape, solver(window), opener(window), crowd)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +175,6 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                     names=["id", "n_bytes", "removed", "kept"],
                 )
 
-    joined = texts.join(spans, "rid", "left").select("id", "text", "spans")
     return joined.mapInArrow(run, f"id {kind}, n_bytes bigint, removed array<struct<lo:int,hi:int>>, kept binary").withColumnRenamed("id", id_col)
 
 
