@@ -53,13 +53,16 @@ def concurrency_limit(loads: dict[str, Column]) -> Column:
     """Admissions until every node meets its first limit."""
     total = F.lit(0)
     for node, load in loads.items():
-        n = F.lit(node)
         most = L.MOST_ACTIVE[node]
-        full = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda a, n=n, load=load: L.saturated(n, L.cpu(n, load, a), a))
+        full = F.filter(F.sequence(F.lit(1), F.lit(most)), _fills(F.lit(node), load))
         total = total + F.coalesce(F.array_min(full), F.lit(most))
     return total
 
 
+def _fills(node: Column, load: Column):
+    return lambda active: L.saturated(node, L.cpu(node, load, active), active)
+
+
 def training_environment(state: Column, node: Column) -> Column:
     """struct(cpu, wait): a request to a node of the state's load, with its own arrival and one
     active request."""

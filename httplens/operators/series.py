@@ -29,10 +29,10 @@ def recent_improvement(df: DataFrame, by: str, order: str, value: str) -> DataFr
 def oscillation(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """(by, oscillation): changes of direction to steps that move, 0 for short series."""
     w = W.partitionBy(by).orderBy(order)
-    steps = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(by, order, (F.col(value) - F.lag(value).over(w)).alias("d"), F.count("*").over(W.partitionBy(by)).alias("n"))
-    moved = steps.where(F.abs("d") > 1e-10).select(by, "n", F.signum("d").alias("s"), F.lag(F.signum("d")).over(w).alias("before"))
-    found = moved.groupBy(by).agg(F.max("n").alias("n"), F.count("*").alias("k"), F.count_if(F.col("s") != F.col("before")).alias("c"))
-    ratio = F.when((F.col("n") >= 4) & (F.col("k") >= 2), F.try_divide(F.col("c").cast("double"), F.col("k") - 1)).otherwise(0.0)
+    steps = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(by, order, (F.col(value) - F.lag(value).over(w)).alias("__d"), F.count("*").over(W.partitionBy(by)).alias("__n"))
+    moved = steps.where(F.abs("__d") > 1e-10).select(by, "__n", F.signum("__d").alias("__s"), F.lag(F.signum("__d")).over(w).alias("__before"))
+    found = moved.groupBy(by).agg(F.max("__n").alias("__n"), F.count("*").alias("__k"), F.count_if(F.col("__s") != F.col("__before")).alias("__c"))
+    ratio = F.when((F.col("__n") >= 4) & (F.col("__k") >= 2), F.try_divide(F.col("__c").cast("double"), F.col("__k") - 1)).otherwise(0.0)
     every = df.select(by).distinct()
     return every.join(found.select(by, ratio.alias("oscillation")), by, "left").select(by, F.coalesce("oscillation", F.lit(0.0)).alias("oscillation"))
 
