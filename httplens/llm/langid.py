@@ -23,8 +23,9 @@ ALPHABET = 62
 #: Letters of a text that are parsed as one run; the next run begins a new phrase.
 RUN = 256
 UNKNOWN = "und"
-#: Phrases a letter above which a text is in none of the languages (1: no letter is known).
-NOISE = 0.7
+#: Phrases a letter above which a text is in none of the languages (1: no letter is known), and
+#: characters below which that isn't held against a text.
+NOISE, SHORT = 0.7, 40
 
 
 _fold: np.ndarray | None = None

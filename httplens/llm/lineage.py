@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
+_written: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +40,7 @@ def staged(df: DataFrame) -> DataFrame:
     gc.collect()
     spark._jvm.System.gc()
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    _written.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
@@ -48,8 +50,17 @@ def staged(df: DataFrame) -> DataFrame:
 def release(*frames: DataFrame) -> None:
     """Delete what ``staged`` wrote, once nothing that is still to run reads it."""
     for df in frames:
-        path = getattr(df, "_staged_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        if path := getattr(df, "_staged_at", None):
+            _delete(df.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all that ``staged`` wrote in this process: for when results have been written."""
+    for path in list(_written):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    _written.discard(path)

@@ -160,15 +160,21 @@ def chained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     return dealt.mapInArrow(run, f"id {kind}, {_CHAINED}").withColumnRenamed("id", id_col)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, k: int = WORDS, functions: int = FUNCTIONS, band: int = BAND) -> DataFrame:
-    """(id, class_id, links) of every row: class_id is the smallest id of all that it reaches over
-    pairs of texts of ``similar`` Jaccard similarity or more, links the number of other texts (sets of
-    shingles) that it has such a pair with.
+#: Rounds in which a bucket's members meet one representative each, before those left meet in pairs.
+ROUNDS = 6
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, k: int = WORDS, functions: int = FUNCTIONS, band: int = BAND, rounds: int = ROUNDS) -> DataFrame:
+    """(id, class_id) of every row: class_id is the smallest id of all that it reaches over pairs of
+    texts of ``similar`` Jaccard similarity or more.
 
     Rows of equal shingle sets stand as one text. Texts that agree on all of a band of ``band``
-    values are compared on their whole shingle sets; a pair below the threshold is dropped, and one
-    of similarity s is missed with a chance of (1 - s^band)^(functions / band), 5e-8 at 0.8. Null
-    text is empty; texts without words form one class; an empty table gives an empty one."""
+    values share a bucket, and are compared on their whole shingle sets. A bucket isn't opened into
+    pairs: in each round its members meet one of them, those it is similar to join its class, and
+    buckets of one class are done; the few texts that are still apart after ``rounds`` meet in pairs
+    of different classes. No link is lost but those that no band shows, with a chance of
+    (1 - s^band)^(functions / band) at similarity s: 5e-8 at 0.8. Null text is empty; texts without
+    words form one class; an empty table gives an empty one; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,17 +192,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = rows.schema["id"].dataType.simpleString()
     signed = staged(rows.mapInArrow(run, f"id {kind}, own string, shingles array<bigint>, bands array<bigint>"))
     texts = staged(signed.groupBy("own").agg(F.min("id").alias("least"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")))
+    sets = texts.select("own", "shingles")
     keyed = texts.select("own", F.explode("bands").alias("key"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.own") < F.col("y.own")))
-    pairs = pairs.select(F.col("x.own").alias("a"), F.col("y.own").alias("b")).distinct()
-    left = texts.select(F.col("own").alias("a"), F.col("shingles").alias("sa"))
-    right = texts.select(F.col("own").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    union = F.size("sa") + F.size("sb") - F.col("common")
-    links = staged(both.where(F.col("common") >= F.lit(similar) * union).where(union > 0).select("a", "b"))
+    full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    pending = staged(keyed.join(full, "key"))
+    links, root = _verified(pending.select(F.col("own").alias("a"), F.col("own").alias("b")).limit(0), sets, similar), None
+    for _ in range(rounds):
+        if pending.isEmpty():
+            break
+        rep = pending.groupBy("key").agg(F.min("own").alias("rep"))
+        met = pending.join(rep, "key").where("own <> rep").select(F.col("rep").alias("a"), F.col("own").alias("b")).distinct()
+        links = staged(links.union(_verified(met, sets, similar)))
+        root = staged(connected_components(links))
+        left = pending.join(rep, "key").where("own <> rep").select("key", "own")
+        left = left.join(root, left["own"] == root["node"], "left").select("key", "own", F.coalesce("root", "own").alias("root"))
+        apart = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        pending = staged(left.join(apart, "key").select("key", "own"))
+    if not pending.isEmpty():
+        left = pending.join(root, pending["own"] == root["node"], "left").select("key", "own", F.coalesce("root", "own").alias("root"))
+        x, y = left.alias("x"), left.alias("y")
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.own") < F.col("y.own")) & (F.col("x.root") != F.col("y.root")))
+        links = staged(links.union(_verified(met.select(F.col("x.own").alias("a"), F.col("y.own").alias("b")).distinct(), sets, similar)))
     root = connected_components(links)
-    classes = texts.select("own", "least").join(root, texts["own"] == root["node"], "left").select("own", "least", F.coalesce("root", "own").alias("root"))
+    classes = staged(texts.select("own", "least").join(root, texts["own"] == root["node"], "left").select("own", "least", F.coalesce("root", "own").alias("root")))
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    degree = links.select("a").union(links.select("b")).groupBy("a").count().select(F.col("a").alias("own"), F.col("count").alias("links"))
-    told = classes.join(least, "root").join(degree, "own", "left").select("own", "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    return signed.select("id", "own").join(told, "own").select(F.col("id").alias(id_col), "class_id", "links")
+    told = classes.join(least, "root").select("own", "class_id")
+    return signed.select("id", "own").join(told, "own").select(F.col("id").alias(id_col), "class_id")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Of pairs (a, b), those whose sets are similar enough."""
+    left = sets.select(F.col("own").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("own").alias("b"), F.col("shingles").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    union = F.size("sa") + F.size("sb") - F.col("common")
+    return both.where((union > 0) & (F.col("common") >= F.lit(similar) * union)).select("a", "b")

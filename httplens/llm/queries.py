@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, langid, minhash, mixing, passages, secret_scan, sharding, simhash, suffix_dedup
+from .sql import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,7 +62,3 @@ def queries() -> dict[str, Query]:
         "op9_passage_dedup": _table("documents", _passages),
         "op10_simhash": _table("documents", simhash.near_duplicates),
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
