@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from httplens.llm import bpe, langid, mixing, secret_scan, simhash
-from httplens.llm.lineage import staged
+from httplens.llm.lineage import release, staged
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those that no known language can parse, go. The model learns
     from the documents' own labels; ``lang`` is left as it came."""
     told = langid.identify(docs, langid.fit(docs), id_col=None)
-    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("phrase_rate") < langid.NOISE)
+    known = (F.col("lang_pred") != langid.UNKNOWN) & ((F.col("phrase_rate") < langid.NOISE) | (F.char_length("row.text") < langid.SHORT))
     return told.where(known).select("row.*")
 
 
@@ -53,6 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, staged(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
