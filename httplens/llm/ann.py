@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from .lineage import staged
 
-#: Nearest vectors of a query; centroids of each half; vectors that fit them at most; recall that
-#: the visited share is fitted to on that sample; rows and queries of a block.
-NEAREST, CENTROIDS, SAMPLE, RECALL, BLOCK, QUERIES = 10, 16, 8192, 0.99, 4096, 2048
+#: Nearest vectors of a query; centroids of each half at least and at most (in between, as many as
+#: give cells of a block each); vectors that fit them at most; recall that the visited share is
+#: fitted to on that sample; rows and queries of a block.
+NEAREST, CENTROIDS, SAMPLE, RECALL, BLOCK, QUERIES = 10, (16, 64), 8192, 0.96, 4096, 2048
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,7 +44,7 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarr
 class Index:
     """Two codebooks, and the share of vectors that a query visits."""
 
-    def __init__(self, sample: np.ndarray, k: int = CENTROIDS, recall: float = RECALL, nearest: int = NEAREST):
+    def __init__(self, sample: np.ndarray, k: int = CENTROIDS[0], recall: float = RECALL, nearest: int = NEAREST):
         self.cut = sample.shape[1] // 2
         self.books = codebook(sample[:, : self.cut], k), codebook(sample[:, self.cut :], k)
         self.size = len(self.books[0]) * len(self.books[1])
@@ -111,7 +112,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.forall("v", finite) & F.exists("v", lambda x: x != 0))
 
 
-def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, nearest: int = NEAREST, centroids: int = CENTROIDS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, nearest: int = NEAREST, centroids: tuple[int, int] = CENTROIDS, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each row whose id is divisible by
     ``every``, by Euclidean distance on the original vectors, ties to the smaller id.
 
@@ -132,7 +133,8 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         return spark.createDataFrame([], schema)
     length = len(picked[0]["v"])
     rows = rows.where(F.size("v") == length)
-    index = Index(np.array([r["v"] for r in picked if len(r["v"]) == length]), centroids, recall, nearest)
+    size = int(np.ceil(np.sqrt(rows.count() / BLOCK)))
+    index = Index(np.array([r["v"] for r in picked if len(r["v"]) == length]), min(max(size, centroids[0]), centroids[1]), recall, nearest)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
