@@ -12,6 +12,7 @@ import functools
 import json
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -105,15 +106,12 @@ class Codec:
         parts = [piece]
         while len(parts[0]) > self.leaf:
             parts = [half for p in parts for half in (p[: len(p) // 2], p[len(p) // 2 :])]
-        raw = [p.encode() for p in parts if p]
-        single = self.core._core_bpe.encode_single_piece
-        if len(raw) >= 8:
-            from concurrent.futures import ThreadPoolExecutor
-
+        parts = [p for p in parts if p]
+        if len(parts) >= 8:  # a part of a piece is one piece too; the encoder runs outside the interpreter's lock
             with ThreadPoolExecutor(min(8, os.cpu_count() or 1)) as pool:
-                nodes = list(pool.map(single, raw))
+                nodes = list(pool.map(self.core.encode_ordinary, parts))
         else:
-            nodes = [single(r) for r in raw]
+            nodes = [self.core.encode_ordinary(p) for p in parts]
         while len(nodes) > 1:
             nodes = [self.join(*nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
         return nodes[0]

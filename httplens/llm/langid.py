@@ -22,6 +22,8 @@ DOCUMENTS, LETTERS, LANGUAGES = 32, 1500, 64
 ALPHABET = 62
 #: Letters of a text that are parsed as one run; the next run begins a new phrase.
 RUN = 256
+#: Characters of a text that are folded and parsed at a time.
+STRETCH = 1 << 20
 UNKNOWN = "und"
 #: Phrases a letter above which a text is in none of the languages (1: no letter is known), and
 #: characters below which that isn't held against a text.
@@ -143,17 +145,20 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, phrases a letter) of each text; the first of equal languages."""
-        coded = [self.classes(folded(t or "")) for t in texts]
-        phrases = self.phrases(coded)
+        parts = [(n, self.classes(folded(t[lo : lo + STRETCH]))) for n, t in enumerate(texts) for lo in range(0, len(t or ""), STRETCH)]
+        owner = np.array([n for n, _ in parts], dtype=np.int64)
+        phrases = np.zeros((len(texts), len(self.steps)), dtype=np.int64)
+        np.add.at(phrases, owner, self.phrases([p for _, p in parts]))
+        sizes = np.bincount(owner, weights=[len(p) for _, p in parts], minlength=len(texts)) if parts else np.zeros(len(texts))
         out = []
-        for t, row in zip(coded, phrases, strict=True):
-            if not len(t) or not self.languages:
+        for size, row in zip(sizes.tolist(), phrases, strict=True):
+            if not size or not self.languages:
                 out.append((UNKNOWN, 0.0, 1.0))
                 continue
             best = int(row.argmin())
             others = np.delete(row, best)
             score = 1.0 - float(row[best]) / float(others.min()) if len(others) else 1.0
-            out.append((self.languages[best], min(1.0, max(0.0, score)), float(row[best]) / len(t)))
+            out.append((self.languages[best], min(1.0, max(0.0, score)), float(row[best]) / size))
         return out
 
 

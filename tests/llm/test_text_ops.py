@@ -127,6 +127,13 @@ def test_cross_parsing_counts_longest_matches():
         assert model.phrases(coded)[0].tolist() == [_phrases(text, "abracadabra banana"), _phrases(text, "zzz yyyy zyzy")]
 
 
+def test_long_texts_are_parsed_whole(monkeypatch):
+    model = langid.Model({"a": ["abracadabra banana"], "b": ["zzz yyyy zyzy"]})
+    whole = model.predict(["abra " * 300 + "zyzy " * 700])
+    monkeypatch.setattr(langid, "STRETCH", 5 * 64)
+    assert model.predict(["abra " * 300 + "zyzy " * 700])[0][0] == whole[0][0] == "b"
+
+
 def test_language_id(spark, none):
     rng = random.Random(2)
     syllables = {"en": ["th", "ing", "er", "on", "wh", "ea"], "fr": ["é", "eau", "ou", "ai", "que"], "de": ["sch", "ung", "ü", "ei", "ch"]}
