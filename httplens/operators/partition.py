@@ -105,5 +105,19 @@ def reference_digest(indices: np.ndarray) -> str:
     return hashlib.sha256(np.sort(indices).astype(">i8").tobytes()).hexdigest()
 
 
+def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:
+    """Rows in the order of a seeded hash of their keys: a reproducible shuffle, sorted by range."""
+    return df.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), 256), *keys)
+
+
+def reference_shuffle(n: int, seed: int) -> list[int]:
+    """The order that CPython's seeded generator gives to n rows, on the driver."""
+    import random
+
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    return order
+
+
 def class_counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))

@@ -136,6 +136,12 @@ def best(swept: DataFrame) -> DataFrame:
     return swept.orderBy("security_cost", "fn", "fp", F.desc("f1"), F.desc("precision"), F.desc("recall"), F.desc("accuracy"), "threshold").limit(1)
 
 
+def best_candidate(candidates: DataFrame) -> DataFrame:
+    """The trained candidate of least cost, then fewest misses and false alarms, then best rates, then
+    shortest training, then smallest id."""
+    return candidates.orderBy("security_cost", "fn", "fp", F.desc("f1"), F.desc("precision"), F.desc("recall"), F.desc("accuracy"), "wall_seconds", "candidate_id").limit(1)
+
+
 def mean_squared_error(df: DataFrame, label: Column, score: Column) -> DataFrame:
     return df.agg(F.avg((label - score) * (label - score)).alias("mse"))
 

@@ -61,3 +61,11 @@ def quantile_caps(df: DataFrame, columns: list[str], q: float = 0.995, signed: t
     counted = rows.select("feature", value.alias("value")).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
     cap = F.expr(f"percentile(value, {q}, n)")
     return counted.groupBy("feature").agg(F.when(cap > 0, cap).otherwise(1.0).alias("cap"))
+
+
+def with_catalog(summaries: DataFrame, catalog: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Every feature of the catalog for every dataset there is, with its statistics where there are
+    any. Both sides of the combination are short: features of a catalog and names of datasets."""
+    names = summaries.select(dataset).distinct().agg(F.collect_set(dataset).alias("__names"))
+    every = catalog.join(names, F.lit(True)).withColumn(dataset, F.explode("__names")).drop("__names")
+    return every.join(summaries, ["feature", dataset], "left")

@@ -307,6 +307,18 @@ def oracle_sql() -> dict[str, str]:
         "rl_policy": f"WITH {_LOADS}, q AS (SELECT {_STATE} AS state, node, max(load) AS q FROM l GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY q DESC, node) AS k FROM q) SELECT state, node AS action FROM r WHERE k = 1",
         "rl_scores": f"""WITH {_LOADS}, s AS (SELECT *, {_STATE} AS state FROM l), m AS (SELECT *, min(load) OVER (PARTITION BY state) AS lo, max(load) OVER (PARTITION BY state) AS hi FROM s)
  SELECT event_id, state, round(CASE WHEN hi <> lo THEN 10.0::DOUBLE * (load - lo) / (hi - lo) ELSE 0.0 END - 0.2::DOUBLE * cpu - 3.0 * active - CASE WHEN {_FULL} THEN 40.0 ELSE 0.0 END, 6) AS score FROM m""",
+        "reserved_records": f"""WITH u AS ({_U}), r AS (SELECT page_id, {methods} AS method, url, path, query, {body} AS body FROM u) SELECT sha256(encode('csic-experimento-2') || '\\x00'::BLOB || encode('anomalo') || '\\x00'::BLOB || unhex(lpad(to_hex(page_id), 16, '0')) || '\\x00'::BLOB || encode(method || ' ' || url || chr(10) || chr(10) || body)) AS record_id,
+ page_id AS source_sequence, CASE WHEN page_id % 2 = 1 THEN 'ATAQUE' ELSE 'NORMAL' END AS expected_class, CASE WHEN page_id % 2 = 1 THEN 'BLOQUEIA' ELSE 'LIBERA' END AS expected_decision, method, path, query, substr(body, 1, 1000) AS body_preview, length(body) > 1000 AS body_truncated FROM r""",
+        "reserved_available": f"SELECT CAST(page_id % 2 AS INT) AS label, string_agg(DISTINCT {methods}, '|' ORDER BY {methods}) AS methods, count(*) AS n FROM pages GROUP BY 1",
+        "shuffled_rows": "SELECT doc_id, substr(sha256('7:' || doc_id), 1, 8) AS place FROM labels",
+        "catalog_statistics": f"""WITH c AS (SELECT unnest({LINE_COLUMNS!r}) AS feature), t AS (SELECT *, CASE WHEN l_returnflag = 'N' THEN 'normal' ELSE 'anomalo' END AS dataset FROM lineitem), v AS (SELECT dataset, 'l_quantity' AS feature, l_quantity AS x FROM t UNION ALL SELECT dataset, 'l_tax', l_tax FROM t),
+ s AS (SELECT dataset, feature, count(*) AS total, count(*) FILTER (WHERE x = 0) AS zeros FROM v GROUP BY 1, 2) SELECT c.feature, d.dataset, s.total, s.zeros FROM c CROSS JOIN (SELECT DISTINCT dataset FROM t) d LEFT JOIN s ON s.feature = c.feature AND s.dataset = d.dataset""",
+        "best_candidate": f"WITH {swept(1.0, 1.0, '>')} SELECT security_cost, fn, fp, threshold AS candidate_id FROM s ORDER BY security_cost, fn, fp, f1 DESC, precision DESC, recall DESC, accuracy DESC, floor(threshold * 10), threshold LIMIT 1",
+        "request_problems": """SELECT event_id, array_to_string(list_filter([CASE WHEN NOT event_id % 3000 BETWEEN 1 AND 2000 THEN 'epochs' END, CASE WHEN NOT (value > 0 AND value <= 1) THEN 'learning_rate' END], lambda x: x IS NOT NULL), '|') AS training,
+ array_to_string(list_filter([CASE WHEN NOT user_id * 4 BETWEEN 1 AND 500 THEN 'requests' END, CASE WHEN NOT (value / 100 >= 0 AND value / 100 <= 1) THEN 'epsilon' END, CASE WHEN NOT event_id % 4000 BETWEEN 50 AND 3000 THEN 'interval_ms' END, CASE WHEN NOT user_id % 25 BETWEEN 1 AND 20 THEN 'concurrency' END,
+ CASE WHEN event_type NOT IN ('click', 'view') THEN 'learning_mode' END], lambda x: x IS NOT NULL), '|') AS session FROM events""",
+        "architecture_plans": "SELECT p_partkey, '76-' || greatest(2, CAST(ceil(p_size * 1.5) AS INT)) || '-1' AS wider, '76-' || p_size || '-' || greatest(2, CAST(ceil(p_size / 2.0) AS INT)) || '-1' AS deeper, CAST(77 * p_size + p_size + 1 AS BIGINT) AS weights FROM part",
+        "estimated_seconds": "SELECT o_orderkey, round(greatest(1.0::DOUBLE, o_totalprice * o_custkey / 9011 * (o_orderkey % 50) / 100), 6) AS seconds FROM orders",
         "class_counts": "SELECT count(*) FILTER (WHERE toxic = 0) AS normal, count(*) FILTER (WHERE toxic = 1) AS attack FROM labels",
         "repeated_texts": "SELECT sha256(text) AS content_sha256, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
         "population_diversity": "WITH g AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT i, stddev_pop(x) AS s FROM g GROUP BY i) SELECT round(avg(s), 9) AS population_diversity FROM s",

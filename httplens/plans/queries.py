@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import digests, forms, load
 from ..functions.text import METRICS, content_metrics, decode_once
 from ..functions.url import PARAMETER_METRICS, parameter_metrics, parameters, path_metrics, safe_path, split_target
-from ..operators import balancing, features, history, partition, profile, scoring, series, small_model, stats
+from ..operators import balancing, features, history, partition, profile, scoring, series, small_model, stats, validation
 from ..operators.training import Network, fitness, gene_statistics
+from ..sources import sinks
 from . import inputs as I  # noqa: N812
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -531,3 +532,79 @@ def repeated_texts(spark, d):
 def number_formats(spark, d):
     t = I.table(spark, d, "events")
     return t.select("event_id", forms.short_number(F.col("value"), 1).alias("told"))
+
+
+def _reserved(spark, d):
+    r = I.pages_as_requests(spark, d)
+    raw = F.concat(F.col("method").cast("binary"), F.lit(b" "), F.col("target").cast("binary"), F.lit(b"\n\n"), F.col("body"))
+    r = r.withColumn("raw", raw).withColumn("label", (F.col("page_id") % 2).cast("int")).withColumn("sequence", F.col("page_id"))
+    return sinks.reserved_records(r.withColumn("content_sha256", digests.content_hash(F.col("raw"))).withColumn("record_id", digests.record_id(F.lit("anomalo"), F.col("sequence"), F.col("raw"))))
+
+
+@query
+def reserved_records(spark, d):
+    """Public form of reserved records, their bytes checked against their hash."""
+    p = history.public_record(history.verified(_reserved(spark, d)))
+    return p.select("record_id", "source_sequence", "expected_class", "expected_decision", "method", "path", "query", "body_preview", "body_truncated")
+
+
+@query
+def reserved_available(spark, d):
+    return history.available(_reserved(spark, d)).select("label", F.array_join("methods", "|").alias("methods"), "n")
+
+
+@query
+def reserved_sample(spark, d):
+    """Thirty records of one class, by a seeded hash."""
+    return history.sample(_reserved(spark, d), 1, limit=99).select("record_id", "expected_class")
+
+
+@query
+def shuffled_rows(spark, d):
+    """Places of documents in a seeded shuffle."""
+    key = F.sha2(F.concat_ws(":", F.lit("7"), F.col("doc_id").cast("string")), 256)
+    rows = partition.shuffled(I.table(spark, d, "labels").select("doc_id"), 7, "doc_id")
+    return rows.select("doc_id", F.substring(key, 1, 8).alias("place"))
+
+
+@query
+def catalog_statistics(spark, d):
+    """Every column of the catalog for every dataset, with counts where there are any."""
+    t = I.table(spark, d, "lineitem").withColumn("dataset", F.when(F.col("l_returnflag") == "N", "normal").otherwise("anomalo"))
+    s = stats.summary(t, ["l_quantity", "l_tax"], ("dataset",)).select("dataset", "feature", "total", "zeros")
+    return stats.with_catalog(s, spark.createDataFrame([(c,) for c in LINE_COLUMNS], "feature string")).select("feature", "dataset", "total", "zeros")
+
+
+@query
+def best_candidate(spark, d):
+    """The best of candidates made of each threshold, with its place as training time."""
+    s = scoring.sweep(I.scored(spark, d), "score", "label", 1.0, 1.0)
+    return scoring.best_candidate(s.withColumn("wall_seconds", F.floor(F.col("threshold") * 10).cast("double")).withColumn("candidate_id", F.col("threshold"))).select("security_cost", "fn", "fp", "candidate_id")
+
+
+@query
+def request_problems(spark, d):
+    """Problems of trainings and sessions with parameters taken from events."""
+    e = I.table(spark, d, "events")
+    rows = e.select(
+        "event_id", F.col("value").alias("learning_rate"), (F.col("event_id") % 3000).alias("epochs"), (F.col("user_id") * 4).alias("requests"), (F.col("value") / 100).alias("epsilon"),
+        (F.col("event_id") % 4000).alias("interval_ms"), (F.col("user_id") % 25).alias("concurrency"), F.when(F.col("event_type") == "click", "fixed").when(F.col("event_type") == "view", "continuous").alias("learning_mode"),
+    )
+    told = lambda c: F.array_join(c, "|")
+    return rows.select("event_id", told(validation.problems(validation.BACKPROPAGATION)).alias("training"), told(validation.session_problems()).alias("session"))
+
+
+@query
+def architecture_plans(spark, d):
+    """Wider and deeper networks and their weights, for layers taken from parts."""
+    p = I.table(spark, d, "part").select("p_partkey", F.array(F.lit(76), F.col("p_size"), F.lit(1)).alias("a"))
+    p = p.select("p_partkey", "a", history.architecture_candidates(F.col("a")).alias("c"))
+    told = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), "-")
+    return p.select("p_partkey", told(F.col("c.wider")).alias("wider"), told(F.col("c.deeper")).alias("deeper"), history.parameter_count(F.col("a")).cast("bigint").alias("weights"))
+
+
+@query
+def estimated_seconds(spark, d):
+    o = I.table(spark, d, "orders")
+    e = history.estimated_seconds(F.col("o_totalprice"), F.col("o_custkey"), F.lit(9011), (F.col("o_orderkey") % 50, F.lit(100)))
+    return o.select("o_orderkey", F.round(e, 6).alias("seconds"))

@@ -306,3 +306,26 @@ def test_distributed_fitness(spark):
     got = {r.individual: r.cost for r in training.fitness(df, [2, 3, 1], x, y).collect()}
     assert all(math.isclose(got[i], training.mse(training.Network.from_genes([2, 3, 1], g), x, y)) for i, g in enumerate(genes))
     assert math.isclose(training.gene_statistics(df).collect()[0].population_diversity, genes.std(axis=0).mean())
+
+
+def test_request_problems(spark):
+    from httplens.operators import validation as v
+
+    good = {"population": "20", "generations": "5", "selection_type": "1", "tournament_size": "3", "crossover_type": "2", "crossover_rate": "0.8", "sbx_eta": "1", "mutation_type": "3", "mutation_rate": "0", "mutation_sigma": "0.1", "mutation_eta": "20", "weight_min": "-1", "weight_max": "1"}
+    cases = [{}, {"population": "21"}, {"tournament_size": "50"}, {"weight_min": "2"}, {"generations": "1.5"}, {"sbx_eta": "x"}, {"mutation_type": "4"}]
+    df = spark.createDataFrame([tuple((good | c).values()) for c in cases], list(good))
+    got = [r.p for r in df.select(v.genetic_problems().alias("p")).collect()]
+    assert got == [[], ["population_even"], ["tournament_size"], ["weight_order"], ["generations"], ["sbx_eta"], ["mutation_type"]]
+    bp = spark.createDataFrame([("1", "0"), ("2000", "1"), (None, "0.5")], "epochs string, learning_rate string")
+    assert [r.p for r in bp.select(v.problems(v.BACKPROPAGATION).alias("p")).collect()] == [["learning_rate"], [], ["epochs"]]
+    rl = spark.createDataFrame([(10, 6, 1), (9, 501, 31)], "episodes int, requests int, concurrency int")
+    assert [r.p for r in rl.select(F.concat(v.problems(v.BALANCER_TRAINING), v.problems(v.BALANCER_COMPARISON)).alias("p")).collect()] == [[], ["episodes", "requests", "concurrency"]]
+
+
+def test_shuffles(spark):
+    df = spark.createDataFrame([(i,) for i in range(50)], "i bigint")
+    a = [r.i for r in partition.shuffled(df, 1, "i").collect()]
+    assert a == [r.i for r in partition.shuffled(df.repartition(3), 1, "i").collect()] and a != sorted(a) and sorted(a) == list(range(50))
+    want = list(range(20))
+    random.Random(20260917).shuffle(want)
+    assert partition.reference_shuffle(20, 20260917) == want
