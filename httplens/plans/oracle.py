@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.features import ABSENT, FINAL, NAMES
 from ..operators.history import CRITERIA
 from ..operators.scoring import GRID
 from .queries import LAYERS, LINE_COLUMNS
@@ -181,6 +182,29 @@ def long_lines(extra: str = "") -> str:
     return "v AS (" + " UNION ALL ".join(f"SELECT {extra}'{c}' AS feature, {c} AS x FROM lineitem" for c in LINE_COLUMNS) + ")"
 
 
+def candidate_sql(headers: dict[str, str]) -> dict[str, str]:
+    """Every candidate over columns method, url, scheme, netloc, path, query, fragment, hostname, body
+    and the decoded url_d, path_d, query_d, body_d of pages as requests."""
+    flag = lambda c: f"CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    asked, sent, port = "contains(split_part(url, '#', 1), '?')", "body <> ''", "contains(netloc, ':')"
+    out = {f"http_version_is_{v}": flag("true" if v == "1_1" else "false") for v in ("1_0", "1_1", "2", "other")} | headers
+    for name, raw, when in (("url", "url", ""), ("path", "path", ""), ("query", "query", asked), ("body", "body", sent)):
+        for k, v in metrics(raw, f"{name}_d").items():
+            out[f"{name}_{k}"] = f"CASE WHEN {when} THEN {v} END" if when else v
+    host = lambda x: f"CASE WHEN hostname <> '' THEN {x} END"
+    out |= {
+        "url_is_absolute": flag("scheme <> '' AND netloc <> ''"), "url_parse_error": flag("false"), "url_scheme_is_http": flag("scheme = 'http'"), "url_scheme_is_https": flag("scheme = 'https'"),
+        "url_scheme_is_other": flag("scheme NOT IN ('', 'http', 'https')"), "url_scheme_missing": flag("scheme = ''"), "url_host_present": flag("hostname <> ''"), "url_host_length": host("length(hostname)::DOUBLE"),
+        "url_host_label_count": host("len(list_filter(string_split(hostname, '.'), lambda s: s <> ''))::DOUBLE"), "url_host_is_ip": host(flag(r"regexp_matches(hostname, '^\d+\.\d+\.\d+\.\d+$')")),
+        "url_host_non_ascii_count": host(f"{n_of('hostname', '[^\\x00-\\x7f]')}::DOUBLE"), "url_userinfo_present": flag("contains(netloc, '@')"), "url_port_present": flag(port), "url_port_valid": f"CASE WHEN {port} THEN 1.0::DOUBLE END",
+        "url_port_value": f"CASE WHEN {port} THEN CAST(split_part(netloc, ':', 2) AS DOUBLE) END", "url_port_is_standard": f"CASE WHEN {port} THEN {flag(chr(115) + 'plit_part(netloc, chr(58), 2) IN (' + repr('80') + ', ' + repr('443') + ')')} END", "url_fragment_present": flag("fragment <> ''"),
+    }
+    out |= path_sql("path_d") | {"query_present": flag(asked), "body_present": flag(sent)}
+    for name, when in (("query", asked), ("body", sent)):
+        out |= {f"{name}_{k}": f"CASE WHEN {when} THEN {v} END" for k, v in params_sql(name).items()}
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     u = f"WITH u AS ({_U}), x AS (SELECT *, {_HOST} AS hostname FROM u)"
     flag = lambda c: f"CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
@@ -213,6 +237,8 @@ def oracle_sql() -> dict[str, str]:
     keep = ("length_raw", "length_decoded_once", "percent_encoding_count", "invalid_percent_count", "non_ascii_count", "control_char_count", "alpha_ratio", "digit_ratio", "special_ratio", "traversal_pattern_count", "shell_metachar_count")
     text_metrics = metrics("text", "dec")
     path_dec = decoded("path")
+    rows = f"WITH u AS ({_U}), y AS (SELECT *, {_HOST} AS hostname, {methods} AS method, {body} AS body FROM u), x AS (SELECT *, {decoded('url')} AS url_d, {path_dec} AS path_d, {decoded('query', True)} AS query_d, {decoded('body', True)} AS body_d FROM y)"
+    found = candidate_sql(headers)
     checks = " UNION ALL ".join(
         f"SELECT quality, '{m}' AS criterion, {m} AS value, '{op}' AS operator, {t}::DOUBLE AS target, {m} {op} {t} AS passed FROM m" for m, (op, t) in CRITERIA.items()
     )
@@ -230,6 +256,11 @@ def oracle_sql() -> dict[str, str]:
         "query_parameters": f"WITH u AS ({_U}) SELECT page_id, {listed(params_sql('query'))} FROM u WHERE query <> ''",
         "content_metrics_url": f"WITH x AS (SELECT page_id, url AS raw, {decoded('url')} AS dec FROM pages) SELECT page_id, {listed(metrics('raw', 'dec'))} FROM x",
         "content_metrics_text": f"WITH x AS (SELECT conv_id, turn, text, {decoded('text', True)} AS dec FROM conversations) SELECT conv_id, turn, {listed({k: text_metrics[k] for k in keep})} FROM x",
+        "request_candidates": f"{rows} SELECT page_id, {listed({n: found[n] for n in NAMES})} FROM x",
+        "request_vector": f"{rows} SELECT page_id, {listed({n: f'coalesce({found[n]}, 0.0)' if n in ABSENT else found[n] for n in FINAL})} FROM x",
+        "safe_paths": f"""{rows}, n AS (SELECT page_id, scheme, netloc, path, query, list_transform(list_filter(string_split(query, '&'), lambda p: p <> ''), lambda p: split_part(p, '=', 1)) AS names FROM x)
+ SELECT page_id, substr(path, 1, 240) AS path, scheme || '://' || netloc || path || CASE WHEN len(names) > 0 THEN '?' || array_to_string(list_transform(names[1:8], lambda k: k || '=<valor>'), '&') || CASE WHEN len(names) > 8 THEN '&…' ELSE '' END ELSE '' END AS shown FROM n""",
+        "number_formats": "SELECT event_id, regexp_replace(regexp_replace(printf('%.1f', value), '0+$', ''), '\\.$', '') AS told FROM events",
         "header_features": f"{one} SELECT page_id, {listed(headers)} FROM b",
         "body_parameters": f"{one} SELECT page_id, {flag(chr(98) + 'ody <> ' + chr(39) * 2)} AS body_present, " + ", ".join(f"CASE WHEN body <> '' THEN {v} END AS body_{k}" for k, v in params_sql("body").items()) + " FROM b",
         "feature_catalog_counts": "SELECT * FROM (VALUES ('method', 4, 3), ('url', 36, 10), ('path', 28, 18), ('query', 27, 18), ('body', 27, 18), ('headers', 30, 9)) t(origin, n, final)",

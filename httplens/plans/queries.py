@@ -86,7 +86,8 @@ def request_vector(spark, d):
 @query
 def request_candidates(spark, d):
     """All 152 candidates of every request."""
-    return features.candidates(I.pages_as_requests(spark, d), keep=("page_id",))
+    c = features.candidates(I.pages_as_requests(spark, d), keep=("page_id",))
+    return c.select("page_id", *[(F.round(n, 9) if n.endswith("_entropy") else F.col(n)).alias(n) for n in features.NAMES])
 
 
 @query
