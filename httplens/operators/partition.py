@@ -73,7 +73,7 @@ def stratified(df: DataFrame, label: str, order: list[Column], train: float = 0.
     Ranks come from sums over hash buckets and a rank inside each, so a label of any size is
     spread over tasks. ``order`` must end in unique values for the split to be reproducible."""
     key = F.md5(F.concat_ws(":", *[c.cast("string") for c in order]))
-    rows = df.withColumn("__h", key).withColumn("__b", F.substring("__h", 1, 2))
+    rows = df.withColumn("__h", key).withColumn("__b", F.substring("__h", 1, 3))
     counts = rows.groupBy(F.col(label).alias("__l"), F.col("__b").alias("__c")).agg(F.count("*").alias("__n"))
     w = W.partitionBy("__l")
     before = w.orderBy("__c").rowsBetween(W.unboundedPreceding, -1)

@@ -46,6 +46,20 @@ def summary(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), witho
     )
 
 
+def sketched(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), accuracy: int = 10_000) -> DataFrame:
+    """``summary`` for columns of too many distinct values for exact percentiles: quantile sketches of
+    a rank error of 1 / accuracy, and approximate distinct counts. Each task sends one sketch for each
+    key and feature, whatever its rows."""
+    value = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
+    rows = long_form(df, columns, [F.col(k) for k in keys]).withColumn("v", value)
+    q = F.percentile_approx("v", [x for x, _ in QUANTILES], accuracy)
+    found = rows.groupBy(*keys, "feature").agg(
+        F.count("*").alias("total"), F.count("v").alias("valid"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"), q.alias("__q"),
+        F.count_if(F.col("v") == 0).alias("zeros"), F.approx_count_distinct("v").alias("distinct_values"),
+    )
+    return found.select(*keys, "feature", "total", "valid", (F.col("total") - F.col("valid")).alias("missing"), "min", "max", "mean", "stddev", *[F.col("__q")[i].alias(n) for i, (_, n) in enumerate(QUANTILES)], "zeros", "distinct_values")
+
+
 def binary_frequencies(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """Per key and feature, a map of each value to its count (for features of few values)."""
     rows = long_form(df, columns, [F.col(k) for k in keys]).where("value is not null")

@@ -68,6 +68,8 @@ def test_statistics(spark):
     for q, name in stats.QUANTILES:
         assert math.isclose(a[name], np.quantile(xs, q), abs_tol=1e-9)
     assert b.missing == sum(i % 10 == 0 or i % 11 == 0 for i in range(500)) and a.distinct_values == str(len(set(xs)))
+    k = {r.feature: r for r in stats.sketched(df, ["a", "b"]).collect()}
+    assert (k["b"].missing, k["a"].zeros, k["a"]["max"]) == (b.missing, a.zeros, a["max"]) and abs(k["a"].median - np.median(xs)) <= 1 and math.isclose(k["a"].stddev, xs.std())
     f = stats.binary_frequencies(df.select(F.signum("a").alias("s")), ["s"]).collect()[0].frequencies
     assert f["1.0"] == (xs > 0).sum()
 
