@@ -2,8 +2,8 @@
 
 Intermediate results go to the shared folder named by ``spark.checkpoint.dir``, as Parquet, so
 that a lost executor costs a re-read and not a re-computation, and so that no plan is evaluated
-twice. Only where that setting is missing, and only with a local master, a folder of this
-machine is used (tests)."""
+twice. Where that setting is missing they go to the warehouse, which is shared as well, or, with a
+local master only (tests), to a folder of this machine."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
     if _local is None:
         _local = tempfile.mkdtemp(prefix="httplens-")
         atexit.register(shutil.rmtree, _local, True)
