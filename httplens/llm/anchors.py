@@ -34,6 +34,8 @@ STRETCH = 1 << 20
 CROWD = 1 << 14
 #: Anchors of one grain that ``meet`` holds before it decides on those it can.
 HELD = 1 << 18
+#: Anchors of one grain that are sorted in one task; those of more are counted by aggregates.
+HOT = 1 << 20
 
 
 class Shape(NamedTuple):
@@ -133,11 +135,12 @@ MET = "rid bigint, pos int, grain bigint, whole boolean, apart boolean"
 _KEPT = ("rid", "pos", "grain")
 
 
-def meet(marks: DataFrame, shape: Shape) -> DataFrame:
+def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
     """Of the anchors that stand for themselves: whole, if all windows around count because equal
     surroundings lie elsewhere (for ``ranked``, in a text of smaller rank); apart, if it goes on as
     the one of its surroundings, because its grain has others too (of other rank, if ranked)."""
     schema = ("grain", "around", "rid", "pos", *(("rank",) if shape.ranked else ()))
+    hot_rows = hot_rows or HOT
 
     def settle(cols: dict[str, np.ndarray], spread: bool) -> pa.RecordBatch:
         """Whole grains in order; with ``spread``, known to have several surroundings and ranks."""
@@ -189,7 +192,25 @@ def meet(marks: DataFrame, shape: Shape) -> DataFrame:
             yield settle(held, spread == held["grain"][0])
 
     own = marks.where("not met").select(*schema)
-    return own.repartition("grain").sortWithinPartitions("grain", "around", *schema[4:]).mapInArrow(run, MET)
+    hot = own.groupBy("grain").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("grain")
+    sort = lambda df: df.repartition("grain").sortWithinPartitions("grain", "around", *schema[4:]).mapInArrow(run, MET)
+    if hot.isEmpty():
+        return sort(own)
+    hot = staged(hot)  # at most a row for each ``hot_rows`` anchors
+    return sort(own.join(hot, "grain", "left_anti")).union(_meet_hot(staged(own.join(hot, "grain", "left_semi")), shape))
+
+
+def _meet_hot(own: DataFrame, shape: Shape) -> DataFrame:
+    """``meet`` for grains of any number of anchors: minima and counts of each grain and surroundings,
+    with partial results before the shuffle, joined back by both."""
+    first = F.min(F.struct(*(("rank",) if shape.ranked else ()), "rid", "pos")).alias("first")
+    kinds = staged(own.groupBy("grain", "around").agg(F.count("*").alias("n"), first))
+    bounds = [F.min("around").alias("lo"), F.max("around").alias("hi"), *((F.min("first.rank").alias("least"), F.max("first.rank").alias("most")) if shape.ranked else ())]
+    apart = kinds.groupBy("grain").agg(*bounds).where("lo <> hi" + " and least < most" * shape.ranked).select("grain")
+    apart = kinds.join(apart, "grain").select("first.rid", "first.pos", "grain", F.lit(False).alias("whole"), F.lit(True).alias("apart"))
+    whole = own.join(kinds.where("n > 1").select("grain", "around", "first"), ["grain", "around"])
+    whole = whole.where("rank > first.rank") if shape.ranked else whole
+    return whole.select("rid", "pos", "grain", F.lit(True).alias("whole"), F.lit(False).alias("apart")).union(apart)
 
 
 AROUND = "grain bigint, rid bigint, rank bigint, pos int, left int, around binary"

@@ -68,6 +68,13 @@ def test_decisions_in_parts(docs, rows, held, monkeypatch):
     assert _passage_rows(passages.dedup(docs)) == sorted(passage_dedup(rows), key=str)
 
 
+@pytest.mark.parametrize("hot", [1, 4])
+def test_hot_grains(docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(anchors, "HOT", hot)
+    assert _suffix_rows(sd.dedup(docs)) == sorted(suffix_dedup(rows), key=str)
+    assert _passage_rows(passages.dedup(docs)) == sorted(passage_dedup(rows), key=str)
+
+
 def test_long_texts_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(anchors, "STRETCH", 500)
     rng = np.random.default_rng(3)
