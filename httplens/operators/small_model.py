@@ -19,10 +19,10 @@ SPECIAL = "'\"<>;(){}[]=/\\"
 def unquoted(text: Column) -> Column:
     """Percent-decoding as UTF-8, malformed escapes kept, plus signs kept; bytes that aren't UTF-8
     become replacement characters."""
-    parts = F.split(text, "%")
-    runs = F.regexp_replace(text, r"((?:%[0-9A-Fa-f]{2})+)", "\u0001$1\u0001")
-    decoded = F.transform(F.split(runs, "\u0001"), lambda p: F.when(p.rlike(r"^(?:%[0-9A-Fa-f]{2})+$"), F.decode(F.unhex(F.regexp_replace(p, "%", "")), "UTF-8")).otherwise(p))
-    return F.when(F.size(parts) > 1, F.array_join(decoded, "")).otherwise(text)
+    tokens = F.regexp_extract_all(text, F.lit(r"(?s)(?:%[0-9A-Fa-f]{2})+|[^%]+|%"), F.lit(0))
+    plain = lambda t: F.make_valid_utf8(F.unhex(F.replace(t, F.lit("%"), F.lit(""))).cast("string"))
+    decoded = F.transform(tokens, lambda t: F.when(t.rlike("^%[0-9A-Fa-f]{2}"), plain(t)).otherwise(t))
+    return F.when(F.contains(text, F.lit("%")), F.array_join(decoded, "")).otherwise(text)
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:

@@ -154,3 +154,11 @@ def test_small_model(spark):
     assert list(plain)[:9] == [0, 0, 0, 0, 0, 0, 0, 1, 1 / 800] and plain.exceedances == []
     assert attack.is_post_put == 1 and attack.has_xss_keywords == 1 and attack.is_standard_browser == 0 and attack.query_length == len("q=é'+or+1=1") / 200
     assert {e.feature for e in attack.exceedances} == {"special_chars_body", "request_rate"} and len(SMALL) == 9
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["%C3%A9", "%E9", "%", "%zz", "+", "a", "é", "\x01", "%20", "%F0%9F%99%82", "\n"]), max_size=12).map("".join), min_size=40, max_size=40))
+def test_utf8_decoding(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", small_model.unquoted(F.col("t")).alias("a")).collect()
+    assert all(r.a == unquote(r.t) for r in got)
