@@ -8,7 +8,8 @@ holds such a run, so equal windows hold an equal grain at an equal offset: its a
 1. ``mark``: each text's anchors with the hash of the grain and of its surroundings (all units of
    all windows that hold the grain). Copies within a batch meet there, before any shuffle.
 2. ``meet``: anchors by grain, sorted by surroundings. Where the surroundings are equal, all their
-   windows are; where a grain has several surroundings, one anchor of each goes on.
+   windows are; where a grain has several surroundings, one anchor of each goes on, and what is
+   found around it holds for its twins, those of equal surroundings and rank.
 3. ``surroundings``: these anchors' surroundings as text, for an exact comparison by the caller,
    in groups of a grain; grains with more than a crowd of them go window by window.
 
@@ -131,14 +132,22 @@ def mark(texts: DataFrame, shape: Shape) -> DataFrame:
     return texts.mapInArrow(run, MARKS)
 
 
-MET = "rid bigint, pos int, grain bigint, whole boolean, apart boolean"
+MET = "rid bigint, pos int, grain bigint, whole boolean, apart boolean, first_rid bigint, first_pos int"
 _KEPT = ("rid", "pos", "grain")
 
 
+def _met(cols: dict[str, np.ndarray], keep: np.ndarray, whole: np.ndarray, apart: np.ndarray, twin: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    """Rows of MET for those to keep; first: the anchor (row) that each one's surroundings go on as."""
+    own = {c: cols[c][keep] for c in _KEPT}
+    of = {f"first_{c}": pa.array(cols[c][first[keep]], mask=~twin[keep]) for c in ("rid", "pos")}
+    return _record(**own, whole=whole[keep], apart=apart[keep], **of)
+
+
 def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
     """Of the anchors that stand for themselves: whole, if all windows around count because equal
     surroundings lie elsewhere (for ``ranked``, in a text of smaller rank); apart, if it goes on as
-    the one of its surroundings, because its grain has others too (of other rank, if ranked)."""
+    the one of its surroundings, because its grain has others too (of other rank, if ranked). If
+    ranked, those of equal surroundings and rank name the one that goes on for them, their first."""
     schema = ("grain", "around", "rid", "pos", *(("rank",) if shape.ranked else ()))
     hot_rows = hot_rows or HOT
 
@@ -148,6 +157,7 @@ def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
         new = np.r_[True, grain[1:] != grain[:-1]]
         first = new | np.r_[True, around[1:] != around[:-1]]
         kind, own = np.cumsum(first) - 1, np.cumsum(new) - 1
+        stands = np.flatnonzero(first)[kind]
         if shape.ranked:
             whole = rank > rank[first][kind]
             at = np.flatnonzero(new)
@@ -156,9 +166,14 @@ def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
             whole = np.bincount(kind)[kind] > 1
             apart = np.ones(len(grain), bool)
         several = (np.bincount(own[first])[own] > 1) | spread
-        apart &= first & several
-        keep = whole | apart
-        return _record(**{c: cols[c][keep] for c in _KEPT}, whole=whole[keep], apart=apart[keep])
+        apart &= several
+        twin = apart & ~whole & unlike(cols, stands)
+        apart &= first
+        return _met(cols, whole | apart | twin, whole, apart, twin, stands)
+
+    def unlike(cols: dict[str, np.ndarray], stands: np.ndarray) -> np.ndarray:
+        """Not the same place as the one that stands for it; rows of one id and text share places."""
+        return (cols["rid"] != cols["rid"][stands]) | (cols["pos"] != cols["pos"][stands])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -183,10 +198,12 @@ def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
                     yield settle({c: x[:last] for c, x in held.items()}, True)
                     spread = held["grain"][0]
                     held = {c: x[last:] for c, x in held.items()}
-                if len(held["grain"]) > HELD:  # one: all but the first and last two are whole or the first's equals
-                    some = {c: x[2:-2] for c, x in held.items()}
-                    whole = some["rank"] > held["rank"][0] if shape.ranked else np.ones(len(some["rank"]), bool)
-                    yield _record(**{c: some[c][whole] for c in _KEPT}, whole=whole[whole], apart=np.zeros(int(whole.sum()), bool))
+                if (n := len(held["grain"])) > HELD:  # one: all but the first and last two are whole or the first's twins
+                    some, none, stands = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64)
+                    some[2:-2] = True
+                    whole = held["rank"] > held["rank"][0] if shape.ranked else ~none
+                    twin = ~whole & unlike(held, stands)
+                    yield _met(held, some & (whole | twin), whole, none, twin, stands)
                     held = {c: np.concatenate([x[:2], x[-2:]]) for c, x in held.items()}
         if held is not None and len(held["grain"]):
             yield settle(held, spread == held["grain"][0])
@@ -207,10 +224,15 @@ def _meet_hot(own: DataFrame, shape: Shape) -> DataFrame:
     kinds = staged(own.groupBy("grain", "around").agg(F.count("*").alias("n"), first))
     bounds = [F.min("around").alias("lo"), F.max("around").alias("hi"), *((F.min("first.rank").alias("least"), F.max("first.rank").alias("most")) if shape.ranked else ())]
     apart = kinds.groupBy("grain").agg(*bounds).where("lo <> hi" + " and least < most" * shape.ranked).select("grain")
-    apart = kinds.join(apart, "grain").select("first.rid", "first.pos", "grain", F.lit(False).alias("whole"), F.lit(True).alias("apart"))
-    whole = own.join(kinds.where("n > 1").select("grain", "around", "first"), ["grain", "around"])
-    whole = whole.where("rank > first.rank") if shape.ranked else whole
-    return whole.select("rid", "pos", "grain", F.lit(True).alias("whole"), F.lit(False).alias("apart")).union(apart)
+    none = [F.lit(None).cast("bigint").alias("first_rid"), F.lit(None).cast("int").alias("first_pos")]
+    apart = kinds.join(apart, "grain").select("first.rid", "first.pos", "grain", F.lit(False).alias("whole"), F.lit(True).alias("apart"), *none)
+    both = own.join(kinds.where("n > 1").select("grain", "around", "first"), ["grain", "around"])
+    if not shape.ranked:
+        return both.select("rid", "pos", "grain", F.lit(True).alias("whole"), F.lit(False).alias("apart"), *none).union(apart)
+    whole = F.col("rank") > F.col("first.rank")
+    both = both.where(whole | (F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos")))
+    of = [F.when(~whole, F.col(f"first.{c}")).alias(f"first_{c}") for c in ("rid", "pos")]
+    return both.select("rid", "pos", "grain", whole.alias("whole"), F.lit(False).alias("apart"), *of).union(apart)
 
 
 AROUND = "grain bigint, rid bigint, rank bigint, pos int, left int, around binary"
@@ -247,19 +269,18 @@ def list_parts(column: pa.Array, fields: tuple[str, ...]) -> tuple[list[np.ndarr
     return [flat.field(f).to_numpy(zero_copy_only=False) for f in fields], cut
 
 
-SPANS = "rid bigint, lo int, hi int"
 Solve = Callable[[np.ndarray, np.ndarray, list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 Windows = Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def compare(around: DataFrame, shape: Shape, solve: Solve, windows: Windows, crowd: int = CROWD) -> DataFrame:
-    """(rid, lo, hi) of units that windows around the anchors cover which count.
+    """(rid, pos, lo, hi) of units that windows around the anchors (rid, pos) cover which count.
 
     solve(grain, rank, texts, left) gives (anchor, units before it that are covered, units from it
     on) for whole grains; windows(left, texts) gives (anchor, hash, units before it) of every
     window that holds the anchor's grain, for grains with more than a crowd of surroundings:
     those windows are counted by a grouped aggregate, with partial sums before the shuffle."""
-    schema = "crowded boolean, " + AROUND
+    schema = "crowded boolean, " + AROUND + ", hi int"
     fields = ("grain", "rid", "rank", "pos", "left")
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -316,13 +337,13 @@ def compare(around: DataFrame, shape: Shape, solve: Solve, windows: Windows, cro
             cols = [table.column(i).to_numpy() for i in range(5)]
             texts = table.column(5).to_pylist()
             if crowded:
-                yield _record(crowded=np.ones(len(texts), bool), **dict(zip(fields, cols, strict=True)), around=pa.array(texts, pa.binary()))
+                yield _record(crowded=np.ones(len(texts), bool), **dict(zip(fields, cols, strict=True)), around=pa.array(texts, pa.binary()), hi=pa.nulls(len(texts), pa.int32()))
             elif len(texts) > 1:
                 which, before, after = solve(cols[0], cols[2], texts, cols[4])
                 pos = cols[3][which]
                 yield _record(
                     crowded=np.zeros(len(which), bool), grain=cols[0][which], rid=cols[1][which], rank=cols[2][which],
-                    pos=(pos - before).astype(np.int32), left=(pos + after).astype(np.int32), around=pa.array([None] * len(which), pa.binary()),
+                    pos=pos, left=before.astype(np.int32), around=pa.nulls(len(which), pa.binary()), hi=(pos + after).astype(np.int32),
                 )
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,15 +352,15 @@ def compare(around: DataFrame, shape: Shape, solve: Solve, windows: Windows, cro
                 part = batch.slice(lo, 2048)
                 grain, rid, rank, pos, left = (part.column(i).to_numpy() for i in range(5))
                 which, h, before = windows(left, part.column(5).to_pylist())
-                yield _record(grain=grain[which], h=h.view(np.int64), rid=rid[which], rank=rank[which], lo=(pos[which] - before).astype(np.int32))
+                yield _record(grain=grain[which], h=h.view(np.int64), rid=rid[which], rank=rank[which], pos=pos[which], lo=(pos[which] - before).astype(np.int32))
 
     found = staged(around.repartition("grain").sortWithinPartitions("grain").mapInArrow(settled, schema))
-    spans = found.where("not crowded").select("rid", F.col("pos").alias("lo"), F.col("left").alias("hi"))
-    each = found.where("crowded").select("grain", "rid", "rank", "pos", "left", "around").mapInArrow(opened, "grain bigint, h bigint, rid bigint, rank bigint, lo int")
+    spans = found.where("not crowded").select("rid", "pos", (F.col("pos") - F.col("left")).alias("lo"), "hi")
+    each = found.where("crowded").select("grain", "rid", "rank", "pos", "left", "around").mapInArrow(opened, "grain bigint, h bigint, rid bigint, rank bigint, pos int, lo int")
     seen = each.groupBy("grain", "h").agg(F.count("*").alias("n"), F.min("rank").alias("least"))
     both = each.join(seen, ["grain", "h"])
     both = both.where("rank > least" if shape.ranked else "n > 1")
-    return spans.union(both.select("rid", "lo", F.col("lo") + shape.window))
+    return spans.union(both.select("rid", "pos", "lo", F.col("lo") + shape.window))
 
 
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -363,8 +384,12 @@ def covered(texts: DataFrame, shape: Shape, solve: Solve, windows: Windows, crow
     sure = marks.where("counts").select("rid", "pos").union(met.where("whole").select("rid", "pos"))
     sure = staged(sure.groupBy("rid").agg(F.collect_set(span).alias("sure")))
     apart = staged(met.where("apart").groupBy("rid").agg(F.collect_list(F.struct("pos", "grain")).alias("at")))
+    twins = staged(met.where("first_rid is not null").select("rid", "pos", "first_rid", "first_pos")) if shape.ranked else None
     release(marks, met)
     near = compare(surroundings(texts, apart, shape), shape, solve, windows, crowd)
+    if twins is not None:
+        of, moved = near.withColumnsRenamed({"rid": "first_rid", "pos": "first_pos"}), F.col("pos") - F.col("first_pos")
+        near = near.union(of.join(twins, ["first_rid", "first_pos"]).select("rid", "pos", (F.col("lo") + moved).alias("lo"), (F.col("hi") + moved).alias("hi")))
     near = near.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("near"))
     none = F.array().cast("array<struct<lo:int,hi:int>>")
     both = texts.join(sure, "rid", "left").join(near, "rid", "left")

@@ -68,6 +68,24 @@ def test_decisions_in_parts(docs, rows, held, monkeypatch):
     assert _passage_rows(passages.dedup(docs)) == sorted(passage_dedup(rows), key=str)
 
 
+@pytest.mark.parametrize(("hot", "held", "crowd"), [(anchors.HOT, anchors.HELD, anchors.CROWD), (1, anchors.HELD, anchors.CROWD), (anchors.HOT, 3, anchors.CROWD), (anchors.HOT, anchors.HELD, 1), (1, 3, 1), (anchors.HOT, 3, 1)])
+def test_passages_within_repeats(spark, hot, held, crowd, monkeypatch):
+    """Blocks that one document, or several of one rank, hold repeatedly, and an earlier one in part."""
+    monkeypatch.setattr(anchors, "HOT", hot)
+    monkeypatch.setattr(anchors, "HELD", held)
+    rng = np.random.default_rng(11)
+    line = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(n))
+    q, block, other = line(40), f"{line(10)} {{}} {line(10)}", f"{line(10)} {{}} {line(10)}"
+    block, other = block.format(q), other.format(q)
+    data = [(1, q), (2, f"{block} {block}"), (3, " ".join([other] * 6)), (3, f"{line(5)} {other} {line(4)}"), (None, f"{line(9)} {block} {line(3)} {other} {other}")]
+    data += [(None, f"{x} {line(10)} {q} {y}") for x, y in ((line(20), line(20)), (line(5), line(5)))]
+    inner = f"{line(12)} {q} {line(12)}"
+    data += [(None, f"{line(7)} {inner} {line(7)}"), (None, f"{line(8)} {inner} {inner}"), (None, f"{line(8)} {inner} {inner}")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    want = sorted(passage_dedup([{"doc_id": d, "text": t} for d, t in data]), key=str)
+    assert _passage_rows(passages.dedup(df, crowd=crowd)) == want
+
+
 @pytest.mark.parametrize("hot", [1, 4])
 def test_hot_grains(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(anchors, "HOT", hot)
