@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,6 +131,30 @@ def fitness(population: DataFrame, sizes: list[int], x: np.ndarray, y: np.ndarra
     return population.select("individual", "genes").mapInPandas(run, "individual bigint, cost double")
 
 
+def table_fitness(population: np.ndarray, sizes: list[int], rows: DataFrame, inputs: list[str], label: str) -> DataFrame:
+    """(individual, cost) of a population's rows of genes: mean squared error of each over all rows
+    of a table, null over none.
+
+    The population is shipped to each executor; squared errors are summed there for each part of
+    the table, then by individual, so no row of the training set reaches the driver."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(np.asarray(population, float))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nets = [Network.from_genes(sizes, g) for g in shared.value]
+        total, n = np.zeros(len(nets)), 0
+        for batch in batches:
+            x, y = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(inputs))]), batch.column(len(inputs)).to_numpy(zero_copy_only=False)
+            total += [((y - net.score(x)) ** 2).sum() for net in nets]
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(nets))), pa.array(total), pa.array(np.full(len(nets), n))], names=["individual", "error", "n"])
+
+    given = rows.select(*[F.col(c).cast("double") for c in (*inputs, label)])
+    sums = given.mapInArrow(run, "individual bigint, error double, n bigint").groupBy("individual").agg(F.sum("error").alias("error"), F.sum("n").alias("n"))
+    people = spark.range(len(population)).withColumnRenamed("id", "individual")
+    return people.join(sums, "individual", "left").select("individual", F.try_divide("error", "n").alias("cost"))
+
+
 def select_parents(population: np.ndarray, costs: np.ndarray, rng: np.random.Generator, kind: int = 1, tournament: int = 3) -> np.ndarray:
     """1: the best of a few drawn without replacement; 2: by chance in proportion to 1 / cost."""
     n = len(population)

@@ -12,7 +12,7 @@ from ..functions import digests, forms, load
 from ..functions.text import METRICS, content_metrics, decode_once
 from ..functions.url import PARAMETER_METRICS, parameter_metrics, parameters, path_metrics, safe_path, split_target
 from ..operators import balancing, features, history, partition, profile, scoring, series, small_model, stats, validation
-from ..operators.training import Network, fitness, gene_statistics
+from ..operators.training import Network, gene_statistics, table_fitness
 from ..sources import sinks
 from . import inputs as I  # noqa: N812
 
@@ -500,15 +500,11 @@ def rl_session(spark, d):
 
 @query
 def ga_fitness(spark, d):
-    """Mean squared error of a population over labelled documents."""
+    """Mean squared error of a population over all labelled documents."""
     import numpy as np
 
-    rows = I.scored(spark, d).orderBy("doc_id").limit(2000).collect()  # a training set of bounded size
-    x = np.array([[r["score"], r["quality"]] for r in rows])
-    y = np.array([r["label"] for r in rows], float)
     genes = np.random.default_rng(3).uniform(-1, 1, (64, Network.parameter_count([2, 3, 1])))
-    people = spark.createDataFrame([(i, g.tolist()) for i, g in enumerate(genes)], "individual bigint, genes array<double>").repartition(8)
-    return fitness(people, [2, 3, 1], x, y)
+    return table_fitness(genes, [2, 3, 1], I.scored(spark, d), ["score", "quality"], "label")
 
 
 @query

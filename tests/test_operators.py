@@ -310,6 +310,24 @@ def test_distributed_fitness(spark):
     assert math.isclose(training.gene_statistics(df).collect()[0].population_diversity, genes.std(axis=0).mean())
 
 
+def test_fitness_over_a_whole_table(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(1)
+    docs = [(i, int(n)) for i, n in enumerate(rng.integers(1, 900, 2600))]
+    labels = [(i, int(t), float(q)) for i, t, q in zip(range(2600), np.arange(2600) // 1300, rng.uniform(size=2600), strict=True)]
+    spark.createDataFrame(docs, "doc_id bigint, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, toxic int, quality double").write.parquet(f"{tmp_path}/labels.parquet")
+    x = np.array([[((n * 37 + i * 11) % 101 + t * 60 + (1 - q) * 20) / 181, q] for (i, n), (_, t, q) in zip(docs, labels, strict=True)])
+    y = np.array([t for _, t, _ in labels], float)
+    genes = np.random.default_rng(3).uniform(-1, 1, (64, training.Network.parameter_count([2, 3, 1])))
+    got = {r.individual: r.cost for r in entry.queries()["ga_fitness"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(64))
+    assert all(math.isclose(got[i], training.mse(training.Network.from_genes([2, 3, 1], g), x, y)) for i, g in enumerate(genes))
+    none = spark.createDataFrame([], "a double, b double, y double")
+    assert [r.cost for r in training.table_fitness(genes[:2], [2, 3, 1], none, ["a", "b"], "y").collect()] == [None, None]
+
+
 def test_request_problems(spark):
     from httplens.operators import validation as v
 
