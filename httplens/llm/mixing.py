@@ -2,7 +2,8 @@
 
 Each source has a weight and a schedule over training time t in [0, 1]; its demand up to t is the
 integral of the schedule, scaled to its target. A document's first word stands at some place in
-its source's stream; inverting the demand at that place gives its position in training."""
+its source's stream, once in each pass over the source; inverting the demand at that place gives
+the position of that copy in training."""
 
 from __future__ import annotations
 
@@ -57,13 +58,14 @@ def order_hash(id_col) -> F.Column:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, slopes=SLOPES, repeats: int = REPEATS) -> DataFrame:
-    """(id, size, source, source_size, target, taken, copies, part, position) of every row.
+    """(id, size, source, source_size, target, taken, copies, part, position, positions) of every row.
 
     Documents of a source stand in order of a hash of their id. Each is taken ``copies`` whole
     times, and the words up to the source's quota that remain come from the first documents once
     more: ``part`` words of each, all of them but in the last. So taken words meet the target to
     less than one word, and none exceeds ``repeats`` times its size. position (0 to 1, null if
-    nothing is taken) is when the first word is due.
+    nothing is taken) is when the first word is first due, positions (empty then) when it is due in
+    each pass that takes it: one for each copy and, where ``part`` isn't 0, one for the part.
 
     Null text has size 0, null is a source of its own, null ids hash as the empty string; rows
     that repeat an id are taken each for itself, next to each other; an empty table gives an empty
@@ -86,20 +88,28 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rest = F.col("quota") - F.col("copies") * F.col("source_size")
     run = run.withColumn("part", F.greatest(F.lit(0), F.least("size", rest - F.col("begin"))))
     run = run.withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
-    y, g = F.try_divide(F.col("begin").cast("double"), F.col("target")), F.col("slope")
-    at = (2 * y) / ((1 - g) + F.sqrt((1 - g) * (1 - g) + 4 * g * y))
-    run = run.withColumn("position", F.when(F.col("taken") > 0, at))
-    return run.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "taken", "copies", "part", "position")
+    g = F.col("slope")
+
+    def at(begin: F.Column) -> F.Column:
+        y = F.try_divide(begin.cast("double"), F.col("target"))
+        return (2 * y) / ((1 - g) + F.sqrt((1 - g) * (1 - g) + 4 * g * y))
+
+    passes = F.col("copies") + (F.col("part") > 0).cast("bigint")
+    each = F.transform(F.sequence(F.lit(0).cast("bigint"), passes - 1), lambda n: at(n * F.col("source_size") + F.col("begin")))
+    run = run.withColumn("position", F.when(F.col("taken") > 0, at(F.col("begin"))))
+    run = run.withColumn("positions", F.when(F.col("taken") > 0, each).otherwise(F.array().cast("array<double>")))
+    return run.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "taken", "copies", "part", "position", "positions")
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of ``df`` as the mix takes them, in order of position: each ``copies`` times, and
     once more if half its words or more are in ``part``. A row stands once for each time it is
-    taken; all columns stay. Rows that repeat an id are taken alike."""
+    taken, at the position of that copy; all columns stay. Rows that repeat an id are taken alike."""
     plan = mix(df, id_col, text_col, source_col, **how)
     times = F.col("copies") + (F.col("part") * 2 >= F.col("size")).cast("bigint")
-    plan = plan.where("taken > 0").select(F.col(id_col).alias("__id"), times.alias("__times"), F.col("position").alias("__at")).where("__times > 0")
-    plan = plan.groupBy("__id").agg(F.max("__times").alias("__times"), F.min("__at").alias("__at"))
+    plan = plan.where("taken > 0").select(F.col(id_col).alias("__id"), times.cast("int").alias("__times"), "positions").where("__times > 0")
+    plan = plan.select("__id", F.struct((-F.col("__times")).alias("most"), F.slice("positions", F.lit(1), F.col("__times")).alias("at")).alias("__plan"))
+    plan = plan.groupBy("__id").agg(F.min("__plan").alias("__plan"))  # of rows that repeat an id, the one taken most often
     taken = df.join(plan, df[id_col].eqNullSafe(plan["__id"]))
-    taken = taken.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    taken = taken.select(*[df[c] for c in df.columns], "__id", F.posexplode("__plan.at").alias("__nth", "__at"))
     return taken.sort("__at", "__id", "__nth").select(*df.columns)

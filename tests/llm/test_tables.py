@@ -95,6 +95,26 @@ def test_mixing_small_sources(spark, none):
     assert mixed.count(2) == 3 and 3 not in mixed
 
 
+def test_copies_follow_the_schedule(spark):
+    """Words of a repeated source, cumulated over t, meet its demand to the size of a document."""
+    data = [(i, " ".join(f"w{i}" for _ in range(5)), "abc"[i % 3]) for i in range(60)] + [(1000, "x " * 5000, "d")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(3)
+    plan = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    assert all(plan[i]["copies"] == 3 for i in range(60))
+    for n, s in enumerate("abc"):
+        g, own = mixing.SLOPES[n], [r for r in plan.values() if r["source"] == s]
+        due = sorted(p for r in own for p in r["positions"])
+        target = own[0]["target"]
+        assert len(due) == 60 and due[-1] > 0.9 and target == 300
+        assert all(r["positions"][0] == r["position"] and list(r["positions"]) == sorted(set(r["positions"])) for r in own)
+        for t in np.linspace(0, 1, 41):
+            assert abs(5 * sum(p <= t for p in due) - target * (t + g * (t * t - t))) <= 5 + 1e-6
+    part = plan[1000]
+    assert len(part["positions"]) == part["copies"] + (part["part"] > 0)
+    order = sorted((p, i) for i, r in plan.items() for p in r["positions"][: r["copies"] + (2 * r["part"] >= r["size"])])
+    assert [r["doc_id"] for r in mixing.mixed(df).collect()] == [i for _, i in order]
+
+
 def test_position_inverts_demand():
     for g in mixing.SLOPES:
         for y in np.linspace(0, 0.999, 50):
