@@ -83,16 +83,21 @@ def spans_of(found: DataFrame) -> DataFrame:
 
 
 def scan(df: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, known: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, found) of the blobs of ``df`` with findings.
+    """(blob, rule_version, found) of the blobs of ``df`` with findings.
 
-    ledger: (blob, rule_version) of earlier runs, known: their (blob, found). Blobs in the ledger
-    under the present version of the rules are not scanned; their earlier findings are used."""
+    ledger: (blob, rule_version) of earlier runs, known: their (blob, rule_version, found). Blobs in
+    the ledger under the present version of the rules are not scanned; their earlier findings under
+    that version are used, and no others."""
+    version = rule_version(rules)
     contents = blobs(df, text_col)
     if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == rule_version(rules)).select(F.col("blob").alias("seen")).distinct()
+        seen = ledger.where(F.col("rule_version") == version).select(F.col("blob").alias("seen")).distinct()
         contents = contents.join(seen, contents["blob"] == seen["seen"], "left_anti")
-    new = spans_of(findings(contents, rules))
-    return new if known is None else known.select("blob", "found").unionByName(new).dropDuplicates(["blob"])
+    new = spans_of(findings(contents, rules)).select("blob", F.lit(version).alias("rule_version"), "found")
+    if ledger is None or known is None:
+        return new
+    own = known.where(F.col("rule_version") == version).select("blob", "rule_version", "found").dropDuplicates(["blob"])
+    return own.join(seen, own["blob"] == seen["seen"], "left_semi").unionByName(new)
 
 
 def ledger_of(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -106,7 +111,7 @@ def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sca
     Null text counts as empty; repeated rows and ids each give a row; an empty table gives an
     empty one; other columns are ignored."""
     paths = df.select(F.col(id_col).alias(id_col), address(F.col(text_col)).alias("blob"))
-    out = paths.join(staged(scan(df, text_col, **scanning)), "blob", "left")
+    out = paths.join(staged(scan(df, text_col, **scanning).select("blob", "found")), "blob", "left")
     none = F.array().cast("array<struct<start:bigint,rule:int,end:bigint,kind:string>>")
     return out.select(id_col, "blob", F.coalesce("found", none).alias("found"))
 
@@ -118,7 +123,7 @@ def span_text(found) -> F.Column:
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` with each maximal run of found spans in the text replaced by ``mark``; all columns
     and rows stay, null text stays null. Works for any column names but ``__blob``, ``__found``."""
-    found = staged(scan(df, text_col, rules=rules)).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
+    found = staged(scan(df, text_col, rules=rules).select("blob", "found")).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
     keyed = df.withColumn("__blob", address(F.col(text_col))).join(found, "__blob", "left")
     text = F.col(text_col)
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))

@@ -51,6 +51,20 @@ def test_ledger_skips_what_was_scanned(spark, docs):
     assert secret_scan.scan(docs, ledger=ledger, rules=other).count() > 0
 
 
+def test_findings_of_other_rules_are_not_used(spark, docs):
+    old, new = secret_scan.RULES[:1], secret_scan.RULES
+    first = secret_scan.scan(docs, rules=old)
+    found = lambda df: sorted((r["blob"], str(r["found"])) for r in df.select("blob", "found").collect())
+    want = found(secret_scan.scan(docs, rules=new))
+    assert want != found(first)
+    ledger = secret_scan.ledger_of(docs, rules=old)
+    assert found(secret_scan.scan(docs, ledger=ledger, known=first, rules=new)) == want
+    second = secret_scan.scan(docs, rules=new)
+    both, ledger = first.union(second), ledger.union(secret_scan.ledger_of(docs, rules=new))
+    assert found(secret_scan.scan(docs, ledger=ledger, known=both, rules=new)) == want
+    assert found(secret_scan.scan(docs, ledger=ledger, known=both, rules=old)) == found(first)
+
+
 def test_redaction(docs, rows):
     got = {r["doc_id"]: r for r in secret_scan.redact(docs).collect()}
     for r in rows:
