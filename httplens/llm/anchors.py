@@ -6,17 +6,22 @@ run of window - grain + 1 grains (grain: so many units), those of the smallest h
 holds such a run, so equal windows hold an equal grain at an equal offset: its anchor.
 
 1. ``mark``: each text's anchors with the hash of the grain and of its surroundings (all units of
-   all windows that hold the grain). Copies within a batch meet there, before any shuffle.
-2. ``meet``: anchors by grain, sorted by surroundings. Where the surroundings are equal, all their
-   windows are; where a grain has several surroundings, one anchor of each goes on, and what is
-   found around it holds for its twins, those of equal surroundings and rank.
-3. ``surroundings``: these anchors' surroundings as text, for an exact comparison by the caller,
-   in groups of a grain; grains with more than a crowd of them go window by window.
+   all windows that hold the grain). Copies within a batch meet there, before any shuffle, and are
+   compared byte by byte.
+2. ``meet``: anchors by grain. A grain that occurs once (for ``ranked``: in texts of one rank only)
+   falls out. Of each different surroundings of the others two anchors go on, and what is found
+   around them holds for their twins.
+3. ``surroundings``, ``compare``: these anchors' surroundings as text, in groups of a grain, for
+   the caller's own method, which decides on every window; grains with more than a crowd of them
+   go window by window, by digests of 128 bits.
+4. ``covered``: twins get the spans of the anchor that stands for them if the digests (128 bits) of
+   both surroundings agree.
 
 Everything streams over sorted partitions; no group is ever held whole unless it is small."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .lineage import release, staged
+from .lineage import ordered_key, release, scoped, staged
 
 #: Units of one text that are hashed at a time; longer texts are taken in overlapping stretches.
 STRETCH = 1 << 20
@@ -99,22 +104,29 @@ def _record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
-MARKS = "rid bigint, rank bigint, pos int, grain bigint, around bigint, met boolean, counts boolean"
+def extent(shape: Shape, pos: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
+    """First unit of the surroundings of an anchor, and the unit after the last."""
+    return np.maximum(0, pos - (shape.window - shape.grain)), np.minimum(units, pos + shape.window)
+
+
+MARKS = "rid bigint, rank bigint, pos int, grain bigint, around bigint, met boolean"
 
 
 def mark(texts: DataFrame, shape: Shape) -> DataFrame:
-    """Anchors of (rid, rank, text). counts: another anchor of the batch with the same grain and
-    surroundings already shows that this one's windows count; met: and stands for it from here on."""
+    """Anchors of (rid, rank, text). met: two anchors of the batch stand for it, with the same bytes
+    around, and the first of them shows that all its windows count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, rank = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             rows: list[list[np.ndarray]] = [[], [], [], []]
+            whole: dict[int, tuple[bytes, np.ndarray, np.ndarray]] = {}
             for lo, hi, data, at in tb.blocks(batch.column(2)):
                 for i in range(hi - lo):
                     raw, start, end = units(shape, data[at[i] : at[i + 1]])
                     if len(start) >= shape.window:
                         pos, grain, around = anchors(shape, raw, start, end)
+                        whole[lo + i] = raw.tobytes(), start, end
                         for x, y in zip(rows, (np.full(len(pos), lo + i), pos, grain, around), strict=True):
                             x.append(y)
             if not rows[0]:
@@ -122,58 +134,71 @@ def mark(texts: DataFrame, shape: Shape) -> DataFrame:
             row, pos, grain, around = map(np.concatenate, rows)
             order = np.lexsort((pos, rank[row], around, grain))
             row, pos, grain, around = (x[order] for x in (row, pos, grain, around))
-            first = np.r_[True, (grain[1:] != grain[:-1]) | (around[1:] != around[:-1])]
-            kind = np.cumsum(first) - 1
-            counts = rank[row] > rank[row[first]][kind] if shape.ranked else np.bincount(kind)[kind] > 1
-            yield _record(
-                rid=rid[row], rank=rank[row], pos=pos.astype(np.int32), grain=grain.view(np.int64), around=around.view(np.int64), met=~first & counts, counts=counts
-            )
+            new = np.r_[True, (grain[1:] != grain[:-1]) | (around[1:] != around[:-1])]
+            first, second = pairs(np.cumsum(new) - 1, new, rank[row] if shape.ranked else None)
+            here = np.arange(len(row))
+            met = (second >= 0) & (second < here)
+
+            def text(n: int) -> tuple[bytes, int]:
+                raw, start, end = whole[int(row[n])]
+                a, b = extent(shape, pos[n], len(start))
+                return raw[start[a] : end[b - 1]], pos[n] - a
+
+            held: tuple[int, tuple[bytes, int]] = (-1, (b"", 0))
+            for n in np.flatnonzero(met).tolist():
+                if held[0] != first[n]:
+                    held = int(first[n]), text(first[n])
+                met[n] = text(n) == held[1]
+            yield _record(rid=rid[row], rank=rank[row], pos=pos.astype(np.int32), grain=grain.view(np.int64), around=around.view(np.int64), met=met)
 
     return texts.mapInArrow(run, MARKS)
 
 
-MET = "rid bigint, pos int, grain bigint, whole boolean, apart boolean, first_rid bigint, first_pos int"
-_KEPT = ("rid", "pos", "grain")
+def pairs(kind: np.ndarray, new: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The two rows that stand for each row's kind, of rows sorted by kind (and rank): its first, and
+    its second, or, with ``rank``, its first of a larger rank; -1 if there is none."""
+    at = np.flatnonzero(new)
+    if rank is None:
+        second = np.where(np.bincount(kind) > 1, at + 1, -1) if len(at) else at
+    else:
+        larger = rank > rank[at][kind]
+        second = np.full(len(at), len(kind))
+        np.minimum.at(second, kind[larger], np.flatnonzero(larger))
+        second[second == len(kind)] = -1
+    return at[kind], second[kind]
+
 
+MET = "rid bigint, rank bigint, pos int, grain bigint, apart boolean, of_rid bigint, of_rank bigint, of_pos int"
+_PLACE = ("rid", "rank", "pos")
 
-def _met(cols: dict[str, np.ndarray], keep: np.ndarray, whole: np.ndarray, apart: np.ndarray, twin: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-    """Rows of MET for those to keep; first: the anchor (row) that each one's surroundings go on as."""
-    own = {c: cols[c][keep] for c in _KEPT}
-    of = {f"first_{c}": pa.array(cols[c][first[keep]], mask=~twin[keep]) for c in ("rid", "pos")}
-    return _record(**own, whole=whole[keep], apart=apart[keep], **of)
+
+def _met(cols: dict[str, np.ndarray], keep: np.ndarray, apart: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+    """Rows of MET for those to keep; of: the row that stands for each, unless it goes on itself."""
+    own = {c: cols[c][keep] for c in (*_PLACE, "grain")}
+    stands = {f"of_{c}": pa.array(cols[c][np.maximum(of, 0)[keep]], mask=apart[keep]) for c in _PLACE}
+    return _record(**own, apart=apart[keep], **stands)
 
 
 def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
-    """Of the anchors that stand for themselves: whole, if all windows around count because equal
-    surroundings lie elsewhere (for ``ranked``, in a text of smaller rank); apart, if it goes on as
-    the one of its surroundings, because its grain has others too (of other rank, if ranked). If
-    ranked, those of equal surroundings and rank name the one that goes on for them, their first."""
-    schema = ("grain", "around", "rid", "pos", *(("rank",) if shape.ranked else ()))
+    """Of the anchors that are not met, those whose grain occurs again (if ranked: in another rank).
+    apart: it goes on, as the first of its surroundings, or as the second (if ranked: the first of
+    a larger rank). The others are twins, and name the one of those two that stands for them."""
+    schema = ("grain", "around", *_PLACE)
     hot_rows = hot_rows or HOT
 
     def settle(cols: dict[str, np.ndarray], spread: bool) -> pa.RecordBatch:
-        """Whole grains in order; with ``spread``, known to have several surroundings and ranks."""
-        grain, around, rank = cols["grain"], cols["around"], cols.get("rank")
-        new = np.r_[True, grain[1:] != grain[:-1]]
-        first = new | np.r_[True, around[1:] != around[:-1]]
-        kind, own = np.cumsum(first) - 1, np.cumsum(new) - 1
-        stands = np.flatnonzero(first)[kind]
+        """Whole grains in order; with ``spread``, known to occur again."""
+        grain, around, rank = cols["grain"], cols["around"], cols["rank"]
+        fresh = np.r_[True, grain[1:] != grain[:-1]]
+        new = fresh | np.r_[True, around[1:] != around[:-1]]
+        first, second = pairs(np.cumsum(new) - 1, new, rank if shape.ranked else None)
+        at, own, here = np.flatnonzero(fresh), np.cumsum(fresh) - 1, np.arange(len(grain))
         if shape.ranked:
-            whole = rank > rank[first][kind]
-            at = np.flatnonzero(new)
-            apart = (np.minimum.reduceat(rank, at) < np.maximum.reduceat(rank, at))[own] | spread
+            again = np.minimum.reduceat(rank, at) < np.maximum.reduceat(rank, at)
         else:
-            whole = np.bincount(kind)[kind] > 1
-            apart = np.ones(len(grain), bool)
-        several = (np.bincount(own[first])[own] > 1) | spread
-        apart &= several
-        twin = apart & ~whole & unlike(cols, stands)
-        apart &= first
-        return _met(cols, whole | apart | twin, whole, apart, twin, stands)
-
-    def unlike(cols: dict[str, np.ndarray], stands: np.ndarray) -> np.ndarray:
-        """Not the same place as the one that stands for it; rows of one id and text share places."""
-        return (cols["rid"] != cols["rid"][stands]) | (cols["pos"] != cols["pos"][stands])
+            again = np.bincount(own) > 1
+        apart = (here == first) | (here == second)
+        return _met(cols, again[own] | spread, apart, np.where((second >= 0) & (here > second), second, first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -198,19 +223,20 @@ def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
                     yield settle({c: x[:last] for c, x in held.items()}, True)
                     spread = held["grain"][0]
                     held = {c: x[last:] for c, x in held.items()}
-                if (n := len(held["grain"])) > HELD:  # one: all but the first and last two are whole or the first's twins
-                    some, none, stands = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64)
-                    some[2:-2] = True
-                    whole = held["rank"] > held["rank"][0] if shape.ranked else ~none
-                    twin = ~whole & unlike(held, stands)
-                    yield _met(held, some & (whole | twin), whole, none, twin, stands)
-                    held = {c: np.concatenate([x[:2], x[-2:]]) for c, x in held.items()}
+                if (n := len(held["grain"])) > HELD:  # one: all but its two are twins, the last row stays to show the end
+                    new_kind = np.r_[True, np.zeros(n - 1, bool)]
+                    first, second = pairs(np.zeros(n, np.int64), new_kind, held["rank"] if shape.ranked else None)
+                    here, none = np.arange(n), np.zeros(n, bool)
+                    keep = (here != first) & (here != second) & (here < n - 1)
+                    yield _met(held, keep, none, np.where((second >= 0) & (here > second), second, first))
+                    held = {c: x[~keep] for c, x in held.items()}
+                    spread = held["grain"][0]
         if held is not None and len(held["grain"]):
             yield settle(held, spread == held["grain"][0])
 
     own = marks.where("not met").select(*schema)
     hot = own.groupBy("grain").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("grain")
-    sort = lambda df: df.repartition("grain").sortWithinPartitions("grain", "around", *schema[4:]).mapInArrow(run, MET)
+    sort = lambda df: df.repartition("grain").sortWithinPartitions("grain", "around", "rank", "rid", "pos").mapInArrow(run, MET)
     if hot.isEmpty():
         return sort(own)
     hot = staged(hot)  # at most a row for each ``hot_rows`` anchors
@@ -218,47 +244,50 @@ def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
 
 
 def _meet_hot(own: DataFrame, shape: Shape) -> DataFrame:
-    """``meet`` for grains of any number of anchors: minima and counts of each grain and surroundings,
-    with partial results before the shuffle, joined back by both."""
-    first = F.min(F.struct(*(("rank",) if shape.ranked else ()), "rid", "pos")).alias("first")
-    kinds = staged(own.groupBy("grain", "around").agg(F.count("*").alias("n"), first))
-    bounds = [F.min("around").alias("lo"), F.max("around").alias("hi"), *((F.min("first.rank").alias("least"), F.max("first.rank").alias("most")) if shape.ranked else ())]
-    apart = kinds.groupBy("grain").agg(*bounds).where("lo <> hi" + " and least < most" * shape.ranked).select("grain")
-    none = [F.lit(None).cast("bigint").alias("first_rid"), F.lit(None).cast("int").alias("first_pos")]
-    apart = kinds.join(apart, "grain").select("first.rid", "first.pos", "grain", F.lit(False).alias("whole"), F.lit(True).alias("apart"), *none)
-    both = own.join(kinds.where("n > 1").select("grain", "around", "first"), ["grain", "around"])
-    if not shape.ranked:
-        return both.select("rid", "pos", "grain", F.lit(True).alias("whole"), F.lit(False).alias("apart"), *none).union(apart)
-    whole = F.col("rank") > F.col("first.rank")
-    both = both.where(whole | (F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos")))
-    of = [F.when(~whole, F.col(f"first.{c}")).alias(f"first_{c}") for c in ("rid", "pos")]
-    return both.select("rid", "pos", "grain", whole.alias("whole"), F.lit(False).alias("apart"), *of).union(apart)
+    """``meet`` for grains of any number of anchors: least and greatest anchors of each grain and
+    surroundings, with partial results before the shuffle, joined back by both."""
+    place = F.struct("rank", "rid", "pos")
+    kinds = own.groupBy("grain", "around").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    both = own.join(staged(kinds), ["grain", "around"])
+    two = F.col("b.rank") > F.col("a.rank") if shape.ranked else F.col("b") != F.col("a")
+    apart = (place == F.col("a")) | ((place == F.col("b")) & two)
+    later = F.col("rank") > F.col("a.rank") if shape.ranked else F.lit(False)
+    of = [F.when(~apart, F.when(later, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))).alias(f"of_{c}") for c in _PLACE]
+    return both.select(*_PLACE, "grain", apart.alias("apart"), *of)
 
 
 AROUND = "grain bigint, rid bigint, rank bigint, pos int, left int, around binary"
 
 
 def surroundings(texts: DataFrame, apart: DataFrame, shape: Shape) -> DataFrame:
-    """The surroundings of anchors of (rid, at), as bytes; ``left``: units before the anchor."""
+    """The surroundings of anchors of (rid, rank, at), as bytes; ``left``: units before the anchor.
+    Equal rows, which the join puts side by side, take part once or, if not ranked, twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, times = None, 0
         for batch in batches:
-            at_list = batch.column(3)
-            pos, cut = list_parts(at_list, ("pos", "grain"))
+            pos, cut = list_parts(batch.column(3), ("pos", "grain"))
+            rid, rank = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi, data, at in tb.blocks(batch.column(2)):
                 out: list[list] = [[], [], [], [], [], []]
                 for i in range(lo, hi):
+                    times = times + 1 if last == (rid[i], rank[i]) else 1
+                    last = rid[i], rank[i]
+                    if times > 2 - shape.ranked:
+                        continue
                     raw, start, end = units(shape, data[at[i - lo] : at[i - lo + 1]])
                     p, grain = pos[0][cut[i] : cut[i + 1]], pos[1][cut[i] : cut[i + 1]]
-                    left, right = np.maximum(0, p - (shape.window - shape.grain)), np.minimum(len(start), p + shape.window)
+                    left, right = extent(shape, p, len(start))
                     text = raw.tobytes()
                     out[5] += [text[a:b] for a, b in zip(start[left].tolist(), end[right - 1].tolist(), strict=True)]
-                    for x, y in zip(out, (grain, np.full(len(p), batch.column(0)[i].as_py()), np.full(len(p), batch.column(1)[i].as_py()), p, p - left), strict=False):
+                    for x, y in zip(out, (grain, np.full(len(p), rid[i]), np.full(len(p), rank[i]), p, p - left), strict=False):
                         x.append(y)
+                if not out[0]:
+                    continue
                 g, r, k, p, left = map(np.concatenate, out[:5])
                 yield _record(grain=g, rid=r, rank=k, pos=p.astype(np.int32), left=left.astype(np.int32), around=pa.array(out[5], pa.binary()))
 
-    joined = texts.join(apart, "rid").select("rid", "rank", "text", "at")
+    joined = texts.join(apart, ["rid", "rank"]).select("rid", "rank", "text", "at")
     return joined.mapInArrow(run, AROUND)
 
 
@@ -270,17 +299,18 @@ def list_parts(column: pa.Array, fields: tuple[str, ...]) -> tuple[list[np.ndarr
 
 
 Solve = Callable[[np.ndarray, np.ndarray, list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-Windows = Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Windows = Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def compare(around: DataFrame, shape: Shape, solve: Solve, windows: Windows, crowd: int = CROWD) -> DataFrame:
-    """(rid, pos, lo, hi) of units that windows around the anchors (rid, pos) cover which count.
+    """(rid, rank, pos, lo, hi, d, e) of units that windows around the anchors cover which count.
 
     solve(grain, rank, texts, left) gives (anchor, units before it that are covered, units from it
-    on) for whole grains; windows(left, texts) gives (anchor, hash, units before it) of every
-    window that holds the anchor's grain, for grains with more than a crowd of surroundings:
-    those windows are counted by a grouped aggregate, with partial sums before the shuffle."""
-    schema = "crowded boolean, " + AROUND + ", hi int"
+    on) for whole grains; windows(left, texts) gives (anchor, two halves of a digest, units before
+    it) of every window that holds the anchor's grain, for grains with more than a crowd of
+    surroundings: those windows are counted by a grouped aggregate, with partial sums before the
+    shuffle. d and e are the digest of the anchor's surroundings."""
+    schema = "crowded boolean, " + AROUND + ", hi int, d bigint, e bigint"
     fields = ("grain", "rid", "rank", "pos", "left")
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -337,63 +367,92 @@ def compare(around: DataFrame, shape: Shape, solve: Solve, windows: Windows, cro
             cols = [table.column(i).to_numpy() for i in range(5)]
             texts = table.column(5).to_pylist()
             if crowded:
-                yield _record(crowded=np.ones(len(texts), bool), **dict(zip(fields, cols, strict=True)), around=pa.array(texts, pa.binary()), hi=pa.nulls(len(texts), pa.int32()))
+                d, e = digests(texts, cols[4].tolist())
+                yield _record(crowded=np.ones(len(texts), bool), **dict(zip(fields, cols, strict=True)), around=pa.array(texts, pa.binary()), hi=pa.nulls(len(texts), pa.int32()), d=d, e=e)
             elif len(texts) > 1:
                 which, before, after = solve(cols[0], cols[2], texts, cols[4])
                 pos = cols[3][which]
+                d, e = digests([texts[i] for i in which.tolist()], cols[4][which].tolist())
                 yield _record(
-                    crowded=np.zeros(len(which), bool), grain=cols[0][which], rid=cols[1][which], rank=cols[2][which],
-                    pos=pos, left=before.astype(np.int32), around=pa.nulls(len(which), pa.binary()), hi=(pos + after).astype(np.int32),
+                    crowded=np.zeros(len(which), bool), grain=cols[0][which], rid=cols[1][which], rank=cols[2][which], pos=pos,
+                    left=before.astype(np.int32), around=pa.nulls(len(which), pa.binary()), hi=(pos + after).astype(np.int32), d=d, e=e,
                 )
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                grain, rid, rank, pos, left = (part.column(i).to_numpy() for i in range(5))
-                which, h, before = windows(left, part.column(5).to_pylist())
-                yield _record(grain=grain[which], h=h.view(np.int64), rid=rid[which], rank=rank[which], pos=pos[which], lo=(pos[which] - before).astype(np.int32))
+                which, h, k, before = windows(part.column(4).to_numpy(), part.column(5).to_pylist())
+                taken = {name: part.column(i).take(pa.array(which)) for i, name in enumerate(fields[:4])}
+                yield _record(**taken, h=h, k=k, lo=(taken["pos"].to_numpy() - before).astype(np.int32), d=part.column(6).take(pa.array(which)), e=part.column(7).take(pa.array(which)))
 
     found = staged(around.repartition("grain").sortWithinPartitions("grain").mapInArrow(settled, schema))
-    spans = found.where("not crowded").select("rid", "pos", (F.col("pos") - F.col("left")).alias("lo"), "hi")
-    each = found.where("crowded").select("grain", "rid", "rank", "pos", "left", "around").mapInArrow(opened, "grain bigint, h bigint, rid bigint, rank bigint, pos int, lo int")
-    seen = each.groupBy("grain", "h").agg(F.count("*").alias("n"), F.min("rank").alias("least"))
-    both = each.join(seen, ["grain", "h"])
+    spans = found.where("not crowded").select(*_PLACE, (F.col("pos") - F.col("left")).alias("lo"), "hi", "d", "e")
+    each = found.where("crowded").select("grain", *_PLACE, "left", "around", "d", "e")
+    each = each.mapInArrow(opened, "grain bigint, rid bigint, rank bigint, pos int, h bigint, k bigint, lo int, d bigint, e bigint")
+    seen = each.groupBy("grain", "h", "k").agg(F.count("*").alias("n"), F.min("rank").alias("least"))
+    both = each.join(seen, ["grain", "h", "k"])
     both = both.where("rank > least" if shape.ranked else "n > 1")
-    return spans.union(both.select("rid", "pos", "lo", F.col("lo") + shape.window))
+    return spans.union(both.select(*_PLACE, "lo", F.col("lo") + shape.window, "d", "e"))
+
+
+def digests(texts: list[bytes], left: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of the 128-bit digest of each text with so many units before its anchor."""
+    raw = b"".join(hashlib.blake2b(t, digest_size=16, salt=n.to_bytes(8, "little")).digest() for t, n in zip(texts, left, strict=True))
+    return tuple(np.frombuffer(raw, np.int64).reshape(-1, 2).T)
 
 
-def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, rid, rank, text): rid stands for a row by a hash of id and text (equal rows share it and
-    the result; two others share it with a chance of about rows^2 / 2^65), rank is the id as an
-    integer, null last."""
+def texts_of(df: DataFrame, id_col: str, text_col: str, ranked: bool) -> DataFrame:
+    """(id, rid, rank, text): rid and rank stand for a row, and equal rows share them and the result.
+    rid is a hash of id and text; rank, if ranked, is a number in order of the id (see
+    ``ordered_key``), null last, otherwise another such hash: 128 bits for a row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rank = F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("rid"), rank.alias("rank"), text.alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), text.alias("text"))
+    rows = ordered_key(rows, "id", "rank", nulls=(1 << 63) - 1) if ranked else rows.withColumn("rank", F.xxhash64("text", "id"))
+    return rows.select("id", F.xxhash64("id", "text").alias("rid"), "rank", "text")
+
+
+_SPANS = "array<struct<lo:int,hi:int,pos:int,d:bigint,e:bigint>>"
 
 
 def covered(texts: DataFrame, shape: Shape, solve: Solve, windows: Windows, crowd: int = CROWD) -> DataFrame:
-    """``texts`` (id, text) with spans: array of (lo, hi) in units that windows which count cover, in
-    any order, overlapping, hi perhaps past the end; null where there are none.
+    """``texts`` (id, text) with spans: array of (lo, hi, pos, d, e) in units that windows which
+    count cover, in any order, overlapping, hi perhaps past the end. Those of twins have the anchor
+    and the digest (d, e) that its surroundings must have (see ``mask``).
 
     Each step is written and what it read is dropped, so that disk follows the largest step."""
     marks = staged(mark(texts.select("rid", "rank", "text"), shape))
-    met = staged(meet(marks, shape))
+    with scoped(texts.sparkSession) as keep:
+        met = keep(staged(meet(marks, shape)))
     w, g = shape.window, shape.grain
-    span = F.struct(F.greatest(F.lit(0), F.col("pos") - (w - g)).alias("lo"), (F.col("pos") + w).alias("hi"))
-    sure = marks.where("counts").select("rid", "pos").union(met.where("whole").select("rid", "pos"))
-    sure = staged(sure.groupBy("rid").agg(F.collect_set(span).alias("sure")))
-    apart = staged(met.where("apart").groupBy("rid").agg(F.collect_list(F.struct("pos", "grain")).alias("at")))
-    twins = staged(met.where("first_rid is not null").select("rid", "pos", "first_rid", "first_pos")) if shape.ranked else None
-    release(marks, met)
-    near = compare(surroundings(texts, apart, shape), shape, solve, windows, crowd)
-    if twins is not None:
-        of, moved = near.withColumnsRenamed({"rid": "first_rid", "pos": "first_pos"}), F.col("pos") - F.col("first_pos")
-        near = near.union(of.join(twins, ["first_rid", "first_pos"]).select("rid", "pos", (F.col("lo") + moved).alias("lo"), (F.col("hi") + moved).alias("hi")))
-    near = near.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("near"))
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
-    both = texts.join(sure, "rid", "left").join(near, "rid", "left")
-    return both.select("id", "text", F.concat(F.coalesce("sure", none), F.coalesce("near", none)).alias("spans"))
+    key, none = ["rid", "rank"], [F.lit(-1).alias("pos"), F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("e")]
+    sure = marks.where("met").select(*key, F.greatest(F.lit(0), F.col("pos") - (w - g)).alias("lo"), (F.col("pos") + w).alias("hi"), *none)
+    sure = staged(sure)
+    release(marks)
+    apart = staged(met.where("apart").groupBy(*key).agg(F.collect_set(F.struct("pos", "grain")).alias("at")))
+    twins = staged(met.where("not apart").select(*_PLACE, *(f"of_{c}" for c in _PLACE)))
+    release(met)
+    with scoped(texts.sparkSession) as keep:
+        near = keep(staged(compare(surroundings(texts, apart, shape), shape, solve, windows, crowd)))
+    release(apart)
+    moved = F.col("pos") - F.col("of_pos")
+    of = near.withColumnsRenamed({c: f"of_{c}" for c in _PLACE})
+    carried = of.join(twins, [f"of_{c}" for c in _PLACE]).select(*key, (F.col("lo") + moved).alias("lo"), (F.col("hi") + moved).alias("hi"), "pos", "d", "e")
+    every = sure.union(near.select(*key, "lo", "hi", *none)).union(carried)
+    spans = staged(every.groupBy(*key).agg(F.collect_set(F.struct("lo", "hi", "pos", "d", "e")).alias("spans")))
+    release(sure, near, twins)
+    return texts.join(spans, key, "left").select("id", "text", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+
+
+def mask(shape: Shape, data: bytes, start: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray, pos: np.ndarray, d: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Which units of one text its spans cover, after a check of all digests."""
+    of = np.flatnonzero(pos >= 0)
+    if len(of):
+        left, right = extent(shape, pos[of], len(start))
+        own = digests([data[a:b] for a, b in zip(start[left].tolist(), end[right - 1].tolist(), strict=True)], (pos[of] - left).tolist())
+        if (own[0] != d[of]).any() or (own[1] != e[of]).any():
+            raise ValueError("two different surroundings share a hash; give PrefixHash another seed")
+    return mask_of(len(start), lo, hi)
 
 
 def mask_of(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

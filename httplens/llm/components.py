@@ -15,15 +15,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     larger neighbours to the smallest node it knows, in the small star its smaller ones. Both are
     a minimum per key (combined before the shuffle) and an equality join, so a hub is a skewed
     join that the engine splits, and rounds grow with the logarithm of the longest path.
+    The result reads a staged table, which ``release`` of the result deletes.
     Edges with a null end or from a node to itself are ignored; an empty table gives none."""
     now = staged(_ordered(edges.select(F.col(a).alias("hi"), F.col(b).alias("lo"))))
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
         if mark == seen or not mark[0]:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
-                now.select("lo", "lo").distinct().toDF("node", "root")
-            )
+            out = now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select("lo", "lo").distinct().toDF("node", "root"))
+            out._staged_at = now._staged_at
+            return out
         seen = mark
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

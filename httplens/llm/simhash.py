@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .components import connected_components
-from .lineage import staged
+from .lineage import scoped, staged
 
 WORDS, SEED, BITS = 4, 42, 4
 #: Fingerprints under one key that are compared in one task; larger groups are cut in blocks.
@@ -160,6 +160,15 @@ def links(distinct: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFram
     return met.where("kind = 0").select("a", "b").union(rest.select("a", "b"))
 
 
+def _grouped(own: DataFrame, least, bits: int) -> DataFrame:
+    """(fp, least, root) of each distinct fingerprint of ``own``: ``least`` over its rows, and the
+    fingerprint that stands for its component."""
+    first = own.groupBy("fp").agg(least.alias("least"))
+    with scoped(own.sparkSession) as keep:
+        root = connected_components(links(own.select("fp").distinct(), bits))
+        return keep(staged(first.join(root, first["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """(id, fingerprint, component_id) of every row: component_id is the smallest id reachable
     over fingerprints of at most ``bits`` differing bits.
@@ -169,10 +178,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     never the smallest (null only if all are); an empty table gives an empty one; other columns
     are ignored."""
     own = staged(fingerprints(df, id_col, text_col))
-    first = own.groupBy("fp").agg(F.min("id").alias("least"))
-    root = connected_components(links(own.select("fp").distinct(), bits))
-    grouped = first.join(root, first["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    grouped = staged(grouped)
+    grouped = _grouped(own, F.min("id"), bits)
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
     out = own.join(by_fp, "fp")
@@ -180,10 +186,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows of ``df`` that are the smallest of their group of near-duplicates, all columns.
-    Rows that repeat an id are kept once; rows with a null id are kept (they can't be ranked)."""
-    found = near_duplicates(df, id_col, text_col, bits)
-    firsts = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    keyed = df.where(F.col(id_col).isNotNull())
-    kept = keyed.join(firsts, keyed[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    """One row of ``df`` of each group of near-duplicates, all columns: that of the smallest id, null
+    last; of rows that repeat the id, that of the smallest hash of the text; of rows equal in both, any.
+
+    Null or wordless texts are a group like any other; an empty table gives an empty one; columns
+    may have any names."""
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
+    own = staged(fingerprints(df.select(place.alias("place"), F.col(text_col).cast("string").alias("text")), "place", "text"))
+    firsts = _grouped(own, F.min("id"), bits).groupBy("root").agg(F.min("least").alias("p")).select("p.*")
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), place.alias("place")).select("row", "place.id", "place.h")
+    kept = rows.join(firsts, rows["id"].eqNullSafe(firsts["id"]) & (rows["h"] == firsts["h"]), "left_semi")
+    return kept.dropDuplicates(["id", "h"]).select("row.*")

@@ -1,9 +1,10 @@
 """Removal of bytes under repeated strings, by a hash-compared suffix sort.
 
-Suffixes at anchors (see ``anchors``) are merge-sorted; two are compared by their longest common
-extension, which a binary search over prefix polynomial hashes finds in logarithmic steps. From
-that order, those of all earlier starts follow by stable sorts on one byte more each. Equal
-windows are then neighbours; each claim that decides a span is verified byte by byte."""
+Suffixes at anchors (see ``anchors``) whose first 64 bytes occur again are merge-sorted; two are
+compared by their longest common extension, which a binary search over prefix polynomial hashes
+finds in logarithmic steps. From that order, those of all earlier starts follow by stable sorts on
+one byte more each. Equal windows are then neighbours; each claim that decides a span is verified
+byte by byte."""
 
 from __future__ import annotations
 
@@ -13,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-
 from . import anchors as an
 from . import textblocks as tb
 
@@ -28,18 +28,17 @@ class Suffixes:
         self.data, self.begin, self.size = data, begin, end - begin
         self.hash = tb.PrefixHash(data)
 
-    def equal(self, a: np.ndarray, b: np.ndarray, n) -> np.ndarray:
-        p, inv = self.hash.prefix, self.hash.inverse
-        return (p[a + n] - p[a]) * inv[a] == (p[b + n] - p[b]) * inv[b]
+        self.equal = self.hash.equal
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the longest common extension of suffixes x and y."""
         a, b = self.begin[x], self.begin[y]
-        lo, hi = np.zeros(len(x), np.int64), np.minimum(self.size[x], self.size[y])
-        while (lo < hi).any():
-            mid = (lo + hi + 1) >> 1
-            same = self.equal(a, b, mid)
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        most = np.minimum(self.size[x], self.size[y])
+        lo, hi = np.where(self.equal(a, b, most), most, 0), most
+        while len(open_ := np.flatnonzero(lo < hi)):
+            mid = (lo[open_] + hi[open_] + 1) >> 1
+            same = self.equal(a[open_], b[open_], mid)
+            lo[open_], hi[open_] = np.where(same, mid, lo[open_]), np.where(same, hi[open_], mid - 1)
         return lo
 
     def before(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -135,14 +134,14 @@ def solver(window: int):
 
 def opener(window: int):
     def windows(left: np.ndarray, texts: list[bytes]):
-        data, start, end = _joined(texts)
-        p = tb.PrefixHash(data, seed=2)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        left = left.astype(np.int64)
         which = np.repeat(np.arange(len(texts)), left + 1)
         a = np.arange(len(which)) - np.repeat(np.cumsum(left + 1) - (left + 1), left + 1)
-        at = (start + left)[which] - a
-        ok = at + window <= end[which]
+        at = left[which] - a
+        ok = at + window <= size[which]
         which, a, at = which[ok], a[ok], at[ok]
-        return which, tb.mixed(p.of(at, at + window) + a.astype(np.uint64)), a
+        return which, *an.digests([texts[i][x : x + window] for i, x in zip(which.tolist(), at.tolist(), strict=True)], a.tolist()), a
 
     return windows
 
@@ -156,17 +155,18 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     nothing; equal rows remove each other whole; null ids are rows like any other; an empty table
     gives an empty one; other columns are ignored."""
     shape = an.Shape(words=False, window=window, grain=grain, ranked=False)
-    joined = an.covered(an.texts_of(df, id_col, text_col), shape, solver(window), opener(window), crowd)
+    joined = an.covered(an.texts_of(df, id_col, text_col, ranked=False), shape, solver(window), opener(window), crowd)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, cut = an.list_parts(batch.column(2), ("lo", "hi"))
+            parts, cut = an.list_parts(batch.column(2), ("lo", "hi", "pos", "d", "e"))
             for lo, hi, data, at in tb.blocks(batch.column(1), 1 << 22):
                 removed, kept = [], []
                 for i in range(lo, hi):
                     text = data[at[i - lo] : at[i - lo + 1]]
-                    gone = an.mask_of(len(text), *(x[cut[i] : cut[i + 1]] for x in parts))
+                    place = np.arange(len(text) + 1)
+                    gone = an.mask(shape, text.tobytes(), place[:-1], place[1:], *(x[cut[i] : cut[i + 1]] for x in parts))
                     edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                     removed.append([{"lo": a, "hi": b} for a, b in edge.reshape(-1, 2).tolist()])
                     kept.append(text[~gone].tobytes())

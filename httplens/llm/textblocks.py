@@ -18,8 +18,6 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_MASK = (1 << 64) - 1
-
 
 class Words(NamedTuple):
     """Words of a block, joined by single spaces. Word i is data[start[i]:end[i]]; those of
@@ -91,40 +89,70 @@ def windows(first: np.ndarray, k: int, short: bool) -> tuple[np.ndarray, np.ndar
     return doc, begin, np.minimum(begin + k, first[doc + 1]) - 1
 
 
+#: The modulus of prefix hashes, 2^61 - 1.
+PRIME = (1 << 61) - 1
+#: Bytes whose terms are summed before they are reduced.
+_RUN = 1 << 20
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^61 - 1, for x below 2^64."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, for a and b below it, from halves of 30 and 31 bits."""
+    low, shift = np.uint64((1 << 31) - 1), np.uint64(31)
+    a1, a0, b1, b0 = a >> shift, a & low, b >> shift, b & low
+    middle = a1 * b0 + a0 * b1
+    return _reduced(a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << shift) + _reduced(a0 * b0))
+
+
 class PrefixHash:
-    """Polynomial hashes modulo 2^64 of any substring of a block, from prefix sums.
+    """Polynomial hashes modulo the prime 2^61 - 1 of any substring of a block, from prefix sums.
 
-    Bytes are first mapped to random odd words (by ``seed``); the hash of [s, e) is
-    (P[e] - P[s]) * base^-s, so equal substrings have equal hashes wherever they lie."""
+    The hash of [s, e) is (P[e] - P[s]) * base^-s, so equal substrings have equal hashes wherever
+    they lie; two others of n bytes share one for at most n of 2^61 bases."""
 
-    _powers: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        base = int(rng.integers(1 << 61, 1 << 62)) * 8 + 5
+        base = int(np.random.default_rng(seed).integers(1 << 59, 1 << 60))
         n = len(data)
-        size, powers, inverse = self._powers.get(seed, (0, None, None))
-        if size < n + 1:
+        powers, inverse = self._powers.get(seed, (None, None))
+        if powers is None or len(powers) < n + 1:
             size = max(n + 1, BLOCK + 1)
-            powers, inverse = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
-            if size <= 1 << 22:
-                self._powers[seed] = size, powers, inverse
-        self.inverse = inverse
+            powers, inverse = _powers(base, size), _powers(pow(base, -1, PRIME), size)
+            if size <= 1 << 23:
+                self._powers[seed] = powers, inverse
+        self.powers, self.inverse = powers, inverse
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(table[data] * powers[:n], out=self.prefix[1:])
+        low, shift = np.uint64((1 << 31) - 1), np.uint64(31)
+        for lo in range(0, n, _RUN):
+            term = data[lo : lo + _RUN].astype(np.uint64) + np.uint64(1)
+            power = powers[lo : lo + len(term)]
+            high, less = np.cumsum(term * (power >> shift)), np.cumsum(term * (power & low))  # below 2^59 and 2^60
+            high = ((high & np.uint64((1 << 30) - 1)) << shift) + (high >> np.uint64(30))
+            self.prefix[lo + 1 : lo + 1 + len(term)] = _reduced(self.prefix[lo] + high + less)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.prefix[end] - self.prefix[start]) * self.inverse[start])
+        """Hashes below 2^61, spread over 64 bits."""
+        return mixed(times(_reduced(self.prefix[end] + np.uint64(PRIME) - self.prefix[start]), self.inverse[start]))
+
+    def equal(self, a: np.ndarray, b: np.ndarray, n) -> np.ndarray:
+        """Whether the n bytes from a and those from b have one hash."""
+        first, second = np.minimum(a, b), np.maximum(a, b)
+        p, prime = self.prefix, np.uint64(PRIME)
+        return times(_reduced(p[first + n] + prime - p[first]), self.powers[second - first]) == _reduced(p[second + n] + prime - p[second])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, dtype=np.uint64)
     done = 1
     while done < n:
-        step = np.uint64(pow(base, done, 1 << 64))
         m = min(done, n - done)
-        out[done : done + m] = out[:m] * step
+        out[done : done + m] = times(out[:m], np.full(m, pow(base, done, PRIME), np.uint64))
         done += m
     return out
 

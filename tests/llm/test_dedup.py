@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from httplens.llm import anchors, passages
 from httplens.llm import simhash as sh
 from httplens.llm import suffix_dedup as sd
+from httplens.llm import textblocks as tb
 from httplens.llm.components import connected_components
 from httplens.llm.queries import _passages, _suffixes
 
@@ -57,6 +58,74 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((tuple(r) for r in sh.near_duplicates(df).collect()), key=str) == want
 
 
+def test_ids_that_are_text(docs, rows):
+    """Passages go where an earlier id, by code point, has them; suffixes need no order."""
+    named = docs.withColumn("doc_id", F.concat(F.lit("n"), F.lpad(F.col("doc_id").cast("string"), 6, "0")))
+    name = lambda found: sorted(((f"n{t[0]:06d}", *t[1:]) for t in found), key=str)
+    assert _passage_rows(passages.dedup(named)) == name(passage_dedup(rows))
+    assert _suffix_rows(sd.dedup(named)) == name(suffix_dedup(rows))
+
+
+def test_words_of_equal_polynomials(spark):
+    """The Thue-Morse word and its complement agree in every polynomial hash modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    line = lambda w: f"one two three four five six {w} seven eight nine ten eleven twelve"
+    data = [{"doc_id": 1, "text": line(word)}, {"doc_id": 2, "text": line(other)}, {"doc_id": 3, "text": line(other)}]
+    df = spark.createDataFrame([tuple(r.values()) for r in data], "doc_id bigint, text string")
+    assert [n for _, _, n, _ in _passage_rows(passages.dedup(df))] == [0, 0, 13]
+    assert _passage_rows(passages.dedup(df)) == sorted(passage_dedup(data), key=str)
+    assert _suffix_rows(sd.dedup(df)) == sorted(suffix_dedup(data), key=str)
+
+
+def _weak(monkeypatch, bits):
+    """Hashes of few bits, so that they collide."""
+    strong, same = tb.PrefixHash.of, tb.PrefixHash.equal
+    monkeypatch.setattr(tb.PrefixHash, "of", lambda self, s, e: strong(self, s, e) & np.uint64((1 << bits) - 1))
+    monkeypatch.setattr(tb.PrefixHash, "equal", lambda self, a, b, n: same(self, a, b, n) | ((a + b + n) % 7 == 0))
+
+
+def test_collisions_are_found(monkeypatch):
+    """Whatever the hashes say, only equal bytes count."""
+    rng = np.random.default_rng(2)
+    line = lambda n: b" ".join(bytes(rng.integers(97, 123, 5, dtype=np.uint8)) for _ in range(n))
+    grain, tail = line(4), line(9)
+    texts = [line(9) + b" " + grain + b" " + (tail if n % 3 == 0 else line(9)) for n in range(12)]
+    rank, left = np.arange(12) % 5, np.full(12, 9)
+    solve = passages.solver(13, 4)
+    want = [x.tolist() for x in solve(np.zeros(12, np.int64), rank, texts, left)]
+    assert want[0] == [3, 6, 9]
+    _weak(monkeypatch, 2)
+    assert [x.tolist() for x in solve(np.zeros(12, np.int64), rank, texts, left)] == want
+    assert want == [x.tolist() for x in passages.solver(13, 4)(np.zeros(12, np.int64), rank, texts, left)]
+
+
+def test_digests_of_twins_are_checked():
+    shape = anchors.Shape(True, 13, 4, True)
+    data = b" ".join(b"w%d" % i for i in range(30))
+    raw, start, end = anchors.units(shape, np.frombuffer(data, np.uint8))
+    pos = np.array([12], np.int32)
+    left, right = anchors.extent(shape, pos, 30)
+    d, e = anchors.digests([data[start[left[0]] : end[right[0] - 1]]], (pos - left).tolist())
+    lo, hi = np.array([10], np.int32), np.array([23], np.int32)
+    assert anchors.mask(shape, data, start, end, lo, hi, pos, d, e).sum() == 13
+    with pytest.raises(ValueError, match="seed"):
+        anchors.mask(shape, data, start, end, lo, hi, pos, d, e + 1)
+
+
+def test_a_third_of_all_rows_are_equal(spark, monkeypatch):
+    """Many equal rows, of one id or of none, in several batches."""
+    rng = np.random.default_rng(4)
+    line = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(n))
+    text = line(60)
+    data = [{"doc_id": d, "text": t} for d, t in [(9, text)] * 30 + [(None, text)] * 20 + [(i, line(40)) for i in range(20, 50)] + [(3, text[30:200])]]
+    df = spark.createDataFrame([tuple(r.values()) for r in data], "doc_id bigint, text string").repartition(9)
+    for hot in (anchors.HOT, 2):
+        monkeypatch.setattr(anchors, "HOT", hot)
+        assert _suffix_rows(sd.dedup(df)) == sorted(suffix_dedup(data), key=str)
+        assert _passage_rows(passages.dedup(df)) == sorted(passage_dedup(data), key=str)
+
+
 def test_empty_tables(none):
     assert _suffixes(none).collect() == [] and _passages(none).collect() == [] and sh.near_duplicates(none).collect() == []
 
@@ -173,6 +242,16 @@ def test_keep_one(docs, rows):
     assert kept == set(components(fps, [r["doc_id"] for r in rows]))
 
 
+def test_keep_one_of_odd_rows(spark):
+    """Null and repeated ids are ranked too; equal rows leave one; columns may have any names."""
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    data = [(None, a, 1), (None, a, 1), (5, a, 2), (5, b, 3), (5, b, 3), (7, b, 4), (None, None, 5), (None, "", 6), (None, "x y z", 7)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, h int").toDF("doc_id", "text", "least")
+    kept = [(r["doc_id"], r["text"]) for r in sh.keep_one(df).collect()]
+    assert sorted(kept[i] for i in range(len(kept)) if kept[i][0] is not None) == sorted([(5, a), (5, b)])
+    assert sorted(t or "" for d, t in kept if d is None) == ["", "x y z"] and sh.keep_one(df).columns == df.columns
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
