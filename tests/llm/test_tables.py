@@ -126,8 +126,9 @@ def test_heap_visits_cells_in_order():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 6))
     index = ann.Index(x, 7)
+    x = x - index.mean
     for q in x[:10]:
-        seen = list(index.visit(q))
+        seen = list(index.visit(q + index.mean))
         assert sorted(seen) == list(range(index.size))
         a = ann._distances(q[None, :3], index.books[0])[0]
         b = ann._distances(q[None, 3:], index.books[1])[0]
@@ -165,6 +166,50 @@ def test_nearest_neighbours(spark):
     assert [v for _, _, v in got[1600]] == list(range(1601, 1611))
 
 
+def _recall(spark, rows, kind="array<double>", **how):
+    got, want = {}, _nearest(rows)
+    for r in ann.search(spark.createDataFrame(rows, f"vec_id bigint, embedding {kind}").repartition(3), **how).collect():
+        got.setdefault(r["query_id"], []).append(r)
+    assert set(got) == set(want) and all(len(got[q]) == len(want[q]) for q in want)
+    truth = {q: {v for _, v in near} for q, near in want.items()}
+    exact = dict(rows)
+    for q, near in got.items():
+        for r in near:
+            assert r["score"] == math.sqrt(((np.array(exact[q]) - np.array(exact[r["vec_id"]])) ** 2).sum())
+    return sum(len(truth[q] & {r["vec_id"] for r in near}) for q, near in got.items()) / sum(map(len, truth.values()))
+
+
+@pytest.mark.parametrize(("spread", "offset"), [(1e-5, 1e4), (1e-3, 1e6), (1.0, 0.0)])
+def test_neighbours_far_from_the_origin(spark, spread, offset):
+    rng = np.random.default_rng(6)
+    assert _recall(spark, [(i, (offset + spread * rng.normal(size=16)).tolist()) for i in range(1200)]) >= 0.9
+    two = [(i, ((i % 2) * 1e6 + offset + 1e-3 * rng.normal(size=8)).tolist()) for i in range(600)]
+    assert _recall(spark, two) >= 0.9
+
+
+def test_neighbours_in_small_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=12).tolist()) for i in range(2000)] + [(3000 + i, [0.5] * 12) for i in range(300)]
+    assert _recall(spark, rows, block=64) >= 0.9
+
+
+def test_each_length_is_searched_by_itself(spark):
+    """Whichever length comes first in the sample, no vector is lost."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    for stray in range(0, 300, 13):
+        rows[stray] = (stray, rng.normal(size=3).tolist())
+    got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    size = {i: len(v) for i, v in rows}
+    assert len(got) == 30 and all(size[r["query_id"]] == size[r["vec_id"]] for r in got)
+
+
+def test_vectors_of_text_ids_and_clashing_names(spark):
+    rows = [("0", [1.0, 0.0], 1), ("1", [0.0, 1.0], 2), ("x7", [1.0, 0.5], 3), (None, [1.0, 1.0], 4)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, block int").toDF("vec_id", "embedding", "score")
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df).collect()] == [(0, 1, 1)]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [3.0, 3.0])], "vec_id bigint, embedding array<double>")
     assert [(r["rank"], r["vec_id"]) for r in ann.search(df).orderBy("rank").collect()] == [(1, 1), (2, 2)]
