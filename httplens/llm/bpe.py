@@ -1,10 +1,14 @@
 """BPE encoding and decoding with public vocabularies, by tree concatenation.
 
-Text is cut where the pre-tokeniser always cuts. A piece that it leaves unsplit and that is long
-is halved down to leaves, the leaves are encoded in parallel, and neighbours are joined up the
-tree: the tokens around each join are encoded again, in a window that doubles until its outermost
-tokens are those that both sides already have. A sequence of tokens is the encoding of its bytes
-exactly if each adjacent pair is, so agreement at both ends makes the whole join exact."""
+A text longer than a leaf is halved, wherever the middle falls, down to leaves, which are encoded
+for themselves, and neighbours are joined up the tree: the tokens around each join are encoded
+again, in a window that doubles until both sides agree exactly. A side agrees
+
+- at a place where the pre-tokeniser cuts whatever lies around it (see ``_CUTS``): the tokens on its
+  far side can't depend on the other text; or
+- where the whole window is letters alone, digits alone, signs alone or blanks alone, and lies
+  within one piece: if its outermost token is the one that side already has. A sequence of tokens
+  is the encoding of its bytes exactly if each adjacent pair is."""
 
 from __future__ import annotations
 
@@ -26,12 +30,21 @@ from . import textblocks as tb
 
 #: Default vocabulary, by name in the folder of public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces longer than this many characters are encoded as a tree of leaves at most this long.
-LEAF = 4096
+#: Characters of a leaf at most.
+LEAF = 1024
+#: Tokens of each side in the first window around a join.
+NEAR = 4
 
 # Fixed value: the pre-tokeniser's pattern for byte-level vocabularies of this kind.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Places where that pattern cuts in any context: before a space that follows something else; between
+# letters and digits; before a sign that follows either; after a sign (but an apostrophe, which may
+# begin a contraction) that either follows. None is within blanks, and matching never looks back.
+_BLANK, _SIGN = r"\p{White_Space}", r"[^\p{White_Space}\p{L}\p{N}]"
+_CUTS = rf"(?<=\P{{White_Space}})(?={_BLANK})|(?<=\p{{L}})(?=\p{{N}})|(?<=\p{{N}})(?=\p{{L}})|(?<=[\p{{L}}\p{{N}}])(?={_SIGN})|(?<={_SIGN})(?<!')(?=[\p{{L}}\p{{N}}])"
+_ALIKE = rf"(?P<letters>\p{{L}}+)|(?P<digits>\p{{N}}+)|(?P<signs>{_SIGN}+)|(?P<blanks>{_BLANK}+)"
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -64,11 +77,12 @@ class Codec:
         for text, n in self.special.items():
             table[n] = text.encode()
         self.table = table
-        self.length = np.array([len(x) for x in table])
+        self.inside = [x[:1] != b"" and x[0] & 0xC0 == 0x80 for x in table]  # begins within a character
         self.core = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=self.ranks, special_tokens={})
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.pieces = regex.compile(PIECES)
-        self.long = regex.compile(r"\S{%d,}|\s{%d,}" % (leaf, leaf))
+        self.cuts, self.alike = regex.compile(_CUTS), regex.compile(_ALIKE)
+        self.single = self.core._core_bpe.encode_single_piece
+        self.joins = self.windows = 0
 
     def encode(self, text: str) -> list[int]:
         """Ids of ``text``; the strings of special tokens in it become their ids."""
@@ -83,31 +97,12 @@ class Codec:
         return out
 
     def _plain(self, text: str) -> list[int]:
-        if len(text) <= self.leaf or not self.long.search(text):
+        if len(text) <= self.leaf:
             return self.core.encode_ordinary(text)
-        out: list[int] = []
-        waiting = []
-        for m in self.pieces.finditer(text):
-            piece = m.group()
-            if len(piece) <= self.leaf:
-                waiting.append(piece)
-                continue
-            out += self._pieces(waiting)
-            waiting = []
-            out += self.tree(piece)
-        return out + self._pieces(waiting)
-
-    def _pieces(self, pieces: list[str]) -> list[int]:
-        single = self.core._core_bpe.encode_single_piece
-        return [t for p in pieces for t in single(p.encode())]
-
-    def tree(self, piece: str) -> list[int]:
-        """Ids of one piece that the pre-tokeniser leaves unsplit."""
-        parts = [piece]
+        parts = [text]
         while len(parts[0]) > self.leaf:
-            parts = [half for p in parts for half in (p[: len(p) // 2], p[len(p) // 2 :])]
-        parts = [p for p in parts if p]
-        if len(parts) >= 8:  # a part of a piece is one piece too; the encoder runs outside the interpreter's lock
+            parts = [half for p in parts for half in (p[: (len(p) + 1) // 2], p[(len(p) + 1) // 2 :])]
+        if len(parts) >= 64:  # the encoder runs outside the interpreter's lock
             with ThreadPoolExecutor(min(8, os.cpu_count() or 1)) as pool:
                 nodes = list(pool.map(self.core.encode_ordinary, parts))
         else:
@@ -116,16 +111,58 @@ class Codec:
             nodes = [self.join(*nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
         return nodes[0]
 
-    def join(self, left: list[int], right: list[int], window: int = 4) -> list[int]:
-        """Ids of the concatenated bytes of two encodings of one unsplit piece."""
-        single = self.core._core_bpe.encode_single_piece
+    def join(self, left: list[int], right: list[int], window: int = NEAR) -> list[int]:
+        """Ids of the concatenated texts of two encodings."""
+        self.joins += 1
+        if not left or not right:
+            return left or right
         while True:
+            self.windows += 1
             a, b = max(0, len(left) - window), min(window, len(right))
-            again = single(b"".join(self.table[t] for t in [*left[a:], *right[:b]]))
-            if (a == 0 or again[0] == left[a]) and (b == len(right) or again[-1] == right[b - 1]):
-                return [*left[:a], *again, *right[b:]]
+            while a > 0 and self.inside[left[a]]:  # whole characters
+                a -= 1
+            while b < len(right) and self.inside[right[b]]:
+                b += 1
+            before, after = (b"".join([self.table[t] for t in part]).decode() for part in (left[a:], right[:b]))
+            told = self._cut_before(before, a == 0), self._cut_after(after, b == len(right))
+            if None not in told:
+                lo, hi = told
+                again = self.core.encode_ordinary(before[lo:] + after[:hi])
+                return [*left[: a + self._tokens(left[a:], before[:lo])], *again, *right[self._tokens(right[:b], after[:hi]) :]]
+            if self._within(before + after, left[max(0, a - 1) : a], right[b : b + 4]):
+                again = self.single((before + after).encode())
+                if (a == 0 or again[0] == left[a]) and (b == len(right) or again[-1] == right[b - 1]):
+                    return [*left[:a], *again, *right[b:]]
             window *= 2
 
+    def _within(self, text: str, last: list[int], following: list[int]) -> bool:
+        """Whether the text between these tokens is of one kind and lies within one piece: blanks do
+        unless a sign or letter follows, which parts the last of them; letters do unless an
+        apostrophe precedes, which takes some of them for a contraction."""
+        if not (kind := self.alike.fullmatch(text)):
+            return False
+        if kind.lastgroup == "blanks":
+            after = b"".join([self.table[t] for t in following]).decode("utf-8", "ignore")
+            return not following or bool(self.alike.fullmatch(after[:1] + text[:1]))
+        return not (kind.lastgroup == "letters" and last and self.table[last[0]].endswith(b"'"))
+
+    def _cut_before(self, text: str, whole: bool) -> int | None:
+        """The first sure cut in the left side's window; 0 if the window is the side."""
+        cut = None if whole else self.cuts.search(text)
+        return 0 if whole else cut and cut.start()
+
+    def _cut_after(self, text: str, whole: bool) -> int | None:
+        """The last sure cut in the right side's window; its end if the window is the side."""
+        return len(text) if whole else max((cut.start() for cut in self.cuts.finditer(text)), default=None)
+
+    def _tokens(self, ids: list[int], text: str) -> int:
+        """Number of the first tokens that make up the text."""
+        n, size = 0, len(text.encode())
+        while size > 0:
+            size -= len(self.table[ids[n]])
+            n += 1
+        return n
+
     def decode(self, ids) -> str:
         """Text of ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join([self.table[t] for t in ids]).decode("utf-8", "replace")

@@ -29,7 +29,7 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RU
 
 def _mixing() -> str:
     pick = lambda xs, kind: "CASE (rank - 1) % 3 " + " ".join(f"WHEN {i} THEN {x!r}::{kind}" for i, x in enumerate(xs)) + " END"
-    return f"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    return f"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source), s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM s0),
 s2 AS (SELECT *, {pick(mixing.WEIGHTS, 'BIGINT')} AS w, {pick(mixing.SLOPES, 'DOUBLE')} AS slope, {mixing.REPEATS} * source_size AS most FROM s1),
 s3 AS (SELECT *, row_number() OVER (ORDER BY most / w, rank) AS o FROM s2),
@@ -37,8 +37,11 @@ s4 AS (SELECT *, sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY o
 first AS (SELECT min(o) AS o FROM s4 WHERE NOT (most::HUGEINT * units <= w * words)), open AS (SELECT words AS fw, units AS fu FROM s4 WHERE o = (SELECT o FROM first)),
 s5 AS (SELECT source, source_size, slope, CASE WHEN o >= (SELECT o FROM first) THEN least(CAST(w * (SELECT fw FROM open) AS DOUBLE) / CAST((SELECT fu FROM open) AS DOUBLE), CAST(most AS DOUBLE)) ELSE CAST(most AS DOUBLE) END AS target FROM s4),
 r AS (SELECT doc_id, size, source_size, slope, target, CAST(floor(target) AS BIGINT) AS quota, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS begin_ FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
-c AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS copies FROM r), t AS (SELECT *, copies * size + greatest(0, least(size, quota - copies * source_size - begin_)) AS taken, CASE WHEN target > 0 THEN CAST(begin_ AS DOUBLE) / target END AS y FROM c)
-SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, CASE WHEN taken > 0 THEN (2 * y) / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * y)) END AS position FROM t"""
+c AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS copies FROM r), t AS (SELECT *, greatest(0, least(size, quota - copies * source_size - begin_)) AS part FROM c),
+u AS (SELECT *, CAST(copies * size + part AS BIGINT) AS taken, CAST(CASE WHEN copies * size + part > 0 THEN copies + CASE WHEN part > 0 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS passes FROM t),
+due AS (SELECT *, CAST(begin_ AS DOUBLE) / target AS y, CAST(begin_ + (passes - 1) * source_size AS DOUBLE) / target AS z FROM u WHERE passes > 0),
+at_ AS (SELECT doc_id, h, (2 * y) / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * y)) AS position, (2 * z) / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * z)) AS last_position FROM due)
+SELECT doc_id, size, source_size, target, taken, passes, position, last_position FROM u LEFT JOIN at_ USING (doc_id, h)"""
 
 
 def _passages() -> str:

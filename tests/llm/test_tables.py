@@ -1,5 +1,6 @@
 """Sharding, mixing, nearest neighbours and the pipeline."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -77,8 +78,8 @@ def test_mixing(docs, rows):
         g = got[r["doc_id"]]
         assert g["size"] == len(words(r["text"])) and g["source_size"] == sizes[r["source"]]
         assert math.isclose(g["target"], want[r["source"]], rel_tol=1e-12)
-        assert 0 <= g["taken"] <= 3 * g["size"] and (g["position"] is None) == (g["taken"] == 0)
-        assert g["position"] is None or 0 <= g["position"] < 1
+        assert 0 <= g["taken"] <= 3 * g["size"] and (not g["positions"]) == (g["taken"] == 0)
+        assert all(0 <= p < 1 for p in g["positions"])
         taken[r["source"]] += g["taken"]
     assert all(abs(taken[s] - want[s]) < 1 for s in sizes)
     assert {k: tuple(v) for k, v in got.items()} == {r["doc_id"]: tuple(r) for r in mixing.mix(docs.repartition(2)).collect()}
@@ -106,13 +107,53 @@ def test_copies_follow_the_schedule(spark):
         due = sorted(p for r in own for p in r["positions"])
         target = own[0]["target"]
         assert len(due) == 60 and due[-1] > 0.9 and target == 300
-        assert all(r["positions"][0] == r["position"] and list(r["positions"]) == sorted(set(r["positions"])) for r in own)
+        assert all(list(r["positions"]) == sorted(set(r["positions"])) for r in own)
         for t in np.linspace(0, 1, 41):
             assert abs(5 * sum(p <= t for p in due) - target * (t + g * (t * t - t))) <= 5 + 1e-6
     part = plan[1000]
     assert len(part["positions"]) == part["copies"] + (part["part"] > 0)
-    order = sorted((p, i) for i, r in plan.items() for p in r["positions"][: r["copies"] + (2 * r["part"] >= r["size"])])
-    assert [r["doc_id"] for r in mixing.mixed(df).collect()] == [i for _, i in order]
+    h = {i: hashlib.md5(f"{i}:{t}".encode()).hexdigest() for i, t, _ in data}  # of equal positions the smaller hash comes first
+    order = sorted((p, h[i], i) for i, r in plan.items() for p in r["positions"][: r["copies"] + (2 * r["part"] >= r["size"])])
+    assert [r["doc_id"] for r in mixing.mixed(df).collect()] == [i for *_, i in order]
+
+
+def test_every_tenth_of_training_follows_the_schedules(spark):
+    """By numbers alone: the words of a source that are due by t are the integral of its schedule."""
+    rng = np.random.default_rng(3)
+    data = [(i, " ".join(["w"] * int(rng.integers(1, 30))), "abcdef"[int(rng.choice(6, p=[0.6, 0.2, 0.1, 0.05, 0.03, 0.02]))]) for i in range(1500)]
+    rows = mixing.mix(spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(7)).collect()
+    firsts = [r["positions"][0] for r in rows if r["positions"]]
+    assert firsts == sorted(firsts)
+    for n, s in enumerate("abcdef"):
+        own = [r for r in rows if r["source"] == s]
+        slope, target = mixing.SLOPES[n % 3], own[0]["target"]
+        due = [(p, r["size"] if k < r["copies"] else r["part"]) for r in own for k, p in enumerate(r["positions"])]
+        assert sum(w for _, w in due) == math.floor(target)
+        steps = np.linspace(0, 1, 20001)
+        demand = np.cumsum(1 + slope * (2 * (steps[:-1] + 0.5 / 20000) - 1)) / 20000 * target
+        for tenth in range(1, 11):
+            got = sum(w for p, w in due if p < tenth / 10)
+            assert abs(got - demand[2000 * tenth - 1]) <= 31
+
+
+def test_mixed_rows_of_one_id(spark, none):
+    """Rows that repeat an id are taken each for itself; any column names; empty tables."""
+    data = [(1, "a " * 50, "big", 1), (1, "b " * 40, "big", 2), (None, "c " * 9, "s", 3), (None, "d", "s", 4), (None, "d", "s", 4), (2, "e f g", "t", 5)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string, h int").withColumnRenamed("h", "positions")
+    plan = mixing.mix(df).collect()
+    assert len(plan) == 6 and mixing.mixed(none).collect() == [] and mixing.mixed(df).columns == df.columns
+    times = sorted((r["doc_id"] or 0, r["size"], r["copies"] + (2 * r["part"] >= r["size"])) for r in plan if r["taken"])
+    out = [((r["doc_id"] or 0), len(words(r["text"]))) for r in mixing.mixed(df).collect()]
+    assert sorted(out) == sorted((d, n) for d, n, k in times for _ in range(k))
+
+
+def test_many_sources_are_numbered_in_order(spark):
+    names = [f"h{n:04d}" for n in range(500)] + [None]
+    df = spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "source string, size bigint").repartition(6)
+    got = {r["source"]: r["rank"] for r in mixing.numbered(df).collect()}
+    assert got == {n: i + 1 for i, n in enumerate(names)}
+    want = _targets({n: i + 1 for i, n in enumerate(names)})
+    assert all(math.isclose(r["target"], want[r["source"]], rel_tol=1e-12) for r in mixing.targets(df).collect())
 
 
 def test_position_inverts_demand():

@@ -96,13 +96,13 @@ def test_bpe_query(docs, rows, reference):
         assert got[r["doc_id"]] == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(reference.decode(ids, skip_special_tokens=False)))
 
 
-@pytest.mark.parametrize("leaf", [3, 16, 64])
+@pytest.mark.parametrize("leaf", [1, 2, 3, 16, 64])
 def test_tree_is_exact(reference, leaf):
     codec = bpe.Codec(bpe.vocabulary_path(), leaf)
     rng = random.Random(leaf)
-    alphabets = ["ab", "abcdefghijklmnopqrstuvwxyz", "aé漢字🙂", "0123456789", "!?.,-=", " ", "thequickbrown"]
-    for _ in range(150):
-        text = "".join("".join(rng.choice(a) for _ in range(rng.randint(1, 300))) for a in rng.sample(alphabets, rng.randint(1, 4)))
+    alphabets = ["ab", "abcdefghijklmnopqrstuvwxyz", "aé漢字🙂", "0123456789", "!?.,-='", " ", "thequickbrown", " \n\t\u0085\xa0\x1c\u2003", "'s'tre", "a1'! ", "'llama've "]
+    for _ in range(300):
+        text = "".join("".join(rng.choice(a) for _ in range(rng.randint(1, rng.choice([3, 12, 300])))) for a in rng.choices(alphabets, k=rng.randint(1, 6)))
         ids = codec.encode(text)
         assert ids == reference.encode(text, add_special_tokens=False).ids
         assert codec.decode(ids) == text
@@ -118,6 +118,23 @@ def test_any_text(a, b, c):
     assert codec.decode(codec.encode(text)) == text
 
 
+def test_joins_are_of_real_texts(reference, rows):
+    """With the production leaf, texts are halved wherever the middle falls, and most joins need one window."""
+    rng = random.Random(1)
+    words_ = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choice(words_) for _ in range(rng.randint(300, 3000))) for _ in range(30)]
+    codec = bpe.Codec(bpe.vocabulary_path())
+    for t in texts:
+        assert codec.encode(t) == reference.encode(t, add_special_tokens=False).ids
+    assert codec.joins >= sum(len(t) // bpe.LEAF for t in texts) and codec.windows < 1.5 * codec.joins
+
+
+def test_tokens_of_odd_tables(spark, none):
+    assert bpe.encode(none).collect() == [] and bpe.encode(none, id_col=None).columns == ["row", "ids"]
+    df = spark.createDataFrame([(None, "a b", 1), (7, "a b", 2), (7, "a b", 2), (8, None, 3)], "doc_id bigint, text string, ids int")
+    assert sorted((r["doc_id"] or 0, len(r["ids"])) for r in bpe.encode(df).collect()) == [(0, 8), (7, 8), (7, 8), (8, 0)]
+
+
 def test_decode_table(docs, rows):
     back = bpe.decode(bpe.encode(docs))
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {r["doc_id"]: r["text"] or "" for r in rows}
