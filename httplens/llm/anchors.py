@@ -28,6 +28,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,13 +90,16 @@ def anchors(shape: Shape, data: np.ndarray, start: np.ndarray, end: np.ndarray)
         if b - a < window:
             continue
         s, e = start[a:b] - start[a], end[a:b] - start[a]
-        p = tb.PrefixHash(data[start[a] : end[b - 1]])
-        h = p.of(s[: b - a - grain + 1], e[grain - 1 :])
-        at = chosen(h, window - grain + 1)
+        part = data[start[a] : end[b - 1]]
+        at = chosen(tb.PlaceHash(part).of(s[: b - a - grain + 1], e[grain - 1 :]), window - grain + 1)
         at = at[(at >= lo - a) & (at < lo - a + STRETCH)]
         left, right = np.maximum(0, at - (window - grain)), np.minimum(b - a, at + window)
-        form = (at - left).astype(np.uint64) * np.uint64(1 << 20) + (right - at).astype(np.uint64)
-        found.append((at + a, h[at], tb.mixed(p.of(s[left], e[right - 1]) ^ tb.mixed(form + np.uint64(1)))))
+        text, form = part.tobytes(), ((at - left).astype(np.uint64) << np.uint64(32)) + (right - at).astype(np.uint64)
+        own, around = (
+            np.fromiter((xxhash.xxh3_64_intdigest(text[x:y]) for x, y in zip(s[i].tolist(), e[j].tolist(), strict=True)), np.uint64, len(at))
+            for i, j in ((at, at + grain - 1), (left, right - 1))
+        )
+        found.append((at + a, own, around ^ tb.mixed(form)))
     none = np.zeros(0, np.uint64)
     return tuple(np.concatenate([*x, y]) for x, y in zip(zip(*found, strict=True) if found else ((), (), ()), (none.astype(np.int64), none, none), strict=True))
 
@@ -120,13 +124,13 @@ def mark(texts: DataFrame, shape: Shape) -> DataFrame:
         for batch in batches:
             rid, rank = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             rows: list[list[np.ndarray]] = [[], [], [], []]
-            whole: dict[int, tuple[bytes, np.ndarray, np.ndarray]] = {}
+            whole: dict[int, tuple] = {}
             for lo, hi, data, at in tb.blocks(batch.column(2)):
                 for i in range(hi - lo):
                     raw, start, end = units(shape, data[at[i] : at[i + 1]])
                     if len(start) >= shape.window:
                         pos, grain, around = anchors(shape, raw, start, end)
-                        whole[lo + i] = raw.tobytes(), start, end
+                        whole[lo + i] = raw.tobytes(), *((start, end) if shape.words else (None, None))
                         for x, y in zip(rows, (np.full(len(pos), lo + i), pos, grain, around), strict=True):
                             x.append(y)
             if not rows[0]:
@@ -141,8 +145,8 @@ def mark(texts: DataFrame, shape: Shape) -> DataFrame:
 
             def text(n: int) -> tuple[bytes, int]:
                 raw, start, end = whole[int(row[n])]
-                a, b = extent(shape, pos[n], len(start))
-                return raw[start[a] : end[b - 1]], pos[n] - a
+                a, b = extent(shape, pos[n], len(start if shape.words else raw))
+                return raw[start[a] : end[b - 1]] if shape.words else raw[a:b], pos[n] - a
 
             held: tuple[int, tuple[bytes, int]] = (-1, (b"", 0))
             for n in np.flatnonzero(met).tolist():
@@ -451,7 +455,7 @@ def mask(shape: Shape, data: bytes, start: np.ndarray, end: np.ndarray, lo: np.n
         left, right = extent(shape, pos[of], len(start))
         own = digests([data[a:b] for a, b in zip(start[left].tolist(), end[right - 1].tolist(), strict=True)], (pos[of] - left).tolist())
         if (own[0] != d[of]).any() or (own[1] != e[of]).any():
-            raise ValueError("two different surroundings share a hash; give PrefixHash another seed")
+            raise ValueError("two different surroundings share a 64-bit hash")
     return mask_of(len(start), lo, hi)
 
 

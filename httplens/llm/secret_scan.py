@@ -1,12 +1,13 @@
 """Secret scans with an incremental blob ledger, in DataFrame operations only.
 
 Texts are content-addressed; of all versions of all paths, each blob is scanned once for each
-version of the rules, and a ledger of (blob, rule version) keeps that so in later runs. Findings
-are then joined back to every path that holds the blob."""
+version of the rules, and a ledger of (blob, rule version) keeps that so in later runs. Findings,
+kept under the same pair, are then joined back to every path that holds the blob."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -41,12 +42,6 @@ def address(text) -> F.Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
-def blobs(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(blob, text), one row for each distinct text; copies meet before the shuffle."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(address(F.col(text_col)).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-
-
 def _matches(n: int, r: Rule) -> F.Column:
     """Array of a rule's matches in ``text``, in order, with the gap before each."""
     kind = "array<struct<rule:int,nth:int,gap:int,size:int,ok:boolean>>"
@@ -63,13 +58,12 @@ def _matches(n: int, r: Rule) -> F.Column:
     return F.when(F.col("text").rlike(r.pattern), F.transform(zipped, sized)).otherwise(F.array().cast(kind))
 
 
-def findings(contents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, kind, start, end) of each match in (blob, text), in code points, end exclusive.
+def _placed(matched: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, rule, kind, start, end) of each match that counts, in code points, end exclusive.
 
     Matches are leftmost and do not overlap within a kind. Their places follow from the pieces
     between them: each match begins where the pieces and matches before it end."""
-    per_rule = [_matches(n, r) for n, r in enumerate(rules)]
-    rows = contents.select("blob", F.inline(F.concat(*per_rule))).where("size is not null")
+    rows = matched.select("blob", F.inline("matches")).where("size is not null")
     upto = W.partitionBy("blob", "rule").orderBy("nth").rowsBetween(W.unboundedPreceding, W.currentRow)
     ended = rows.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(upto)).where("ok")
     names = F.array(*[F.lit(r.kind) for r in rules])
@@ -82,50 +76,68 @@ def spans_of(found: DataFrame) -> DataFrame:
     return found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rule", "end", "kind"))).alias("found"))
 
 
-def scan(df: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, known: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rule_version, found) of the blobs of ``df`` with findings.
+class Ledger(NamedTuple):
+    """What earlier runs have done: ``pairs`` (blob, rule_version) that were scanned, and ``found``
+    (blob, rule_version, found) of those with findings."""
+
+    pairs: DataFrame
+    found: DataFrame
+
+
+def new_ledger(like: DataFrame) -> Ledger:
+    pairs, spans = "blob string, rule_version string", "found array<struct<start:bigint,rule:int,end:bigint,kind:string>>"
+    empty = like.sparkSession.createDataFrame
+    return Ledger(empty([], pairs), empty([], f"{pairs}, {spans}"))
+
 
-    ledger: (blob, rule_version) of earlier runs, known: their (blob, rule_version, found). Blobs in
-    the ledger under the present version of the rules are not scanned; their earlier findings under
-    that version are used, and no others."""
-    version = rule_version(rules)
-    contents = blobs(df, text_col)
-    if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == version).select(F.col("blob").alias("seen")).distinct()
-        contents = contents.join(seen, contents["blob"] == seen["seen"], "left_anti")
-    new = spans_of(findings(contents, rules)).select("blob", F.lit(version).alias("rule_version"), "found")
-    if ledger is None or known is None:
-        return new
-    own = known.where(F.col("rule_version") == version).select("blob", "rule_version", "found").dropDuplicates(["blob"])
-    return own.join(seen, own["blob"] == seen["seen"], "left_semi").unionByName(new)
+def scan(df: DataFrame, ledger: Ledger, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> Ledger:
+    """The ledger after a run over ``df``: only blobs that have no pair with the present version of
+    the rules are scanned; what is known under this and other versions stays as it is. Both tables
+    are written (see ``lineage``), so that the next run reads them."""
+    version = F.lit(rule_version(rules))
+    texts = df.select(address(F.col(text_col)).alias("blob"), F.col(text_col).cast("string").alias("text"))
+    seen = ledger.pairs.where(F.col("rule_version") == version).select(F.col("blob").alias("seen"))
+    unseen = texts.join(seen, texts["blob"] == seen["seen"], "left_anti")
+    contents = unseen.groupBy("blob").agg(F.coalesce(F.first("text"), F.lit("")).alias("text"))  # copies meet before the shuffle
+    new = staged(contents.select("blob", version.alias("rule_version"), F.concat(*[_matches(n, r) for n, r in enumerate(rules)]).alias("matches")))
+    found = spans_of(_placed(new.where(F.size("matches") > 0), rules)).select("blob", version.alias("rule_version"), "found")
+    return Ledger(ledger.pairs.unionByName(new.select("blob", "rule_version")), ledger.found.unionByName(staged(found)))
 
 
-def ledger_of(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rule_version) to append to the ledger after a scan of ``df``."""
-    return df.select(address(F.col(text_col)).alias("blob")).distinct().withColumn("rule_version", F.lit(rule_version(rules)))
+def spans(df: DataFrame, ledger: Ledger, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``df`` with blob and found, the ledger's findings under the present version of the rules;
+    found is null where there are none. Columns of these names in ``df`` are hidden."""
+    known = ledger.found.where(F.col("rule_version") == rule_version(rules)).select("blob", "found")
+    row = F.struct(*[df[c] for c in df.columns])
+    return df.select(row.alias("row"), address(F.col(text_col)).alias("blob")).join(known, "blob", "left")
 
 
-def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **scanning) -> DataFrame:
+def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, runs: Iterable | None = None) -> DataFrame:
     """(id, blob, found) of every row; found is empty where nothing was.
 
-    Null text counts as empty; repeated rows and ids each give a row; an empty table gives an
-    empty one; other columns are ignored."""
-    paths = df.select(F.col(id_col).alias(id_col), address(F.col(text_col)).alias("blob"))
-    out = paths.join(staged(scan(df, text_col, **scanning).select("blob", "found")), "blob", "left")
+    The versions in ``df`` come in ``runs``, conditions on its rows (one run of all, if None); each
+    run scans what the ledger of those before doesn't hold. Null text counts as empty; repeated rows
+    and ids, null ids too, each give a row; an empty table gives an empty one; other columns are
+    ignored."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ledger = ledger or new_ledger(df)
+    for run in runs or [F.lit(True)]:
+        ledger = scan(df.where(run), ledger, text_col, rules)
     none = F.array().cast("array<struct<start:bigint,rule:int,end:bigint,kind:string>>")
-    return out.select(id_col, "blob", F.coalesce("found", none).alias("found"))
+    known = ledger.found.where(F.col("rule_version") == rule_version(rules)).select("blob", "found")
+    paths = rows.select("id", address(F.col("text")).alias("blob"))
+    return paths.join(known, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("found", none).alias("found"))
 
 
 def span_text(found) -> F.Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` with each maximal run of found spans in the text replaced by ``mark``; all columns
-    and rows stay, null text stays null. Works for any column names but ``__blob``, ``__found``."""
-    found = staged(scan(df, text_col, rules=rules).select("blob", "found")).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
-    keyed = df.withColumn("__blob", address(F.col(text_col))).join(found, "__blob", "left")
-    text = F.col(text_col)
+    (whatever their names) and rows stay, null text stays null, an empty table stays empty."""
+    found = spans(df, scan(df, ledger or new_ledger(df), text_col, rules), text_col, rules)
+    text = F.col(f"row.`{text_col}`")
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
@@ -133,5 +145,6 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules:
         told = (x["start"] > acc["at"]) | (acc["at"] == 0)
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, F.when(told, F.lit(mark)).otherwise(F.lit(""))).alias("out"))
 
-    clean = F.aggregate("__found", begin, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    return keyed.withColumn(text_col, F.when(F.col("__found").isNull(), text).otherwise(clean)).select(*df.columns)
+    clean = F.aggregate("found", begin, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+    clean = F.when(F.col("found").isNull(), text).otherwise(clean).alias(text_col)
+    return found.select(*[clean if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -122,7 +122,7 @@ class PrefixHash:
         n = len(data)
         powers, inverse = self._powers.get(seed, (None, None))
         if powers is None or len(powers) < n + 1:
-            size = max(n + 1, BLOCK + 1)
+            size = 1 << max(n, BLOCK).bit_length()
             powers, inverse = _powers(base, size), _powers(pow(base, -1, PRIME), size)
             if size <= 1 << 23:
                 self._powers[seed] = powers, inverse
@@ -147,6 +147,33 @@ class PrefixHash:
         return times(_reduced(p[first + n] + prime - p[first]), self.powers[second - first]) == _reduced(p[second + n] + prime - p[second])
 
 
+class PlaceHash:
+    """Polynomial hashes modulo 2^64 of any substring of a block, for choosing places: equal strings
+    have equal hashes, but strings that aren't equal may well share one, so nothing else may
+    depend on them. A third of the cost of ``PrefixHash``."""
+
+    _tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        if self._tables is None or len(self._tables[1]) < n + 1:
+            rng, size = np.random.default_rng(3), max(n + 1, BLOCK + 1)
+            letters = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            base = int(rng.integers(1 << 60, 1 << 61)) * 8 + 5
+            bases = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(b))], dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+            tables = letters, *bases
+            if size <= 1 << 22:
+                PlaceHash._tables = tables
+        else:
+            tables = self._tables
+        letters, powers, self.inverse = tables
+        self.prefix = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(letters[data] * powers[:n], out=self.prefix[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.prefix[end] - self.prefix[start]) * self.inverse[start])
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, dtype=np.uint64)
     done = 1

@@ -109,7 +109,7 @@ def test_digests_of_twins_are_checked():
     d, e = anchors.digests([data[start[left[0]] : end[right[0] - 1]]], (pos - left).tolist())
     lo, hi = np.array([10], np.int32), np.array([23], np.int32)
     assert anchors.mask(shape, data, start, end, lo, hi, pos, d, e).sum() == 13
-    with pytest.raises(ValueError, match="seed"):
+    with pytest.raises(ValueError, match="share a 64-bit hash"):
         anchors.mask(shape, data, start, end, lo, hi, pos, d, e + 1)
 
 

@@ -7,6 +7,7 @@ import pytest
 from brute import edited, held_out, secrets, sha, shingles
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from httplens.llm import bpe, langid, minhash, secret_scan
 from httplens.llm.queries import _bpe, _langid, _secrets
@@ -36,33 +37,49 @@ def test_secrets_in_odd_texts(spark, texts):
     assert [got[i] for i in range(len(texts))] == [_told(t) for t in texts]
 
 
-def test_ledger_skips_what_was_scanned(spark, docs):
-    first = secret_scan.scan(docs)
-    ledger = secret_scan.ledger_of(docs)
-    assert secret_scan.scan(docs, ledger=ledger).count() == 0
-    more = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, "token=abcdefgh")], "doc_id bigint, text string"))
-    new = secret_scan.scan(more, ledger=ledger)
-    assert [f["kind"] for r in new.collect() for f in r["found"]] == ["assign"]
-    both = secret_scan.secrets(more, ledger=ledger, known=first)
-    whole = secret_scan.secrets(more)
-    key = lambda df: sorted((r["doc_id"], len(r["found"])) for r in df.collect())
-    assert key(both) == key(whole)
-    other = secret_scan.RULES[:1]
-    assert secret_scan.scan(docs, ledger=ledger, rules=other).count() > 0
+def _ledger_rows(ledger):
+    return sorted((r["blob"], r["rule_version"], str(r["found"])) for r in ledger.found.collect()), sorted(map(tuple, ledger.pairs.collect()))
 
 
-def test_findings_of_other_rules_are_not_used(spark, docs):
+def test_ledger_skips_what_was_scanned(spark, docs, monkeypatch):
+    first = secret_scan.scan(docs, secret_scan.new_ledger(docs))
+    blobs = docs.select(secret_scan.address(F.col("text"))).distinct().count()
+    assert first.pairs.count() == blobs
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, "token=abcdefgh"), (-2, "token=abcdefgh")], "doc_id bigint, text string"))
+    written = []
+    staged = secret_scan.staged
+    monkeypatch.setattr(secret_scan, "staged", lambda df: written.append(staged(df)) or written[-1])
+    second = secret_scan.scan(more, first)
+    assert written[0].count() == 1 and second.pairs.count() == blobs + 1  # the one new blob, once
+    again = secret_scan.scan(more, second)
+    assert written[2].count() == 0 and _ledger_rows(again) == _ledger_rows(second)
+    key = lambda df: sorted((r["doc_id"], str(r["found"])) for r in df.collect())
+    want = key(secret_scan.secrets(more))
+    assert key(secret_scan.secrets(more, ledger=first)) == want
+    parts = [F.col("doc_id") % 3 == n for n in range(3)] + [F.col("doc_id") < 0]
+    assert key(secret_scan.secrets(more, runs=parts)) == want
+
+
+def test_findings_are_kept_by_rule_version(spark, docs):
+    """After a change of rules all blobs are scanned again; each version keeps its own findings."""
     old, new = secret_scan.RULES[:1], secret_scan.RULES
-    first = secret_scan.scan(docs, rules=old)
-    found = lambda df: sorted((r["blob"], str(r["found"])) for r in df.select("blob", "found").collect())
-    want = found(secret_scan.scan(docs, rules=new))
-    assert want != found(first)
-    ledger = secret_scan.ledger_of(docs, rules=old)
-    assert found(secret_scan.scan(docs, ledger=ledger, known=first, rules=new)) == want
-    second = secret_scan.scan(docs, rules=new)
-    both, ledger = first.union(second), ledger.union(secret_scan.ledger_of(docs, rules=new))
-    assert found(secret_scan.scan(docs, ledger=ledger, known=both, rules=new)) == want
-    assert found(secret_scan.scan(docs, ledger=ledger, known=both, rules=old)) == found(first)
+    none = secret_scan.new_ledger(docs)
+    first, whole = secret_scan.scan(docs, none, rules=old), secret_scan.scan(docs, none, rules=new)
+    both = secret_scan.scan(docs, first, rules=new)
+    assert both.pairs.count() == 2 * first.pairs.count()
+    of = lambda ledger, rules: sorted((r["doc_id"], str(r["found"])) for r in secret_scan.secrets(docs, ledger=ledger, rules=rules).collect())
+    assert of(both, new) == of(whole, new) == of(none, new) and of(both, old) == of(first, old) != of(both, new)
+
+
+def test_secrets_of_odd_tables(spark, none):
+    assert _secrets(none).collect() == [] and secret_scan.redact(none).collect() == []
+    data = [(None, "token=abcdefgh"), (None, "token=abcdefgh"), (4, "token=abcdefgh x"), (4, None), (4, None)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert sorted((str(r["doc_id"]), r["spans"]) for r in _secrets(df).collect()) == sorted((str(d), _told(t)) for d, t in data)
+    named = df.select("doc_id", "text", F.lit(1).alias("blob"), F.lit(2).alias("found"), F.lit(3).alias("row"))
+    out = secret_scan.redact(named)
+    assert out.columns == named.columns and sorted(str(r["text"]) for r in out.collect()) == ["None", "None", "[SECRET]", "[SECRET]", "[SECRET] x"]
+    assert all((r["blob"], r["found"], r["row"]) == (1, 2, 3) for r in out.collect())
 
 
 def test_redaction(docs, rows):
