@@ -2,8 +2,10 @@
 
 For each language a suffix automaton of a bounded sample of labelled text; a new text is cut
 greedily into the longest phrases that the sample holds, and the language that needs the fewest
-phrases for each letter wins. Automata are dense transition tables, and blocks of many texts
-are parsed in step, one letter of every block at a time."""
+phrases for each letter wins. Transitions on a language's frequent letters are a dense table, those
+on its rare ones a sorted list. Pieces of many texts are parsed in step, one letter of each at a
+time; a piece begins a phrase of its own at first, and is then entered again from the end of the
+piece before, up to the place where both parses begin a phrase, so that no cut shows."""
 
 from __future__ import annotations
 
@@ -16,13 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of the sample: documents of each language, letters of each document, languages.
-DOCUMENTS, LETTERS, LANGUAGES = 32, 1500, 64
-#: Distinct letters that tables tell apart; all others share one class.
-ALPHABET = 62
-#: Letters of a text that are parsed as one run; the next run begins a new phrase.
-RUN = 256
-#: Characters of a text that are folded and parsed at a time.
+#: Bounds of the sample: documents of each language, letters of each document, documents in all
+#: (each language has one at least, so this holds for up to as many languages).
+DOCUMENTS, LETTERS, ALL_DOCUMENTS = 32, 1500, 1024
+#: Letters of a language that have columns of a dense table, the most frequent ones.
+DENSE = 32
+#: Letters of a piece, and pieces times languages that are parsed at a time.
+RUN, PIECES = 256, 16384
+#: Characters of a text that are folded at a time.
 STRETCH = 1 << 20
 UNKNOWN = "und"
 #: Phrases a letter above which a text is in none of the languages (1: no letter is known), and
@@ -47,47 +50,153 @@ def fold_table() -> np.ndarray:
 
 def folded(text: str) -> np.ndarray:
     """Code points in lower case, each run of what isn't a letter as one space, none at the ends."""
-    out = fold_table()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
-    space = out == 32
-    keep = ~space
-    keep[1:] |= space[1:] & ~space[:-1]
-    out = out[keep]
-    return out[int(len(out) > 0 and out[0] == 32) : len(out) - int(len(out) > 1 and out[-1] == 32)]
+    parts, last = [np.zeros(0, np.uint32)], True  # whether a space came last
+    for lo in range(0, len(text), STRETCH):
+        out = fold_table()[np.frombuffer(text[lo : lo + STRETCH].encode("utf-32-le", "replace"), dtype=np.uint32)]
+        space = out == 32
+        out = out[~space | ~np.r_[last, space[:-1]]]
+        last = bool(space[-1])
+        parts.append(out)
+    out = np.concatenate(parts)
+    return out[: len(out) - int(len(out) > 0 and out[-1] == 32)]
 
 
 class Automaton:
-    """Transitions of the suffix automaton of a sequence of classes, as rows of a table; -1 where
-    no longer match exists. State 0 is the start."""
-
-    def __init__(self, classes: list[int], width: int):
-        size = 2 * len(classes) + 2
-        step = np.full((size, width), -1, dtype=np.int32)
-        link, length, count, last = [-1] * size, [0] * size, 1, 0
-        for c in classes:
-            now = count
-            count += 1
-            length[now] = length[last] + 1
+    """The suffix automaton of texts as sequences of classes 0, 1, ... (0: a letter that the texts
+    don't hold). State 0 is the start; a transition that doesn't exist is -1.
+
+    table: transitions on the classes of columns 0 to DENSE - 1, and a column without any. keys and
+    to: those on other classes, by state * classes + class. column: of each class. restart: state of
+    each class as the first letter of a phrase."""
+
+    def __init__(self, texts: list[np.ndarray], classes: int):
+        steps: list[dict[int, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for c in (c for t in texts for c in [*t.tolist(), -1]):  # -1 parts the texts
+            now = len(steps)
+            steps.append({})
+            length.append(length[last] + 1)
+            link.append(0)
             p = last
-            while p >= 0 and step[p, c] < 0:
-                step[p, c] = now
+            while p >= 0 and c not in steps[p]:
+                steps[p][c] = now
                 p = link[p]
-            if p < 0:
-                link[now] = 0
-            else:
-                q = int(step[p, c])
+            if p >= 0:
+                q = steps[p][c]
                 if length[p] + 1 == length[q]:
                     link[now] = q
                 else:
-                    copy = count
-                    count += 1
-                    length[copy], link[copy] = length[p] + 1, link[q]
-                    step[copy] = step[q]
-                    while p >= 0 and step[p, c] == q:
-                        step[p, c] = copy
+                    copy = len(steps)
+                    steps.append(dict(steps[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p >= 0 and steps[p].get(c) == q:
+                        steps[p][c] = copy
                         p = link[p]
                     link[q] = link[now] = copy
             last = now
-        self.step = step[:count].copy()
+        count = np.bincount(np.concatenate([np.zeros(0, np.int64), *texts]), minlength=classes)
+        frequent = np.lexsort((np.arange(classes), -count))[:DENSE]
+        frequent = frequent[count[frequent] > 0]
+        self.column = np.full(classes, DENSE, np.uint8)
+        self.column[frequent] = np.arange(len(frequent))
+        state = np.repeat(np.arange(len(steps)), [len(x) for x in steps])
+        c = np.array([c for x in steps for c in x], np.int64)
+        to = np.array([t for x in steps for t in x.values()], np.int32)
+        state, c, to = (x[c >= 0] for x in (state, c, to))
+        dense = self.column[c] < DENSE
+        self.table = np.full((len(steps), DENSE + 1), -1, np.int32)
+        self.table[state[dense], self.column[c[dense]]] = to[dense]
+        keys = state[~dense] * classes + c[~dense]
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], to[~dense][order]
+        self.restart = np.zeros(classes, np.int32)
+        self.restart[c[state == 0]] = to[state == 0]
+
+
+class Automata:
+    """Automata side by side: states are numbered through, and a letter of a language is its class
+    plus the language's number times the classes."""
+
+    def __init__(self, own: list[Automaton], classes: int):
+        first = np.cumsum([0, *(len(a.table) for a in own)])
+        none = [np.zeros(0, np.int64)]
+        self.number, self.classes, self.roots = len(own), classes, first[:-1].astype(np.int32)
+        self.table = np.concatenate([np.zeros((0, DENSE + 1), np.int32), *(np.where(a.table < 0, -1, a.table + n) for a, n in zip(own, self.roots, strict=True))]).ravel()
+        self.column = np.concatenate([np.zeros(0, np.uint8), *(a.column for a in own)])
+        self.restart = np.concatenate([np.zeros(0, np.int32), *(a.restart + n for a, n in zip(own, self.roots, strict=True))])
+        self.keys = np.concatenate(none + [a.keys + n * np.int64(classes) for a, n in zip(own, self.roots, strict=True)])
+        self.to = np.concatenate(none + [a.to + n for a, n in zip(own, self.roots, strict=True)])
+
+    def step(self, state: np.ndarray, root: np.ndarray, letter: np.ndarray, column: np.ndarray, some_rare: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(state after a letter, whether the letter begins a phrase)."""
+        to = self.table[state * np.int32(DENSE + 1) + column]
+        if some_rare and len(self.keys):
+            rare = np.flatnonzero(column == DENSE)
+            key = state[rare] * np.int64(self.classes) + letter[rare] % self.classes
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to[rare] = np.where(self.keys[at] == key, self.to[at], -1)
+        begins = (to < 0) | (state == root)
+        return np.where(begins, self.restart[letter], to), begins
+
+    def parsed(self, grid: np.ndarray, size: np.ndarray, goes_on: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that begin in each piece under each language, states after the last). Pieces are
+        the columns of grid; one that ``goes_on`` continues the one before, the first from ``ends``."""
+        run, many = grid.shape[0], self.number
+        order = np.argsort(-size, kind="stable")
+        place = (order[:, None] * many + np.arange(many)).ravel()  # of each piece and language
+        letter = (grid[:, order, None] + np.arange(many, dtype=np.int32) * np.int32(self.classes)).reshape(run, -1)
+        column = self.column[letter]
+        some_rare = (column == DENSE).any(axis=1)
+        alive = np.searchsorted(-size[order], -np.arange(run), side="left") * many  # columns longer than each place
+        root = np.tile(self.roots, len(size))
+        starts, state = np.zeros(letter.shape, bool), root.copy()
+        for i in range(run):
+            m = int(alive[i])
+            if not m:
+                break
+            state[:m], starts[i, :m] = self.step(state[:m], root[:m], letter[i, :m], column[i, :m], some_rare[i])
+        upto = np.cumsum(starts, axis=0, dtype=np.uint16)
+        made, after, own = upto[-1].astype(np.int32), state, state.copy()
+        # enter each piece that goes on from the end of the one before, until no end changes
+        at = np.empty(len(place), np.int64)
+        at[place] = np.arange(len(place))
+        before = np.where(place >= many, at[place - many], -1)
+        following = np.full(len(place), -1)
+        following[before[before >= 0]] = np.flatnonzero(before >= 0)
+        on, length = np.repeat(goes_on[order], many), np.repeat(size[order], many)
+        todo = np.flatnonzero(on)
+        while len(todo):
+            state = np.where(before[todo] >= 0, after[before[todo]], ends[todo % many]).astype(np.int32)
+            j, count, changed = todo, np.zeros(len(todo), np.int32), []
+            for i in range(run):
+                if i >= length[j].min(initial=run):  # some end, and no place where both parses begin a phrase
+                    out = i >= length[j]
+                    made[j[out]] = count[out]
+                    changed.append(j[out][after[j[out]] != state[out]])
+                    after[j[out]] = state[out]
+                    j, state, count = j[~out], state[~out], count[~out]
+                if not len(j):
+                    break
+                state, begins = self.step(state, root[j], letter[i, j], column[i, j], some_rare[i])
+                count += begins
+                meets = begins & starts[i, j]
+                if meets.any():
+                    done = j[meets]
+                    made[done] = count[meets] + upto[-1, done] - upto[i, done]
+                    changed.append(done[after[done] != own[done]])
+                    after[done] = own[done]
+                    left = ~meets
+                    j, state, count = j[left], state[left], count[left]
+            made[j] = count
+            changed.append(j[after[j] != state])
+            after[j] = state
+            nxt = following[np.concatenate(changed)]
+            nxt = nxt[nxt >= 0]
+            todo = nxt[on[nxt]]
+        out = np.empty(len(place), np.int32)
+        out[place] = made
+        return out.reshape(-1, many), after[at[-many:]]
 
 
 class Model:
@@ -96,62 +205,38 @@ class Model:
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         texts = {k: [folded(t) for t in samples[k]] for k in self.languages}
-        points, counts = np.unique(np.concatenate([np.zeros(0, np.uint32), *[t for ts in texts.values() for t in ts]]), return_counts=True)
-        known = points[np.lexsort((points, -counts))][:ALPHABET]
-        self.known = known.tolist()
-        width, mark = len(known) + 2, len(known) + 1  # a class for all others, and one between texts
-        self.steps = [Automaton([c for t in ts for c in [*self.classes(t).tolist(), mark]], width).step for ts in texts.values()]
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint32), *[t for ts in texts.values() for t in ts]]))
+        classes = len(self.known) + 1
+        self.automata = Automata([Automaton([self.classes(t) for t in ts], classes) for ts in texts.values()], classes)
 
     def classes(self, points: np.ndarray) -> np.ndarray:
-        table = self.__dict__.get("_table")
-        if table is None:
-            table = np.full(0x110000, len(self.known), dtype=np.uint8)
-            table[self.known] = np.arange(len(self.known))
-            self._table = table
-        return table[points]
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_table"}
+        """Class of each letter: from 1 those of any sample, 0 all others."""
+        at = np.searchsorted(self.known, points)
+        at[at == len(self.known)] = 0
+        return np.where(self.known[at] == points, at + 1, 0).astype(np.int32) if len(self.known) else np.zeros(len(points), np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) under each language (columns)."""
-        pieces = [(n, t[lo : lo + RUN]) for n, t in enumerate(texts) for lo in range(0, len(t), RUN)]
-        out = np.zeros((len(texts), len(self.steps)), dtype=np.int64)
-        if not pieces:
-            return out
-        pieces.sort(key=lambda x: -len(x[1]))
-        size = np.array([len(p) for _, p in pieces])
-        owner = np.array([n for n, _ in pieces])
-        grid = np.zeros((RUN, len(pieces)), dtype=np.uint8)
-        for j, (_, p) in enumerate(pieces):
-            grid[: len(p), j] = p
-        alive = np.searchsorted(-size, -np.arange(RUN), side="left")  # pieces longer than each place
-        for k, step in enumerate(self.steps):
-            width, flat = step.shape[1], step.ravel()
-            start = np.maximum(step[0], 0)
-            state = np.zeros(len(pieces), dtype=np.int32)
-            made = np.zeros(len(pieces), dtype=np.int64)
-            for i in range(RUN):
-                m = int(alive[i])
-                if not m:
-                    break
-                c = grid[i, :m]
-                to = flat[state[:m] * width + c]
-                stuck = to < 0
-                made[:m] += stuck | (state[:m] == 0)
-                state[:m] = np.where(stuck, start[c], to)
-            out[:, k] = np.bincount(owner, weights=made, minlength=len(texts)).astype(np.int64)
+        pieces = [(n, lo) for n, t in enumerate(texts) for lo in range(0, len(t), RUN)]
+        out, ends = np.zeros((len(texts), self.automata.number), dtype=np.int64), self.automata.roots
+        many = max(1, PIECES // max(1, self.automata.number))
+        for at in range(0, len(pieces) if self.languages else 0, many):
+            part = pieces[at : at + many]
+            owner, begin = np.array([n for n, _ in part]), np.array([lo for _, lo in part])
+            size = np.minimum(np.array([len(texts[n]) for n in owner]) - begin, RUN)
+            grid = np.zeros((RUN, len(part)), dtype=np.int32)
+            for j, (n, lo) in enumerate(part):
+                grid[: size[j], j] = texts[n][lo : lo + RUN]
+            made, ends = self.automata.parsed(grid, size, begin > 0, ends)
+            np.add.at(out, owner, made)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, phrases a letter) of each text; the first of equal languages."""
-        parts = [(n, self.classes(folded(t[lo : lo + STRETCH]))) for n, t in enumerate(texts) for lo in range(0, len(t or ""), STRETCH)]
-        owner = np.array([n for n, _ in parts], dtype=np.int64)
-        phrases = np.zeros((len(texts), len(self.steps)), dtype=np.int64)
-        np.add.at(phrases, owner, self.phrases([p for _, p in parts]))
-        sizes = np.bincount(owner, weights=[len(p) for _, p in parts], minlength=len(texts)) if parts else np.zeros(len(texts))
+        parts = [self.classes(folded(t or "")) for t in texts]
+        phrases = self.phrases(parts)
         out = []
-        for size, row in zip(sizes.tolist(), phrases, strict=True):
+        for size, row in zip(map(len, parts), phrases, strict=True):
             if not size or not self.languages:
                 out.append((UNKNOWN, 0.0, 1.0))
                 continue
@@ -166,20 +251,19 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = DOCUMENTS, letters: int = LETTERS, languages: int = LANGUAGES) -> Model:
-    """A model of at most ``documents`` labelled documents of each language, those of the smallest
-    hash of their id, and at most ``letters`` characters of each, over at most ``languages``
-    languages (the most frequent). Only rows that aren't held out are read. What reaches the
-    driver has that bound, whatever the size of the table."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = DOCUMENTS, letters: int = LETTERS, all_documents: int = ALL_DOCUMENTS) -> Model:
+    """A model of every language: of at most ``documents`` labelled documents of each, and of at most
+    ``all_documents`` in all (but one of each language), those of the smallest hash of their id, and
+    of at most ``letters`` characters of each. Only rows that aren't held out are read. What reaches
+    the driver has that bound, whatever the size of the table: about 0.3 MB of tables a document."""
     learn = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    names = learn.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages)
-    wanted = [r["lang"] for r in names.collect()]
-    order = W.partitionBy("lang").orderBy("h", "id")
-    rows = learn.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.substring(F.col(text_col), 1, letters).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    rows = rows.where(F.col("lang").isin(wanted)) if wanted else rows.where("false")
-    picked = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= documents).select("lang", "nth", "text").collect()
+    rows = learn.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.substring(F.col(text_col), 1, letters).alias("text"))
+    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+    picked = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= documents)
+    number = max(1, rows.agg(F.approx_count_distinct("lang", 0.01)).first()[0])
+    each = max(1, min(documents, all_documents // number))
     samples: dict[str, list[str]] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["nth"])):
+    for r in sorted(picked.where(F.col("nth") <= each).collect(), key=lambda r: (r["lang"], r["nth"])):
         samples.setdefault(r["lang"], []).append(r["text"])
     return Model(samples)
 
@@ -191,7 +275,8 @@ def identify(df: DataFrame, model: Model, id_col: str | None = "doc_id", text_co
     score is 1 less the ratio of the winner's phrases to the runner-up's; phrase_rate the winner's
     phrases a letter. Text that is null or has no letter is ``und`` with score 0 and rate 1; so is
     any text if nothing was learnt. Long texts are parsed whole; repeated rows and null ids give a
-    row each; an empty table gives an empty one; other columns are ignored."""
+    row each; of languages that need equally many phrases the first by name wins; an empty table
+    gives an empty one; other columns are ignored."""
     spark: SparkSession = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample, see fit
 

@@ -5,6 +5,7 @@ values and verifying the Jaccard similarity of the shingle sets."""
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .components import connected_components
-from .lineage import staged
+from .lineage import ordered_key, release, staged
 
 #: Words of a shingle, hash functions, similarity that counts as near, values in a band.
 WORDS, FUNCTIONS, SIMILAR, BAND = 5, 128, 0.8, 4
@@ -97,9 +98,33 @@ def _edited(text: bytes, after: bytes, k: int, functions: int) -> tuple[np.ndarr
     return own, np.minimum(common, signature(new, functions)), edited
 
 
-#: Rows of a range of ids, and ranges at most.
-RANGE, RANGES = 5000, 4096
+#: Rows of a range of ids, ranges at most, and rows sampled for each range.
+RANGE, RANGES, SAMPLED = 5000, 1 << 16, 30
 _CHAINED = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_KEY = "struct<rank:bigint,h:bigint>"
+
+
+def _cuts(keys: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """At most parts - 1 of the keys (rank, h), ascending and less than the largest, that cut the rows
+    into ranges of like size: of a sample of about ``SAMPLED`` rows for each range, by hash."""
+    if parts < 2:
+        return []
+    n, most = keys.agg(F.count("*"), F.max(F.struct("rank", "h"))).first()
+    some = keys.where(F.pmod(F.xxhash64("h", "rank"), F.lit(max(1, n // (SAMPLED * parts)))) == 0)
+    found = sorted(map(tuple, some.collect()))
+    return sorted({found[len(found) * i // parts] for i in range(1, parts)} - {tuple(most)}) if found else []
+
+
+def _place(cuts: list[tuple[int, int]], key: F.Column) -> F.Column:
+    """Number of cuts at or above the key, looked up among groups of cuts and then in one of them."""
+    if not cuts:
+        return F.lit(0)
+    step = int(len(cuts) ** 0.5) + 1
+    told = [[{"rank": r, "h": h} for r, h in cuts[lo : lo + step]] for lo in range(0, len(cuts), step)]
+    table = F.from_json(F.lit(json.dumps([{"top": g[-1], "own": g} for g in told])), f"array<struct<top:{_KEY},own:array<{_KEY}>>>")
+    below = F.size(F.filter(table, lambda g: g["top"] < key))
+    own = F.size(F.filter(F.try_element_at(table, below + 1)["own"], lambda c: c < key))
+    return F.lit(len(cuts)) - F.when(below < len(told), below * step + own).otherwise(F.lit(len(cuts)))
 
 
 def chained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, functions: int = FUNCTIONS, per_range: int = RANGE) -> DataFrame:
@@ -107,27 +132,24 @@ def chained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has the last third of the code points replaced by as many of the next row's
-    first ones. Rows are dealt by ranges of the id, each range streams in order, and its last row
-    meets a copy of the next range's first: one shuffle of the texts, whatever their number.
+    first ones. Rows are dealt by ranges of the id and a hash of the text, each range streams in
+    order, and its last row meets a copy of the next range's first: one shuffle of the texts,
+    whatever their number, and neither one id nor null holds a range together.
 
-    Null text counts as empty; rows of one id follow each other by text; null ids come last; a
+    Null text counts as empty; ids are integers or of another type that has an order; rows of one
+    id follow each other by a hash of the text (equal rows share a range); null ids come last; a
     single row follows itself; an empty table gives an empty one; other columns are ignored."""
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rank = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    rows = df.select(F.col(id_col).alias("id"), rank.alias("rank"), text.alias("text"))
-    n, most = rows.agg(F.count("*"), F.max("rank")).first()
-    parts = min(RANGES, -(-n // per_range))
-    cuts = rows.select(F.col("rank").cast("double")).approxQuantile("rank", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts if c < most})
-    edges = F.expr(f"transform(split('{' '.join(map(str, cuts))}', ' '), x -> cast(x as bigint))") if cuts else F.array().cast("array<bigint>")
-    rows = rows.withColumn("place", F.size(F.filter(edges, lambda c: c >= F.col("rank"))))
-    firsts = [r["rank"] for r in rows.groupBy("place").agg(F.max("rank").alias("rank")).collect()]
-    twice = F.when(F.col("rank").isin(firsts), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    dealt = rows.withColumn("tail", F.explode(twice))
+    rows = ordered_key(df.select(F.col(id_col).alias("id"), text.alias("text")), "id", "rank", nulls=-(1 << 63))
+    rows = rows.select("id", "rank", F.xxhash64("text").alias("h"), "text")
+    cuts = _cuts(rows.select("rank", "h"), min(RANGES, -(-rows.count() // per_range)))
+    rows = rows.withColumn("place", _place(cuts, F.struct("rank", "h")))
+    firsts = rows.groupBy("place").agg(F.max(F.struct("rank", "h")).alias("first")).select("first.*", F.lit(True).alias("leads"))
+    rows = rows.join(F.broadcast(firsts), ["rank", "h"], "left")  # a row for each range, RANGES at most
+    dealt = rows.withColumn("tail", F.explode(F.when(F.col("leads"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     dealt = dealt.withColumn("place", F.when(F.col("tail"), F.pmod(F.col("place") - 1, F.lit(len(cuts) + 1))).otherwise(F.col("place")))
-    order = ["place", "tail", F.desc("rank"), "text"]
-    dealt = dealt.repartition("place").sortWithinPartitions(*order).select("id", "tail", "text")
+    dealt = dealt.repartition("place").sortWithinPartitions("place", "tail", F.desc("rank"), F.desc("h"), "text").select("id", "tail", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row whose next is still to come
@@ -202,24 +224,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         rep = pending.groupBy("key").agg(F.min("own").alias("rep"))
         met = pending.join(rep, "key").where("own <> rep").select(F.col("rep").alias("a"), F.col("own").alias("b")).distinct()
-        links = staged(links.union(_verified(met, sets, similar)))
-        root = staged(connected_components(links))
+        links, root = _joined(links, met, sets, similar, root)
         left = pending.join(rep, "key").where("own <> rep").select("key", "own")
         left = left.join(root, left["own"] == root["node"], "left").select("key", "own", F.coalesce("root", "own").alias("root"))
         apart = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        pending = staged(left.join(apart, "key").select("key", "own"))
+        before, pending = pending, staged(left.join(apart, "key").select("key", "own"))
+        release(before)
     if not pending.isEmpty():
         left = pending.join(root, pending["own"] == root["node"], "left").select("key", "own", F.coalesce("root", "own").alias("root"))
         x, y = left.alias("x"), left.alias("y")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.own") < F.col("y.own")) & (F.col("x.root") != F.col("y.root")))
-        links = staged(links.union(_verified(met.select(F.col("x.own").alias("a"), F.col("y.own").alias("b")).distinct(), sets, similar)))
-    root = connected_components(links)
+        met = met.select(F.col("x.own").alias("a"), F.col("y.own").alias("b")).distinct()
+        links, root = _joined(links, met, sets, similar, root)
+    if root is None:
+        root = connected_components(links)
     classes = staged(texts.select("own", "least").join(root, texts["own"] == root["node"], "left").select("own", "least", F.coalesce("root", "own").alias("root")))
+    release(texts, pending, links, root)
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
     told = classes.join(least, "root").select("own", "class_id")
     return signed.select("id", "own").join(told, "own").select(F.col("id").alias(id_col), "class_id")
 
 
+def _joined(links: DataFrame, met: DataFrame, sets: DataFrame, similar: float, root: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Links with those of the pairs met that are near, and their components, written anew."""
+    after = staged(links.union(_verified(met, sets, similar)))
+    release(links, *([] if root is None else [root]))
+    return after, connected_components(after)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Of pairs (a, b), those whose sets are similar enough."""
     left = sets.select(F.col("own").alias("a"), F.col("shingles").alias("sa"))

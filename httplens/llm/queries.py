@@ -65,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op4_language_id": _table("documents", _langid),
         "op5_nearest_neighbours": _table("embeddings", ann.search),
         "op6_fingerprints": _table("documents", minhash.chained),
+        "minhash_classes": _table("documents", minhash.near_duplicates),
         "op7_suffix_dedup": _table("documents", _suffixes),
         "op8_mixing": _table("documents", _mixing),
         "op9_passage_dedup": _table("documents", _passages),

@@ -29,19 +29,23 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
 
     shard is the bucket's prefix as a string of 0 and 1, of ``depth`` bits; a bucket of one row
     that alone exceeds the limit is kept whole and marked oversize. Rows that repeat an id share
-    all bits of their hash, so once these are used up they are dealt by a hash of their own: any
-    number of copies of one id (or of null ids, which hash as the empty string) is split as well.
+    all bits of their hash, so once these are used up they are dealt by a hash of their text, and
+    rows equal in both by a number of their own: any number of copies of one id (or of null ids,
+    which hash as the empty string) is split as well. Reruns agree but for which of equal rows is
+    in which shard.
     Null or empty text has zero bytes; an empty table gives an empty result; other columns are
     ignored."""
     rows = df.select(
         F.col(id_col).alias("id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("bigint").alias("n_bytes"),
-        key_hash(id_col).alias("h"), F.lit("").alias("base"),
+        key_hash(id_col).alias("h"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.lit("").alias("base"),
     )
-    rows, used, done, first = staged(rows), 0, [], True
+    rows, used, done, first, mask = staged(rows), 0, [], True, F.lit((1 << WIDTH) - 1)
+    others = iter([lambda: F.col("t").bitwiseAND(mask)])
     while first or not rows.isEmpty():
         first = False
         if used + step > WIDTH:
-            dealt = staged(rows.withColumn("h", F.xxhash64(F.monotonically_increasing_id(), "h").bitwiseAND(F.lit((1 << WIDTH) - 1))))
+            own = next(others, lambda: F.xxhash64(F.monotonically_increasing_id(), "h").bitwiseAND(mask))
+            dealt = staged(rows.withColumn("h", own()))
             release(rows)
             rows, used = dealt, 0
         bin_of = F.shiftright("h", WIDTH - used - step).bitwiseAND(F.lit((1 << step) - 1))
@@ -55,7 +59,7 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
         found = staged(here.join(leaf, ["base", "bin"], "left"))
         bits = F.when(F.col("leaf.d") > 0, F.lpad(F.bin("leaf.prefix"), F.col("leaf.d"), F.lit("0"))).otherwise(F.lit(""))
         done.append(found.where("leaf is not null").select("id", "n_bytes", F.concat("base", bits).alias("shard"), "leaf.shard_bytes", "leaf.shard_rows"))
-        left = found.where("leaf is null").select("id", "n_bytes", "h", F.concat("base", F.lpad(F.bin("bin"), step, "0")).alias("base"))
+        left = found.where("leaf is null").select("id", "n_bytes", "h", "t", F.concat("base", F.lpad(F.bin("bin"), step, "0")).alias("base"))
         rows, used = left, used + step
     out = done[0]
     for more in done[1:]:
@@ -67,9 +71,11 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """Write the rows of ``df`` to ``path``, one folder for each shard; returns the assignment.
-    Ids must be unique (a repeated id would be joined to each of its shards)."""
-    dealt = assign(df, id_col, text_col, limit)
+    """Write the rows of ``df`` to ``path``, one folder (``__shard``) for each shard; returns the
+    assignment. Each id must have one row: an id with several is refused."""
+    dealt = staged(assign(df, id_col, text_col, limit))
+    if not dealt.groupBy(id_col).count().where("count > 1").isEmpty():
+        raise ValueError(f"{id_col} repeats")
     of = dealt.select(F.col(id_col).alias("__id"), F.col("shard").alias("__shard"))
     rows = df.join(of, df[id_col].eqNullSafe(F.col("__id"))).drop("__id")
     rows.repartition("__shard").write.partitionBy("__shard").parquet(path)

@@ -175,11 +175,43 @@ def test_cross_parsing_counts_longest_matches():
         assert model.phrases(coded)[0].tolist() == [_phrases(text, "abracadabra banana"), _phrases(text, "zzz yyyy zyzy")]
 
 
-def test_long_texts_are_parsed_whole(monkeypatch):
-    model = langid.Model({"a": ["abracadabra banana"], "b": ["zzz yyyy zyzy"]})
-    whole = model.predict(["abra " * 300 + "zyzy " * 700])
-    monkeypatch.setattr(langid, "STRETCH", 5 * 64)
-    assert model.predict(["abra " * 300 + "zyzy " * 700])[0][0] == whole[0][0] == "b"
+@pytest.mark.parametrize(("run", "pieces", "dense"), [(256, 16384, 32), (4, 9, 2), (1, 15, 0), (7, 1, 3), (16, 6, 32)])
+def test_no_cut_shows_in_the_phrases(monkeypatch, run, pieces, dense):
+    """Whatever the pieces and the dense letters are, phrases are those of the whole text."""
+    for name, value in (("RUN", run), ("PIECES", pieces), ("DENSE", dense), ("STRETCH", 50)):
+        monkeypatch.setattr(langid, name, value)
+    rng = random.Random(run)
+    samples = {k: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(60)) for k, letters in (("a", "abcé"), ("b", "bcdж漢字"), ("c", "aaab"))}
+    model = langid.Model({k: [v] for k, v in samples.items()})
+    texts = ["".join(rng.choice(["a", "b", "ab", "cd", "é", "漢字", "q", " ", "!", samples["a"][:40], samples["b"][5:90]]) for _ in range(n)) for n in (0, 1, 5, 40, 150)]
+    plain = ["".join(chr(x) for x in langid.folded(t)) for t in texts]
+    assert plain == [" ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) for t in texts]
+    want = [[_phrases(t, samples[k]) for k in samples] for t in plain]
+    assert model.phrases([model.classes(langid.folded(t)) for t in texts]).tolist() == want
+
+
+def test_every_script_and_language_is_learnt(spark):
+    """Languages beyond any number of letters in common: none is merged or left out."""
+    scripts = [range(0x61, 0x6B), range(0x3B1, 0x3BB), range(0x430, 0x43A), range(0x5D0, 0x5DA), range(0x627, 0x631), range(0x4E00, 0x4E80), range(0xAC00, 0xAC80), range(0x10D0, 0x10DA)]
+    rng, rows = random.Random(5), []
+    for n in range(72):
+        own = rng.sample(list(scripts[n % 8]), 6)  # languages of one script differ in letters and words
+        words_ = ["".join(map(chr, rng.choices(own, k=4))) for _ in range(20)]
+        rows += [(100 * n + i, " ".join(rng.choice(words_) for _ in range(40)), f"l{n:02d}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.languages) == 72
+    told = model.predict([t for _, t, _ in rows])
+    assert np.mean([x[0] == lang for x, (*_, lang) in zip(told, rows, strict=True)]) > 0.97
+
+
+def test_language_of_odd_rows(spark):
+    """Ties go to the first name; repeated rows and null ids give a row each; any column names."""
+    text = "one two three four " * 3
+    rows = [(i, text, "b", 1) for i in range(9)] + [(i, text, "a", 1) for i in range(20, 29)] + [(None, text, "c", 1), (7, text, "b", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score int")
+    out = langid.identify(df, langid.fit(df), id_col=None).collect()
+    assert len(out) == len(rows) and {(r["lang_pred"], r["score"]) for r in out} == {("a", 0.0)}
 
 
 def test_language_id(spark, none):
@@ -226,6 +258,22 @@ def test_fingerprints(docs, rows):
     assert abs(np.mean(off)) < 0.02 and np.max(np.abs(off)) < 0.25
 
 
+@pytest.mark.parametrize("per_range", [1, 7, 5000])
+def test_chain_of_ids_that_are_text(docs, rows, per_range):
+    named = docs.withColumn("doc_id", F.concat(F.lit("n"), F.lpad(F.col("doc_id").cast("string"), 6, "0")))
+    key = lambda df: sorted(tuple(r)[1:] for r in df.collect())
+    assert key(minhash.chained(named, per_range=per_range)) == key(minhash.chained(docs))
+
+
+def test_chain_of_one_id(spark):
+    """Rows of one id, or of none, are cut into ranges as well, and follow each other in one ring."""
+    texts = [f"{n} " * (n % 5 + 3) for n in range(60)]
+    df = spark.createDataFrame([(None if n % 2 else 7, t) for n, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    whole, cut = ([tuple(r) for r in minhash.chained(df, per_range=p).collect()] for p in (5000, 4))
+    assert sorted(whole, key=str) == sorted(cut, key=str) and len(cut) == 60
+    assert len(minhash._cuts(df.select(F.coalesce("doc_id", F.lit(-1)).alias("rank"), F.xxhash64("text").alias("h")), 15)) > 8
+
+
 def test_fingerprints_of_odd_tables(spark, none):
     assert minhash.chained(none).collect() == []
     one = spark.createDataFrame([(5, "a b c d e f g h i")], "doc_id bigint, text string")
@@ -235,6 +283,13 @@ def test_fingerprints_of_odd_tables(spark, none):
     assert len(minhash.chained(many, per_range=1).collect()) == 5
 
 
+def test_near_duplicates_of_odd_tables(spark, none):
+    assert minhash.near_duplicates(none).collect() == []
+    text = "a b c d e f g h"
+    df = spark.createDataFrame([(3, text), (3, text), (2, "other words stand in this one row"), (None, text), (5, None), (6, " ")], "doc_id bigint, text string")
+    assert sorted(((r["doc_id"] or 0), r["class_id"]) for r in minhash.near_duplicates(df).collect()) == [(0, 3), (2, 2), (3, 3), (3, 3), (5, 5), (6, 5)]
+
+
 @pytest.mark.parametrize("rounds", [1, minhash.ROUNDS])
 def test_near_duplicates(docs, rows, rounds):
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs, rounds=rounds).collect()}
