@@ -88,8 +88,8 @@ def valid_q_table(q: DataFrame) -> DataFrame:
 class Learner:
     """Values of (state, action), chosen and updated in turn."""
 
-    def __init__(self, seed: int, table: dict | None = None):
-        self.rng = random.Random(seed)
+    def __init__(self, seed: int, table: dict | None = None, first: bool = False):
+        self.rng, self.first = random.Random(seed), first
         self.q = table or {s: dict.fromkeys(L.NODES, 0.0) for s in L.STATES}
 
     def choose(self, state: str, epsilon: float, among: list[str] | None = None, scores: dict[str, float] | None = None) -> tuple[str, str]:
@@ -97,7 +97,8 @@ class Learner:
         if self.rng.random() < epsilon:
             return self.rng.choice(nodes), "exploracao"
         top = max(value[n] for n in nodes)
-        return self.rng.choice([n for n in nodes if value[n] == top]), "explotacao"
+        best = [n for n in nodes if value[n] == top]
+        return best[0] if self.first else self.rng.choice(best), "explotacao"
 
     def update(self, state: str, action: str, reward: float, following: str, alpha: float = L.ALPHA, gamma: float = L.GAMMA) -> float:
         now = self.q[state][action]
@@ -166,30 +167,31 @@ def schedule(policy: str, requests: int, concurrency: int, q: dict | None = None
 _LOG = "session string, step bigint, state string, action string, mode string, latency_ms double, timeout boolean, reward double, q_value double, epsilon double"
 
 
-def replay(events: DataFrame, session: str = "session", order: str = "step", timeout_ms: float = 1000.0, seed: int = 7) -> DataFrame:
+def replay(events: DataFrame, session: str = "session", order: str = "step", timeout_ms: float = 1000.0, seed: int = 7, epsilon: tuple[float, float] = (L.EPSILON, L.EPSILON_LEAST), first: bool = False) -> DataFrame:
     """Training replayed for each session over its events in order: states take turns, actions are
-    ε-greedy, the latency is the model's wait plus the event's ``extra_ms``, values follow Bellman.
+    ε-greedy (``epsilon``: at first and at least; of equal values a random one, or the ``first``), the
+    latency is the model's wait plus the event's ``extra_ms``, values follow Bellman.
 
     Sessions are spread over tasks; one session is one sequence. Events of a session are streamed in
     order, not gathered."""
     rows = events.select(F.col(session).cast("string").alias("session"), F.col(order).alias("step"), F.col("extra_ms").cast("double").alias("extra_ms"))
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, learner, i, epsilon = None, None, 0, L.EPSILON
+        own, learner, i, explore = None, None, 0, epsilon[0]
         for f in frames:
             out = []
             for name, extra in zip(f["session"], f["extra_ms"], strict=True):
                 if name != own:
-                    own, learner, i, epsilon = name, Learner(seed), 0, L.EPSILON
+                    own, learner, i, explore = name, Learner(seed, first=first), 0, epsilon[0]
                 state, following = L.STATES[i % 3], L.STATES[(i + 1) % 3]
-                action, mode = learner.choose(state, epsilon)
+                action, mode = learner.choose(state, explore)
                 cluster = Cluster(L.STATE_LOAD[state])
                 cluster.arrive(action)
                 latency = cluster.wait(action) + float(extra or 0.0)
                 late = latency >= timeout_ms
                 gain = reward_of(latency, late)
-                out.append((own, i + 1, state, action, mode, latency, late, gain, learner.update(state, action, gain, following), epsilon))
-                i, epsilon = i + 1, max(L.EPSILON_LEAST, epsilon * L.EPSILON_DECAY)
+                out.append((own, i + 1, state, action, mode, latency, late, gain, learner.update(state, action, gain, following), explore))
+                i, explore = i + 1, max(epsilon[1], explore * L.EPSILON_DECAY)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _LOG.split(", ")])
 
     return rows.repartition("session").sortWithinPartitions("session", "step").select("session", "extra_ms").mapInPandas(fold, _LOG)
@@ -198,18 +200,18 @@ def replay(events: DataFrame, session: str = "session", order: str = "step", tim
 _SESSION = "session string, step bigint, state string, action string, mode string, cpu double, active int, latency_ms double, timeout boolean, reward double, q_value double, next_state string"
 
 
-def online_session(events: DataFrame, learning: str = "continuous", timeout_ms: float = 1000.0, seed: int = 7, q: dict | None = None) -> DataFrame:
+def online_session(events: DataFrame, learning: str = "continuous", timeout_ms: float = 1000.0, seed: int = 7, q: dict | None = None, epsilon: tuple[float, float] = (L.EPSILON, L.EPSILON_LEAST), first: bool = False) -> DataFrame:
     """A session of arrivals at times ``at`` (seconds): loads decay in between, requests end after
     their wait, control rows (``loads`` not null) set loads, and values are learnt on a copy unless
-    ``learning`` is fixed. events: (session, at, loads map or null)."""
+    ``learning`` is fixed. events: (session, at, loads map or null); epsilon and first as in ``replay``."""
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, cluster, learner, busy, last, n, epsilon = None, None, None, [], 0.0, 0, L.EPSILON
+        own, cluster, learner, busy, last, n, explore = None, None, None, [], 0.0, 0, epsilon[0]
         for f in frames:
             out = []
             for name, at, loads in zip(f["session"], f["at"], f["loads"], strict=True):
                 if name != own:
                     table = {s: dict(a) for s, a in q.items()} if q else None
-                    own, cluster, learner, busy, last, n, epsilon = name, Cluster(), Learner(seed, table), [], float(at), 0, L.EPSILON
+                    own, cluster, learner, busy, last, n, explore = name, Cluster(), Learner(seed, table, first), [], float(at), 0, epsilon[0]
                 cluster.decay(max(0.0, float(at) - last))
                 last = float(at)
                 for end, node in [b for b in busy if b[0] <= at]:
@@ -219,7 +221,7 @@ def online_session(events: DataFrame, learning: str = "continuous", timeout_ms:
                     cluster.load |= {k: float(v) for k, v in dict(loads).items()}
                     continue
                 state = cluster.state()
-                action, mode = learner.choose(state, epsilon, cluster.healthy(), cluster.scores(learner.q[state]))
+                action, mode = learner.choose(state, explore, cluster.healthy(), cluster.scores(learner.q[state]))
                 cluster.arrive(action)
                 cpu, active, full, latency = cluster.cpu(action), cluster.active[action], cluster.full(action), cluster.wait(action)
                 late = latency >= timeout_ms
@@ -229,7 +231,7 @@ def online_session(events: DataFrame, learning: str = "continuous", timeout_ms:
                 value = learner.update(state, action, gain, following) if learning == "continuous" else learner.q[state][action]
                 n += 1
                 out.append((own, n, state, action, mode, cpu, active, latency, late, gain, value, following))
-                epsilon = max(L.EPSILON_LEAST, epsilon * L.EPSILON_DECAY)
+                explore = max(epsilon[1], explore * L.EPSILON_DECAY)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _SESSION.split(", ")])
 
     rows = events.select(F.col("session").cast("string").alias("session"), F.col("at").cast("double").alias("at"), "loads")

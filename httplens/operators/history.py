@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 HISTORY = "timestamp string, method string, target_path string, primary_model string, operational_decision string, e1_algorithm string, e1_score double, e1_decision string, e2_algorithm string, e2_score double, e2_decision string, status_http int"
 # Acceptance criteria.
 CRITERIA = {"accuracy": (">=", 0.95), "precision": (">=", 0.95), "recall": (">=", 0.95), "f1": (">=", 0.95), "fpr": ("<=", 0.05), "fnr": ("<=", 0.05)}
+# Headers that a replay sends, and those of the proxy.
 _REPLAYED = ("user-agent", "pragma", "cache-control", "accept", "accept-charset", "accept-language", "cookie", "content-type")
 _PROXY = ("x-original-uri", "x-original-method", "x-original-target", "x-real-ip", "x-forwarded-for", "x-training-token")
 
@@ -50,7 +51,7 @@ def sample(records: DataFrame, label: int, method: str = "", limit: int = 20, se
     rows = records.where(F.col("label") == label)
     if method.strip():
         rows = rows.where(F.col("method") == method.strip().upper())
-    return public_record(rows.orderBy(F.xxhash64("record_id", F.lit(seed)), "record_id").limit(min(max(int(limit), 1), 30)))
+    return public_record(rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("record_id"))), "record_id").limit(min(max(int(limit), 1), 30)))
 
 
 def by_id(records: DataFrame, record_id: str) -> DataFrame:

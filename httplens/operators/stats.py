@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUANTILES = ((0.01, "p01"), (0.05, "p05"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.95, "p95"), (0.99, "p99"))
@@ -21,7 +22,8 @@ def summary(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), witho
     population deviation, interpolated percentiles, zeros, share non-zero, distinct values.
 
     Values are first counted per distinct value, so percentiles hold a histogram and not all rows:
-    what one task keeps follows the number of distinct values."""
+    what one task keeps follows the number of distinct values. Deviations are moments of the counts
+    times the values' distances from the key's mean, so a large common offset costs no digits."""
     rows = long_form(df, columns, [F.col(k) for k in keys])
     value = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
     counted = rows.groupBy(*keys, "feature", value.alias("value")).agg(F.count("*").alias("n"))
@@ -29,9 +31,13 @@ def summary(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), witho
     total, valid = F.sum(n), F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0))
     mean = F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n)))
     zeros = F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0))
+    # per distinct value so few rows are left that a window over them is cheap
+    centre = F.avg(v).over(W.partitionBy(*keys, "feature"))
+    counted = counted.withColumn("off", v - centre)
+    off, valid_n = F.col("off"), F.sum(F.when(v.isNotNull(), n))
     grouped = counted.groupBy(*keys, "feature").agg(
         total.alias("total"), valid.alias("valid"), F.min(v).alias("min"), F.max(v).alias("max"), mean.alias("mean"),
-        F.try_divide(F.sum(v * v * n), F.sum(F.when(v.isNotNull(), n))).alias("__square"),
+        F.try_divide(F.sum(off * off * n), valid_n).alias("__square"), F.try_divide(F.sum(off * n), valid_n).alias("__shift"),
         F.expr(f"percentile(value, array({', '.join(str(q) for q, _ in QUANTILES)}), n)").alias("__q"),
         zeros.alias("zeros"), F.count(v).alias("__distinct"), F.min_by(v, v).alias("__a"),
     )
@@ -39,7 +45,7 @@ def summary(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), witho
     distinct = F.when(F.col("__distinct") > DISTINCT, F.lit(f">{DISTINCT}")).otherwise(F.col("__distinct").cast("string"))
     return grouped.select(
         *keys, "feature", "total", "valid", (F.col("total") - F.col("valid")).alias("missing"), share(F.col("valid"), F.col("total")).alias("valid_percent"),
-        "min", "max", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("__square") - F.col("mean") * F.col("mean"))).alias("stddev"),
+        "min", "max", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("__square") - F.col("__shift") * F.col("__shift"))).alias("stddev"),
         *[F.col("__q")[i].alias(name) for i, (_, name) in enumerate(QUANTILES)], "zeros", (F.col("valid") - F.col("zeros")).alias("nonzeros"),
         share(F.col("valid") - F.col("zeros"), F.col("valid")).alias("nonzero_percent"),
         F.when(F.col("feature").isin(*without_distinct), F.lit(None)).otherwise(distinct).alias("distinct_values") if without_distinct else distinct.alias("distinct_values"),

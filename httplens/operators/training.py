@@ -52,8 +52,9 @@ class Network:
             raise ValueError("input width does not match the network")
         out = [x]
         for w in self.weights:
-            z = out[-1] @ w[1:] - w[0]
-            out.append(1.0 / (1.0 + np.exp(-np.clip(z, -709, 709))))
+            z = out[-1] @ w[1:]
+            z -= w[0]
+            out.append(sigmoid(z))
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -63,28 +64,46 @@ class Network:
         """As ``scoring.forward`` takes them: neurons of [bias, weights...]."""
         return [w.T.tolist() for w in self.weights]
 
-    def learn(self, x: np.ndarray, y: float, rate: float) -> tuple[float, list[np.ndarray], np.ndarray]:
-        """One online step: squared error, weight changes and first hidden activations.
+    def learn(self, x: np.ndarray, y: np.ndarray, rate: float) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Online steps over rows in order: errors of the output; and for each layer, by row, its
+        inputs (-1 first) and what they are multiplied by to give the change of its weights.
 
         The error goes back through the weights undivided by the output's slope, which is the rule
         of the networks that this must reproduce; each layer's own slope scales its change."""
-        acts = self.activations(x[None, :])
-        error = np.array([[y]]) - acts[-1]
-        mse = float((error**2).mean())
-        changes: list[np.ndarray] = []
-        for n in range(len(self.weights) - 1, -1, -1):
-            given = np.concatenate([[-1.0], acts[n][0]])
-            slope = acts[n + 1] * (1.0 - acts[n + 1])
-            change = rate * given[:, None] * (slope * error)
-            if n:
-                error = error @ self.weights[n][1:].T
-            self.weights[n] += change
-            changes.insert(0, change)
-        return mse, changes, acts[1][0]
+        n, depth = len(x), len(self.weights)
+        given = [np.column_stack([np.full(n, -1.0), x]), *(np.full((n, w.shape[1] + 1), -1.0) for w in self.weights)]
+        scale = [np.empty((n, w.shape[1])) for w in self.weights]
+        errors, room = np.empty((n, self.sizes[-1])), [np.empty_like(w) for w in self.weights]
+        with np.errstate(over="ignore"):
+            for truth, error, *rows in zip(y.reshape(n, -1), errors, *given, *scale):
+                for i, w in enumerate(self.weights):
+                    sigmoid(np.dot(rows[i], w, out=rows[i + 1][1:]))
+                np.subtract(truth, rows[depth][1:], out=error)
+                for i in range(depth - 1, -1, -1):
+                    act, change = rows[i + 1][1:], rows[depth + 1 + i]
+                    np.subtract(1.0, act, out=change)
+                    change *= act
+                    change *= error
+                    change *= rate
+                    w = self.weights[i]
+                    if i:
+                        error = w[1:] @ error
+                    np.multiply(rows[i][:, None], change, out=room[i])
+                    w += room[i]
+        return errors, given[:-1], scale
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + e^-z), in place."""
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1.0
+    return np.reciprocal(z, out=z)
 
 
 def mse(net: Network, x: np.ndarray, y: np.ndarray) -> float:
-    return float(((y - net.score(x)) ** 2).mean())
+    with np.errstate(over="ignore"):
+        return float(((y - net.score(x)) ** 2).mean())
 
 
 def backpropagate(sizes: list[int], x: np.ndarray, y: np.ndarray, epochs: int, rate: float, seed: int, validation: tuple[np.ndarray, np.ndarray] | None = None, progress: Callable[[dict], None] | None = None) -> tuple[Network, list[dict]]:
@@ -92,24 +111,19 @@ def backpropagate(sizes: list[int], x: np.ndarray, y: np.ndarray, epochs: int, r
     rng = np.random.default_rng(seed)
     net, history = Network.random(sizes, rng), []
     for epoch in range(1, epochs + 1):
-        began, total, hidden, saturated = time.perf_counter(), 0.0, 0, 0
-        sums, counts, most = [0.0] * len(net.weights), [0] * len(net.weights), [0.0] * len(net.weights)
-        for i in rng.permutation(len(x)):
-            error, changes, first = net.learn(x[i], float(y[i]), rate)
-            total += error
-            hidden += first.size
-            saturated += int(((first < 0.05) | (first > 0.95)).sum())
-            for n, c in enumerate(changes):
-                size = np.abs(c)
-                sums[n] += float(size.sum())
-                counts[n] += size.size
-                most[n] = max(most[n], float(size.max()))
+        began, order = time.perf_counter(), rng.permutation(len(x))
+        errors, given, scale = net.learn(x[order], y[order].astype(float), rate)
+        hidden = given[1][:, 1:] if len(given) > 1 else given[0][:, :0]
+        total, saturated = float((errors**2).mean(axis=1).sum()), int(((hidden < 0.05) | (hidden > 0.95)).sum())
+        # a change is the product of a row of inputs and one of scales, so its size is one of sizes
+        deltas = [(np.abs(g), np.abs(c)) for g, c in zip(given, scale, strict=True)]
         own = mse(net, x, y)
         held = mse(net, *validation) if validation else None
         record = {"epoch": epoch, "online_mse_mean": total / len(x), "train_mse_after_epoch": own, "validation_mse": held, "train_validation_gap": None if held is None else held - own,
-                  "wall_seconds": time.perf_counter() - began, "hidden_saturation_percentage": 100.0 * saturated / hidden if hidden else 0.0}
-        for n, w in enumerate(net.weights, 1):
-            record |= {f"layer_{n}_weight_abs_mean": float(np.abs(w).mean()), f"layer_{n}_weight_std": float(w.std()), f"layer_{n}_delta_abs_mean": sums[n - 1] / counts[n - 1], f"layer_{n}_delta_abs_max": most[n - 1]}
+                  "wall_seconds": time.perf_counter() - began, "hidden_saturation_percentage": 100.0 * saturated / hidden.size if hidden.size else 0.0}
+        for n, (w, (g, c)) in enumerate(zip(net.weights, deltas, strict=True), 1):
+            mean, most = float((g.mean(axis=1) * c.mean(axis=1)).mean()), float((g.max(axis=1) * c.max(axis=1)).max(initial=0.0))
+            record |= {f"layer_{n}_weight_abs_mean": float(np.abs(w).mean()), f"layer_{n}_weight_std": float(w.std()), f"layer_{n}_delta_abs_mean": mean, f"layer_{n}_delta_abs_max": most}
         history.append(record)
         if progress:
             progress(record)

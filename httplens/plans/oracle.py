@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators.features import ABSENT, FINAL, NAMES
 from ..operators.history import CRITERIA
 from ..operators.scoring import GRID
-from .queries import LAYERS, LINE_COLUMNS
+from .queries import LAYERS, LINE_COLUMNS, POPULATION
 
 _URI = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _U = f"""SELECT page_id, url, lower(regexp_extract(url, '{_URI}', 1)) AS scheme, regexp_extract(url, '{_URI}', 2) AS netloc,
@@ -178,6 +178,68 @@ def network_sql() -> str:
     return f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({out}, 9) AS score FROM (SELECT *, {hidden} FROM lineitem)"
 
 
+def population_sql() -> str:
+    sig = lambda z: f"(1.0::DOUBLE / (1.0 + exp(-({z}))))"
+    hidden = ", ".join(f"{sig(f'score * g[{4 + n}] + quality * g[{7 + n}] - g[{1 + n}]')} AS h{n}" for n in range(3))
+    out = sig("h0 * g[11] + h1 * g[12] + h2 * g[13] - g[10]")
+    people = ", ".join(f"({i}, {genes!r}::DOUBLE[])" for i, genes in enumerate(POPULATION))
+    return f"""WITH {_SCORED}, p AS (SELECT * FROM (VALUES {people}) t(individual, g)), h AS (SELECT individual, g, label, {hidden} FROM p CROSS JOIN scored)
+ SELECT CAST(individual AS BIGINT) AS individual, round(avg((label - {out}) * (label - {out})), 9) AS cost FROM h GROUP BY 1"""
+
+
+_NODE = {"cap": "[1.0, 0.25, 0.05]::DOUBLE[]", "base": "[8.0, 35.0, 90.0]::DOUBLE[]", "factor": "[0.72, 0.78, 0.84]::DOUBLE[]", "most": "[8, 2, 1]"}
+_GAIN = "CASE WHEN latency >= 1000 THEN -100.0::DOUBLE WHEN latency < 100 THEN 20.0::DOUBLE WHEN latency < 250 THEN 2.0::DOUBLE ELSE -15.0::DOUBLE END"
+
+
+def _learn(q: str, at: str, reward: str, following: str) -> str:
+    """q with its value at a place moved towards reward and the best of the following state (from 0)."""
+    best = f"list_max({q}[3 * ({following}) + 1:3 * ({following}) + 3])"
+    return f"list_transform({q}, lambda x, j: CASE WHEN j = {at} THEN x + 0.25::DOUBLE * ({reward} + 0.85::DOUBLE * {best} - x) ELSE x END)"
+
+
+def replay_sql() -> str:
+    """Greedy replays by recursion over each user's events."""
+    return f"""WITH RECURSIVE c AS (SELECT {", ".join(f"{v} AS {k}" for k, v in _NODE.items())}, [20.0, 50.0, 70.0]::DOUBLE[] AS loads),
+ e AS (SELECT user_id, value * 3 AS extra, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+ w AS (SELECT list_transform(range(9), lambda k: least(100.0::DOUBLE, least(100.0::DOUBLE, loads[k // 3 + 1] + 1.5::DOUBLE / sqrt(cap[k % 3 + 1])) + 10.0::DOUBLE / cap[k % 3 + 1])) AS cpu, * FROM c),
+ m AS (SELECT list_transform(range(9), lambda k: base[k % 3 + 1] + cpu[k + 1] * factor[k % 3 + 1] + CASE WHEN cpu[k + 1] >= 90 OR most[k % 3 + 1] <= 1 THEN 180.0::DOUBLE ELSE 0.0::DOUBLE END) AS wait FROM w),
+ r AS (SELECT user_id, 0::BIGINT AS i, list_transform(range(9), lambda k: 0.0::DOUBLE) AS q, 0 AS node, 0.0::DOUBLE AS latency, 0.0::DOUBLE AS value FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, i, {_learn("q", "k", _GAIN, "i % 3")} AS q, node, latency, ({_learn("q", "k", _GAIN, "i % 3")})[k] AS value
+  FROM (SELECT *, wait[k] + extra AS latency FROM (SELECT *, 3 * ((i - 1) % 3) + node AS k FROM (SELECT r.user_id, e.i, r.q, e.extra, list_position(r.q[3 * (r.i % 3) + 1:3 * (r.i % 3) + 3], list_max(r.q[3 * (r.i % 3) + 1:3 * (r.i % 3) + 3])) AS node
+   FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)), m))
+ SELECT CAST(user_id AS VARCHAR) AS session, count(*) AS steps, {", ".join(f"count(*) FILTER (WHERE node = {n}) AS count_node{n}" for n in (1, 2, 3))}, 0 AS explorations, count(*) AS exploitations, count(*) FILTER (WHERE latency >= 1000) AS timeouts,
+ sum({_GAIN}) AS reward_total, round(arg_max(value, i), 6) AS q FROM r WHERE i > 0 GROUP BY 1"""
+
+
+def session_sql() -> str:
+    """Greedy sessions by recursion: loads, requests in flight and values are carried along."""
+    cpu = lambda loads, active: f"list_transform([1, 2, 3], lambda n: least(100.0::DOUBLE, {loads}[n] + {active}[n] * 10.0::DOUBLE / cap[n]))"
+    full = lambda n: f"(cpu[{n}] >= 90 OR active[{n}] >= most[{n}])"
+    state = lambda c: f"CASE WHEN (0.0::DOUBLE + {c}[1] + {c}[2] + {c}[3]) / 3 < 34 THEN 0 WHEN (0.0::DOUBLE + {c}[1] + {c}[2] + {c}[3]) / 3 < 67 THEN 1 ELSE 2 END"
+    own = "q[3 * s + 1:3 * s + 3]"
+    score = f"(CASE WHEN list_max({own}) <> list_min({own}) THEN 10.0::DOUBLE * (({own})[n] - list_min({own})) / (list_max({own}) - list_min({own})) ELSE 0.0::DOUBLE END - 0.2::DOUBLE * cpu[n] - 3.0::DOUBLE * active[n] - CASE WHEN {full('n')} THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    healthy = f"CASE WHEN len(list_filter([1, 2, 3], lambda n: NOT {full('n')})) > 0 THEN list_filter([1, 2, 3], lambda n: NOT {full('n')}) ELSE [1, 2, 3] END"
+    names = "['carga_baixa', 'carga_media', 'carga_alta']"
+    return f"""WITH RECURSIVE c AS (SELECT {", ".join(f"{v} AS {k}" for k, v in _NODE.items())}),
+ e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+ r AS (SELECT user_id, 0::BIGINT AS i, [50.0, 50.0, 50.0]::DOUBLE[] AS loads, []::STRUCT(e DOUBLE, n INT)[] AS busy, list_transform(range(9), lambda k: 0.0::DOUBLE) AS q, 0 AS s, 0 AS node, 0.0::DOUBLE AS used, 0 AS own_active, 0.0::DOUBLE AS latency, 0.0::DOUBLE AS reward, 0.0::DOUBLE AS q_value, 0 AS s2
+  FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, i, loads2 AS loads, list_append(busy, {{'e': now_ + latency / 1000.0::DOUBLE, 'n': node}}) AS busy, {_learn("q", "3 * s + node", "reward", "s2")} AS q, s, node, used, own_active, latency, reward, ({_learn("q", "3 * s + node", "reward", "s2")})[3 * s + node] AS q_value, s2
+  FROM (SELECT *, {_GAIN} - greatest(0.0::DOUBLE, used - 70) * 0.25::DOUBLE - greatest(0, own_active - 1) * 1.5::DOUBLE - CASE WHEN used >= 90 OR own_active >= most[node] THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END AS reward, {state("cpu2")} AS s2
+  FROM (SELECT *, cpu2[node] AS used, active2[node] AS own_active, base[node] + cpu2[node] * factor[node] + greatest(0, active2[node] - 1) * greatest(0, active2[node] - 1) * 7.0::DOUBLE / cap[node] + CASE WHEN cpu2[node] >= 90 OR active2[node] >= most[node] THEN 180.0::DOUBLE ELSE 0.0::DOUBLE END AS latency
+  FROM (SELECT *, {cpu("loads2", "active2")} AS cpu2
+  FROM (SELECT *, list_transform(loads, lambda x, n: CASE WHEN n = node THEN least(100.0::DOUBLE, x + 1.5::DOUBLE / sqrt(cap[n])) ELSE x END) AS loads2, list_transform(active, lambda x, n: CASE WHEN n = node THEN x + 1 ELSE x END) AS active2
+  FROM (SELECT *, healthy[list_position(scores, list_max(scores))] AS node
+  FROM (SELECT *, list_transform(healthy, lambda n: {score}) AS scores
+  FROM (SELECT *, {state("cpu")} AS s, {healthy} AS healthy
+  FROM (SELECT *, {cpu("loads", "active")} AS cpu
+  FROM (SELECT *, list_transform([1, 2, 3], lambda n: len(list_filter(busy, lambda b: b.n = n))) AS active
+  FROM (SELECT r.user_id, e.i, e.i * 0.0625::DOUBLE AS now_, list_transform(r.loads, lambda x: CASE WHEN r.i = 0 THEN x ELSE greatest(0.0::DOUBLE, x - 6.0::DOUBLE * 0.0625::DOUBLE) END) AS loads, list_filter(r.busy, lambda b: b.e > e.i * 0.0625::DOUBLE) AS busy, r.q, c.*
+   FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1 CROSS JOIN c)))))))))))
+ SELECT CAST(user_id AS VARCHAR) AS session, i AS step, {names}[s + 1] AS state, 'node' || node AS action, own_active AS active, latency >= 1000 AS timeout, {names}[s2 + 1] AS next_state, round(used, 6) AS cpu, round(latency, 6) AS latency_ms, round(reward, 6) AS reward, round(q_value, 6) AS q_value
+ FROM r WHERE i > 0"""
+
+
 def long_lines(extra: str = "") -> str:
     return "v AS (" + " UNION ALL ".join(f"SELECT {extra}'{c}' AS feature, {c} AS x FROM lineitem" for c in LINE_COLUMNS) + ")"
 
@@ -234,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
     }
     over = " + ".join(f"CASE WHEN {v} > {n} THEN 1 ELSE 0 END" for v, n in small_values.values())
     value_rows = f"""SELECT 'url' AS field, url AS v FROM pages UNION ALL SELECT 'value', CAST(value AS VARCHAR) FROM events UNION ALL SELECT 'props', props FROM events UNION ALL SELECT 'user', CAST(user_id AS VARCHAR) FROM events"""
-    keep = ("length_raw", "length_decoded_once", "percent_encoding_count", "invalid_percent_count", "non_ascii_count", "control_char_count", "alpha_ratio", "digit_ratio", "special_ratio", "traversal_pattern_count", "shell_metachar_count")
+    keep = ("length_raw", "length_decoded_once", "percent_encoding_count", "invalid_percent_count", "non_ascii_count", "control_char_count", "alpha_ratio", "digit_ratio", "special_ratio", "entropy", "max_repeat_run", "traversal_pattern_count", "shell_metachar_count")
     text_metrics = metrics("text", "dec")
     path_dec = decoded("path")
     rows = f"WITH u AS ({_U}), y AS (SELECT *, {_HOST} AS hostname, {methods} AS method, {body} AS body FROM u), x AS (SELECT *, {decoded('url')} AS url_d, {path_dec} AS path_d, {decoded('query', True)} AS query_d, {decoded('body', True)} AS body_d FROM y)"
@@ -341,6 +403,11 @@ def oracle_sql() -> dict[str, str]:
         "reserved_records": f"""WITH u AS ({_U}), r AS (SELECT page_id, {methods} AS method, url, path, query, {body} AS body FROM u) SELECT sha256(encode('csic-experimento-2') || '\\x00'::BLOB || encode('anomalo') || '\\x00'::BLOB || unhex(lpad(to_hex(page_id), 16, '0')) || '\\x00'::BLOB || encode(method || ' ' || url || chr(10) || chr(10) || body)) AS record_id,
  page_id AS source_sequence, CASE WHEN page_id % 2 = 1 THEN 'ATAQUE' ELSE 'NORMAL' END AS expected_class, CASE WHEN page_id % 2 = 1 THEN 'BLOQUEIA' ELSE 'LIBERA' END AS expected_decision, method, path, query, substr(body, 1, 1000) AS body_preview, length(body) > 1000 AS body_truncated FROM r""",
         "reserved_available": f"SELECT CAST(page_id % 2 AS INT) AS label, string_agg(DISTINCT {methods}, '|' ORDER BY {methods}) AS methods, count(*) AS n FROM pages GROUP BY 1",
+        "ga_fitness": population_sql(), "rl_replay": replay_sql(), "rl_session": session_sql(),
+        "reserved_sample": f"""WITH u AS ({_U}), r AS (SELECT page_id, sha256(encode('csic-experimento-2') || '\\x00'::BLOB || encode('anomalo') || '\\x00'::BLOB || unhex(lpad(to_hex(page_id), 16, '0')) || '\\x00'::BLOB || encode({methods} || ' ' || url || chr(10) || chr(10) || {body})) AS record_id FROM u WHERE page_id % 2 = 1)
+ SELECT record_id, 'ATAQUE' AS expected_class FROM r ORDER BY md5('0:' || record_id), record_id LIMIT 30""",
+        "field_examples": f"""WITH {_EF}, x AS (SELECT corpus, field, seq, CASE WHEN starts_with(field, 'body_param:') OR starts_with(field, 'query_param:') THEN '<' || array_to_string(list_filter({forms_sql('value')}, lambda f: NOT starts_with(f, 'comprimento:')), ', ') || '; ' || length(value) || ' caracteres>' ELSE value END AS example FROM ef),
+ f AS (SELECT corpus, field, example, min(seq) AS place FROM x GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY corpus, field ORDER BY place) AS k FROM f) SELECT corpus, field, string_agg(example, ' / ' ORDER BY place) AS examples FROM r WHERE k <= 3 GROUP BY 1, 2""",
         "shuffled_rows": "SELECT doc_id, substr(sha256('7:' || doc_id), 1, 8) AS place FROM labels",
         "catalog_statistics": f"""WITH c AS (SELECT unnest({LINE_COLUMNS!r}) AS feature), t AS (SELECT *, CASE WHEN l_returnflag = 'N' THEN 'normal' ELSE 'anomalo' END AS dataset FROM lineitem), v AS (SELECT dataset, 'l_quantity' AS feature, l_quantity AS x FROM t UNION ALL SELECT dataset, 'l_tax', l_tax FROM t),
  s AS (SELECT dataset, feature, count(*) AS total, count(*) FILTER (WHERE x = 0) AS zeros FROM v GROUP BY 1, 2) SELECT c.feature, d.dataset, s.total, s.zeros FROM c CROSS JOIN (SELECT DISTINCT dataset FROM t) d LEFT JOIN s ON s.feature = c.feature AND s.dataset = d.dataset""",

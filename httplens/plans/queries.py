@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions import digests, forms, load
 from ..functions.text import METRICS, content_metrics, decode_once
 from ..functions.url import PARAMETER_METRICS, parameter_metrics, parameters, path_metrics, safe_path, split_target
 from ..operators import balancing, features, history, partition, profile, scoring, series, small_model, stats, validation
-from ..operators.training import Network, gene_statistics, table_fitness
+from ..operators.training import gene_statistics, table_fitness
 from ..sources import sinks
 from . import inputs as I  # noqa: N812
 
@@ -24,6 +25,8 @@ LAYERS = [
     [[0.25, 0.5, -0.75, 1.0, 0.125], [-0.5, 1.5, 0.25, -1.0, 0.75], [0.75, -0.25, 0.5, 0.25, -1.5]],
     [[0.5, 1.25, -0.75, 0.5]],
 ]
+#: Genes of 64 individuals of a 2-3-1 network, by rule.
+POPULATION = [[((7 * i + 13 * g) % 41 - 20) / 20 for g in range(13)] for i in range(64)]
 URL_FEATURES = (
     "url_is_absolute", "url_parse_error", "url_scheme_is_http", "url_scheme_is_https", "url_scheme_is_other", "url_scheme_missing", "url_host_present", "url_host_length",
     "url_host_label_count", "url_host_is_ip", "url_userinfo_present", "url_port_present", "url_port_valid", "url_port_value", "url_fragment_present",
@@ -70,11 +73,12 @@ def content_metrics_url(spark, d):
 
 @query
 def content_metrics_text(spark, d):
-    """Counts over whole texts of conversations, without those of word boundaries."""
+    """Counts over whole texts of conversations, without the patterns of word boundaries (the two
+    engines' differ on letters beyond ASCII; content_metrics_url has them)."""
     c = I.table(spark, d, "conversations").withColumn("decoded", decode_once(F.col("text"), plus=True))
     m = content_metrics(F.col("text"), F.col("decoded"))
-    keep = [k for k in METRICS if k not in ("entropy", "max_repeat_run", "sql_pattern_count", "xss_pattern_count")]
-    return c.select("conv_id", "turn", *[m[k].alias(k) for k in keep])
+    keep = [k for k in METRICS if k not in ("sql_pattern_count", "xss_pattern_count")]
+    return c.select("conv_id", "turn", *[(F.round(m[k], 9) if k == "entropy" else m[k]).alias(k) for k in keep])
 
 
 @query
@@ -477,34 +481,36 @@ def rl_policy(spark, d):
 def rl_scores(spark, d):
     """Learned scores between the least and the most of each state, less what telemetry costs."""
     x = I.loads(spark, d).withColumn("state", load.state_of(F.col("load")))
-    w = W.partitionBy("state")
-    s = load.learned_score(F.col("load"), F.min("load").over(w), F.max("load").over(w))
+    x = x.join(F.broadcast(x.groupBy("state").agg(F.min("load").alias("least"), F.max("load").alias("most"))), "state")  # a row for each of three states
+    s = load.learned_score(F.col("load"), F.col("least"), F.col("most"))
     cpu = load.cpu(F.col("node"), F.col("load"), F.col("active"))
     return x.select("event_id", "state", F.round(load.penalised(s, cpu, F.col("active"), load.saturated(F.col("node"), cpu, F.col("active"))), 6).alias("score"))
 
 
 @query
 def rl_replay(spark, d):
+    """Greedy training of each user's events, the first of equal values: counters and last values."""
     e = I.table(spark, d, "events")
-    log = balancing.replay(e.select((F.col("user_id") % 16).alias("session"), F.col("event_id").alias("step"), F.col("value").alias("extra_ms")))
-    return balancing.counters(log)
+    log = balancing.replay(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("step"), (F.col("value") * 3).alias("extra_ms")), epsilon=(0.0, 0.0), first=True)
+    last = log.groupBy("session").agg(F.max_by("q_value", "step").alias("q"))
+    return balancing.counters(log).join(last, "session").withColumn("q", F.round("q", 6))
 
 
 @query
 def rl_session(spark, d):
+    """A greedy session of each user: loads decay, requests end after their wait, values are learnt."""
     e = I.table(spark, d, "events")
-    w = W.partitionBy("session").orderBy("event_id")
-    rows = e.select((F.col("user_id") % 16).alias("session"), "event_id").select("session", (F.row_number().over(w) * 0.05).alias("at"), F.lit(None).cast("map<string,double>").alias("loads"))
-    return balancing.online_session(rows)
+    w = W.partitionBy("user_id").orderBy("event_id")
+    rows = e.select(F.col("user_id").alias("session"), (F.row_number().over(w).cast("double") * 0.0625).alias("at"), F.lit(None).cast("map<string,double>").alias("loads"))
+    s = balancing.online_session(rows, epsilon=(0.0, 0.0), first=True)
+    return s.select("session", "step", "state", "action", "active", "timeout", "next_state", *[F.round(c, 6).alias(c) for c in ("cpu", "latency_ms", "reward", "q_value")])
 
 
 @query
 def ga_fitness(spark, d):
     """Mean squared error of a population over all labelled documents."""
-    import numpy as np
-
-    genes = np.random.default_rng(3).uniform(-1, 1, (64, Network.parameter_count([2, 3, 1])))
-    return table_fitness(genes, [2, 3, 1], I.scored(spark, d), ["score", "quality"], "label")
+    costs = table_fitness(np.array(POPULATION), [2, 3, 1], I.scored(spark, d), ["score", "quality"], "label")
+    return costs.select("individual", F.round("cost", 9).alias("cost"))
 
 
 @query

@@ -11,7 +11,8 @@ from ..functions.digests import plain_base64, set_digest
 
 
 def number_text(x: Column) -> Column:
-    """An integer without decimals, any other with up to 17 significant digits."""
+    """An integer without decimals, any other by the fewest digits that read back as the same number
+    (17 at most)."""
     return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
 
 
@@ -64,8 +65,14 @@ def clear_history(spark, path: str, schema: str) -> None:
 
 
 def archive(df: DataFrame, path: str, version: str) -> None:
-    """Add a version as a partition; an existing one is replaced by its like only."""
-    df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+    """Add a version as a partition; one that is there is replaced, the others stay."""
+    rows = df.withColumn("version", F.lit(version)).write.mode("overwrite")
+    rows.option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+
+
+def stamp(at: Column) -> Column:
+    """The name of an archive version: its instant to the second."""
+    return F.date_format(at, "yyyyMMdd-HHmmss")
 
 
 def write_split(df: DataFrame, path: str, index: str = "idx") -> None:

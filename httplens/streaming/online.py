@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import load as L  # noqa: N812
+from ..operators import scoring
+
 _RATE = "client string, event_id bigint, ts timestamp, request_rate bigint"
 
 
@@ -39,15 +43,16 @@ def request_rate(stream: DataFrame, client: str = "client", event: str = "event_
 _LOADS = "node string, event_id bigint, at double, load double"
 
 
-def residual_load(stream: DataFrame, node: str = "node", event: str = "event_id", at: str = "at", decay: float = 6.0, impact: float = 1.5, start: float = 50.0) -> DataFrame:
-    """Each node's load after an arrival: what decayed since the last, plus the request's part."""
+def residual_load(stream: DataFrame, node: str = "node", event: str = "event_id", at: str = "at", decay: float = L.DECAY, impact: float = L.IMPACT, start: float = 50.0) -> DataFrame:
+    """Each node's load after an arrival: what decayed since the last, plus the request's part, which is
+    larger on nodes of less capacity (a node that isn't known has a capacity of 1)."""
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         load, last = state.get if state.exists else (start, None)
-        out = []
+        out, part = [], impact / math.sqrt(L.CAPACITY.get(str(key[0]), 1.0))
         rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
         for e, t in zip(rows["event_id"], rows["at"], strict=True):
             load = max(0.0, load - decay * (max(0.0, t - last) if last is not None else 0.0))
-            load, last = min(100.0, load + impact), t
+            load, last = min(100.0, load + part), t
             out.append((str(key[0]), e, t, load))
         state.update((load, last))
         yield pd.DataFrame(out, columns=["node", "event_id", "at", "load"])
@@ -56,6 +61,16 @@ def residual_load(stream: DataFrame, node: str = "node", event: str = "event_id"
     return rows.groupBy("node").applyInPandasWithState(fold, _LOADS, "load double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def scored(stream: DataFrame, columns: list[str], e1: tuple[list, float], e2: tuple[list, float], primary: str = "experimento_1", strict: bool = True) -> DataFrame:
+    """Decisions of two networks (layers, threshold) on each row, and that of the primary one: native
+    expressions without state, so a stream of any source scores as a table does."""
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = stream.withColumns({"e1_score": scoring.forward(x, e1[0])[0], "e2_score": scoring.forward(x, e2[0])[0]})
+    e1_blocks, e2_blocks = scoring.decided(F.col("e1_score"), e1[1], not strict), scoring.decided(F.col("e2_score"), e2[1], not strict)
+    told = lambda c: F.when(c, "BLOQUEIA").otherwise("LIBERA")
+    return rows.withColumns({"e1_decision": told(e1_blocks), "e2_decision": told(e2_blocks), "operational_decision": scoring.arbitrate(primary, e1_blocks, e2_blocks)})
+
+
 def to_history(decisions: DataFrame, path: str, checkpoint: str):
     """Append decisions to a history, once each."""
     return decisions.writeStream.outputMode("append").format("csv").option("header", True).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)

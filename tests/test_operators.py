@@ -278,6 +278,13 @@ def test_bursts(spark):
     assert balancing.greedy_policy(q).collect()[0].action == "node2" and balancing.valid_q_table(q).count() == 12
 
 
+def test_deviation_of_offset_values(spark):
+    """A common offset costs no digits."""
+    rows = [(1e9 + n,) for n in (0, 1, 2)] + [(None,), (float("nan"),)]
+    r = stats.summary(spark.createDataFrame(rows, "v double"), ["v"]).collect()[0]
+    assert math.isclose(r.stddev, (2 / 3) ** 0.5, rel_tol=1e-9) and (r.valid, r.missing, r.mean) == (3, 2, 1e9 + 1)
+
+
 def test_backpropagation_learns():
     rng = np.random.default_rng(0)
     x = rng.uniform(size=(200, 2))
@@ -286,8 +293,31 @@ def test_backpropagation_learns():
     assert log[-1]["train_mse_after_epoch"] < 0.5 * log[0]["train_mse_after_epoch"] and len(log) == 30 and net.sizes == [2, 4, 1]
     one = training.Network([1, 1], [np.array([[0.5], [2.0]])])
     z = 1 / (1 + math.exp(-(3.0 * 2 - 0.5)))
-    err, changes, _ = one.learn(np.array([3.0]), 1.0, 0.1)
-    assert math.isclose(err, (1 - z) ** 2) and math.isclose(changes[0][1, 0], 0.1 * 3 * z * (1 - z) * (1 - z)) and math.isclose(changes[0][0, 0], -0.1 * z * (1 - z) * (1 - z))
+    err, given, scale = one.learn(np.array([[3.0]]), np.array([1.0]), 0.1)
+    changes = given[0][0][:, None] * scale[0][0]
+    assert math.isclose(err[0, 0], 1 - z) and math.isclose(changes[1, 0], 0.1 * 3 * z * (1 - z) * (1 - z)) and math.isclose(changes[0, 0], -0.1 * z * (1 - z) * (1 - z))
+    assert math.isclose(one.weights[0][1, 0], 2.0 + changes[1, 0])
+
+
+def test_steps_of_backpropagation():
+    """Step by step, by the rule: slope of each layer, errors back through the weights alone."""
+    rng = np.random.default_rng(4)
+    x, y = rng.uniform(size=(12, 3)), rng.uniform(size=12)
+    net = training.Network.random([3, 4, 2, 1], rng)
+    w = [v.copy() for v in net.weights]
+    errors, given, scale = net.learn(x, y, 0.3)
+    for n in range(12):
+        acts = [x[n]]
+        for v in w:
+            acts.append(1 / (1 + np.exp(-(acts[-1] @ v[1:] - v[0]))))
+        error = y[n] - acts[-1]
+        assert np.allclose(errors[n], error)
+        for i in (2, 1, 0):
+            change = 0.3 * np.outer(np.r_[-1.0, acts[i]], acts[i + 1] * (1 - acts[i + 1]) * error)
+            assert np.allclose(given[i][n][:, None] * scale[i][n], change)
+            error = w[i][1:] @ error
+            w[i] = w[i] + change
+    assert all(np.allclose(a, b) for a, b in zip(w, net.weights, strict=True))
 
 
 @pytest.mark.parametrize(("selection", "crossover", "mutation"), [(1, 1, 1), (2, 2, 2), (1, 2, 3)])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from httplens.operators import features
 from httplens.plans import inputs
+from httplens.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -36,7 +37,7 @@ def test_unused_features_cost_nothing(spark):
     assert "aggregate" not in few and "html" not in few
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not re.match(r"op\d|pipeline", n)))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_stay_in_the_engine(spark, name):
     df = entry.queries()[name](spark, SF)
     text = plan(df)

@@ -92,6 +92,15 @@ def test_history_files(spark, tmp_path):
     assert [tuple(r.s) for r in cells] == [(None, None, None), (3, None, None), (None, 2.5, None), (None, None, "x")]
 
 
+def test_archiving_a_version_twice(spark, tmp_path):
+    at = str(tmp_path / "archive")
+    for name, rows in (("a", [(1,), (2,)]), ("b", [(3,)]), ("a", [(4,)])):
+        sinks.archive(spark.createDataFrame(rows, "n int"), at, name)
+    assert sorted((r.version, r.n) for r in spark.read.parquet(at).collect()) == [("a", 4), ("b", 3)]
+    told = spark.sql("select timestamp '2024-03-05 06:07:08.9' as t").select(sinks.stamp(F.col("t")).alias("s")).collect()
+    assert told[0].s == "20240305-060708"
+
+
 def test_versions(spark, tmp_path):
     for name in ("20240101-bp", "20240102-bp"):
         d = tmp_path / name / "bp"
@@ -118,11 +127,14 @@ def test_streamed_rate_equals_batch(spark, tmp_path):
 
 
 def test_streamed_load_and_sessions(spark, tmp_path):
-    spark.createDataFrame([(i, "node1", float(i)) for i in range(5)], "event_id bigint, node string, at double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(i, n, float(i)) for n in ("node1", "node3") for i in range(5)], "event_id bigint, node string, at double").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("event_id bigint, node string, at double").parquet(str(tmp_path / "in"))
     q = online.residual_load(stream).writeStream.format("memory").queryName("loads").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert [round(r.load, 6) for r in spark.table("loads").orderBy("event_id").collect()] == [51.5, 47.0, 42.5, 38.0, 33.5]
+    loads = lambda n: [round(r.load, 6) for r in spark.table("loads").where(f"node = '{n}'").orderBy("event_id").collect()]
+    assert loads("node1") == [51.5, 47.0, 42.5, 38.0, 33.5]
+    part = 1.5 / 0.05**0.5
+    assert loads("node3") == [round(50 + (k + 1) * part - 6 * k, 6) for k in range(5)]
     t0 = dt.datetime(2024, 1, 1)
     ev = spark.createDataFrame([("a", t0 + dt.timedelta(minutes=m)) for m in (0, 1, 2, 20)], "client string, ts timestamp")
     assert sorted(r.requests for r in online.sessions(ev, "client", "ts").collect()) == [1, 3]
