@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from httplens.functions import digests, load
 from httplens.operators import balancing, history, partition, profile, scoring, series, stats, training
+from httplens.plans.queries import POPULATION
 
 
 def test_record_ids(spark):
@@ -336,7 +337,7 @@ def test_distributed_fitness(spark):
     genes = rng.uniform(-1, 1, (7, training.Network.parameter_count([2, 3, 1])))
     df = spark.createDataFrame([(i, g.tolist()) for i, g in enumerate(genes)], "individual bigint, genes array<double>")
     got = {r.individual: r.cost for r in training.fitness(df, [2, 3, 1], x, y).collect()}
-    assert all(math.isclose(got[i], training.mse(training.Network.from_genes([2, 3, 1], g), x, y)) for i, g in enumerate(genes))
+    assert all(math.isclose(got[i], training.mse(training.Network.from_genes([2, 3, 1], g), x, y), abs_tol=1e-9) for i, g in enumerate(genes))
     assert math.isclose(training.gene_statistics(df).collect()[0].population_diversity, genes.std(axis=0).mean())
 
 
@@ -350,10 +351,10 @@ def test_fitness_over_a_whole_table(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id bigint, toxic int, quality double").write.parquet(f"{tmp_path}/labels.parquet")
     x = np.array([[((n * 37 + i * 11) % 101 + t * 60 + (1 - q) * 20) / 181, q] for (i, n), (_, t, q) in zip(docs, labels, strict=True)])
     y = np.array([t for _, t, _ in labels], float)
-    genes = np.random.default_rng(3).uniform(-1, 1, (64, training.Network.parameter_count([2, 3, 1])))
+    genes = np.array(POPULATION)
     got = {r.individual: r.cost for r in entry.queries()["ga_fitness"](spark, str(tmp_path)).collect()}
     assert set(got) == set(range(64))
-    assert all(math.isclose(got[i], training.mse(training.Network.from_genes([2, 3, 1], g), x, y)) for i, g in enumerate(genes))
+    assert all(math.isclose(got[i], training.mse(training.Network.from_genes([2, 3, 1], g), x, y), abs_tol=1e-9) for i, g in enumerate(genes))
     none = spark.createDataFrame([], "a double, b double, y double")
     assert [r.cost for r in training.table_fitness(genes[:2], [2, 3, 1], none, ["a", "b"], "y").collect()] == [None, None]
 
