@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the domain that separates record ids from other hashes.
@@ -32,6 +32,15 @@ def set_digest(ids: Column) -> Column:
     return F.sha2(F.concat(F.array_join(F.array_sort(F.collect_set(ids)), "\n"), F.lit("\n")), 256)
 
 
+def bucketed_digest(df: DataFrame, by: list[str], id_col: str, digits: int = 3) -> DataFrame:
+    """(by, digest) for sets of any size, whose plain digest would need all ids in one row: the digest
+    of the digests of buckets, by the first hexadecimal digits of the ids' SHA-256, in order."""
+    bucket = F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, digits).alias("__bucket")
+    each = df.groupBy(*by, bucket).agg(set_digest(F.col(id_col).cast("string")).alias("__digest"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("__bucket", "__digest"))), lambda x: F.concat(x["__bucket"], F.lit(":"), x["__digest"]))
+    return each.groupBy(*by).agg(F.sha2(F.array_join(told, "\n"), 256).alias("digest"))
+
+
 def index_digest(indices: Column) -> Column:
     """Aggregate: SHA-256 of the sorted indices as big-endian 64-bit integers."""
     words = F.transform(F.array_sort(F.collect_list(indices)), lambda i: F.lpad(F.hex(i), 16, "0"))

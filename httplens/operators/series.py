@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 def request_rate(df: DataFrame, client: str, ts: str, seconds: int = 60, name: str = "request_rate") -> DataFrame:
     """``df`` with how many rows of the client lie in the last ``seconds``, both ends included.
-    (Rows at the same instant count each other.)"""
-    w = W.partitionBy(client).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn(name, F.count("*").over(w))
+    (Rows at the same instant count each other.)
+
+    Rows are dealt by client and slot of so many seconds, and stand once more, as a mere instant, in
+    the slot after their own, so a hot client is spread over its slots."""
+    width = seconds * 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    places = F.transform(F.array(F.lit(0), F.lit(1)), lambda n: F.struct((F.floor(at / width) + n).alias("slot"), (n == 0).alias("own")))
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(client).alias("client"), at.alias("at"), F.explode(places).alias("p"))
+    rows = rows.select(F.when(F.col("p.own"), F.col("row")).alias("row"), "client", "at", "p.slot", "p.own")
+    w = W.partitionBy("client", "slot").orderBy("at").rangeBetween(-width, 0)
+    return rows.withColumn("n", F.count("*").over(w)).where("own").select("row.*", F.col("n").alias(name))
 
 
 def recent_improvement(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
@@ -94,7 +102,8 @@ def newest_match(probes: DataFrame, rows: DataFrame, on: list[str], start: str,
 
 
 def round_robin(df: DataFrame, order: list[str], n: int = 3, by: str | None = None, name: str = "node") -> DataFrame:
-    """Turn of each row among n: its place modulo n."""
+    """Turn of each row among n: its place modulo n. Without ``by`` there is one sequence, numbered in
+    one task."""
     w = (W.partitionBy(by) if by else W.partitionBy(F.lit(0))).orderBy(*order)
     return df.withColumn(name, ((F.row_number().over(w) - 1) % n).cast("int"))
 

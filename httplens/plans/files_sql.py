@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators.features import FINAL, NAMES, kind, origin
 from ..sources.tables import SMALL
 from .files import FIRST_WEIGHTS, STREAM_INPUTS
-from .oracle import _DAILY, _HIST, _NODE, _PART, _U, split_sql
+from .oracle import _DAILY, _HIST, _HOST, _NODE, _PART, _U, decoded, split_sql
 from .queries import LAYERS
 
 _CRLF = "chr(13) || chr(10)"
@@ -42,6 +42,42 @@ def _steps() -> str:
  SELECT CAST(k - 1 AS INT) AS gene, round(g[k], 7) AS weight FROM (SELECT arg_max(g, i) AS g FROM r), range(1, 10) t(k)"""
 
 
+def _variety() -> str:
+    n = "event_id"
+    flag = lambda c: f"CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    told = lambda when, x: f"CASE WHEN {when} THEN CAST({x} AS DOUBLE) END"
+    agent = f"CASE {n} % 3 WHEN 0 THEN 'Mozilla/5.0 (X11; (a) b)' WHEN 1 THEN 'curl/8.' || {n} END"
+    size = f"CASE WHEN {n} % 2 = 0 THEN 0 ELSE length('id=' || {n}) END"
+    length = f"CASE {n} % 7 WHEN 0 THEN {size} WHEN 1 THEN 999 WHEN 4 THEN 5 END"
+    has = {"host": f"{n} % 4 < 3", "content_type": f"{n} % 5 < 3", "content_length": f"{n} % 7 < 5", "user_agent": f"{n} % 3 < 2", "cookie": f"{n} % 5 >= 3", "accept": f"{n} % 2 = 1"}
+    unique = " + ".join(f"CAST({c} AS INT)" for c in has.values())
+    twice = f"CAST({n} % 5 = 3 AS INT) + CAST({n} % 2 = 1 AS INT)"
+    out = {
+        **{f"method_is_{m}": flag(f"{n} % 4 = {i}") for i, m in enumerate(("get", "post", "put", "other"))},
+        **{f"http_version_is_{v}": flag(f"{n} % 6 IN ({i})") for v, i in (("1_0", "0"), ("1_1", "4, 5"), ("2", "1, 3"), ("other", "2"))},
+        **{f"header_has_{h}": flag(has.get(h, "false")) for h in ("accept", "accept_charset", "accept_encoding", "accept_language", "cache_control", "connection", "content_length", "content_type", "cookie", "host", "pragma", "user_agent")},
+        "header_unique_count": f"CAST({unique} AS DOUBLE)", "header_value_count": f"CAST({unique} + {twice} AS DOUBLE)", "header_duplicate_count": f"CAST({twice} AS DOUBLE)",
+        "content_type_is_form_urlencoded": told(has["content_type"], f"CAST({n} % 5 = 1 AS INT)"), "content_length_valid": told(has["content_length"], f"CAST({n} % 7 IN (0, 1, 4) AS INT)"), "content_length_declared": f"CAST({length} AS DOUBLE)",
+        "body_length_bytes": f"CAST({size} AS DOUBLE)", "content_length_delta": f"CAST({size} - {length} AS DOUBLE)", "content_length_matches_body": f"CAST(CAST({size} = {length} AS INT) AS DOUBLE)",
+        "user_agent_length": f"CAST(length({agent}) AS DOUBLE)", "user_agent_token_count": f"CASE {n} % 3 WHEN 0 THEN 4.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE END", "user_agent_parenthesis_count": f"CASE {n} % 3 WHEN 0 THEN 4.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE END",
+        "host_header_length": f"CASE {n} % 4 WHEN 0 THEN 14.0::DOUBLE WHEN 1 THEN 15.0::DOUBLE WHEN 2 THEN 17.0::DOUBLE END", "host_header_port_present": told(has["host"], f"CAST({n} % 4 IN (0, 2) AS INT)"), "host_header_port_valid": f"CASE {n} % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE END",
+        "host_matches_url_host": told(f"{has['host']} AND {n} % 3 < 2", f"CAST(({n} % 4 = 1 AND {n} % 3 = 0) OR ({n} % 4 = 0 AND {n} % 3 = 1) AS INT)"),
+        "cookie_length": f"CASE {n} % 5 WHEN 3 THEN 12.0::DOUBLE WHEN 4 THEN 3.0::DOUBLE END", "cookie_pair_count": f"CASE {n} % 5 WHEN 3 THEN 3.0::DOUBLE WHEN 4 THEN 0.0::DOUBLE END",
+    }
+    return f"SELECT event_id, {', '.join(f'{v} AS {k}' for k, v in out.items())} FROM events"
+
+
+def _observed() -> str:
+    """Fields of pages as requests: single ones, and parameters by their decoded name."""
+    always = ("request.method", "request.target", "request.http_version", "url.path", "headers", "header:host", "header:content-type", "header:content-length", "header:user-agent")
+    some = {"url.scheme": "scheme <> ''", "url.host": "hostname <> ''", "url.query": "query <> ''", "query.parameters": "query <> ''", "body": "body <> ''", "body.parameters": "body <> ''"}
+    single = " UNION ALL ".join([f"SELECT '{f}' AS field, count(*) AS requests, count(*) AS values FROM x" for f in always] + [f"SELECT '{f}', count(*), count(*) FROM x WHERE {c}" for f, c in some.items()])
+    name = decoded("split_part(p, chr(61), 1)", True)
+    pairs = " UNION ALL ".join(f"SELECT page_id, '{k}_param:' AS kind, {name} AS name FROM (SELECT page_id, unnest(list_filter(string_split({k}, '&'), lambda p: p <> '')) AS p FROM x)" for k in ("query", "body"))
+    return f"""WITH u AS ({_U}), x AS (SELECT *, {_HOST} AS hostname, {_FORM} AS body FROM u), p AS ({pairs}), f AS ({single} UNION ALL SELECT kind || CASE WHEN name = '' THEN '<nome-vazio>' ELSE name END, count(DISTINCT page_id), count(*) FROM p GROUP BY 1)
+ SELECT 'pages' AS corpus, field, requests, CAST(values AS BIGINT) AS values FROM f WHERE requests > 0"""
+
+
 def files_sql() -> dict[str, str]:
     final = set(FINAL)
     schema = ", ".join(f"('{'final' if n in final else 'removed'}', '{origin(n)}', '{kind(n)}', '{n}')" for n in NAMES)
@@ -51,6 +87,9 @@ def files_sql() -> dict[str, str]:
         f"coalesce(list_min(list_filter(range(1, {most + 1}), lambda a: a >= {most} OR least(100.0::DOUBLE, (event_id * {k + 1} % 101) + a * (10.0::DOUBLE / {cap}::DOUBLE)) >= 90)), {most})" for k, (cap, most) in enumerate(((1.0, 8), (0.25, 2), (0.05, 1)))
     )
     return {
+        "header_variety": _variety(), "observed_request_fields": _observed(),
+        "bucketed_digests": """WITH b AS (SELECT o_orderstatus, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 3) AS b, sha256(string_agg(DISTINCT CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY CAST(o_orderkey AS VARCHAR)) || chr(10)) AS d FROM orders GROUP BY 1, 2)
+ SELECT o_orderstatus, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS digest FROM b GROUP BY 1""",
         "raw_requests": f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, url AS target, '1.1' AS version, 'a b' AS x_folded, '1|2' AS x_twice, CASE WHEN page_id % 2 = 0 THEN '0' ELSE CAST(length({_BODY}) AS VARCHAR) END AS content_length, CASE WHEN page_id % 2 = 0 THEN '' ELSE {_BODY} END AS body FROM pages",
         "raw_sequences": f"""SELECT count(*) AS messages, 0::BIGINT AS with_gaps, CAST(sum(CASE WHEN page_id % 2 = 0 THEN 4 ELSE 5 END + strlen(url) + length(' HTTP/1.1Host: localhost:8080X-Page: ' || page_id || 'X-Folded: a  bX-Twice: 1x-twice: 2Content-Length: ') + 2 * 9
  + CASE WHEN page_id % 2 = 0 THEN 1 ELSE length(CAST(length({_BODY}) AS VARCHAR)) + length({_BODY}) END) AS BIGINT) AS bytes FROM pages""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,25 @@ def pages_as_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", method.alias("method"), F.col("url").alias("target"), F.lit("HTTP/1.1").alias("version"), headers.alias("headers"), body.cast("binary").alias("body"))
 
 
+def events_as_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of every kind of version, host, length, client and cookie, by their id."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    case = lambda k, *given: F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in given]), (n % k + 1).cast("int"))
+    body = F.when(n % 2 == 0, "").otherwise(F.concat(F.lit("id="), n.cast("string")))
+    agent = case(3, "Mozilla/5.0 (X11; (a) b)", F.concat(F.lit("curl/8."), n.cast("string")), None)
+    own = {
+        "Host": F.array_compact(F.array(case(4, "localhost:8080", "WWW.example.org", "example.org:99999", None))), "content-TYPE": F.array_compact(F.array(case(5, "application/json", " Application/X-WWW-Form-urlencoded ; charset=utf-8", "text/plain", None, None))),
+        "Content-Length": F.array_compact(F.array(case(7, F.length(body).cast("string"), "999", "x", "-4", " 5 ", None, None))), "User-Agent": F.array_compact(F.array(agent)),
+        "Cookie": case(5, *[F.array().cast("array<string>")] * 3, F.array(F.lit("a=1; b=2;"), F.lit("c=3")), F.array(F.lit(" ; "))), " Accept ": F.when(n % 2 == 1, F.array(F.lit("text/html"), F.lit("*/*"))).otherwise(F.array().cast("array<string>")),
+    }
+    headers = F.map_filter(F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)]), lambda _, v: F.size(v) > 0)
+    return e.select(
+        "event_id", case(4, "get", " POST", "PUT", "TRACE").alias("method"), case(3, "http://www.example.org/a", "http://localhost:8080/a?b", "/a").alias("target"),
+        case(6, "HTTP/1.0", "http/2", "HTTP/3", "HTTP/2.0", "HTTP/1.1", "HTTP/1.1").alias("version"), headers.alias("headers"), body.cast("binary").alias("body"),
+    )
+
+
 def events_as_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as observed fields: the kind is the method, even and odd ids are two corpora."""
     e = table(spark, sf_dir, "events")

@@ -100,6 +100,13 @@ def header_features(spark, d):
     return features.candidates(I.pages_as_requests(spark, d), names, ("page_id",))
 
 
+@query
+def header_variety(spark, d):
+    """Method, version and header features of requests whose headers are absent, repeated or odd."""
+    names = tuple(n for n in features.NAMES if features.origin(n) == "headers" or n.startswith(("method_", "http_version")))
+    return features.candidates(I.events_as_requests(spark, d), names, ("event_id",))
+
+
 @query
 def body_parameters(spark, d):
     names = tuple(f"body_{n}" for n in ("present", *PARAMETER_METRICS))
@@ -256,6 +263,12 @@ def index_digests(spark, d):
     return e.groupBy("label").agg(digests.index_digest(F.col("vec_id").cast("bigint")).alias("digest"))
 
 
+@query
+def bucketed_digests(spark, d):
+    """Digests of sets of any size: those of the orders of each status."""
+    return digests.bucketed_digest(I.table(spark, d, "orders"), ["o_orderstatus"], "o_orderkey")
+
+
 @query
 def stratified_split(spark, d):
     return partition.stratified(I.table(spark, d, "labels"), "toxic", [F.col("doc_id")]).select("doc_id", "toxic", "split")

@@ -136,10 +136,12 @@ def scan_lenient(spark: SparkSession, path: str, corpus: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, content in zip(f["path"], f["content"], strict=True):
-                rows = []
+                rows, empty = [], {"method": None, "target": None, "version": None, "headers": None, "body": None, "malformed": None}
                 for n, (message, seen) in enumerate(lenient_messages(io.BytesIO(content))):
-                    empty = {"method": None, "target": None, "version": None, "headers": None, "body": None, "malformed": None}
                     rows.append({"path": name, "seq": n, **(message or empty), **seen})
+                    if len(rows) == 4096:
+                        yield pd.DataFrame(rows)
+                        rows = []
                 if rows:
                     yield pd.DataFrame(rows)
 
