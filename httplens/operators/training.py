@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -254,6 +254,45 @@ def evolve(sizes: list[int], x: np.ndarray, y: np.ndarray, seed: int, population
     return Network.from_genes(sizes, champion), history
 
 
+def tournament(costs: DataFrame, draws: DataFrame) -> DataFrame:
+    """(slot, individual): of the individuals drawn for each slot the one of the least cost, the first
+    drawn of equals. costs: (individual, cost); draws: (slot, turn, individual)."""
+    met = draws.join(costs, "individual")
+    return met.groupBy("slot").agg(F.min_by("individual", F.struct("cost", "turn")).alias("individual"))
+
+
+def crossed(a: Column, b: Column, cut: Column) -> Column:
+    """struct(first, second): two rows of genes whose tails after ``cut`` genes have changed places."""
+    size = F.size(a)
+    tail = lambda x: F.slice(x, cut + 1, size - cut)
+    return F.struct(F.concat(F.slice(a, F.lit(1), cut), tail(b)).alias("first"), F.concat(F.slice(b, F.lit(1), cut), tail(a)).alias("second"))
+
+
+def blended(a: Column, b: Column, drawn: Column, eta: float = 1.0) -> Column:
+    """struct(first, second): simulated binary crossover, gene by gene, for uniform draws."""
+    power = 1.0 / (eta + 1.0)
+    half = F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), drawn.alias("u")), lambda x: F.pow(F.when(x["u"] <= 0.5, 2 * x["u"]).otherwise(1 / (2 * (1 - x["u"]))), F.lit(power)) * (x["a"] - x["b"]) / 2)
+    each = lambda sign: F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), half.alias("h")), lambda x: (x["a"] + x["b"]) / 2 + sign * x["h"])
+    return F.struct(each(1).alias("first"), each(-1).alias("second"))
+
+
+def mutated(genes: Column, hits: Column, drawn: Column, kind: int = 1, low: float = -1.0, high: float = 1.0, sigma: float = 0.1, eta: float = 20.0) -> Column:
+    """Genes anew where ``hits`` is true, by draws: 1 uniform, 2 a step of normal draws, 3 a polynomial
+    step; then held to the bounds."""
+    span, power = high - low, 1.0 / (eta + 1.0)
+
+    def anew(x: Column) -> Column:
+        if kind == 1:
+            return low + span * x["u"]
+        if kind == 2:
+            return x["g"] + sigma * span * x["u"]
+        up = 1 - F.pow(2 * (1 - x["u"]), F.lit(power))
+        return x["g"] + F.when(x["u"] < 0.5, F.pow(2 * x["u"], F.lit(power)) - 1).otherwise(up) * span
+
+    rows = F.arrays_zip(genes.alias("g"), hits.alias("hit"), drawn.alias("u"))
+    return F.transform(rows, lambda x: F.greatest(F.lit(low), F.least(F.lit(high), F.when(x["hit"], anew(x)).otherwise(x["g"]))))
+
+
 def history_frame(spark: SparkSession, history: list[dict]) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(history))
 

@@ -361,6 +361,52 @@ def streamed_history(spark, d):
     return back.groupBy("event_type", "e1_decision", "operational_decision").agg(F.count("*").alias("n"))
 
 
+@query
+def live_requests(spark, d):
+    """Requests of a live source, a stream of JSON lines, with features of the vector."""
+    r = I.pages_as_requests(spark, d).select(F.col("page_id").alias("id"), F.lit(None).cast("timestamp").alias("at"), "method", "target", "version", "headers", digests.plain_base64(F.col("body")).alias("body_base64"))
+    stream = tables.live_requests(spark, _written(r, "json")).withColumn("body", F.unbase64("body_base64"))
+    return _drained(features.candidates(stream, ("method_is_post", "body_length_bytes", "content_length_matches_body", "header_unique_count"), ("id",)))
+
+
+def _people(spark, d) -> DataFrame:
+    """Embeddings as genes, numbered by their ids, with a cost."""
+    e = I.table(spark, d, "embeddings")
+    genes = F.transform("embedding", lambda x: x.cast("double"))
+    return e.select(F.col("vec_id").alias("individual"), genes.alias("genes"), (F.col("vec_id") * 37 % 101).cast("double").alias("cost"))
+
+
+def _drawn(k: int, over: float = 97.0) -> F.Column:
+    """An array of numbers from 0 to 1 for each individual, by rule."""
+    return F.transform(F.sequence(F.lit(1), F.size("genes")), lambda g: (F.col("individual") * k + g * 31) % over / over)
+
+
+@query
+def ga_tournament(spark, d):
+    """Parents by tournaments of three, drawn by rule."""
+    p = _people(spark, d)
+    draws = p.select(F.col("individual").alias("slot"), F.posexplode(F.array(*[F.floor(F.col("individual") * k / 7).cast("bigint") for k in (1, 3, 5)])).alias("turn", "individual"))
+    return training.tournament(p.select("individual", "cost"), draws)
+
+
+@query
+def ga_crossover(spark, d):
+    """Children of each individual and the next, by one point and by simulated binary crossover."""
+    p = _people(spark, d)
+    pair = p.join(p.select((F.col("individual") - 1).alias("individual"), F.col("genes").alias("other")), "individual")
+    one, two = training.crossed(F.col("genes"), F.col("other"), (F.col("individual") % 63 + 1).cast("int")), training.blended(F.col("genes"), F.col("other"), _drawn(13))
+    total = lambda c: F.round(F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6)
+    return pair.select("individual", one.alias("one"), two.alias("two")).select("individual", *[total(F.col(f"{c}.{side}")).alias(f"{c}_{side}") for c in ("one", "two") for side in ("first", "second")])
+
+
+@query
+def ga_mutation(spark, d):
+    """Genes after each kind of mutation, where and how far by rule."""
+    hits = F.transform(F.sequence(F.lit(1), F.size("genes")), lambda g: (F.col("individual") + g) % 5 == 0)
+    total = lambda c: F.round(F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6)
+    return _people(spark, d).select("individual", *[total(training.mutated(F.col("genes"), hits, _drawn(17), k)).alias(f"kind_{k}") for k in (1, 2, 3)])
+
+
 @query
 def client_sessions(spark, d):
     """Sessions of each user with gaps of more than an hour between them."""

@@ -78,6 +78,31 @@ def _observed() -> str:
  SELECT 'pages' AS corpus, field, requests, CAST(values AS BIGINT) AS values FROM f WHERE requests > 0"""
 
 
+_PEOPLE = "p AS (SELECT vec_id AS individual, embedding::DOUBLE[] AS g, CAST(vec_id * 37 % 101 AS DOUBLE) AS cost FROM embeddings)"
+
+
+def _summed(x: str) -> str:
+    return f"round(list_sum(list_transform({x}, lambda v, i: v * i)), 6)"
+
+
+def _drawn(k: int) -> str:
+    return f"list_transform(range(1, len(g) + 1), lambda j: ((individual * {k} + j * 31) % 97) / 97.0::DOUBLE)"
+
+
+def _crossover() -> str:
+    cut = "CAST(individual % 63 + 1 AS INT)"
+    half = "list_transform(range(1, len(g) + 1), lambda j: pow(CASE WHEN u[j] <= 0.5 THEN 2 * u[j] ELSE 1 / (2 * (1 - u[j])) END, 0.5) * (g[j] - o[j]) / 2)"
+    blend = lambda sign: f"list_transform(range(1, len(g) + 1), lambda j: (g[j] + o[j]) / 2 {sign} h[j])"
+    return f"""WITH {_PEOPLE}, x AS (SELECT p.individual, p.g, q.g AS o FROM p JOIN p q ON q.individual = p.individual + 1), y AS (SELECT *, {_drawn(13)} AS u FROM x), z AS (SELECT *, {half} AS h FROM y)
+ SELECT individual, {_summed(f"list_concat(g[1:{cut}], o[{cut} + 1:])")} AS one_first, {_summed(f"list_concat(o[1:{cut}], g[{cut} + 1:])")} AS one_second, {_summed(blend("+"))} AS two_first, {_summed(blend("-"))} AS two_second FROM z"""
+
+
+def _mutation() -> str:
+    anew = {1: "-1 + 2 * u[j]", 2: "g[j] + 0.2::DOUBLE * u[j]", 3: "g[j] + 2 * CASE WHEN u[j] < 0.5 THEN pow(2 * u[j], 1.0::DOUBLE / 21) - 1 ELSE 1 - pow(2 * (1 - u[j]), 1.0::DOUBLE / 21) END"}
+    kinds = ", ".join(f"{_summed(f'list_transform(range(1, len(g) + 1), lambda j: greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN (individual + j) % 5 = 0 THEN {x} ELSE g[j] END)))')} AS kind_{k}" for k, x in anew.items())
+    return f"WITH {_PEOPLE}, y AS (SELECT *, {_drawn(17)} AS u FROM p) SELECT individual, {kinds} FROM y"
+
+
 def files_sql() -> dict[str, str]:
     final = set(FINAL)
     schema = ", ".join(f"('{'final' if n in final else 'removed'}', '{origin(n)}', '{kind(n)}', '{n}')" for n in NAMES)
@@ -90,6 +115,9 @@ def files_sql() -> dict[str, str]:
         "header_variety": _variety(), "observed_request_fields": _observed(),
         "bucketed_digests": """WITH b AS (SELECT o_orderstatus, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 3) AS b, sha256(string_agg(DISTINCT CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY CAST(o_orderkey AS VARCHAR)) || chr(10)) AS d FROM orders GROUP BY 1, 2)
  SELECT o_orderstatus, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS digest FROM b GROUP BY 1""",
+        "ga_tournament": f"WITH {_PEOPLE}, d AS (SELECT individual AS slot, unnest([0, 1, 2]) AS turn, CAST(floor(individual * unnest([1, 3, 5]) / 7.0) AS BIGINT) AS individual FROM p) SELECT slot, arg_min(individual, cost * 10 + turn) AS individual FROM d JOIN p USING (individual) GROUP BY 1",
+        "ga_crossover": _crossover(), "ga_mutation": _mutation(),
+        "live_requests": f"SELECT page_id AS id, CASE WHEN page_id % 3 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS method_is_post, CAST(length({_FORM}) AS DOUBLE) AS body_length_bytes, 1.0::DOUBLE AS content_length_matches_body, 4.0::DOUBLE AS header_unique_count FROM pages",
         "raw_requests": f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, url AS target, '1.1' AS version, 'a b' AS x_folded, '1|2' AS x_twice, CASE WHEN page_id % 2 = 0 THEN '0' ELSE CAST(length({_BODY}) AS VARCHAR) END AS content_length, CASE WHEN page_id % 2 = 0 THEN '' ELSE {_BODY} END AS body FROM pages",
         "raw_sequences": f"""SELECT count(*) AS messages, 0::BIGINT AS with_gaps, CAST(sum(CASE WHEN page_id % 2 = 0 THEN 4 ELSE 5 END + strlen(url) + length(' HTTP/1.1Host: localhost:8080X-Page: ' || page_id || 'X-Folded: a  bX-Twice: 1x-twice: 2Content-Length: ') + 2 * 9
  + CASE WHEN page_id % 2 = 0 THEN 1 ELSE length(CAST(length({_BODY}) AS VARCHAR)) + length({_BODY}) END) AS BIGINT) AS bytes FROM pages""",

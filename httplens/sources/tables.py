@@ -11,6 +11,7 @@ from ..operators.history import HISTORY
 # The nine features of the small model, with their limits.
 SMALL = {"is_post_put": 1.0, "query_length": 200.0, "body_length": 1000.0, "special_chars_query": 25.0, "special_chars_body": 40.0, "has_sql_keywords": 1.0, "has_xss_keywords": 1.0, "is_standard_browser": 1.0, "request_rate": 800.0}
 
+LIVE = "id bigint, at timestamp, method string, target string, version string, headers map<string,array<string>>, body_base64 string"
 CONTROL = "record_id string, content_sha256 string, label int, partition string, source_sequence bigint"
 RESERVED = (
     "schema_version int, record_id string, content_sha256 string, label int, source_sequence bigint, method string, target string, http_version string, path string, query string, "
@@ -38,6 +39,11 @@ def reserved(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESERVED).json(path)
 
 
+def live_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Requests as they come: a stream of JSON lines in files that are added to a folder."""
+    return spark.readStream.schema(LIVE).json(path)
+
+
 def control(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CONTROL).json(path)
 
