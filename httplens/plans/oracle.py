@@ -344,7 +344,7 @@ def oracle_sql() -> dict[str, str]:
         "field_names_common": f"""WITH {_EF}, n AS (SELECT DISTINCT field FROM ef WHERE corpus = 'normal'), a AS (SELECT DISTINCT field FROM ef WHERE corpus = 'anomalo') SELECT 'union' AS how, field FROM (SELECT * FROM n UNION SELECT * FROM a)
  UNION ALL SELECT 'intersect', field FROM (SELECT * FROM n INTERSECT SELECT * FROM a) UNION ALL SELECT 'except', field FROM (SELECT * FROM n EXCEPT SELECT * FROM a)""",
         "target_form_counts": f"{u} SELECT 'pages' AS corpus, CASE WHEN scheme <> '' AND netloc <> '' THEN 'absoluta' ELSE 'origem' END AS form, count(*) AS n FROM x GROUP BY 2",
-        "feature_statistics": f"""WITH {long_lines('l_returnflag, ')} SELECT l_returnflag, feature, count(*) AS total, count(x) AS valid, count(*) - count(x) AS missing, min(x) AS min, max(x) AS max, round(avg(x), 5) AS mean, round(stddev_pop(x), 3) AS stddev,
+        "feature_statistics": f"""WITH {long_lines('l_returnflag, ')[:-1]} UNION ALL SELECT l_returnflag, 'l_shifted', l_tax + 1e6 FROM lineitem) SELECT l_returnflag, feature, count(*) AS total, count(x) AS valid, count(*) - count(x) AS missing, min(x) AS min, max(x) AS max, round(avg(x), 5) AS mean, round(stddev_pop(x), 6) AS stddev,
  round(quantile_cont(x, 0.01), 6) AS p01, round(quantile_cont(x, 0.05), 6) AS p05, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.75), 6) AS p75, round(quantile_cont(x, 0.95), 6) AS p95, round(quantile_cont(x, 0.99), 6) AS p99,
  count(*) FILTER (WHERE x = 0) AS zeros, count(*) FILTER (WHERE x <> 0) AS nonzeros, round(100.0::DOUBLE * count(*) FILTER (WHERE x <> 0) / count(x), 4) AS nonzero_percent, CASE WHEN count(DISTINCT x) > 10000 THEN '>10000' ELSE CAST(count(DISTINCT x) AS VARCHAR) END AS distinct_values FROM v GROUP BY 1, 2""",
         "quantile_caps": f"WITH {caps} SELECT feature, round(cap, 6) AS cap FROM k",
