@@ -14,8 +14,9 @@ holds such a run, so equal windows hold an equal grain at an equal offset: its a
 3. ``surroundings``, ``compare``: these anchors' surroundings as text, in groups of a grain, for
    the caller's own method, which decides on every window; grains with more than a crowd of them
    go window by window, by digests of 128 bits.
-4. ``covered``: twins get the spans of the anchor that stands for them if the digests (128 bits) of
-   both surroundings agree.
+4. ``covered``: if ranked, twins get the spans of the anchor that stands for them if the digests
+   (128 bits) of both surroundings agree; otherwise they were told apart by hashes of 128 bits in
+   the first place, and as two more of their kind lie elsewhere, all their windows count.
 
 Everything streams over sorted partitions; no group is ever held whole unless it is small."""
 
@@ -36,9 +37,9 @@ from . import textblocks as tb
 from .lineage import ordered_key, release, scoped, staged
 
 #: Units of one text that are hashed at a time; longer texts are taken in overlapping stretches.
-STRETCH = 1 << 20
-#: Anchors of one grain that are compared in one task.
-CROWD = 1 << 14
+STRETCH = 1 << 18
+#: Anchors of one grain that are compared in one task, and anchors of whole grains that are at a time.
+CROWD, PART = 1 << 14, 1 << 12
 #: Anchors of one grain that ``meet`` holds before it decides on those it can.
 HELD = 1 << 18
 #: Anchors of one grain that are sorted in one task; those of more are counted by aggregates.
@@ -55,13 +56,35 @@ class Shape(NamedTuple):
     ranked: bool
 
 
-def units(shape: Shape, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, start, end) of the units of one text, words joined by single spaces."""
+class Units(NamedTuple):
+    """Bytes and units of one text; words are joined by single spaces, bytes need no places."""
+
+    data: np.ndarray
+    start: np.ndarray | None
+    end: np.ndarray | None
+
+    def __len__(self) -> int:
+        return len(self.data if self.start is None else self.start)
+
+    def pieces(self, text: bytes, left: np.ndarray, right: np.ndarray) -> list[bytes]:
+        """Units left to right - 1 of the text, which is ``data`` as bytes."""
+        if self.start is not None:
+            left, right = self.start[left], self.end[right - 1]
+        return [text[a:b] for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+
+    def part(self, a: int, b: int) -> Units:
+        """Units a to b - 1 as a text of their own."""
+        if self.start is None:
+            return Units(self.data[a:b], None, None)
+        at = self.start[a]
+        return Units(self.data[at : self.end[b - 1]], self.start[a:b] - at, self.end[a:b] - at)
+
+
+def units(shape: Shape, data: np.ndarray) -> Units:
     if shape.words:
         w = tb.words(data, np.array([0, len(data)]))
-        return w.data, w.start, w.end
-    start = np.arange(len(data))
-    return data, start, start + 1
+        return Units(w.data, w.start, w.end)
+    return Units(data, None, None)
 
 
 def _sliding(op, x: np.ndarray, w: int, fill: int) -> np.ndarray:
@@ -81,27 +104,28 @@ def chosen(h: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(_sliding(np.maximum, np.concatenate([none, least, none]), w, 0) == h)
 
 
-def anchors(shape: Shape, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit, hash of the grain, hash of the surroundings) of the anchors of one text."""
-    n, (_, window, grain, _) = len(start), shape
+def anchors(shape: Shape, text: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, hash of the grain, hash of the surroundings and, if not ranked, 64 bits more of it) of
+    the anchors of one text."""
+    n, (_, window, grain, _) = len(text), shape
     found = []
     for lo in range(0, n if n >= window else 0, STRETCH):
         a, b = max(0, lo - 2 * window), min(n, lo + STRETCH + 2 * window)
         if b - a < window:
             continue
-        s, e = start[a:b] - start[a], end[a:b] - start[a]
-        part = data[start[a] : end[b - 1]]
-        at = chosen(tb.PlaceHash(part).of(s[: b - a - grain + 1], e[grain - 1 :]), window - grain + 1)
+        part = text.part(a, b)
+        s = np.arange(b - a) if part.start is None else part.start
+        e = s + 1 if part.end is None else part.end
+        at = chosen(tb.PlaceHash(part.data).of(s[: b - a - grain + 1], e[grain - 1 :]), window - grain + 1)
         at = at[(at >= lo - a) & (at < lo - a + STRETCH)]
         left, right = np.maximum(0, at - (window - grain)), np.minimum(b - a, at + window)
-        text, form = part.tobytes(), ((at - left).astype(np.uint64) << np.uint64(32)) + (right - at).astype(np.uint64)
-        own, around = (
-            np.fromiter((xxhash.xxh3_64_intdigest(text[x:y]) for x, y in zip(s[i].tolist(), e[j].tolist(), strict=True)), np.uint64, len(at))
-            for i, j in ((at, at + grain - 1), (left, right - 1))
-        )
-        found.append((at + a, own, around ^ tb.mixed(form)))
+        raw, form = part.data.tobytes(), ((at - left).astype(np.uint64) << np.uint64(32)) + (right - at).astype(np.uint64)
+        own = np.array([xxhash.xxh3_64_intdigest(x) for x in part.pieces(raw, at, at + grain)], np.uint64)
+        wide = b"".join([xxhash.xxh3_128_digest(x) for x in part.pieces(raw, left, right)])
+        around, more = np.frombuffer(wide, np.uint64).reshape(-1, 2).T
+        found.append((at + a, own, around ^ tb.mixed(form), np.zeros_like(more) if shape.ranked else more))
     none = np.zeros(0, np.uint64)
-    return tuple(np.concatenate([*x, y]) for x, y in zip(zip(*found, strict=True) if found else ((), (), ()), (none.astype(np.int64), none, none), strict=True))
+    return tuple(np.concatenate([*x, y]) for x, y in zip(zip(*found, strict=True) if found else ((), (), (), ()), (none.astype(np.int64), none, none, none), strict=True))
 
 
 def _record(**columns) -> pa.RecordBatch:
@@ -113,7 +137,7 @@ def extent(shape: Shape, pos: np.ndarray, units: int) -> tuple[np.ndarray, np.nd
     return np.maximum(0, pos - (shape.window - shape.grain)), np.minimum(units, pos + shape.window)
 
 
-MARKS = "rid bigint, rank bigint, pos int, grain bigint, around bigint, met boolean"
+MARKS = "rid bigint, rank bigint, pos int, grain bigint, around bigint, more bigint, met boolean"
 
 
 def mark(texts: DataFrame, shape: Shape) -> DataFrame:
@@ -123,37 +147,37 @@ def mark(texts: DataFrame, shape: Shape) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, rank = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows: list[list[np.ndarray]] = [[], [], [], []]
-            whole: dict[int, tuple] = {}
+            rows: list[list[np.ndarray]] = [[], [], [], [], []]
+            whole: dict[int, tuple[bytes, Units]] = {}
             for lo, hi, data, at in tb.blocks(batch.column(2)):
                 for i in range(hi - lo):
-                    raw, start, end = units(shape, data[at[i] : at[i + 1]])
-                    if len(start) >= shape.window:
-                        pos, grain, around = anchors(shape, raw, start, end)
-                        whole[lo + i] = raw.tobytes(), *((start, end) if shape.words else (None, None))
-                        for x, y in zip(rows, (np.full(len(pos), lo + i), pos, grain, around), strict=True):
+                    own = units(shape, data[at[i] : at[i + 1]])
+                    if len(own) >= shape.window:
+                        found = anchors(shape, own)
+                        whole[lo + i] = own.data.tobytes(), own
+                        for x, y in zip(rows, (np.full(len(found[0]), lo + i), *found), strict=True):
                             x.append(y)
             if not rows[0]:
                 continue
-            row, pos, grain, around = map(np.concatenate, rows)
-            order = np.lexsort((pos, rank[row], around, grain))
-            row, pos, grain, around = (x[order] for x in (row, pos, grain, around))
-            new = np.r_[True, (grain[1:] != grain[:-1]) | (around[1:] != around[:-1])]
+            row, pos, grain, around, more = map(np.concatenate, rows)
+            order = np.lexsort((pos, rank[row], more, around, grain))
+            row, pos, grain, around, more = (x[order] for x in (row, pos, grain, around, more))
+            new = np.r_[True, (grain[1:] != grain[:-1]) | (around[1:] != around[:-1]) | (more[1:] != more[:-1])]
             first, second = pairs(np.cumsum(new) - 1, new, rank[row] if shape.ranked else None)
             here = np.arange(len(row))
             met = (second >= 0) & (second < here)
 
             def text(n: int) -> tuple[bytes, int]:
-                raw, start, end = whole[int(row[n])]
-                a, b = extent(shape, pos[n], len(start if shape.words else raw))
-                return raw[start[a] : end[b - 1]] if shape.words else raw[a:b], pos[n] - a
+                raw, own = whole[int(row[n])]
+                a, b = extent(shape, pos[n : n + 1], len(own))
+                return own.pieces(raw, a, b)[0], int(pos[n] - a[0])
 
             held: tuple[int, tuple[bytes, int]] = (-1, (b"", 0))
             for n in np.flatnonzero(met).tolist():
                 if held[0] != first[n]:
                     held = int(first[n]), text(first[n])
                 met[n] = text(n) == held[1]
-            yield _record(rid=rid[row], rank=rank[row], pos=pos.astype(np.int32), grain=grain.view(np.int64), around=around.view(np.int64), met=met)
+            yield _record(rid=rid[row], rank=rank[row], pos=pos.astype(np.int32), grain=grain.view(np.int64), around=around.view(np.int64), more=more.view(np.int64), met=met)
 
     return texts.mapInArrow(run, MARKS)
 
@@ -187,14 +211,14 @@ def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
     """Of the anchors that are not met, those whose grain occurs again (if ranked: in another rank).
     apart: it goes on, as the first of its surroundings, or as the second (if ranked: the first of
     a larger rank). The others are twins, and name the one of those two that stands for them."""
-    schema = ("grain", "around", *_PLACE)
+    schema = ("grain", "around", "more", *_PLACE)
     hot_rows = hot_rows or HOT
 
     def settle(cols: dict[str, np.ndarray], spread: bool) -> pa.RecordBatch:
         """Whole grains in order; with ``spread``, known to occur again."""
-        grain, around, rank = cols["grain"], cols["around"], cols["rank"]
+        grain, around, more, rank = cols["grain"], cols["around"], cols["more"], cols["rank"]
         fresh = np.r_[True, grain[1:] != grain[:-1]]
-        new = fresh | np.r_[True, around[1:] != around[:-1]]
+        new = fresh | np.r_[True, (around[1:] != around[:-1]) | (more[1:] != more[:-1])]
         first, second = pairs(np.cumsum(new) - 1, new, rank if shape.ranked else None)
         at, own, here = np.flatnonzero(fresh), np.cumsum(fresh) - 1, np.arange(len(grain))
         if shape.ranked:
@@ -221,9 +245,9 @@ def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
                 spread = None
             held = {c: x[last:] for c, x in cols.items()}
             if len(held["grain"]) > HELD:
-                around = held["around"]
-                last = int(np.searchsorted(around, around[-1], side="left"))
-                if last:  # several surroundings: decide on all but the last
+                others = np.flatnonzero((held["around"] != held["around"][-1]) | (held["more"] != held["more"][-1]))
+                if len(others):  # several surroundings: decide on all but the last
+                    last = int(others[-1]) + 1
                     yield settle({c: x[:last] for c, x in held.items()}, True)
                     spread = held["grain"][0]
                     held = {c: x[last:] for c, x in held.items()}
@@ -240,7 +264,7 @@ def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
 
     own = marks.where("not met").select(*schema)
     hot = own.groupBy("grain").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("grain")
-    sort = lambda df: df.repartition("grain").sortWithinPartitions("grain", "around", "rank", "rid", "pos").mapInArrow(run, MET)
+    sort = lambda df: df.repartition("grain").sortWithinPartitions("grain", "around", "more", "rank", "rid", "pos").mapInArrow(run, MET)
     if hot.isEmpty():
         return sort(own)
     hot = staged(hot)  # at most a row for each ``hot_rows`` anchors
@@ -251,8 +275,8 @@ def _meet_hot(own: DataFrame, shape: Shape) -> DataFrame:
     """``meet`` for grains of any number of anchors: least and greatest anchors of each grain and
     surroundings, with partial results before the shuffle, joined back by both."""
     place = F.struct("rank", "rid", "pos")
-    kinds = own.groupBy("grain", "around").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    both = own.join(staged(kinds), ["grain", "around"])
+    kinds = own.groupBy("grain", "around", "more").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    both = own.join(staged(kinds), ["grain", "around", "more"])
     two = F.col("b.rank") > F.col("a.rank") if shape.ranked else F.col("b") != F.col("a")
     apart = (place == F.col("a")) | ((place == F.col("b")) & two)
     later = F.col("rank") > F.col("a.rank") if shape.ranked else F.lit(False)
@@ -279,11 +303,10 @@ def surroundings(texts: DataFrame, apart: DataFrame, shape: Shape) -> DataFrame:
                     last = rid[i], rank[i]
                     if times > 2 - shape.ranked:
                         continue
-                    raw, start, end = units(shape, data[at[i - lo] : at[i - lo + 1]])
+                    own = units(shape, data[at[i - lo] : at[i - lo + 1]])
                     p, grain = pos[0][cut[i] : cut[i + 1]], pos[1][cut[i] : cut[i + 1]]
-                    left, right = extent(shape, p, len(start))
-                    text = raw.tobytes()
-                    out[5] += [text[a:b] for a, b in zip(start[left].tolist(), end[right - 1].tolist(), strict=True)]
+                    left, right = extent(shape, p, len(own))
+                    out[5] += own.pieces(own.data.tobytes(), left, right)
                     for x, y in zip(out, (grain, np.full(len(p), rid[i]), np.full(len(p), rank[i]), p, p - left), strict=False):
                         x.append(y)
                 if not out[0]:
@@ -334,7 +357,7 @@ def compare(around: DataFrame, shape: Shape, solve: Solve, windows: Windows, cro
                 hot = None
             held.append(batch)
             rows += batch.num_rows
-            if rows < crowd:
+            if rows < min(crowd, PART):
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             grain = table.column(0).to_numpy()
@@ -430,33 +453,35 @@ def covered(texts: DataFrame, shape: Shape, solve: Solve, windows: Windows, crow
         met = keep(staged(meet(marks, shape)))
     w, g = shape.window, shape.grain
     key, none = ["rid", "rank"], [F.lit(-1).alias("pos"), F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("e")]
-    sure = marks.where("met").select(*key, F.greatest(F.lit(0), F.col("pos") - (w - g)).alias("lo"), (F.col("pos") + w).alias("hi"), *none)
-    sure = staged(sure)
+    whole = lambda df: df.select(*key, F.greatest(F.lit(0), F.col("pos") - (w - g)).alias("lo"), (F.col("pos") + w).alias("hi"), *none)
+    sure = whole(marks.where("met"))
+    sure = staged(sure if shape.ranked else sure.union(whole(met.where("not apart"))))
     release(marks)
     apart = staged(met.where("apart").groupBy(*key).agg(F.collect_set(F.struct("pos", "grain")).alias("at")))
-    twins = staged(met.where("not apart").select(*_PLACE, *(f"of_{c}" for c in _PLACE)))
+    twins = staged(met.where("not apart").select(*_PLACE, *(f"of_{c}" for c in _PLACE))) if shape.ranked else None
     release(met)
     with scoped(texts.sparkSession) as keep:
         near = keep(staged(compare(surroundings(texts, apart, shape), shape, solve, windows, crowd)))
     release(apart)
-    moved = F.col("pos") - F.col("of_pos")
-    of = near.withColumnsRenamed({c: f"of_{c}" for c in _PLACE})
-    carried = of.join(twins, [f"of_{c}" for c in _PLACE]).select(*key, (F.col("lo") + moved).alias("lo"), (F.col("hi") + moved).alias("hi"), "pos", "d", "e")
-    every = sure.union(near.select(*key, "lo", "hi", *none)).union(carried)
+    every = sure.union(near.select(*key, "lo", "hi", *none))
+    if twins is not None:
+        moved = F.col("pos") - F.col("of_pos")
+        of = near.withColumnsRenamed({c: f"of_{c}" for c in _PLACE})
+        every = every.union(of.join(twins, [f"of_{c}" for c in _PLACE]).select(*key, (F.col("lo") + moved).alias("lo"), (F.col("hi") + moved).alias("hi"), "pos", "d", "e"))
     spans = staged(every.groupBy(*key).agg(F.collect_set(F.struct("lo", "hi", "pos", "d", "e")).alias("spans")))
-    release(sure, near, twins)
+    release(sure, near, *([twins] if twins is not None else []))
     return texts.join(spans, key, "left").select("id", "text", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
-def mask(shape: Shape, data: bytes, start: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray, pos: np.ndarray, d: np.ndarray, e: np.ndarray) -> np.ndarray:
+def mask(shape: Shape, text: Units, lo: np.ndarray, hi: np.ndarray, pos: np.ndarray, d: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Which units of one text its spans cover, after a check of all digests."""
     of = np.flatnonzero(pos >= 0)
     if len(of):
-        left, right = extent(shape, pos[of], len(start))
-        own = digests([data[a:b] for a, b in zip(start[left].tolist(), end[right - 1].tolist(), strict=True)], (pos[of] - left).tolist())
+        left, right = extent(shape, pos[of], len(text))
+        own = digests(text.pieces(text.data.tobytes(), left, right), (pos[of] - left).tolist())
         if (own[0] != d[of]).any() or (own[1] != e[of]).any():
             raise ValueError("two different surroundings share a 64-bit hash")
-    return mask_of(len(start), lo, hi)
+    return mask_of(len(text), lo, hi)
 
 
 def mask_of(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

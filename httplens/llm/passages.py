@@ -128,10 +128,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
             for lo, hi, data, at in tb.blocks(batch.column(1)):
                 w = tb.words(data, at)
                 removed, kept = [], []
-                gone, raw = np.zeros(len(w.start), bool), w.data.tobytes()
+                gone, all_ = np.zeros(len(w.start), bool), an.Units(w.data, w.start, w.end)
                 for i in range(lo, hi):
                     a, b = w.first[i - lo], w.first[i - lo + 1]
-                    gone[a:b] = an.mask(shape, raw, w.start[a:b], w.end[a:b], *(x[cut[i] : cut[i + 1]] for x in parts))
+                    if b > a:
+                        gone[a:b] = an.mask(shape, all_.part(a, b), *(x[cut[i] : cut[i + 1]] for x in parts))
                     edge = np.flatnonzero(np.diff(np.r_[False, gone[a:b], False]))
                     removed.append([{"lo": x, "hi": y} for x, y in edge.reshape(-1, 2).tolist()])
                 size = w.end - w.start + 1

@@ -165,8 +165,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                 removed, kept = [], []
                 for i in range(lo, hi):
                     text = data[at[i - lo] : at[i - lo + 1]]
-                    place = np.arange(len(text) + 1)
-                    gone = an.mask(shape, text.tobytes(), place[:-1], place[1:], *(x[cut[i] : cut[i + 1]] for x in parts))
+                    gone = an.mask(shape, an.units(shape, text), *(x[cut[i] : cut[i + 1]] for x in parts))
                     edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                     removed.append([{"lo": a, "hi": b} for a, b in edge.reshape(-1, 2).tolist()])
                     kept.append(text[~gone].tobytes())

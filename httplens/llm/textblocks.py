@@ -92,7 +92,7 @@ def windows(first: np.ndarray, k: int, short: bool) -> tuple[np.ndarray, np.ndar
 #: The modulus of prefix hashes, 2^61 - 1.
 PRIME = (1 << 61) - 1
 #: Bytes whose terms are summed before they are reduced.
-_RUN = 1 << 20
+_RUN = 1 << 18
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -179,7 +179,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     done = 1
     while done < n:
         m = min(done, n - done)
-        out[done : done + m] = times(out[:m], np.full(m, pow(base, done, PRIME), np.uint64))
+        step = np.uint64(pow(base, done, PRIME))
+        for lo in range(0, m, BLOCK):  # so much at a time as stays small beside the tables
+            hi = min(m, lo + BLOCK)
+            out[done + lo : done + hi] = times(out[lo:hi], np.full(hi - lo, step))
         done += m
     return out
 

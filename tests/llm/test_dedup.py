@@ -103,14 +103,14 @@ def test_collisions_are_found(monkeypatch):
 def test_digests_of_twins_are_checked():
     shape = anchors.Shape(True, 13, 4, True)
     data = b" ".join(b"w%d" % i for i in range(30))
-    raw, start, end = anchors.units(shape, np.frombuffer(data, np.uint8))
+    text = anchors.units(shape, np.frombuffer(data, np.uint8))
     pos = np.array([12], np.int32)
     left, right = anchors.extent(shape, pos, 30)
-    d, e = anchors.digests([data[start[left[0]] : end[right[0] - 1]]], (pos - left).tolist())
+    d, e = anchors.digests(text.pieces(data, left, right), (pos - left).tolist())
     lo, hi = np.array([10], np.int32), np.array([23], np.int32)
-    assert anchors.mask(shape, data, start, end, lo, hi, pos, d, e).sum() == 13
+    assert anchors.mask(shape, text, lo, hi, pos, d, e).sum() == 13
     with pytest.raises(ValueError, match="share a 64-bit hash"):
-        anchors.mask(shape, data, start, end, lo, hi, pos, d, e + 1)
+        anchors.mask(shape, text, lo, hi, pos, d, e + 1)
 
 
 def test_a_third_of_all_rows_are_equal(spark, monkeypatch):
@@ -168,10 +168,10 @@ def test_long_texts_in_stretches(spark, monkeypatch):
     words = ["".join(map(chr, rng.integers(97, 105, 6))) for _ in range(900)]
     long = " ".join(words)
     data = [{"doc_id": 1, "text": long}, {"doc_id": 2, "text": "begin " + long[1203:4411] + " end"}, {"doc_id": 3, "text": long[:199] + "?"}]
-    raw = [anchors.anchors(anchors.Shape(False, 200, 64, False), *anchors.units(anchors.Shape(False, 200, 64, False), np.frombuffer(r["text"].encode(), np.uint8)))[0] for r in data]
+    raw = [anchors.anchors(anchors.Shape(False, 200, 64, False), anchors.units(anchors.Shape(False, 200, 64, False), np.frombuffer(r["text"].encode(), np.uint8)))[0] for r in data]
     assert all((np.diff(p) > 0).all() for p in raw)
     monkeypatch.undo()
-    whole = [anchors.anchors(anchors.Shape(False, 200, 64, False), *anchors.units(anchors.Shape(False, 200, 64, False), np.frombuffer(r["text"].encode(), np.uint8)))[0] for r in data]
+    whole = [anchors.anchors(anchors.Shape(False, 200, 64, False), anchors.units(anchors.Shape(False, 200, 64, False), np.frombuffer(r["text"].encode(), np.uint8)))[0] for r in data]
     assert all((a == b).all() for a, b in zip(raw, whole, strict=True))
     df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in data], "doc_id bigint, text string")
     assert _suffix_rows(sd.dedup(df)) == sorted(suffix_dedup(data), key=str)
