@@ -25,6 +25,8 @@ DOCUMENTS, LETTERS, ALL_DOCUMENTS = 32, 1500, 1024
 DENSE = 32
 #: Letters of a piece, and pieces times languages that are parsed at a time.
 RUN, PIECES = 256, 16384
+#: Pieces from which on they are followed one by one, and not in step.
+FEW = 48
 #: Characters of a text that are folded at a time.
 STRETCH = 1 << 20
 UNKNOWN = "und"
@@ -139,6 +141,11 @@ class Automata:
         begins = (to < 0) | (state == root)
         return np.where(begins, self.restart[letter], to), begins
 
+    def _rare(self, state: int, letter: int) -> int:
+        key = state * self.classes + letter % self.classes
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.to[at]) if at < len(self.keys) and self.keys[at] == key else -1
+
     def parsed(self, grid: np.ndarray, size: np.ndarray, goes_on: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases that begin in each piece under each language, states after the last). Pieces are
         the columns of grid; one that ``goes_on`` continues the one before, the first from ``ends``."""
@@ -158,42 +165,61 @@ class Automata:
             state[:m], starts[i, :m] = self.step(state[:m], root[:m], letter[i, :m], column[i, :m], some_rare[i])
         upto = np.cumsum(starts, axis=0, dtype=np.uint16)
         made, after, own = upto[-1].astype(np.int32), state, state.copy()
-        # enter each piece that goes on from the end of the one before, until no end changes
+        # enter each piece that goes on from the end of the one before
         at = np.empty(len(place), np.int64)
         at[place] = np.arange(len(place))
         before = np.where(place >= many, at[place - many], -1)
         following = np.full(len(place), -1)
         following[before[before >= 0]] = np.flatnonzero(before >= 0)
         on, length = np.repeat(goes_on[order], many), np.repeat(size[order], many)
-        todo = np.flatnonzero(on)
-        while len(todo):
-            state = np.where(before[todo] >= 0, after[before[todo]], ends[todo % many]).astype(np.int32)
-            j, count, changed = todo, np.zeros(len(todo), np.int32), []
-            for i in range(run):
-                if i >= length[j].min(initial=run):  # some end, and no place where both parses begin a phrase
-                    out = i >= length[j]
-                    made[j[out]] = count[out]
-                    changed.append(j[out][after[j[out]] != state[out]])
-                    after[j[out]] = state[out]
-                    j, state, count = j[~out], state[~out], count[~out]
-                if not len(j):
+        j = np.flatnonzero(on)
+        state = np.where(before[j] >= 0, after[before[j]], ends[j % many]).astype(np.int32)
+        count, changed = np.zeros(len(j), np.int32), []
+        for i in range(run):
+            if i >= length[j].min(initial=run):  # some end, and no place where both parses begin a phrase
+                out = i >= length[j]
+                made[j[out]] = count[out]
+                changed.append(j[out][after[j[out]] != state[out]])
+                after[j[out]] = state[out]
+                j, state, count = j[~out], state[~out], count[~out]
+            if len(j) < FEW:
+                break
+            state, begins = self.step(state, root[j], letter[i, j], column[i, j], some_rare[i])
+            count += begins
+            meets = begins & starts[i, j]
+            if meets.any():
+                done, left = j[meets], ~meets
+                made[done] = count[meets] + upto[-1, done] - upto[i, done]
+                j, state, count = j[left], state[left], count[left]
+        # the few that are left one by one, and on through the pieces after those whose ends have changed
+        nxt = following[np.concatenate([*changed, np.zeros(0, np.int64)]).astype(np.int64)]
+        later = np.unique(place[np.concatenate([j, nxt[(nxt >= 0) & on[nxt]]])])
+        table = memoryview(self.table)
+        for k in at[later].tolist():
+            now, n, i = int(after[before[k]] if before[k] >= 0 else ends[k % many]), 0, 0
+            while True:
+                letters, columns, own_starts, top = letter[:, k].tolist(), column[:, k].tolist(), starts[:, k].tolist(), int(root[k])
+                stop, end = int(length[k]), None
+                while i < stop:
+                    to = table[now * (DENSE + 1) + columns[i]]
+                    if columns[i] == DENSE and len(self.keys):
+                        to = self._rare(now, letters[i])
+                    if to < 0 or now == top:
+                        if own_starts[i]:
+                            n += int(upto[-1, k]) - int(upto[i, k]) + 1
+                            end = int(own[k])
+                            break
+                        n, to = n + 1, int(self.restart[letters[i]])
+                    now, i = to, i + 1
+                end = now if end is None else end
+                made[k] = n
+                if end == after[k]:
+                    break
+                after[k] = end
+                k = int(following[k])
+                if k < 0 or not on[k]:
                     break
-                state, begins = self.step(state, root[j], letter[i, j], column[i, j], some_rare[i])
-                count += begins
-                meets = begins & starts[i, j]
-                if meets.any():
-                    done = j[meets]
-                    made[done] = count[meets] + upto[-1, done] - upto[i, done]
-                    changed.append(done[after[done] != own[done]])
-                    after[done] = own[done]
-                    left = ~meets
-                    j, state, count = j[left], state[left], count[left]
-            made[j] = count
-            changed.append(j[after[j] != state])
-            after[j] = state
-            nxt = following[np.concatenate(changed)]
-            nxt = nxt[nxt >= 0]
-            todo = nxt[on[nxt]]
+                now, n, i = end, 0, 0
         out = np.empty(len(place), np.int32)
         out[place] = made
         return out.reshape(-1, many), after[at[-many:]]

@@ -175,10 +175,11 @@ def test_cross_parsing_counts_longest_matches():
         assert model.phrases(coded)[0].tolist() == [_phrases(text, "abracadabra banana"), _phrases(text, "zzz yyyy zyzy")]
 
 
-@pytest.mark.parametrize(("run", "pieces", "dense"), [(256, 16384, 32), (4, 9, 2), (1, 15, 0), (7, 1, 3), (16, 6, 32)])
-def test_no_cut_shows_in_the_phrases(monkeypatch, run, pieces, dense):
+@pytest.mark.parametrize("few", [0, 3, 48])
+@pytest.mark.parametrize(("run", "pieces", "dense"), [(256, 16384, 32), (4, 9, 2), (1, 15, 0), (7, 1, 3), (16, 6, 32), (5, 900, 1)])
+def test_no_cut_shows_in_the_phrases(monkeypatch, run, pieces, dense, few):
     """Whatever the pieces and the dense letters are, phrases are those of the whole text."""
-    for name, value in (("RUN", run), ("PIECES", pieces), ("DENSE", dense), ("STRETCH", 50)):
+    for name, value in (("RUN", run), ("PIECES", pieces), ("DENSE", dense), ("STRETCH", 50), ("FEW", few)):
         monkeypatch.setattr(langid, name, value)
     rng = random.Random(run)
     samples = {k: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(60)) for k, letters in (("a", "abcé"), ("b", "bcdж漢字"), ("c", "aaab"))}
