@@ -52,7 +52,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the vocabulary file: printable Latin-1 stands for
     itself, the others for the code points from 256 on, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -66,7 +66,7 @@ class Codec:
     def __init__(self, path: str, leaf: int = LEAF):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         self.leaf = leaf
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ranks = {bytes(letters[c] for c in text): n for text, n in spec["model"]["vocab"].items() if text not in self.special}

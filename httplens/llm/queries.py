@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, minhash, mixing, passages, secret_scan, sharding, simhash, suffix_dedup
+from . import ann, bpe, infill, langid, minhash, mixing, packing, passages, quantize, secret_scan, sharding, simhash, suffix_dedup
 from .sql import oracle_sql
 
 __all__ = ["oracle_sql", "queries"]
@@ -70,4 +70,7 @@ def queries() -> dict[str, Query]:
         "op8_mixing": _table("documents", _mixing),
         "op9_passage_dedup": _table("documents", _passages),
         "op10_simhash": _table("documents", simhash.near_duplicates),
+        "op11_fill_in_middle": _table("documents", lambda docs: infill.transform(docs).drop("output")),
+        "op12_best_fit_packing": _table("documents", lambda docs: packing.pack(docs).drop("ids")),
+        "op13_vector_codes": _table("embeddings", lambda vectors: quantize.compress(vectors)[0]),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, passages, sharding, suffix_dedup
+from . import mixing, passages, quantize, sharding, suffix_dedup
 from .secret_scan import RULES
 
 
@@ -39,9 +39,8 @@ s5 AS (SELECT source, source_size, slope, CASE WHEN o >= (SELECT o FROM first) T
 r AS (SELECT doc_id, size, source_size, slope, target, CAST(floor(target) AS BIGINT) AS quota, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS begin_ FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS copies FROM r), t AS (SELECT *, greatest(0, least(size, quota - copies * source_size - begin_)) AS part FROM c),
 u AS (SELECT *, CAST(copies * size + part AS BIGINT) AS taken, CAST(CASE WHEN copies * size + part > 0 THEN copies + CASE WHEN part > 0 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS passes FROM t),
-due AS (SELECT *, CAST(begin_ AS DOUBLE) / target AS y, CAST(begin_ + (passes - 1) * source_size AS DOUBLE) / target AS z FROM u WHERE passes > 0),
-at_ AS (SELECT doc_id, h, (2 * y) / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * y)) AS position, (2 * z) / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * z)) AS last_position FROM due)
-SELECT doc_id, size, source_size, target, taken, passes, position, last_position FROM u LEFT JOIN at_ USING (doc_id, h)"""
+due AS (SELECT *, CASE WHEN passes > 0 THEN CAST(begin_ AS DOUBLE) / target END AS y, CASE WHEN passes > 0 THEN CAST(begin_ + (passes - 1) * source_size AS DOUBLE) / target END AS z FROM u)
+SELECT doc_id, size, source_size, target, taken, passes, (2 * y) / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * y)) AS position, (2 * z) / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * z)) AS last_position FROM due"""
 
 
 def _passages() -> str:
@@ -65,5 +64,38 @@ s AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(hi - lo) AS BIGINT) AS n_remo
 SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)"""
 
 
+def _infill() -> str:
+    draw = lambda n: f"CAST('0x' || substr(h, {8 * n - 7}, 8) AS BIGINT)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, {draw(1)} AS h1, {draw(2)} AS h2, {draw(3)} AS h3, {draw(4)} AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+ CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, '<P>' || substr(t, 1, a) AS x, '<S>' || substr(t, b + 1) AS z, '<M>' || substr(t, a + 1, b - a) AS y FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN x || z || y ELSE z || x || y END AS out FROM p),
+r AS (SELECT *, strpos(out, '<P>') AS i, strpos(out, '<S>') AS j, strpos(out, '<M>') AS m FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(out) AS output_sha256,
+ sha256(CASE form WHEN 'plain' THEN out WHEN 'psm' THEN substr(out, i + 3, j - i - 3) || substr(out, m + 3) || substr(out, j + 3, m - j - 3)
+  ELSE substr(out, i + 3, m - i - 3) || substr(out, m + 3) || substr(out, j + 3, i - j - 3) END) AS restored_sha256 FROM r"""
+
+
+def _codes() -> str:
+    """Every round as a table of its entries; assignments by all distances."""
+    parts, k = quantize.PARTS, quantize.ENTRIES
+    near = lambda n: f"""SELECT r, p, x, e, d FROM (SELECT v.r, v.p, v.x, b.e, list_sum(list_transform(list_zip(v.x, b.x), lambda q: CAST((q[1] - q[2]) * (q[1] - q[2]) AS HUGEINT))) AS d,
+ row_number() OVER (PARTITION BY v.r, v.p ORDER BY d, b.e) AS nth FROM v JOIN b{n} b USING (p)) WHERE nth = 1"""
+    rounds = []
+    for n in range(quantize.ROUNDS):
+        rounds.append(f"""a{n} AS MATERIALIZED ({near(n)}),
+m{n} AS (SELECT p, e, list(CAST(CASE WHEN s >= 0 THEN s // c ELSE -((-s + c - 1) // c) END AS BIGINT) ORDER BY j) AS x FROM (SELECT p, e, j, sum(x[j]) AS s, count(*) AS c FROM a{n}, range(1, 65) t(j) WHERE j <= len(x) GROUP BY ALL) GROUP BY p, e),
+b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN m{n} m USING (p, e))""")
+    last = quantize.ROUNDS
+    return f"""WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {quantize.SCALE}) AS BIGINT)) AS x, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, p, x[p * len(x) // {parts} + 1:(p + 1) * len(x) // {parts}] AS x FROM k, range(0, {parts}) t(p)), b0 AS (SELECT p, r - 1 AS e, x FROM v WHERE r <= {k}),
+{", ".join(rounds)}, f AS MATERIALIZED ({near(last)}),
+c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY r), books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM b{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM k JOIN c USING (r), books"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _sharding(), "op2_secret_scans": _secrets(), "op7_suffix_dedup": _suffixes(), "op8_mixing": _mixing(), "op9_passage_dedup": _passages()}
+    return {"op1_sharding": _sharding(), "op2_secret_scans": _secrets(), "op7_suffix_dedup": _suffixes(), "op8_mixing": _mixing(), "op9_passage_dedup": _passages(), "op11_fill_in_middle": _infill(), "op13_vector_codes": _codes()}
