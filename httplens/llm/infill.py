@@ -30,8 +30,9 @@ class Marks(NamedTuple):
     middle: str = "<M>"
 
     def check(self) -> None:
-        """No end of a mark may begin another, or a text beside it could be taken for one."""
-        if not all(self) or any(a[-n:] == b[:n] for a in self for b in self for n in range(1, min(len(a), len(b)) + (a != b))):
+        """No mark may hold another, and no end of one begin another, or a text beside it could be taken for one."""
+        apart = all(a not in b for i, a in enumerate(self) for j, b in enumerate(self) if i != j)
+        if not all(self) or not apart or any(a[-n:] == b[:n] for a in self for b in self for n in range(1, min(len(a), len(b)) + (a != b))):
             raise ValueError(f"marks overlap: {tuple(self)}")
 
 

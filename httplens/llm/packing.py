@@ -4,7 +4,7 @@
    pieces of each length. All that goes on to the plan is the histogram of lengths.
 2. The plan is a configuration linear program: how often is each combination of lengths that fits a
    sequence used, so that all pieces are covered by as few sequences as possible? Multiplicative
-   weights solve it: lengths that lag behind cost more, and a knapsack by dynamic programming finds
+   weights solve it: lengths that are left over cost more, and a knapsack by dynamic programming finds
    the most valuable combinations at these prices.
 3. The fractions are rounded along their cumulative sum, and what the roundings leave goes where it
    fits best, longest first.
@@ -41,11 +41,11 @@ from .lineage import staged
 VOCABULARY = "word_bpe_49k.json"
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END = 2048, 0
-#: Rounds of the weights; each takes an equal part of what is left, and gives at most a configuration
-#: for each length.
+#: Rounds that set the weights, and rounds that take an equal part of all pieces each; one gives at most
+#: a configuration for each length.
 ROUNDS = 32
-#: How much a length that lags behind by all its pieces is dearer (as a power of e).
-RATE = 2.0
+#: By how much a length of which all is left over gets dearer in the first round (as a power of e).
+RATE = 1.0
 #: Words whose ids a task remembers, twice so many at most, and the bytes of the longest such word.
 WORDS, WORD = 1 << 18, 64
 
@@ -241,31 +241,56 @@ def relaxed(lengths: np.ndarray, number: np.ndarray, capacity: int, rounds: int
     """The linear program over configurations: (places of lengths, how often) and a lower bound on
     the number of sequences, from the best of the prices tried.
 
-    A length's price is its share of a sequence, times its weight. Each round takes an equal part
-    of all pieces that are left, by the best configurations that hold each length; a length of which
-    more is left than of others has been covered less, and its weight rises by that."""
-    left, total, out, bound = number.astype(float), number.astype(float), [], 0.0
+    A length's price is its share of a sequence, times its weight. Each round hands out pieces to the
+    best configurations that hold each length, most valuable first; a length of which some are left
+    over is multiplied up by the part left, against the mean. The first ``rounds`` hand out all
+    pieces and only set the weights; as many follow that take an equal part of what there is."""
+    total, out, bound = number.astype(float), [], least(lengths, number, capacity)
+    left, weight = total.copy(), np.zeros(len(lengths))
     sack = Knapsack(lengths, capacity)
-    for r in range(rounds):
-        lag = left / total
-        price = lengths / capacity * np.exp(rate * (lag - (left * lengths).sum() / (total * lengths).sum()))
+    for r in range(2 * rounds):
+        price = lengths / capacity * np.exp(weight)
         sack.solve(price)
         bound = max(bound, float((total * price).sum() / sack.best[capacity]))
-        quota = (left / (rounds - r)).tolist()
-        value = price + sack.best[capacity - lengths]
-        for j in np.lexsort((-lengths, -np.round(value, 9))).tolist():
-            if quota[j] > 0:
-                held = sack.with_one(j)
-                times = min(quota[i] / k for i, k in held.items())
-                if times > 0:
-                    out.append((held, times))
-                    for i, k in held.items():
-                        quota[i] -= k * times
-                        left[i] -= k * times
-        left = np.maximum(left, 0)
+        share = total if r < rounds else left / (2 * rounds - r)
+        given, rest = _handed_out(sack, price, share)
+        if r >= rounds:
+            out += given
+            left = np.maximum(left - (share - rest), 0)
+        short = rest / np.maximum(share, 1e-300)
+        weight += rate / (1 + 4 * r / rounds) * (short - np.average(short, weights=total * lengths))
     return out, bound
 
 
+def _handed_out(sack: Knapsack, price: np.ndarray, share: np.ndarray) -> tuple[list[tuple[dict[int, int], float]], np.ndarray]:
+    """Configurations with how often each is used, until one of its lengths runs out; what is left."""
+    out, rest = [], share.tolist()
+    value = price + sack.best[sack.capacity - sack.lengths]
+    for j in np.lexsort((-sack.lengths, -np.round(value, 9))).tolist():
+        if rest[j] > 0:
+            held = sack.with_one(j)
+            times = min(rest[i] / k for i, k in held.items())
+            if times > 0:
+                out.append((held, times))
+                for i, k in held.items():
+                    rest[i] -= k * times
+    return out, np.maximum(rest, 0)
+
+
+def least(lengths: np.ndarray, number: np.ndarray, capacity: int) -> float:
+    """Sequences that are needed at the least: those over half a sequence need one each, and what room
+    they leave may hold others, but none beside a length that leaves less than the others have. And
+    of lengths from t on no more fit than t says."""
+    words = lengths * number
+    best = max(words.sum() / capacity, (np.cumsum(number[::-1])[::-1] / (capacity // lengths)).max())
+    large = lengths * 2 > capacity
+    for t in lengths[~large].tolist():
+        full, half = lengths > capacity - t, large & (lengths <= capacity - t)
+        rest = words[~large & (lengths >= t)].sum() - (number[half] * capacity - words[half]).sum()
+        best = max(best, float(number[full].sum() + number[half].sum() + max(0, rest) / capacity))
+    return max(best, float(number[large].sum()))
+
+
 def rounded(lengths: np.ndarray, number: np.ndarray, capacity: int, program: list[tuple[dict[int, int], float]]) -> list[tuple[Configuration, int]]:
     """Whole configurations with how often each is used, which hold all pieces and no more. Each is
     used as often as its share of the cumulative sum says, as long as there are pieces; what is left

@@ -203,7 +203,7 @@ def _assigned(rows: DataFrame, books: Codebooks) -> DataFrame:
                 part = [batch.column(i).slice(lo, len(x)) for i in (0, 1)]
                 yield _record(id=part[0], label=part[1], code=pa.array([text[i : i + step] for i in range(0, len(text), step)]), error=pa.array(error, pa.int64()))
 
-    fits = F.size("x") == size
+    fits = (F.size("x") == size) & F.lit(size > 0)
     coded = rows.where(fits).select("id", "label", "x").mapInArrow(run, kind.add("code", "string").add("error", "long")) if size else None
     stray = rows.where(~fits).select("id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("bigint").alias("error"))
     return stray if coded is None else coded.union(stray)
