@@ -1,152 +1,68 @@
-"""Raw HTTP messages: framing of concatenated corpora, and parsing of single messages.
+"""Raw HTTP messages: corpora of concatenated messages, and parsing of single ones.
 
-Framing depends on each message's Content-Length, so a file is read by one task from front to back
-and files are spread; parsing is then per row and native."""
+Messages are told apart by ``framing``, in ranges of each file; parsing is then per row."""
 
 from __future__ import annotations
 
-import io
-import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.forms import safe_name
 from ..functions.text import SPACE
-
-_LINE = re.compile(rb"^[^\s]+\s+.+?\s+HTTP/[^\s]+\s*$")
-_PARTS = re.compile(rb"^([^\s]+)\s+(.+?)\s+HTTP/([^\s]+)$")
+from . import framing
 
 #: Counters of the lenient scan.
 COUNTERS = ("outside", "header_end", "folded", "bad_length", "truncated")
 
 
-def strict_messages(stream) -> Iterator[bytes]:
-    """Messages byte for byte; an error on anything that isn't one."""
-    while True:
-        line = stream.readline()
-        while line in (b"\n", b"\r\n"):
-            line = stream.readline()
-        if not line:
-            return
-        if not _LINE.match(line):
-            raise ValueError(f"not a request line: {line[:120]!r}")
-        parts, size = [line], 0
-        while line not in (b"\n", b"\r\n"):
-            line = stream.readline()
-            if not line:
-                raise ValueError("end of file inside headers")
-            parts.append(line)
-            name, colon, value = line.partition(b":")
-            if colon and name.strip().lower() == b"content-length":
-                try:
-                    size = int(value.strip())
-                except ValueError as e:
-                    raise ValueError("Content-Length is not a number") from e
-                if size < 0:
-                    raise ValueError("Content-Length is negative")
-        body = stream.read(size) if size else b""
-        if len(body) != size:
-            raise ValueError("body is cut off")
-        yield b"".join([*parts, body])
-
-
-def lenient_messages(stream) -> Iterator[tuple[dict | None, dict[str, int]]]:
-    """(message or None, counters since the last): lines outside messages are skipped and counted,
-    folded headers joined, malformed ones listed; the last valid Content-Length holds."""
-    seen = dict.fromkeys(COUNTERS, 0)
-    while line := stream.readline():
-        bare = line.rstrip(b"\r\n")
-        if not bare:
-            continue
-        m = _PARTS.match(bare)
-        if not m:
-            seen["outside"] += 1
-            continue
-        headers: dict[str, list[str]] = {}
-        malformed, last = [], None
-        while True:
-            line = stream.readline()
-            if not line:
-                seen["header_end"] += 1
-                break
-            bare = line.rstrip(b"\r\n")
-            if not bare:
-                break
-            if bare[:1] in (b" ", b"\t") and last:
-                headers[last][-1] += " " + bare.decode("latin-1").strip()
-                seen["folded"] += 1
-                continue
-            name, colon, value = bare.partition(b":")
-            if not colon:
-                malformed.append(bare.decode("latin-1"))
-                last = None
-                continue
-            last = name.decode("latin-1").lower().strip()[:120]
-            headers.setdefault(last, []).append(value.decode("latin-1").strip())
-        size = 0
-        if "content-length" in headers:
-            try:
-                size = int(headers["content-length"][-1])
-            except ValueError:
-                size = -1
-            if size < 0:
-                seen["bad_length"] += 1
-                size = 0
-        body = stream.read(size) if size else b""
-        seen["truncated"] += len(body) != size
-        method, target, version = (g.decode("latin-1") for g in m.groups())
-        yield {"method": method.upper(), "target": target, "version": version, "headers": headers, "body": body, "malformed": malformed}, seen
-        seen = dict.fromkeys(COUNTERS, 0)
-    if any(seen.values()):
-        yield None, seen
-
-
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256, content) of each file."""
     raw = spark.read.format("binaryFile").load(path)
     return raw.select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
 
 
-def scan(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+def scan(spark: SparkSession, path: str, dataset: str, chunk: int = framing.CHUNK) -> DataFrame:
     """(dataset, path, sequence, raw): strictly framed messages, in order from 0 in each file."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                part = []
-                for n, raw in enumerate(strict_messages(io.BytesIO(content))):
-                    part.append((name, n, raw))
-                    if len(part) == 4096:
-                        yield pd.DataFrame(part, columns=["path", "sequence", "raw"])
-                        part = []
-                yield pd.DataFrame(part, columns=["path", "sequence", "raw"])
+    return framing.frame(spark, path, True, chunk).select(F.lit(dataset).alias("dataset"), "path", "sequence", "raw")
 
-    rows = files(spark, path).select("path", "content").mapInPandas(run, "path string, sequence bigint, raw binary")
-    return rows.select(F.lit(dataset).alias("dataset"), "path", "sequence", "raw")
 
+_REQUEST = {
+    "method": pa.string(), "target": pa.string(), "version": pa.string(), "headers": pa.map_(pa.string(), pa.list_(pa.string())), "body": pa.binary(), "malformed": pa.list_(pa.string()),
+    **{c: pa.int64() for c in COUNTERS[1:]},
+}
+_REQUEST_SCHEMA = "method string, target string, version string, headers map<string,array<string>>, body binary, malformed array<string>, " + ", ".join(f"{c} bigint" for c in COUNTERS[1:])
 
-_REQUEST = "method string, target string, version string, headers map<string,array<string>>, body binary, malformed array<string>"
 
+def _opened(raw: bytes | None) -> tuple:
+    """Columns of a leniently framed message: the last Content-Length holds, folded lines are joined."""
+    if raw is None:
+        return (None,) * 6 + (0,) * 4
+    stop = (raw.find(b"\n") + 1) or len(raw)
+    text = [x.decode("latin-1") for x in framing.PARTS.match(raw, 0, stop).groups()]
+    end = framing.end_of_head(raw, stop)
+    found, malformed, folded = framing.fields(raw[stop : end[0]])
+    names: dict[str, list[str]] = {}
+    for name, value in found:
+        names.setdefault(name, []).append(value)
+    size, body = framing.body_size(names.get("content-length", [])), raw[end[1] :]
+    return text[0].upper(), *text[1:], list(names.items()), body, malformed, int(end[0] == end[1]), folded, int(size < 0), int(len(body) < size)
 
-def scan_lenient(spark: SparkSession, path: str, corpus: str) -> DataFrame:
+
+def scan_lenient(spark: SparkSession, path: str, corpus: str, chunk: int = framing.CHUNK) -> DataFrame:
     """(corpus, path, seq, request columns, counters): as the lenient framing gives them. A row without
-    a method carries the counters of what follows the last message."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                rows, empty = [], {"method": None, "target": None, "version": None, "headers": None, "body": None, "malformed": None}
-                for n, (message, seen) in enumerate(lenient_messages(io.BytesIO(content))):
-                    rows.append({"path": name, "seq": n, **(message or empty), **seen})
-                    if len(rows) == 4096:
-                        yield pd.DataFrame(rows)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows)
-
-    schema = f"path string, seq bigint, {_REQUEST}, " + ", ".join(f"{c} bigint" for c in COUNTERS)
-    rows = files(spark, path).select("path", "content").mapInPandas(run, schema)
+    a method carries the lines outside that follow a chunk's last message."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*map(_opened, batch.column(2).to_pylist()), strict=True)) or [()] * len(_REQUEST)
+            own = [pa.array(list(c), t) for c, t in zip(rows, _REQUEST.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *own], names=["path", "seq", "outside", *_REQUEST])
+
+    framed = framing.frame(spark, path, False, chunk).select("path", F.col("sequence").alias("seq"), "raw", "outside")
+    rows = framed.mapInArrow(run, f"path string, seq bigint, outside bigint, {_REQUEST_SCHEMA}")
     return rows.withColumns({"corpus": F.lit(corpus), "method": safe_name(F.col("method"), 40), "version": safe_name(F.col("version"), 30)})
 
 
