@@ -14,9 +14,11 @@ holds such a run, so equal windows hold an equal grain at an equal offset: its a
 3. ``surroundings``, ``compare``: these anchors' surroundings as text, in groups of a grain, for
    the caller's own method, which decides on every window; grains with more than a crowd of them
    go window by window, by digests of 128 bits.
-4. ``covered``: if ranked, twins get the spans of the anchor that stands for them if the digests
-   (128 bits) of both surroundings agree; otherwise they were told apart by hashes of 128 bits in
-   the first place, and as two more of their kind lie elsewhere, all their windows count.
+4. ``covered``: if ranked, twins get the spans of the anchor that stands for them; otherwise, as two
+   more of their kind lie elsewhere, all their windows count.
+
+Surroundings are of one kind if their BLAKE2 digests of 128 bits are equal, which nobody who writes
+a text can bring about; all else that a hash suggests is compared byte by byte.
 
 Everything streams over sorted partitions; no group is ever held whole unless it is small."""
 
@@ -48,12 +50,14 @@ HOT = 1 << 20
 
 class Shape(NamedTuple):
     """What a text is made of, and how long windows and grains are. ``ranked``: a window counts
-    where a text of smaller rank holds it, otherwise where it occurs anywhere else."""
+    where a text of smaller rank holds it, otherwise where it occurs anywhere else. ``bits`` of a
+    grain's hash are used: with few, other grains meet as well, which costs time and changes nothing."""
 
     words: bool
     window: int
     grain: int
     ranked: bool
+    bits: int = 64
 
 
 class Units(NamedTuple):
@@ -105,9 +109,8 @@ def chosen(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(shape: Shape, text: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(unit, hash of the grain, hash of the surroundings and, if not ranked, 64 bits more of it) of
-    the anchors of one text."""
-    n, (_, window, grain, _) = len(text), shape
+    """(unit, hash of the grain, two halves of the digest of the surroundings) of the anchors of one text."""
+    n, (_, window, grain, _, bits) = len(text), shape
     found = []
     for lo in range(0, n if n >= window else 0, STRETCH):
         a, b = max(0, lo - 2 * window), min(n, lo + STRETCH + 2 * window)
@@ -119,11 +122,9 @@ def anchors(shape: Shape, text: Units) -> tuple[np.ndarray, np.ndarray, np.ndarr
         at = chosen(tb.PlaceHash(part.data).of(s[: b - a - grain + 1], e[grain - 1 :]), window - grain + 1)
         at = at[(at >= lo - a) & (at < lo - a + STRETCH)]
         left, right = np.maximum(0, at - (window - grain)), np.minimum(b - a, at + window)
-        raw, form = part.data.tobytes(), ((at - left).astype(np.uint64) << np.uint64(32)) + (right - at).astype(np.uint64)
-        own = np.array([xxhash.xxh3_64_intdigest(x) for x in part.pieces(raw, at, at + grain)], np.uint64)
-        wide = b"".join([xxhash.xxh3_128_digest(x) for x in part.pieces(raw, left, right)])
-        around, more = np.frombuffer(wide, np.uint64).reshape(-1, 2).T
-        found.append((at + a, own, around ^ tb.mixed(form), np.zeros_like(more) if shape.ranked else more))
+        raw = part.data.tobytes()
+        own = np.array([xxhash.xxh3_64_intdigest(x) for x in part.pieces(raw, at, at + grain)], np.uint64) >> np.uint64(64 - bits)
+        found.append((at + a, own, *(x.view(np.uint64) for x in digests(part.pieces(raw, left, right), (at - left).tolist()))))
     none = np.zeros(0, np.uint64)
     return tuple(np.concatenate([*x, y]) for x, y in zip(zip(*found, strict=True) if found else ((), (), (), ()), (none.astype(np.int64), none, none, none), strict=True))
 
@@ -330,14 +331,15 @@ Windows = Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.n
 
 
 def compare(around: DataFrame, shape: Shape, solve: Solve, windows: Windows, crowd: int = CROWD) -> DataFrame:
-    """(rid, rank, pos, lo, hi, d, e) of units that windows around the anchors cover which count.
+    """(rid, rank, pos, lo, hi) of units that windows around the anchors cover which count, one row an
+    anchor: its windows all hold it, so what they cover is one run.
 
     solve(grain, rank, texts, left) gives (anchor, units before it that are covered, units from it
     on) for whole grains; windows(left, texts) gives (anchor, two halves of a digest, units before
     it) of every window that holds the anchor's grain, for grains with more than a crowd of
     surroundings: those windows are counted by a grouped aggregate, with partial sums before the
-    shuffle. d and e are the digest of the anchor's surroundings."""
-    schema = "crowded boolean, " + AROUND + ", hi int, d bigint, e bigint"
+    shuffle."""
+    schema = "crowded boolean, " + AROUND + ", hi int"
     fields = ("grain", "rid", "rank", "pos", "left")
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -394,15 +396,13 @@ def compare(around: DataFrame, shape: Shape, solve: Solve, windows: Windows, cro
             cols = [table.column(i).to_numpy() for i in range(5)]
             texts = table.column(5).to_pylist()
             if crowded:
-                d, e = digests(texts, cols[4].tolist())
-                yield _record(crowded=np.ones(len(texts), bool), **dict(zip(fields, cols, strict=True)), around=pa.array(texts, pa.binary()), hi=pa.nulls(len(texts), pa.int32()), d=d, e=e)
+                yield _record(crowded=np.ones(len(texts), bool), **dict(zip(fields, cols, strict=True)), around=pa.array(texts, pa.binary()), hi=pa.nulls(len(texts), pa.int32()))
             elif len(texts) > 1:
                 which, before, after = solve(cols[0], cols[2], texts, cols[4])
                 pos = cols[3][which]
-                d, e = digests([texts[i] for i in which.tolist()], cols[4][which].tolist())
                 yield _record(
                     crowded=np.zeros(len(which), bool), grain=cols[0][which], rid=cols[1][which], rank=cols[2][which], pos=pos,
-                    left=before.astype(np.int32), around=pa.nulls(len(which), pa.binary()), hi=(pos + after).astype(np.int32), d=d, e=e,
+                    left=before.astype(np.int32), around=pa.nulls(len(which), pa.binary()), hi=(pos + after).astype(np.int32),
                 )
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,16 +411,15 @@ def compare(around: DataFrame, shape: Shape, solve: Solve, windows: Windows, cro
                 part = batch.slice(lo, 2048)
                 which, h, k, before = windows(part.column(4).to_numpy(), part.column(5).to_pylist())
                 taken = {name: part.column(i).take(pa.array(which)) for i, name in enumerate(fields[:4])}
-                yield _record(**taken, h=h, k=k, lo=(taken["pos"].to_numpy() - before).astype(np.int32), d=part.column(6).take(pa.array(which)), e=part.column(7).take(pa.array(which)))
+                yield _record(**taken, h=h, k=k, lo=(taken["pos"].to_numpy() - before).astype(np.int32))
 
     found = staged(around.repartition("grain").sortWithinPartitions("grain").mapInArrow(settled, schema))
-    spans = found.where("not crowded").select(*_PLACE, (F.col("pos") - F.col("left")).alias("lo"), "hi", "d", "e")
-    each = found.where("crowded").select("grain", *_PLACE, "left", "around", "d", "e")
-    each = each.mapInArrow(opened, "grain bigint, rid bigint, rank bigint, pos int, h bigint, k bigint, lo int, d bigint, e bigint")
+    spans = found.where("not crowded").select(*_PLACE, (F.col("pos") - F.col("left")).alias("lo"), "hi")
+    each = found.where("crowded").select("grain", *_PLACE, "left", "around")
+    each = each.mapInArrow(opened, "grain bigint, rid bigint, rank bigint, pos int, h bigint, k bigint, lo int")
     seen = each.groupBy("grain", "h", "k").agg(F.count("*").alias("n"), F.min("rank").alias("least"))
-    both = each.join(seen, ["grain", "h", "k"])
-    both = both.where("rank > least" if shape.ranked else "n > 1")
-    return spans.union(both.select(*_PLACE, "lo", F.col("lo") + shape.window, "d", "e"))
+    both = each.join(seen, ["grain", "h", "k"]).where("rank > least" if shape.ranked else "n > 1")
+    return spans.union(both.groupBy(*_PLACE).agg(F.min("lo").alias("lo"), (F.max("lo") + shape.window).alias("hi")))
 
 
 def digests(texts: list[bytes], left: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -439,21 +438,20 @@ def texts_of(df: DataFrame, id_col: str, text_col: str, ranked: bool) -> DataFra
     return rows.select("id", F.xxhash64("id", "text").alias("rid"), "rank", "text")
 
 
-_SPANS = "array<struct<lo:int,hi:int,pos:int,d:bigint,e:bigint>>"
+_SPANS = "array<struct<lo:int,hi:int>>"
 
 
 def covered(texts: DataFrame, shape: Shape, solve: Solve, windows: Windows, crowd: int = CROWD) -> DataFrame:
-    """``texts`` (id, text) with spans: array of (lo, hi, pos, d, e) in units that windows which
-    count cover, in any order, overlapping, hi perhaps past the end. Those of twins have the anchor
-    and the digest (d, e) that its surroundings must have (see ``mask``).
+    """``texts`` (id, text) with spans: array of (lo, hi) in units that windows which count cover, in
+    any order, overlapping, hi perhaps past the end; at most two for each anchor.
 
     Each step is written and what it read is dropped, so that disk follows the largest step."""
     marks = staged(mark(texts.select("rid", "rank", "text"), shape))
     with scoped(texts.sparkSession) as keep:
         met = keep(staged(meet(marks, shape)))
     w, g = shape.window, shape.grain
-    key, none = ["rid", "rank"], [F.lit(-1).alias("pos"), F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("e")]
-    whole = lambda df: df.select(*key, F.greatest(F.lit(0), F.col("pos") - (w - g)).alias("lo"), (F.col("pos") + w).alias("hi"), *none)
+    key = ["rid", "rank"]
+    whole = lambda df: df.select(*key, F.greatest(F.lit(0), F.col("pos") - (w - g)).alias("lo"), (F.col("pos") + w).alias("hi"))
     sure = whole(marks.where("met"))
     sure = staged(sure if shape.ranked else sure.union(whole(met.where("not apart"))))
     release(marks)
@@ -463,28 +461,17 @@ def covered(texts: DataFrame, shape: Shape, solve: Solve, windows: Windows, crow
     with scoped(texts.sparkSession) as keep:
         near = keep(staged(compare(surroundings(texts, apart, shape), shape, solve, windows, crowd)))
     release(apart)
-    every = sure.union(near.select(*key, "lo", "hi", *none))
+    every = sure.union(near.select(*key, "lo", "hi"))
     if twins is not None:
         moved = F.col("pos") - F.col("of_pos")
         of = near.withColumnsRenamed({c: f"of_{c}" for c in _PLACE})
-        every = every.union(of.join(twins, [f"of_{c}" for c in _PLACE]).select(*key, (F.col("lo") + moved).alias("lo"), (F.col("hi") + moved).alias("hi"), "pos", "d", "e"))
-    spans = staged(every.groupBy(*key).agg(F.collect_set(F.struct("lo", "hi", "pos", "d", "e")).alias("spans")))
+        every = every.union(of.join(twins, [f"of_{c}" for c in _PLACE]).select(*key, (F.col("lo") + moved).alias("lo"), (F.col("hi") + moved).alias("hi")))
+    spans = staged(every.groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     release(sure, near, *([twins] if twins is not None else []))
     return texts.join(spans, key, "left").select("id", "text", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
-def mask(shape: Shape, text: Units, lo: np.ndarray, hi: np.ndarray, pos: np.ndarray, d: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Which units of one text its spans cover, after a check of all digests."""
-    of = np.flatnonzero(pos >= 0)
-    if len(of):
-        left, right = extent(shape, pos[of], len(text))
-        own = digests(text.pieces(text.data.tobytes(), left, right), (pos[of] - left).tolist())
-        if (own[0] != d[of]).any() or (own[1] != e[of]).any():
-            raise ValueError("two different surroundings share a 64-bit hash")
-    return mask_of(len(text), lo, hi)
-
-
-def mask_of(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def mask(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Which of n units any of the spans covers."""
     change = np.zeros(n + 1, dtype=np.int64)
     np.add.at(change, lo, 1)

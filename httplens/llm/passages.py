@@ -111,28 +111,29 @@ def opener(window: int):
     return windows
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, grain: int = GRAIN, crowd: int = an.CROWD) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, grain: int = GRAIN, crowd: int = an.CROWD, bits: int = 64) -> DataFrame:
     """(id, n_words, removed, kept) of every row: its words without those that a window of
     ``window`` words covers which also starts in a row of smaller id; kept: the others joined by one
     space, removed: array of (lo, hi), the maximal runs of removed words.
 
     Null text has no words; ids are integers or of another type that has an order; rows of one id
-    don't remove each other's words; a null id is larger than any; an empty table gives an empty one; other columns are ignored."""
-    shape = an.Shape(words=True, window=window, grain=grain, ranked=True)
+    don't remove each other's words; a null id is larger than any; texts of any length are read whole, in
+    stretches; an empty table gives an empty one; other columns are ignored."""
+    shape = an.Shape(words=True, window=window, grain=grain, ranked=True, bits=bits)
     joined = an.covered(an.texts_of(df, id_col, text_col, ranked=True), shape, solver(window, grain), opener(window), crowd)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, cut = an.list_parts(batch.column(2), ("lo", "hi", "pos", "d", "e"))
+            parts, cut = an.list_parts(batch.column(2), ("lo", "hi"))
             for lo, hi, data, at in tb.blocks(batch.column(1)):
                 w = tb.words(data, at)
                 removed, kept = [], []
-                gone, all_ = np.zeros(len(w.start), bool), an.Units(w.data, w.start, w.end)
+                gone = np.zeros(len(w.start), bool)
                 for i in range(lo, hi):
                     a, b = w.first[i - lo], w.first[i - lo + 1]
                     if b > a:
-                        gone[a:b] = an.mask(shape, all_.part(a, b), *(x[cut[i] : cut[i + 1]] for x in parts))
+                        gone[a:b] = an.mask(int(b - a), *(x[cut[i] : cut[i + 1]] for x in parts))
                     edge = np.flatnonzero(np.diff(np.r_[False, gone[a:b], False]))
                     removed.append([{"lo": x, "hi": y} for x, y in edge.reshape(-1, 2).tolist()])
                 size = w.end - w.start + 1

@@ -146,26 +146,26 @@ def opener(window: int):
     return windows
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, grain: int = GRAIN, crowd: int = an.CROWD) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, grain: int = GRAIN, crowd: int = an.CROWD, bits: int = 64) -> DataFrame:
     """(id, n_bytes, removed, kept) of every row: the text as UTF-8 without each byte that a string
     of ``window`` bytes covers which also starts anywhere else; removed: array of (lo, hi), the
     maximal runs of removed bytes.
 
     Matches don't cross rows. Null text counts as empty; rows shorter than the window lose
-    nothing; equal rows remove each other whole; null ids are rows like any other; an empty table
-    gives an empty one; other columns are ignored."""
-    shape = an.Shape(words=False, window=window, grain=grain, ranked=False)
+    nothing; equal rows remove each other whole; null ids are rows like any other; texts of any length
+    are read whole, in stretches; an empty table gives an empty one; other columns are ignored."""
+    shape = an.Shape(words=False, window=window, grain=grain, ranked=False, bits=bits)
     joined = an.covered(an.texts_of(df, id_col, text_col, ranked=False), shape, solver(window), opener(window), crowd)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, cut = an.list_parts(batch.column(2), ("lo", "hi", "pos", "d", "e"))
+            parts, cut = an.list_parts(batch.column(2), ("lo", "hi"))
             for lo, hi, data, at in tb.blocks(batch.column(1), 1 << 22):
                 removed, kept = [], []
                 for i in range(lo, hi):
                     text = data[at[i - lo] : at[i - lo + 1]]
-                    gone = an.mask(shape, an.units(shape, text), *(x[cut[i] : cut[i + 1]] for x in parts))
+                    gone = an.mask(len(text), *(x[cut[i] : cut[i + 1]] for x in parts))
                     edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                     removed.append([{"lo": a, "hi": b} for a, b in edge.reshape(-1, 2).tolist()])
                     kept.append(text[~gone].tobytes())

@@ -100,17 +100,29 @@ def test_collisions_are_found(monkeypatch):
     assert want == [x.tolist() for x in passages.solver(13, 4)(np.zeros(12, np.int64), rank, texts, left)]
 
 
-def test_digests_of_twins_are_checked():
+@pytest.mark.parametrize("crowd", [40, anchors.CROWD])
+def test_colliding_grains_end_with_the_right_rows(docs, rows, crowd):
+    """Grains told by two bits of their hash: different ones meet, in crowds, too."""
+    assert _suffix_rows(sd.dedup(docs, crowd=crowd, bits=2)) == sorted(suffix_dedup(rows), key=str)
+    assert _passage_rows(passages.dedup(docs, crowd=crowd, bits=2)) == sorted(passage_dedup(rows), key=str)
+
+
+def test_kinds_are_told_by_digests_of_the_surroundings():
+    shape = anchors.Shape(True, 13, 4, True, 1)
+    texts = [b" ".join(b"w%d" % (i * n) for i in range(60)) for n in (1, 2)]
+    kinds = [anchors.anchors(shape, anchors.units(shape, np.frombuffer(t, np.uint8))) for t in texts]
+    for pos, grain, a, b in kinds:
+        assert set(grain.tolist()) <= {0, 1} and len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(pos)
+    assert not set(kinds[0][2].tolist()) & set(kinds[1][2].tolist())
+
+
+def test_a_crowd_gives_one_span_an_anchor(docs):
     shape = anchors.Shape(True, 13, 4, True)
-    data = b" ".join(b"w%d" % i for i in range(30))
-    text = anchors.units(shape, np.frombuffer(data, np.uint8))
-    pos = np.array([12], np.int32)
-    left, right = anchors.extent(shape, pos, 30)
-    d, e = anchors.digests(text.pieces(data, left, right), (pos - left).tolist())
-    lo, hi = np.array([10], np.int32), np.array([23], np.int32)
-    assert anchors.mask(shape, text, lo, hi, pos, d, e).sum() == 13
-    with pytest.raises(ValueError, match="share a 64-bit hash"):
-        anchors.mask(shape, text, lo, hi, pos, d, e + 1)
+    texts = anchors.texts_of(docs, "doc_id", "text", True)
+    met = anchors.meet(anchors.mark(texts.select("rid", "rank", "text"), shape), shape)
+    apart = met.where("apart").groupBy("rid", "rank").agg(F.collect_set(F.struct("pos", "grain")).alias("at"))
+    near = anchors.compare(anchors.surroundings(texts, apart, shape), shape, passages.solver(13, 4), passages.opener(13), 2)
+    assert near.groupBy("rid", "rank", "pos").count().where("count > 1").isEmpty() and not near.isEmpty()
 
 
 def test_a_third_of_all_rows_are_equal(spark, monkeypatch):
