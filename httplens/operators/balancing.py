@@ -14,18 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import load as L
+from ..sources.scratch import written
+from . import ranks
 
 
 def burst_summary(results: DataFrame, by: tuple[str, ...] = ("policy",)) -> DataFrame:
     """Requests, routes, timeouts, errors, fast ones, and mean and nearest-rank 95th percentile of the
     latency of those that didn't time out. results: (by, node, latency_ms, timeout, error)."""
     done = F.when(~F.col("timeout"), F.col("latency_ms"))
-    return results.groupBy(*by).agg(
+    told = results.groupBy(*by).agg(
         F.count("*").alias("requests"), *[F.count_if(F.col("node") == n).alias(f"routes_{n}") for n in L.NODES],
         F.count_if(F.col("timeout")).alias("timeouts"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if(done < 100.0).alias("under_100ms"),
         F.coalesce(F.avg(done), F.lit(0.0)).alias("average_latency_ms"),
-        F.coalesce(F.expr("percentile_disc(0.95) within group (order by case when not timeout then latency_ms end)"), F.lit(0.0)).alias("p95_latency_ms"),
     )
+    counted = written(results.groupBy(*by, done.cast("double").alias("value")).agg(F.count("*").alias("n")))
+    p95 = ranks.nearest_rank(counted, by, 0.95)
+    return ranks.keyed(told, p95, by, "left").withColumn("q", F.coalesce("q", F.lit(0.0))).withColumnRenamed("q", "p95_latency_ms")
 
 
 def compared(summaries: DataFrame) -> DataFrame:

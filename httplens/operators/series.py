@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import load as L  # noqa: N812
+from .scan import clamped_sums, scan
+
 
 def request_rate(df: DataFrame, client: str, ts: str, seconds: int = 60, name: str = "request_rate") -> DataFrame:
     """``df`` with how many rows of the client lie in the last ``seconds``, both ends included.
@@ -25,8 +28,8 @@ def request_rate(df: DataFrame, client: str, ts: str, seconds: int = 60, name: s
 def recent_improvement(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """(by, n, improvement): the relative fall from the value at four fifths to the last; null for
     fewer than two, 0 if the first is about 0."""
-    w = W.partitionBy(by)
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(by, F.col(value).alias("v"), F.row_number().over(w.orderBy(order)).alias("i"), F.count("*").over(w).alias("n"))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(by, order, F.col(value).alias("v"))
+    rows = scan(rows, [by], [order], number="i", total="n")
     at = F.greatest(F.lit(1), F.floor(F.col("n") * 0.8))
     start, end = F.max(F.when(F.col("i") == at, F.col("v"))), F.max(F.when(F.col("i") == F.col("n"), F.col("v")))
     both = rows.groupBy(by).agg(F.max("n").alias("n"), start.alias("a"), end.alias("z"))
@@ -36,9 +39,10 @@ def recent_improvement(df: DataFrame, by: str, order: str, value: str) -> DataFr
 
 def oscillation(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """(by, oscillation): changes of direction to steps that move, 0 for short series."""
-    w = W.partitionBy(by).orderBy(order)
-    steps = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(by, order, (F.col(value) - F.lag(value).over(w)).alias("__d"), F.count("*").over(W.partitionBy(by)).alias("__n"))
-    moved = steps.where(F.abs("__d") > 1e-10).select(by, "__n", F.signum("__d").alias("__s"), F.lag(F.signum("__d")).over(w).alias("__before"))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(by, F.col(order).alias("__o"), F.col(value).alias("__v"))
+    steps = scan(rows, [by], ["__o"], total="__n", previous={"__v": "__p"}).withColumn("__d", F.col("__v") - F.col("__p"))
+    moved = steps.where(F.abs("__d") > 1e-10).select(by, "__o", "__n", F.signum("__d").alias("__s"))
+    moved = scan(moved, [by], ["__o"], previous={"__s": "__before"})
     found = moved.groupBy(by).agg(F.max("__n").alias("__n"), F.count("*").alias("__k"), F.count_if(F.col("__s") != F.col("__before")).alias("__c"))
     ratio = F.when((F.col("__n") >= 4) & (F.col("__k") >= 2), F.try_divide(F.col("__c").cast("double"), F.col("__k") - 1)).otherwise(0.0)
     every = df.select(by).distinct()
@@ -46,24 +50,20 @@ def oscillation(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
 
 
 def running_best(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    return df.withColumn("best", F.min(value).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    return scan(df, [by], [order], least={value: "best"})
 
 
 def version_changes(df: DataFrame, by: str, order: str, values: dict[str, bool], newest: int = 20) -> DataFrame:
     """Each version after the first with its predecessor: previous, result, delta and tone of every
     value (True: lower is better); the newest ``newest`` of each series, newest first."""
-    w = W.partitionBy(by).orderBy(order)
-    out = [by, order, F.row_number().over(w).alias("version")]
-    for v in values:
-        out += [F.lag(v).over(w).alias(f"previous_{v}"), F.col(v).alias(f"result_{v}")]
-    rows = df.select(*out).where("version > 1")
-    rows = rows.withColumn("sequence", F.col("version") - 1).drop("version")
+    rows = scan(df.select(by, order, *values), [by], [order], number="version", total="__n", previous={v: f"previous_{v}" for v in values})
+    rows = rows.where((F.col("version") > 1) & (F.col("version") > F.col("__n") - newest))
+    rows = rows.select(by, order, *[c for v in values for c in (F.col(f"previous_{v}"), F.col(v).alias(f"result_{v}"))], (F.col("version") - 1).alias("sequence"))
     for v, low in values.items():
         d = F.col(f"result_{v}") - F.col(f"previous_{v}")
         better, worse = (d < 0, d > 0) if low else (d > 0, d < 0)
         rows = rows.withColumn(f"delta_{v}", d).withColumn(f"tone_{v}", F.when(better, "better").when(worse, "worse").otherwise("neutral"))
-    rank = F.row_number().over(W.partitionBy(by).orderBy(F.desc("sequence")))
-    return rows.withColumn("__r", rank).where(F.col("__r") <= newest).drop("__r")
+    return rows
 
 
 def version_verdict(cost_before: Column, cost_after: Column, f1_before: Column, f1_after: Column) -> Column:
@@ -102,10 +102,19 @@ def newest_match(probes: DataFrame, rows: DataFrame, on: list[str], start: str,
 
 
 def round_robin(df: DataFrame, order: list[str], n: int = 3, by: str | None = None, name: str = "node") -> DataFrame:
-    """Turn of each row among n: its place modulo n. Without ``by`` there is one sequence, numbered in
-    one task."""
-    w = (W.partitionBy(by) if by else W.partitionBy(F.lit(0))).orderBy(*order)
-    return df.withColumn(name, ((F.row_number().over(w) - 1) % n).cast("int"))
+    """Turn of each row among n: its place modulo n, in its client's sequence or in one of all rows."""
+    rows = scan(df, [by] if by else [], order, number="__i")
+    return rows.withColumn(name, ((F.col("__i") - 1) % n).cast("int")).drop("__i")
+
+
+def residual_loads(df: DataFrame, node: str, order: list[str], at: str, decay: float = L.DECAY, impact: float = L.IMPACT, start: float = 50.0, name: str = "load") -> DataFrame:
+    """Each node's load after each arrival: what decayed since the last, plus the request's part, at
+    most 100. The rows of one node are spread over ranges (see ``scan.clamped_sums``)."""
+    part = F.lit(impact) / F.sqrt(F.coalesce(L.of_node(F.col(node), L.CAPACITY), F.lit(1.0)))
+    rows = scan(df, [node], order, previous={at: "__last"})
+    gone = F.lit(decay) * F.greatest(F.lit(0.0), F.coalesce(F.col(at) - F.col("__last"), F.lit(0.0)))
+    rows = rows.withColumns({"__p": part, "__step": part - gone, "__most": F.lit(100.0)})
+    return clamped_sums(rows, [node], order, "__step", "__p", "__most", start, name).drop("__last", "__p", "__step", "__most")
 
 
 def scaled(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from . import ranks
+
 QUANTILES = ((0.01, "p01"), (0.05, "p05"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.95, "p95"), (0.99, "p99"))
 #: Distinct values beyond which only that there are more is told.
 DISTINCT = 10_000
@@ -21,26 +23,24 @@ def summary(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), witho
     """Per key and feature: total, valid, missing (null or not finite), share valid, min, max, mean,
     population deviation, interpolated percentiles, zeros, share non-zero, distinct values.
 
-    Values are first counted per distinct value, so percentiles hold a histogram and not all rows:
-    what one task keeps follows the number of distinct values. Deviations are moments of the counts
-    times the values' distances from the key's mean, so a large common offset costs no digits."""
+    Values are first counted per distinct value. Percentiles open only the buckets that hold a wanted
+    rank (see ``ranks``), so no task sorts a feature. Deviations are moments of the counts times the
+    values' distances from the mean, so a large common offset costs no digits."""
     rows = long_form(df, columns, [F.col(k) for k in keys])
     value = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
-    counted = rows.groupBy(*keys, "feature", value.alias("value")).agg(F.count("*").alias("n"))
-    n, v = F.col("n"), F.col("value")
-    total, valid = F.sum(n), F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0))
-    mean = F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n)))
-    zeros = F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0))
-    # per distinct value so few rows are left that a window over them is cheap
-    centre = F.avg(v).over(W.partitionBy(*keys, "feature"))
-    counted = counted.withColumn("off", v - centre)
-    off, valid_n = F.col("off"), F.sum(F.when(v.isNotNull(), n))
-    grouped = counted.groupBy(*keys, "feature").agg(
-        total.alias("total"), valid.alias("valid"), F.min(v).alias("min"), F.max(v).alias("max"), mean.alias("mean"),
-        F.try_divide(F.sum(off * off * n), valid_n).alias("__square"), F.try_divide(F.sum(off * n), valid_n).alias("__shift"),
-        F.expr(f"percentile(value, array({', '.join(str(q) for q, _ in QUANTILES)}), n)").alias("__q"),
-        zeros.alias("zeros"), F.count(v).alias("__distinct"), F.min_by(v, v).alias("__a"),
+    counted = written(rows.groupBy(*keys, "feature", value.alias("value")).agg(F.count("*").alias("n")))
+    n, v, on = F.col("n"), F.col("value"), [*keys, "feature"]
+    valid_n = F.sum(F.when(v.isNotNull(), n))
+    first = counted.groupBy(*on).agg(
+        F.sum(n).alias("total"), F.coalesce(valid_n, F.lit(0)).alias("valid"), F.min(v).alias("min"), F.max(v).alias("max"), F.try_divide(F.sum(v * n), valid_n).alias("mean"),
+        F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zeros"), F.count(v).alias("__distinct"),
     )
+    off = v - F.col("mean")
+    moments = ranks.keyed(counted.where("value is not null"), first.select(*on, "mean", "valid"), on)
+    moments = moments.groupBy(*on, "valid").agg(F.sum(off * off * n).alias("s"), F.sum(off * n).alias("d"))
+    moments = moments.select(*on, F.try_divide("s", "valid").alias("__square"), F.try_divide("d", "valid").alias("__shift"))
+    percentiles = ranks.quantiles(counted, on, [q for q, _ in QUANTILES]).withColumnRenamed("q", "__q")
+    grouped = ranks.keyed(ranks.keyed(first, moments, on, "left"), percentiles, on, "left")
     share = lambda a, b: F.round(F.coalesce(F.try_divide(100.0 * a, b), F.lit(0.0)), 4)
     distinct = F.when(F.col("__distinct") > DISTINCT, F.lit(f">{DISTINCT}")).otherwise(F.col("__distinct").cast("string"))
     return grouped.select(
@@ -78,9 +78,11 @@ def quantile_caps(df: DataFrame, columns: list[str], q: float = 0.995, signed: t
     """(feature, cap): the quantile of the values, of their size for signed ones; 1 if not above 0."""
     rows = long_form(df, columns)
     value = F.when(F.col("feature").isin(*signed), F.abs("value")).otherwise(F.col("value")) if signed else F.col("value")
-    counted = rows.select("feature", value.alias("value")).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
-    cap = F.expr(f"percentile(value, {q}, n)")
-    return counted.groupBy("feature").agg(F.when(cap > 0, cap).otherwise(1.0).alias("cap"))
+    every = rows.select("feature", value.alias("value")).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    every = written(every)
+    found = every.select("feature").distinct().join(ranks.quantiles(every, ["feature"], [q]), "feature", "left")
+    cap = F.col("q")[0]
+    return found.select("feature", F.when(cap > 0, cap).otherwise(1.0).alias("cap"))
 
 
 def with_catalog(summaries: DataFrame, catalog: DataFrame, dataset: str = "dataset") -> DataFrame:

@@ -103,6 +103,12 @@ def _mutation() -> str:
     return f"WITH {_PEOPLE}, y AS (SELECT *, {_drawn(17)} AS u FROM p) SELECT individual, {kinds} FROM y"
 
 
+#: Loads by recursion, an arrival at a time.
+_LOADS_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id % 3 + 1 AS n, event_id * 0.125::DOUBLE AS t0, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS i FROM events),
+ r AS (SELECT DISTINCT 0::BIGINT AS event_id, n, NULL::DOUBLE AS t0, 0::BIGINT AS i, 50.0::DOUBLE AS load FROM e UNION ALL SELECT e.event_id, e.n, e.t0, e.i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, r.load - 6.0::DOUBLE * greatest(0.0::DOUBLE, coalesce(e.t0 - r.t0, 0.0::DOUBLE))) + 1.5::DOUBLE / sqrt([1.0, 0.25, 0.05][e.n]::DOUBLE))
+  FROM r JOIN e ON e.n = r.n AND e.i = r.i + 1) SELECT event_id, 'node' || n AS node, round(load, 6) AS load FROM r WHERE i > 0"""
+
+
 def files_sql() -> dict[str, str]:
     final = set(FINAL)
     schema = ", ".join(f"('{'final' if n in final else 'removed'}', '{origin(n)}', '{kind(n)}', '{n}')" for n in NAMES)
@@ -153,9 +159,8 @@ def files_sql() -> dict[str, str]:
         "checked_loads": "SELECT event_id, CAST(event_id * 3 % 101 + event_id * 4 % 101 + event_id * 5 % 101 AS DOUBLE) AS total FROM events",
         "training_steps": _steps(),
         "streamed_rates": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS request_rate FROM events",
-        "streamed_loads": """WITH RECURSIVE e AS (SELECT event_id, user_id % 3 + 1 AS n, event_id * 0.125::DOUBLE AS t0, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS i FROM events),
- r AS (SELECT DISTINCT 0::BIGINT AS event_id, n, NULL::DOUBLE AS t0, 0::BIGINT AS i, 50.0::DOUBLE AS load FROM e UNION ALL SELECT e.event_id, e.n, e.t0, e.i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, r.load - 6.0::DOUBLE * greatest(0.0::DOUBLE, coalesce(e.t0 - r.t0, 0.0::DOUBLE))) + 1.5::DOUBLE / sqrt([1.0, 0.25, 0.05][e.n]::DOUBLE))
-  FROM r JOIN e ON e.n = r.n AND e.i = r.i + 1) SELECT event_id, 'node' || n AS node, round(load, 6) AS load FROM r WHERE i > 0""",
+        "streamed_loads": _LOADS_SQL,
+        "residual_loads": _LOADS_SQL,
         "streamed_decisions": f"WITH {_decisions()} SELECT event_id, round(e1_score, 9) AS e1_score, e1_decision, e2_decision, operational_decision FROM x",
         "streamed_history": f"WITH {_decisions()} SELECT event_type, e1_decision, operational_decision, count(*) AS n FROM x GROUP BY 1, 2, 3",
         "client_sessions": """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 1 HOUR, true) AS opens FROM events), s AS (SELECT user_id, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),

@@ -419,6 +419,13 @@ def scaled_series(spark, d):
     return series.scaled(I.daily(spark, d), "event_type", "top").select("event_type", F.col("day").cast("string").alias("day"), F.round("scaled", 9).alias("scaled"))
 
 
+@query
+def residual_loads(spark, d):
+    """Load of each node after each arrival, one node's arrivals spread over ranges."""
+    e = I.table(spark, d, "events").select("event_id", F.concat(F.lit("node"), (F.col("user_id") % 3 + 1).cast("string")).alias("node"), (F.col("event_id") * 0.125).alias("at"))
+    return series.residual_loads(e, "node", ["event_id"], "at").select("event_id", "node", F.round("load", 6).alias("load"))
+
+
 @query
 def round_robin(spark, d):
     r = series.round_robin(I.table(spark, d, "events"), ["event_id"], by="user_id")

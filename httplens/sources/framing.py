@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import scratch
+from .scratch import written
 
 #: Bytes of a chunk, but for what reaches to the next empty line.
 CHUNK = 1 << 20
@@ -168,12 +168,6 @@ def _table(columns: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), columns.values(), strict=True)] if rows else [pa.array([], t) for t in columns.values()], names=list(columns))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _PIECE = {"file": pa.int64(), "block": pa.int64(), "nth": pa.int64(), "offset": pa.int64(), "ended": pa.bool_(), "data": pa.binary()}
 
 
@@ -228,7 +222,7 @@ def chunks(spark: SparkSession, path: str, size: int = CHUNK) -> tuple[DataFrame
         raise ValueError("two paths have one hash")
     text = spark.read.option("lineSep", "\n").text(path)
     lines = text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
-    pieces = _written(_pieces(lines, size))
+    pieces = written(_pieces(lines, size))
     # A row for each byte range of a file: bytes and whole pieces before it.
     blocks = pieces.groupBy("file", "block").agg(F.sum(F.octet_length("data")).alias("bytes"), F.sum(F.col("ended").cast("bigint")).alias("whole"))
     order = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -254,7 +248,7 @@ def chunks(spark: SparkSession, path: str, size: int = CHUNK) -> tuple[DataFrame
     joined = own.where("not alone").groupBy("file", "chunk", "size").agg(part.alias("part")).select("file", "chunk", F.col("part")[0]["at"].alias("at"), "size", F.aggregate("part.data", F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).alias("data"))
     whole = own.where("alone").select("file", "chunk", "at", "size", "data").union(joined)
     whole = whole.where(F.octet_length("data") > 0).withColumn("rest", F.col("size") - F.col("at") - F.octet_length("data"))
-    return names.select("file", "path"), _written(whole.select("file", "chunk", "at", "rest", "data"))
+    return names.select("file", "path"), written(whole.select("file", "chunk", "at", "rest", "data"))
 
 
 def _located(places: DataFrame, index: DataFrame, size: int) -> DataFrame:
@@ -293,18 +287,18 @@ def frame(spark: SparkSession, path: str, strict: bool, size: int = CHUNK) -> Da
                 rows += [(r["file"], r["chunk"], p + r["at"], to + r["at"], n) for p, to, n in found]
             yield _table({"file": pa.int64(), "chunk": pa.int64(), "p": pa.int64(), "to": pa.int64(), "n": pa.int64()}, rows)
 
-    edges = _written(data.join(entries, ["file", "chunk"]).select("file", "chunk", "at", "rest", "data", "entries").mapInArrow(jumping, "file bigint, chunk bigint, p bigint, to bigint, n bigint"))
+    edges = written(data.join(entries, ["file", "chunk"]).select("file", "chunk", "at", "rest", "data", "entries").mapInArrow(jumping, "file bigint, chunk bigint, p bigint, to bigint, n bigint"))
     most = index.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     chain = edges.where("p = 0").select("file", "p", F.lit(0).cast("bigint").alias("rank"))
     jump = edges.select("file", "p", "to", "n")
     done = 1
     while done < most:  # chain: the first ``done`` of each file; jump: over so many
         more = chain.join(jump, ["file", "p"]).select("file", F.col("to").alias("p"), (F.col("rank") + F.col("n")).alias("rank"))
-        chain = _written(chain.union(more))
+        chain = written(chain.union(more))
         on = jump.select("file", F.col("p").alias("to"), F.col("to").alias("then"), F.col("n").alias("more"))
-        jump = _written(jump.join(on, ["file", "to"]).select("file", "p", F.col("then").alias("to"), (F.col("n") + F.col("more")).alias("n")))
+        jump = written(jump.join(on, ["file", "to"]).select("file", "p", F.col("then").alias("to"), (F.col("n") + F.col("more")).alias("n")))
         done *= 2
-    right = _written(edges.join(chain, ["file", "p"]))
+    right = written(edges.join(chain, ["file", "p"]))
     across = right.where("n > 0").join(index.select("file", "chunk", "stop"), ["file", "chunk"]).where("to > stop")
     across = across.select("file", (F.col("to") - 1).alias("p"), F.col("chunk").alias("begun"), (F.col("rank") + F.col("n") - 1).alias("last"), F.col("to").alias("last_to"))
     tails = _located(across, index, size).select("file", F.explode(F.sequence(F.col("begun") + 1, "chunk")).alias("chunk"), "last", "last_to")

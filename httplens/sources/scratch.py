@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
 
@@ -25,3 +25,11 @@ def scratch(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, _local, True)
         base = f"file://{_local}"
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a scratch folder and read again: what follows reads it as often as it likes, and
+    a lost executor costs a re-read."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

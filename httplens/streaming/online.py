@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,31 +14,47 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import load as L  # noqa: N812
 from ..operators import scoring
 
-_RATE = "client string, event_id bigint, ts timestamp, request_rate bigint"
+_RATE = "client string, event_id bigint, at bigint, request_rate bigint"
+_WAITING = "waiting array<bigint>, events array<bigint>, counted array<bigint>"
 
 
 def request_rate(stream: DataFrame, client: str = "client", event: str = "event_id", ts: str = "ts", seconds: int = 60, late: str = "10 minutes") -> DataFrame:
-    """Requests of each client in the trailing window, both ends included, itself counted.
+    """Requests of each client in the trailing window, both ends included, itself counted: one row for
+    each request, (client, event_id, ts, request_rate), as the same window over a table gives.
+
+    A request waits until the watermark has passed it, when none before it can come any more (later
+    ones are dropped); then a timer or its client's next request releases it. State is what waits
+    and the instants of the last window; it leaves once the watermark has passed that, so idle
+    clients hold nothing. A request costs its sort and two searches. A null client is one, too, and
+    a null instant drops the request. At a stream's end, requests of the last ``late`` wait for a
+    later one of any client (a heartbeat)."""
+    width = seconds * 1_000_000
 
-    State is the instants of the window, and leaves with its client: a timer drops it once the
-    watermark has passed the window, so idle clients hold nothing."""
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = state.get if state.exists else ((), (), ())
+        at, events, counted = (np.array(x, np.int64) for x in held)
+        new = [] if state.hasTimedOut else list(frames)
+        at, events = (np.concatenate([x, *[f[c].to_numpy(np.int64) for f in new]]) for x, c in ((at, "at"), (events, "event_id")))
+        order = np.lexsort((events, at))
+        at, events = at[order], events[order]
+        watermark = state.getCurrentWatermarkMs() * 1000
+        n = int(np.searchsorted(at, watermark, side="right"))
+        every = np.concatenate([counted, at[:n]])  # counted ones lie before the former watermark, these after it
+        rate = np.searchsorted(every, at[:n], side="right") - np.searchsorted(every, at[:n] - width, side="left")
+        counted = every[np.searchsorted(every, watermark - width, side="left") :]
+        if n < len(at) or len(counted):
+            state.update((at[n:].tolist(), events[n:].tolist(), counted.tolist()))
+            wake = at[n] if n < len(at) else counted[-1] + width
+            state.setTimeoutTimestamp(max(int(-(-wake // 1000)), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for e, t in zip(rows["event_id"], rows["ts"], strict=True):
-            now = t.value // 1000
-            kept = [x for x in kept if now - x <= seconds * 1_000_000] + [now]
-            out.append((str(key[0]), e, t, len(kept)))
-        state.update((kept,))
-        state.setTimeoutTimestamp(max(kept[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["client", "event_id", "ts", "request_rate"])
-
-    rows = stream.select(F.col(client).cast("string").alias("client"), F.col(event).alias("event_id"), F.col(ts).cast("timestamp").alias("ts"))
-    return rows.withWatermark("ts", late).groupBy("client").applyInPandasWithState(count, _RATE, "instants array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+        if n:
+            yield pd.DataFrame({"client": key[0], "event_id": events[:n], "at": at[:n], "request_rate": rate})
+
+    rows = stream.select(F.col(client).cast("string").alias("client"), F.col(event).cast("bigint").alias("event_id"), F.col(ts).cast("timestamp").alias("ts"))
+    rows = rows.where("ts is not null").withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    done = rows.groupBy("client").applyInPandasWithState(count, _RATE, _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+    return done.select("client", "event_id", F.timestamp_micros("at").alias("ts"), "request_rate")
 
 
 _LOADS = "node string, event_id bigint, at double, load double"

@@ -110,22 +110,6 @@ def test_versions(spark, tmp_path):
     assert [r.version for r in v.collect()] == ["20240101-bp", "20240102-bp"] and "weights" not in history.without_weights(v).columns
 
 
-def test_streamed_rate_equals_batch(spark, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [(i, f"c{i % 3}", t0 + dt.timedelta(seconds=i * 7)) for i in range(120)]
-    df = spark.createDataFrame(rows, "event_id bigint, client string, ts timestamp")
-    for k in range(3):  # in order, a file at a time
-        df.where(f"event_id div 40 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
-    q = online.request_rate(stream).writeStream.format("memory").queryName("rates").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = {r.event_id: r.request_rate for r in spark.table("rates").collect()}
-    assert len(got) == 120
-    for i, c, t in rows:
-        assert got[i] == sum(d == c and 0 <= (t - u).total_seconds() <= 60 for _, d, u in rows)
-
-
 def test_streamed_load_and_sessions(spark, tmp_path):
     spark.createDataFrame([(i, n, float(i)) for n in ("node1", "node3") for i in range(5)], "event_id bigint, node string, at double").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("event_id bigint, node string, at double").parquet(str(tmp_path / "in"))
