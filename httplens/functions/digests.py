@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the domain that separates record ids from other hashes.
 DOMAIN = b"csic-experimento-2"
@@ -28,10 +33,56 @@ def selection_key(seed: int, dataset: Column, sequence: Column, content: Column)
 
 
 def set_digest(ids: Column) -> Column:
-    """Aggregate: SHA-256 of the distinct ids in order, each followed by a line end."""
+    """Aggregate: SHA-256 of the distinct ids in order, each followed by a line end. All ids of a group
+    meet in one row: for small sets (see ``set_digests``)."""
     return F.sha2(F.concat(F.array_join(F.array_sort(F.collect_set(ids)), "\n"), F.lit("\n")), 256)
 
 
+def _digests(df: DataFrame, by: list[str], piece: Column, order: Column) -> DataFrame:
+    """(by, digest): SHA-256 of all pieces of each group, one after the other in order.
+
+    The rows of a group stream through the digest out of a sort that spills; what is kept is the
+    digest's state, whatever the group's size. The digest itself can't be told in parts."""
+    rows = df.select(*by, order.alias("__order"), piece.cast("binary").alias("__piece"))
+    rows = rows.repartition(*by).sortWithinPartitions(*by, "__order")
+    key = rows.select(*by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, hashlib.sha256()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*at.columns, pa.array([state.hexdigest()])], names=[*by, "digest"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True))
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if hi == lo:
+                    continue
+                first = batch.select(by).slice(lo, 1)
+                if at is not None and at.to_pylist() != first.to_pylist():
+                    yield told()
+                    state = hashlib.sha256()
+                at = first
+                state.update(b"".join(batch.column(len(by) + 1).slice(lo, hi - lo).to_pylist()))
+        if at is not None:
+            yield told()
+
+    return rows.mapInArrow(run, T.StructType([*key.schema.fields, T.StructField("digest", T.StringType())]))
+
+
+def set_digests(df: DataFrame, by: list[str], id_col: str) -> DataFrame:
+    """(by, digest): ``set_digest`` of each group, for sets of any size."""
+    rows = df.where(F.col(id_col).isNotNull()).select(*by, F.col(id_col).cast("string").alias("__id")).distinct()
+    return _digests(rows, by, F.concat("__id", F.lit("\n")), F.col("__id"))
+
+
+def index_digests(df: DataFrame, by: list[str], index_col: str) -> DataFrame:
+    """(by, digest): SHA-256 of each group's sorted indices as big-endian 64-bit integers."""
+    index = F.col(index_col).cast("bigint")
+    return _digests(df.where(index.isNotNull()), by, big_endian(index), index)
+
+
 def bucketed_digest(df: DataFrame, by: list[str], id_col: str, digits: int = 3) -> DataFrame:
     """(by, digest) for sets of any size, whose plain digest would need all ids in one row: the digest
     of the digests of buckets, by the first hexadecimal digits of the ids' SHA-256, in order."""
@@ -41,12 +92,6 @@ def bucketed_digest(df: DataFrame, by: list[str], id_col: str, digits: int = 3)
     return each.groupBy(*by).agg(F.sha2(F.array_join(told, "\n"), 256).alias("digest"))
 
 
-def index_digest(indices: Column) -> Column:
-    """Aggregate: SHA-256 of the sorted indices as big-endian 64-bit integers."""
-    words = F.transform(F.array_sort(F.collect_list(indices)), lambda i: F.lpad(F.hex(i), 16, "0"))
-    return F.sha2(F.unhex(F.array_join(words, "")), 256)
-
-
 def plain_base64(raw: Column) -> Column:
     """Base64 without line breaks."""
     return F.regexp_replace(F.base64(raw), "[\r\n]", "")

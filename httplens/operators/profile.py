@@ -14,11 +14,11 @@ _FORM = "application/x-www-form-urlencoded"
 
 
 def percent(a: Column, b: Column) -> Column:
-    return F.round(F.coalesce(F.try_divide(100.0 * a, b), F.lit(0.0)), 4)
+    return F.bround(F.coalesce(F.try_divide(100.0 * a, b), F.lit(0.0)), 4)
 
 
 def average(a: Column, b: Column) -> Column:
-    return F.round(F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0)), 4)
+    return F.bround(F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0)), 4)
 
 
 def observed(requests: DataFrame, keep: tuple[str, ...] = ("corpus",)) -> DataFrame:
@@ -114,7 +114,7 @@ def compare_fields(profile: DataFrame, normal: str = "normal", other: str = "ano
     n, a = F.coalesce("normal_percent", F.lit(0.0)), F.coalesce("anomalo_percent", F.lit(0.0))
     return j.select(
         field_category(F.col("field")).alias("categoria"), F.col("field").alias("campo"), zero(F.col("normal_requests")).alias("normal_ocorrencias"), n.alias("normal_percentual"),
-        zero(F.col("anomalo_requests")).alias("anomalo_ocorrencias"), a.alias("anomalo_percentual"), F.round(a - n, 4).alias("diferenca_anomalo_menos_normal_pp"),
+        zero(F.col("anomalo_requests")).alias("anomalo_ocorrencias"), a.alias("anomalo_percentual"), F.bround(a - n, 4).alias("diferenca_anomalo_menos_normal_pp"),
         joined("normal").alias("normal_metodos"), joined("anomalo").alias("anomalo_metodos"),
         *([F.coalesce(f"{p}_forms", F.lit("")).alias(f"{p}_formas_valores") for p in ("normal", "anomalo")] if has_forms else []),
         interpretation(F.col("normal_percent"), F.col("anomalo_percent")).alias("comparacao"),
@@ -150,7 +150,7 @@ def compare_methods(stats: DataFrame, normal: str = "normal", other: str = "anom
     cols = ("requests", "percent", "percent_with_query", "percent_with_body", "mean_headers", "mean_query_parameters", "mean_body_parameters")
     side = lambda name, p: share.where(F.col(corpus) == name).select("method", *[F.col(c).alias(f"{p}_{c}") for c in cols])
     j = side(normal, "normal").join(side(other, "anomalo"), "method", "full_outer").na.fill(0)
-    return j.withColumn("difference_pp", F.round(F.col("anomalo_percent") - F.col("normal_percent"), 4))
+    return j.withColumn("difference_pp", F.bround(F.col("anomalo_percent") - F.col("normal_percent"), 4))
 
 
 def target_forms(requests: DataFrame, keep: tuple[str, ...] = ("corpus",)) -> DataFrame:

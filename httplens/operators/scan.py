@@ -33,23 +33,25 @@ def _joined(rows: DataFrame, told: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def scan(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], number: str | None = None, total: str | None = None, previous: dict[str, str] | None = None, least: dict[str, str] | None = None
+    df: DataFrame, by: Sequence[str], order: Sequence[str], number: str | None = None, total: str | None = None, previous: dict[str, str] | None = None, least: dict[str, str] | None = None, sums: dict[str, str] | None = None
 ) -> DataFrame:
     """``df`` with columns told by the rows up to each in its series (``by``; one series without it) in
     ``order``: ``number`` from 1, ``total`` of the series, ``previous`` (column to name: its value in
-    the row before), ``least`` (column to name: the smallest value so far).
+    the row before), ``least`` and ``sums`` (column to name: the smallest value so far, and their sum).
 
     A task scans a range of a series; the table over which ranges are joined up has a row for each
     range of each series. Rows of equal order may stand in any order."""
-    previous, least = previous or {}, least or {}
+    previous, least, sums = previous or {}, least or {}, sums or {}
     rows, key = ranged(df, by, order), [*by, RANGE]
     inside = W.partitionBy(*key).orderBy(*order)
     own = [F.row_number().over(inside).alias("__i")]
     own += [F.lag(F.struct(F.col(c).alias("v"))).over(inside).alias(f"__p{n}") for n, c in enumerate(previous)]
     own += [F.min(c).over(inside.rowsBetween(W.unboundedPreceding, 0)).alias(f"__m{n}") for n, c in enumerate(least)]
+    own += [F.sum(c).over(inside.rowsBetween(W.unboundedPreceding, 0)).alias(f"__t{n}") for n, c in enumerate(sums)]
     last = F.struct(*order)
     ranges = rows.groupBy(*key).agg(
         F.count("*").alias("__n"), *[F.max_by(F.struct(F.col(c).alias("v")), last).alias(f"__l{n}") for n, c in enumerate(previous)], *[F.min(c).alias(f"__s{n}") for n, c in enumerate(least)],
+        *[F.sum(c).alias(f"__u{n}") for n, c in enumerate(sums)],
     )
     series = W.partitionBy(*by)
     before = series.orderBy(RANGE)
@@ -57,6 +59,7 @@ def scan(
     carried = ranges.select(
         *key, F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"), F.sum("__n").over(series).alias("__total"),
         *[F.lag(f"__l{n}").over(before).alias(f"__l{n}") for n in range(len(previous))], *[F.min(f"__s{n}").over(upto).alias(f"__s{n}") for n in range(len(least))],
+        *[F.sum(f"__u{n}").over(upto).alias(f"__u{n}") for n in range(len(sums))],
     )
     both = _joined(rows.select("*", *own), carried, key)
     out: list[Column] = [both[c] for c in df.columns]
@@ -66,6 +69,7 @@ def scan(
         out.append(F.col("__total").alias(total))
     out += [F.coalesce(f"__p{n}", f"__l{n}")["v"].alias(name) for n, name in enumerate(previous.values())]
     out += [F.least(f"__m{n}", f"__s{n}").alias(name) for n, name in enumerate(least.values())]
+    out += [(F.coalesce(f"__t{n}", F.lit(0)) + F.coalesce(f"__u{n}", F.lit(0))).alias(name) for n, name in enumerate(sums.values())]
     return both.select(*out)
 
 

@@ -41,7 +41,7 @@ def summary(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), witho
     moments = moments.select(*on, F.try_divide("s", "valid").alias("__square"), F.try_divide("d", "valid").alias("__shift"))
     percentiles = ranks.quantiles(counted, on, [q for q, _ in QUANTILES]).withColumnRenamed("q", "__q")
     grouped = ranks.keyed(ranks.keyed(first, moments, on, "left"), percentiles, on, "left")
-    share = lambda a, b: F.round(F.coalesce(F.try_divide(100.0 * a, b), F.lit(0.0)), 4)
+    share = lambda a, b: F.bround(F.coalesce(F.try_divide(100.0 * a, b), F.lit(0.0)), 4)
     distinct = F.when(F.col("__distinct") > DISTINCT, F.lit(f">{DISTINCT}")).otherwise(F.col("__distinct").cast("string"))
     return grouped.select(
         *keys, "feature", "total", "valid", (F.col("total") - F.col("valid")).alias("missing"), share(F.col("valid"), F.col("total")).alias("valid_percent"),

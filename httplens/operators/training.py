@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .scan import scan
+
 
 class Network:
     """Sigmoid layers. weights[l] has a row for the bias (its input is -1), then one for each input."""
@@ -261,6 +264,39 @@ def tournament(costs: DataFrame, draws: DataFrame) -> DataFrame:
     return met.groupBy("slot").agg(F.min_by("individual", F.struct("cost", "turn")).alias("individual"))
 
 
+def roulette(costs: DataFrame, draws: DataFrame) -> DataFrame:
+    """(slot, individual): each slot's draw from 0 to 1 falls into the share of one individual, which is in
+    proportion to 1 / (cost + 1e-12). costs: (individual, cost); draws: (slot, drawn).
+
+    Shares are prefix sums over ranges, and draws find theirs by their rank among the sums: nothing
+    is sorted in one task."""
+    fit = costs.select("individual", (1.0 / (F.col("cost") + 1e-12)).alias("fit"))
+    sums = written(scan(fit, [], ["individual"], number="number", sums={"fit": "upto"}))
+    whole, most = sums.agg(F.max("upto"), F.max("number")).first()
+    if most is None:
+        return draws.select("slot", F.lit(None).cast(costs.schema["individual"].dataType).alias("individual")).where("false")
+    none = lambda kind: F.lit(None).cast(kind)
+    both = sums.select(F.col("upto").alias("at"), F.lit(0).alias("draw"), none(draws.schema["slot"].dataType).alias("slot"), F.lit(1).alias("one"))
+    both = both.union(draws.select((F.col("drawn") * F.lit(whole)).alias("at"), F.lit(1).alias("draw"), "slot", F.lit(0).alias("one")))
+    passed = scan(both, [], ["at", "draw"], sums={"one": "passed"}).where("draw = 1")
+    found = passed.select("slot", F.least(F.col("passed") + 1, F.lit(most)).alias("number"))
+    return found.join(sums.select("number", "individual"), "number").select("slot", "individual")
+
+
+def layers_of(genes: Column, sizes: list[int]) -> Column:
+    """Genes as weights of each layer, row by row, the bias first; an error unless there are as many."""
+    out, at = [], 1
+    for a, b in zip(sizes, sizes[1:], strict=False):
+        out.append(F.array(*[F.slice(genes, at + b * n, b) for n in range(a + 1)]))
+        at += (a + 1) * b
+    return F.when(F.size(genes) == at - 1, F.array(*out)).otherwise(F.raise_error(F.lit("as many genes as weights are needed")))
+
+
+def genes_of(layers: Column) -> Column:
+    """Weights as one row of genes, in the order of ``layers_of``."""
+    return F.flatten(F.flatten(layers))
+
+
 def crossed(a: Column, b: Column, cut: Column) -> Column:
     """struct(first, second): two rows of genes whose tails after ``cut`` genes have changed places."""
     size = F.size(a)

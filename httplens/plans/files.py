@@ -405,6 +405,23 @@ def ga_tournament(spark, d):
     return training.tournament(p.select("individual", "cost"), draws)
 
 
+@query
+def ga_roulette(spark, d):
+    """Parents by shares of 1 / cost, drawn by rule."""
+    p = _people(spark, d).select("individual", (F.col("cost") + 1).alias("cost"))
+    draws = p.select(F.col("individual").alias("slot"), (F.col("individual") * 29 % 97 / F.lit(97.0)).alias("drawn"))
+    return training.roulette(p, draws)
+
+
+@query
+def chromosomes(spark, d):
+    """Genes as weights of a 7-7-1 network, summed by layer, and back to genes."""
+    p = _people(spark, d).select("individual", "genes", F.when(F.size("genes") == training.Network.parameter_count([7, 7, 1]), training.layers_of(F.col("genes"), [7, 7, 1])).alias("layers"))
+    row = lambda r: F.aggregate(F.transform(r, lambda x, j: x * (j + 1)), F.lit(0.0), lambda a, x: a + x)
+    total = lambda n: F.round(F.aggregate(F.transform(F.col("layers")[n], lambda r, i: (i + 1) * row(r)), F.lit(0.0), lambda a, x: a + x), 6)
+    return p.select("individual", total(0).alias("hidden"), total(1).alias("output"), (training.genes_of(F.col("layers")) == F.col("genes")).alias("same"))
+
+
 @query
 def ga_crossover(spark, d):
     """Children of each individual and the next, by one point and by simulated binary crossover."""

@@ -122,6 +122,10 @@ def files_sql() -> dict[str, str]:
         "bucketed_digests": """WITH b AS (SELECT o_orderstatus, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 3) AS b, sha256(string_agg(DISTINCT CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY CAST(o_orderkey AS VARCHAR)) || chr(10)) AS d FROM orders GROUP BY 1, 2)
  SELECT o_orderstatus, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS digest FROM b GROUP BY 1""",
         "ga_tournament": f"WITH {_PEOPLE}, d AS (SELECT individual AS slot, unnest([0, 1, 2]) AS turn, CAST(floor(individual * unnest([1, 3, 5]) / 7.0) AS BIGINT) AS individual FROM p) SELECT slot, arg_min(individual, cost * 10 + turn) AS individual FROM d JOIN p USING (individual) GROUP BY 1",
+        "ga_roulette": f"""WITH {_PEOPLE}, c AS (SELECT individual, sum(1.0::DOUBLE / (cost + 1.0::DOUBLE + 1e-12::DOUBLE)) OVER (ORDER BY individual) AS upto, row_number() OVER (ORDER BY individual) AS number FROM p),
+ t AS (SELECT max(upto) AS whole, max(number) AS most FROM c), d AS (SELECT individual AS slot, (individual * 29 % 97) / 97.0::DOUBLE AS drawn FROM p), n AS (SELECT slot, count(*) FILTER (WHERE upto <= drawn * whole) AS passed, any_value(most) AS most FROM d, c, t GROUP BY slot)
+ SELECT slot, individual FROM n JOIN c ON c.number = least(passed + 1, most)""",
+        "chromosomes": f"""WITH {_PEOPLE} SELECT individual, round(list_sum(list_transform(range(0, 56), lambda k: g[k + 1] * (k // 7 + 1) * (k % 7 + 1))), 6) AS hidden, round(list_sum(list_transform(range(0, 8), lambda k: g[k + 57] * (k + 1))), 6) AS output, true AS same FROM p""",
         "ga_crossover": _crossover(), "ga_mutation": _mutation(),
         "live_requests": f"SELECT page_id AS id, CASE WHEN page_id % 3 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS method_is_post, CAST(length({_FORM}) AS DOUBLE) AS body_length_bytes, 1.0::DOUBLE AS content_length_matches_body, 4.0::DOUBLE AS header_unique_count FROM pages",
         "raw_requests": f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, url AS target, '1.1' AS version, 'a b' AS x_folded, '1|2' AS x_twice, CASE WHEN page_id % 2 = 0 THEN '0' ELSE CAST(length({_BODY}) AS VARCHAR) END AS content_length, CASE WHEN page_id % 2 = 0 THEN '' ELSE {_BODY} END AS body FROM pages",

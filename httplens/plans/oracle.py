@@ -88,12 +88,12 @@ _EF = """ef AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'normal' ELSE 'anomalo' E
  UNION ALL SELECT CASE WHEN event_id % 2 = 0 THEN 'normal' ELSE 'anomalo' END, event_id, event_type, 'header:six', json_extract_string(props, '$.k') FROM events WHERE event_id % 6 = 0
  UNION ALL SELECT CASE WHEN event_id % 2 = 0 THEN 'normal' ELSE 'anomalo' END, event_id, event_type, 'header:ten', json_extract_string(props, '$.k') FROM events WHERE event_id % 10 = 3)"""
 _TOT = "tot AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'normal' ELSE 'anomalo' END AS corpus, count(*) AS n, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS methods FROM events GROUP BY 1)"
-_PROF = f"""{_EF}, {_TOT}, prof AS (SELECT e.corpus, e.field, count(*) AS requests, round(100.0 * count(*) / any_value(t.n), 4) AS percent, count(*) AS values, CASE WHEN count(*) = any_value(t.n) THEN 'todas' ELSE 'parte' END AS presence,
+_PROF = f"""{_EF}, {_TOT}, prof AS (SELECT e.corpus, e.field, count(*) AS requests, round_even(100.0 * count(*) / any_value(t.n), 4) AS percent, count(*) AS values, CASE WHEN count(*) = any_value(t.n) THEN 'todas' ELSE 'parte' END AS presence,
  string_agg(DISTINCT e.method, '|' ORDER BY e.method) AS methods, string_agg(DISTINCT e.method, '|' ORDER BY e.method) <> any_value(t.methods) AS some_methods_only FROM ef e JOIN tot t USING (corpus) GROUP BY 1, 2)"""
 _CMP = f"""{_PROF}, n AS (SELECT * FROM prof WHERE corpus = 'normal'), a AS (SELECT * FROM prof WHERE corpus = 'anomalo'),
 cmp AS (SELECT CASE WHEN starts_with(field, 'header:') THEN 'header' WHEN starts_with(field, 'query_param:') THEN 'parametro_query' WHEN starts_with(field, 'body_param:') THEN 'parametro_body' ELSE 'estrutura' END AS categoria,
  field AS campo, coalesce(n.requests, 0) AS normal_ocorrencias, coalesce(n.percent, 0.0) AS normal_percentual, coalesce(a.requests, 0) AS anomalo_ocorrencias, coalesce(a.percent, 0.0) AS anomalo_percentual,
- round(coalesce(a.percent, 0.0) - coalesce(n.percent, 0.0), 4) AS diferenca_anomalo_menos_normal_pp, coalesce(n.methods, '') AS normal_metodos, coalesce(a.methods, '') AS anomalo_metodos,
+ round_even(coalesce(a.percent, 0.0) - coalesce(n.percent, 0.0), 4) AS diferenca_anomalo_menos_normal_pp, coalesce(n.methods, '') AS normal_metodos, coalesce(a.methods, '') AS anomalo_metodos,
  CASE WHEN n.percent IS NULL THEN 'somente no anômalo' WHEN a.percent IS NULL THEN 'somente no normal' WHEN abs(a.percent - n.percent) <= 0.05 THEN 'presença equivalente' WHEN a.percent > n.percent THEN 'mais frequente no anômalo' ELSE 'mais frequente no normal' END AS comparacao
  FROM n FULL OUTER JOIN a USING (field))"""
 _SPACE = r"\x{0009}-\x{000d}\x{001c}-\x{0020}\x{0085}\x{00a0}"
@@ -336,17 +336,17 @@ def oracle_sql() -> dict[str, str]:
         "top_differences": f"WITH {_CMP} SELECT campo, diferenca_anomalo_menos_normal_pp, comparacao FROM cmp WHERE normal_ocorrencias > 0 AND anomalo_ocorrencias > 0 ORDER BY abs(diferenca_anomalo_menos_normal_pp) DESC, campo DESC LIMIT 15",
         "method_comparison": f"""WITH {_EF}, r AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'normal' ELSE 'anomalo' END AS corpus, event_type AS method, count(*) AS n FROM events GROUP BY 1, 2),
  f AS (SELECT corpus, method, count(*) FILTER (WHERE starts_with(field, 'header:')) AS h, count(*) FILTER (WHERE starts_with(field, 'query_param:')) AS q, count(*) FILTER (WHERE starts_with(field, 'body_param:')) AS b FROM ef GROUP BY 1, 2),
- s AS (SELECT corpus, method, n AS requests, round(100.0 * n / sum(n) OVER (PARTITION BY corpus), 4) AS percent, round(h / n, 4) AS mh, round(q / n, 4) AS mq, round(b / n, 4) AS mb FROM r JOIN f USING (corpus, method)),
+ s AS (SELECT corpus, method, n AS requests, round_even(100.0 * n / sum(n) OVER (PARTITION BY corpus), 4) AS percent, round_even(h / n, 4) AS mh, round_even(q / n, 4) AS mq, round_even(b / n, 4) AS mb FROM r JOIN f USING (corpus, method)),
  a AS (SELECT * FROM s WHERE corpus = 'normal'), b AS (SELECT * FROM s WHERE corpus = 'anomalo')
  SELECT method, coalesce(a.requests, 0) AS normal_requests, coalesce(a.percent, 0.0) AS normal_percent, 0.0::DOUBLE AS normal_percent_with_query, 0.0::DOUBLE AS normal_percent_with_body, coalesce(a.mh, 0.0) AS normal_mean_headers, coalesce(a.mq, 0.0) AS normal_mean_query_parameters,
  coalesce(a.mb, 0.0) AS normal_mean_body_parameters, coalesce(b.requests, 0) AS anomalo_requests, coalesce(b.percent, 0.0) AS anomalo_percent, 0.0::DOUBLE AS anomalo_percent_with_query, 0.0::DOUBLE AS anomalo_percent_with_body, coalesce(b.mh, 0.0) AS anomalo_mean_headers,
- coalesce(b.mq, 0.0) AS anomalo_mean_query_parameters, coalesce(b.mb, 0.0) AS anomalo_mean_body_parameters, round(coalesce(b.percent, 0.0) - coalesce(a.percent, 0.0), 4) AS difference_pp FROM a FULL OUTER JOIN b USING (method)""",
+ coalesce(b.mq, 0.0) AS anomalo_mean_query_parameters, coalesce(b.mb, 0.0) AS anomalo_mean_body_parameters, round_even(coalesce(b.percent, 0.0) - coalesce(a.percent, 0.0), 4) AS difference_pp FROM a FULL OUTER JOIN b USING (method)""",
         "field_names_common": f"""WITH {_EF}, n AS (SELECT DISTINCT field FROM ef WHERE corpus = 'normal'), a AS (SELECT DISTINCT field FROM ef WHERE corpus = 'anomalo') SELECT 'union' AS how, field FROM (SELECT * FROM n UNION SELECT * FROM a)
  UNION ALL SELECT 'intersect', field FROM (SELECT * FROM n INTERSECT SELECT * FROM a) UNION ALL SELECT 'except', field FROM (SELECT * FROM n EXCEPT SELECT * FROM a)""",
         "target_form_counts": f"{u} SELECT 'pages' AS corpus, CASE WHEN scheme <> '' AND netloc <> '' THEN 'absoluta' ELSE 'origem' END AS form, count(*) AS n FROM x GROUP BY 2",
         "feature_statistics": f"""WITH {long_lines('l_returnflag, ')[:-1]} UNION ALL SELECT l_returnflag, 'l_shifted', l_tax + 1e6 FROM lineitem) SELECT l_returnflag, feature, count(*) AS total, count(x) AS valid, count(*) - count(x) AS missing, min(x) AS min, max(x) AS max, round(avg(x), 5) AS mean, round(stddev_pop(x), 6) AS stddev,
  round(quantile_cont(x, 0.01), 6) AS p01, round(quantile_cont(x, 0.05), 6) AS p05, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.75), 6) AS p75, round(quantile_cont(x, 0.95), 6) AS p95, round(quantile_cont(x, 0.99), 6) AS p99,
- count(*) FILTER (WHERE x = 0) AS zeros, count(*) FILTER (WHERE x <> 0) AS nonzeros, round(100.0::DOUBLE * count(*) FILTER (WHERE x <> 0) / count(x), 4) AS nonzero_percent, CASE WHEN count(DISTINCT x) > 10000 THEN '>10000' ELSE CAST(count(DISTINCT x) AS VARCHAR) END AS distinct_values FROM v GROUP BY 1, 2""",
+ count(*) FILTER (WHERE x = 0) AS zeros, count(*) FILTER (WHERE x <> 0) AS nonzeros, round_even(100.0::DOUBLE * count(*) FILTER (WHERE x <> 0) / count(x), 4) AS nonzero_percent, CASE WHEN count(DISTINCT x) > 10000 THEN '>10000' ELSE CAST(count(DISTINCT x) AS VARCHAR) END AS distinct_values FROM v GROUP BY 1, 2""",
         "quantile_caps": f"WITH {caps} SELECT feature, round(cap, 6) AS cap FROM k",
         "normalized_lines": f"""WITH {caps} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0.0, least(1.0, l_quantity / (SELECT cap FROM k WHERE feature = 'l_quantity'))), 8) AS l_quantity,
  round(greatest(0.0, least(1.0, l_extendedprice / (SELECT cap FROM k WHERE feature = 'l_extendedprice'))), 8) AS l_extendedprice, round(greatest(0.0, least(1.0, l_discount)), 8) AS l_discount, round(greatest(-1.0, least(1.0, l_tax / (SELECT cap FROM k WHERE feature = 'l_tax'))), 8) AS l_tax FROM lineitem""",
@@ -354,7 +354,11 @@ def oracle_sql() -> dict[str, str]:
         "record_ids": f"WITH {_IDS} SELECT * FROM r",
         "hash_partition": f'WITH {_PART} SELECT dataset, sequence, "partition" FROM p',
         "partition_manifest": f"WITH {_PART} SELECT \"partition\", count(*) AS records, sha256(string_agg(record_id, chr(10) ORDER BY record_id) || chr(10)) AS ids_sha256 FROM p GROUP BY 1",
-        "partition_checks": "SELECT * FROM (VALUES ('overlap', 0), ('incomplete', 0), ('repeated', 0), ('mismatches', 0)) t(\"check\", n)",
+        "partition_checks": f"""WITH {_PART}, a AS (SELECT * FROM p WHERE "partition" = 'development'), b AS (SELECT * FROM p WHERE "partition" = 'reserved' AND sequence % 50 <> 0), c AS (SELECT * FROM p WHERE "partition" = 'reserved' OR sequence % 40 = 0),
+ v AS (SELECT sha256(o_orderstatus || '|' || (o_custkey % 400)) AS k FROM orders)
+ SELECT 'overlap' AS "check", count(*) AS n FROM (SELECT record_id FROM a INTERSECT SELECT record_id FROM c) UNION ALL SELECT 'incomplete', (SELECT count(*) FROM p) - (SELECT count(*) FROM a) - (SELECT count(*) FROM b)
+ UNION ALL SELECT 'repeated', count(*) FROM (SELECT k FROM v GROUP BY k HAVING count(*) > 1) UNION ALL SELECT 'mismatches', count(*) FILTER (WHERE sequence % 30 = 0 OR sequence % 77 = 0) FROM r
+ UNION ALL SELECT 'overlap of the partition', count(*) FROM (SELECT record_id FROM p GROUP BY record_id HAVING count(DISTINCT "partition") > 1) UNION ALL SELECT 'repeated in the partition', count(*) FROM (SELECT record_id FROM p GROUP BY record_id HAVING count(*) > 1)""",
         "index_digests": "SELECT label, sha256(unhex(string_agg(lpad(to_hex(vec_id), 16, '0'), '' ORDER BY vec_id))) AS digest FROM embeddings GROUP BY label",
         "stratified_split": f"WITH {split_sql('toxic')} SELECT doc_id, toxic, split FROM t",
         "split_class_counts": f"WITH {split_sql('quality')} SELECT split, quality, count(*) AS n FROM t GROUP BY 1, 2",

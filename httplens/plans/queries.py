@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -243,25 +244,32 @@ def hash_partition(spark, d):
 @query
 def partition_manifest(spark, d):
     p = partition.select_top(_records(spark, d), 1000)
-    return p.groupBy("partition").agg(F.count("*").alias("records"), digests.set_digest(F.col("record_id")).alias("ids_sha256"))
+    told = digests.set_digests(p, ["partition"], "record_id").withColumnRenamed("digest", "ids_sha256")
+    return p.groupBy("partition").agg(F.count("*").alias("records")).join(told, "partition")
 
 
 @query
 def partition_checks(spark, d):
+    """Violations that each check counts: in the partition itself (none), and in parts of it that share
+    rows, lack rows, repeat a text, or differ between two scans."""
     p = partition.select_top(_records(spark, d), 1000)
     a, b = p.where("partition = 'development'"), p.where("partition = 'reserved'")
     n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
-    first, second = _records(spark, d), _records(spark, d)
-    return (
-        n(partition.overlap(a, b, "record_id"), "overlap").unionAll(n(partition.incomplete([a, b], p, "record_id"), "incomplete"))
-        .unionAll(n(partition.repeated(p, "record_id"), "repeated")).unionAll(n(partition.mismatches(first, second, ["dataset", "sequence"], ["content_sha256", "record_id"]), "mismatches"))
-    )
+    first, spoiled = _records(spark, d), _records(spark, d).where("sequence % 77 <> 0")
+    spoiled = spoiled.withColumn("content_sha256", F.when(F.col("sequence") % 30 == 0, "x").otherwise(F.col("content_sha256")))
+    texts = I.table(spark, d, "orders").select(F.sha2(F.concat_ws("|", "o_orderstatus", (F.col("o_custkey") % 400).cast("string")), 256).alias("k"))
+    checks = [
+        n(partition.overlap(a, p.where("partition = 'reserved' or sequence % 40 = 0"), "record_id"), "overlap"), n(partition.incomplete([a, b.where("sequence % 50 <> 0")], p, "record_id"), "incomplete"),
+        n(partition.repeated(texts, "k"), "repeated"), n(partition.mismatches(first, spoiled, ["dataset", "sequence"], ["content_sha256", "record_id"]), "mismatches"),
+        n(partition.overlap(a, b, "record_id"), "overlap of the partition"), n(partition.repeated(p, "record_id"), "repeated in the partition"),
+    ]
+    return functools.reduce(DataFrame.unionAll, checks)
 
 
 @query
 def index_digests(spark, d):
     e = I.table(spark, d, "embeddings")
-    return e.groupBy("label").agg(digests.index_digest(F.col("vec_id").cast("bigint")).alias("digest"))
+    return digests.index_digests(e, ["label"], "vec_id")
 
 
 @query

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digests import plain_base64, set_digest
+from ..functions.digests import plain_base64, set_digests
 
 
 def number_text(x: Column) -> Column:
@@ -50,7 +50,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 def manifest(df: DataFrame) -> DataFrame:
     """One JSON row: counts of each partition and label, digests of ids, and that partitions are
     disjoint. (Digests hold the ids of a partition; large ones belong in ``partition.overlap``.)"""
-    parts = df.groupBy("partition").agg(F.count("*").alias("records"), F.count_if(F.col("label") == 1).alias("attacks"), set_digest(F.col("record_id")).alias("ids_sha256"))
+    parts = df.groupBy("partition").agg(F.count("*").alias("records"), F.count_if(F.col("label") == 1).alias("attacks"))
+    parts = parts.join(set_digests(df, ["partition"], "record_id").withColumnRenamed("digest", "ids_sha256"), "partition")
     both = df.groupBy("record_id").agg(F.count_distinct("partition").alias("n")).agg(F.coalesce(F.max("n") <= 1, F.lit(True)).alias("disjoint"))
     told = parts.agg(F.array_sort(F.collect_list(F.struct("partition", "records", "attacks", "ids_sha256"))).alias("partitions"), F.sum("records").alias("records"))
     return told.join(both, F.lit(True)).select(F.to_json(F.struct("records", "partitions", "disjoint")).alias("manifest"))
