@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import digests, forms, load
 from ..functions.text import decode_once
 from ..operators import balancing, features, history, partition, training
-from ..sources import raw_http, sinks, tables
+from ..sources import offsets, raw_http, sinks, tables
 from ..sources.scratch import scratch
 from ..streaming import online
 from . import inputs as I  # noqa: N812
@@ -237,9 +237,13 @@ def replayed_headers(spark, d):
 
 @query
 def record_by_id(spark, d):
-    """The record of the smallest id, looked up by it."""
-    r = _reserved(spark, d)
-    return history.by_id(r, r.agg(F.min("record_id")).first()[0]).select("record_id", "source_sequence", "method")
+    """The record of the smallest id of a file of records, looked up by its offset; only its bytes are read."""
+    path, index = scratch(spark), scratch(spark)
+    sinks.write_records(_reserved(spark, d), path, ["source_sequence"])
+    offsets.write_index(spark, path, index)
+    least = spark.read.parquet(index).agg(F.min("id")).first()[0]
+    found, _ = offsets.look_up(spark, index, [least], tables.RESERVED)
+    return found.select("record_id", "source_sequence", "method")
 
 
 @query
