@@ -138,7 +138,8 @@ def chained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
 
     Null text counts as empty; ids are integers or of another type that has an order; rows of one
     id follow each other by a hash of the text (equal rows share a range); null ids come last; a
-    single row follows itself; an empty table gives an empty one; other columns are ignored."""
+    single row follows itself; texts of any length are read whole, two at a time; an empty table gives
+    an empty one; other columns are ignored."""
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = ordered_key(df.select(F.col(id_col).alias("id"), text.alias("text")), "id", "rank", nulls=-(1 << 63))
@@ -196,7 +197,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets of one class are done; the few texts that are still apart after ``rounds`` meet in pairs
     of different classes. No link is lost but those that no band shows, with a chance of
     (1 - s^band)^(functions / band) at similarity s: 5e-8 at 0.8. Null text is empty; texts without
-    words form one class; an empty table gives an empty one; other columns are ignored."""
+    words form one class; repeated rows and ids give a row each; null ids belong to classes but name
+    none (null only if all are); texts of any length are read whole, and their set of shingles is a
+    row; an empty table gives an empty one; other columns, whatever their names, are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,7 @@ kept under the same pair, are then joined back to every path that holds the blob
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable
 from typing import NamedTuple
@@ -116,12 +117,15 @@ def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledge
     """(id, blob, found) of every row; found is empty where nothing was.
 
     The versions in ``df`` come in ``runs``, conditions on its rows (one run of all, if None); each
-    run scans what the ledger of those before doesn't hold. Null text counts as empty; repeated rows
-    and ids, null ids too, each give a row; an empty table gives an empty one; other columns are
-    ignored."""
+    run scans what the ledger of those before doesn't hold. Rows that no condition takes, as all are
+    false or null for them, come in the first run. Null text counts as empty; texts of any length are
+    scanned whole; repeated rows and ids, null ids too, each give a row; there are no ties, as spans
+    are in order of place and rule; an empty table gives an empty one; other columns are ignored."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ledger = ledger or new_ledger(df)
-    for run in runs or [F.lit(True)]:
+    first, *later = [F.coalesce(run, F.lit(False)) for run in runs or [F.lit(True)]]
+    taken = functools.reduce(lambda a, b: a | b, [first, *later])
+    for run in [first | ~taken, *later]:
         ledger = scan(df.where(run), ledger, text_col, rules)
     none = F.array().cast("array<struct<start:bigint,rule:int,end:bigint,kind:string>>")
     known = ledger.found.where(F.col("rule_version") == rule_version(rules)).select("blob", "found")

@@ -175,8 +175,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null or wordless text has fingerprint zero and links like any other; repeated ids stay as
     rows and share a component with all that either links to; null ids take part in links but are
-    never the smallest (null only if all are); an empty table gives an empty one; other columns
-    are ignored."""
+    never the smallest (null only if all are); there are no ties but equal ids, which are one; texts
+    of any length are read whole, a block of texts or one long text at a time; an empty table gives an
+    empty one; other columns are ignored."""
     own = staged(fingerprints(df, id_col, text_col))
     grouped = _grouped(own, F.min("id"), bits)
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))

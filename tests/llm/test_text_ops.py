@@ -305,3 +305,17 @@ def test_near_duplicates(docs, rows, rounds):
                     seen.add(t)
                     todo.append(t)
         assert got[i] == min(j for j, t in sets.items() if t in seen)
+
+
+def test_rows_that_no_run_takes_are_scanned_in_the_first(docs, rows):
+    """Conditions that are false or null for a row don't leave it out."""
+    runs = [F.lit(None).cast("boolean"), F.col("doc_id") % 2 == 0, F.when(F.col("lang") == "en", F.lit(True))]
+    own = lambda df: sorted((r.doc_id, [(x.start, x.end) for x in r.found]) for r in df.collect())
+    assert own(secret_scan.secrets(docs, runs=runs)) == own(secret_scan.secrets(docs))
+    assert any(found for _, found in own(secret_scan.secrets(docs, runs=[F.lit(False)])))
+
+
+def test_classes_ignore_clashing_columns(docs):
+    clash = docs.withColumns({c: F.lit(1) for c in ("own", "least", "shingles", "bands", "key", "rep", "root", "node", "class_id")})
+    own = lambda df: sorted((r.doc_id, r.class_id) for r in df.collect())
+    assert own(minhash.near_duplicates(clash)) == own(minhash.near_duplicates(docs))
