@@ -7,9 +7,11 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
+_written: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
@@ -29,7 +31,22 @@ def scratch(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to a scratch folder and read again: what follows reads it as often as it likes, and
-    a lost executor costs a re-read."""
+    a lost executor costs a re-read. The folder goes when the application ends, or with ``release_all``."""
     path = scratch(df.sparkSession)
+    if not _written:
+        atexit.register(_at_end)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete what ``written`` wrote in this process: for when results have been read."""
+    while _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def _at_end() -> None:
+    if SparkContext._active_spark_context is not None and (spark := SparkSession.getActiveSession()) is not None:
+        release_all(spark)
