@@ -29,6 +29,8 @@ from .scratch import written
 
 #: Bytes of a chunk, but for what reaches to the next empty line.
 CHUNK = 1 << 20
+#: Chunks of a task.
+CHUNKS = 64
 
 #: What a first line must be, in strict and in lenient framing.
 PARTS = re.compile(rb"(\S+)\s+(.+?)\s+HTTP/(\S+)[\r\n]*\Z")
@@ -268,6 +270,9 @@ def frame(spark: SparkSession, path: str, strict: bool, size: int = CHUNK) -> Da
     without raw and sequence carry those after a chunk's last message."""
     names, data = chunks(spark, path, size)
     index = data.select("file", "chunk", "at", (F.col("at") + F.octet_length("data")).alias("stop"), "rest")
+    every, most = index.groupBy("file").count().agg(F.sum("count"), F.max("count")).first()
+    # Text packs well, so that partitions of few bytes may hold much to do: they are told by chunks.
+    spread = data.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), (every or 0) // CHUNKS + 1), "file", "chunk")
 
     def leaving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,12 +292,11 @@ def frame(spark: SparkSession, path: str, strict: bool, size: int = CHUNK) -> Da
                 rows += [(r["file"], r["chunk"], p + r["at"], to + r["at"], n) for p, to, n in found]
             yield _table({"file": pa.int64(), "chunk": pa.int64(), "p": pa.int64(), "to": pa.int64(), "n": pa.int64()}, rows)
 
-    edges = written(data.join(entries, ["file", "chunk"]).select("file", "chunk", "at", "rest", "data", "entries").mapInArrow(jumping, "file bigint, chunk bigint, p bigint, to bigint, n bigint"))
-    most = index.groupBy("file").count().agg(F.max("count")).first()[0] or 0
+    edges = written(spread.join(entries, ["file", "chunk"]).select("file", "chunk", "at", "rest", "data", "entries").mapInArrow(jumping, "file bigint, chunk bigint, p bigint, to bigint, n bigint"))
     chain = edges.where("p = 0").select("file", "p", F.lit(0).cast("bigint").alias("rank"))
     jump = edges.select("file", "p", "to", "n")
     done = 1
-    while done < most:  # chain: the first ``done`` of each file; jump: over so many
+    while done < (most or 0):  # chain: the first ``done`` of each file; jump: over so many
         more = chain.join(jump, ["file", "p"]).select("file", F.col("to").alias("p"), (F.col("rank") + F.col("n")).alias("rank"))
         chain = written(chain.union(more))
         on = jump.select("file", F.col("p").alias("to"), F.col("to").alias("then"), F.col("n").alias("more"))
@@ -322,7 +326,7 @@ def frame(spark: SparkSession, path: str, strict: bool, size: int = CHUNK) -> Da
 
         return run
 
-    cuts = data.join(right.select("file", "chunk", "p", "rank"), ["file", "chunk"], "left").join(tails, ["file", "chunk"], "left")
+    cuts = spread.join(right.select("file", "chunk", "p", "rank"), ["file", "chunk"], "left").join(tails, ["file", "chunk"], "left")
     cuts = cuts.select("file", "chunk", "at", "rest", "data", "p", "rank", "last", "last_to")
     schema = "file bigint, sequence bigint, place bigint, part boolean, raw binary, outside bigint"
     within = cuts.mapInArrow(cut(False), schema).select("file", "sequence", "raw", "outside")
