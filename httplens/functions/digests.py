@@ -38,6 +38,13 @@ def set_digest(ids: Column) -> Column:
     return F.sha2(F.concat(F.array_join(F.array_sort(F.collect_set(ids)), "\n"), F.lit("\n")), 256)
 
 
+def index_digest(indices: Column) -> Column:
+    """Aggregate: SHA-256 of the sorted indices as big-endian 64-bit integers, for small sets (see
+    ``index_digests``)."""
+    words = F.transform(F.array_sort(F.collect_list(indices)), lambda i: F.lpad(F.hex(i), 16, "0"))
+    return F.sha2(F.unhex(F.array_join(words, "")), 256)
+
+
 def _digests(df: DataFrame, by: list[str], piece: Column, order: Column) -> DataFrame:
     """(by, digest): SHA-256 of all pieces of each group, one after the other in order.
 

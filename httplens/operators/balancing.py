@@ -34,9 +34,9 @@ def burst_summary(results: DataFrame, by: tuple[str, ...] = ("policy",)) -> Data
 
 def compared(summaries: DataFrame) -> DataFrame:
     """The verdict on round_robin and q_learning, one row each side."""
-    side = lambda p: summaries.where(F.col("policy") == p).select(F.lit(1).alias("__k"), *[F.col(c).alias(f"{p}_{c}") for c in ("requests", "timeouts", "average_latency_ms")])
-    j = side("round_robin").join(side("q_learning"), "__k")
-    v = L.verdict(F.col("round_robin_timeouts"), F.col("round_robin_average_latency_ms"), F.col("q_learning_timeouts"), F.col("q_learning_average_latency_ms"), F.col("round_robin_requests"))
+    side = lambda p: F.max(F.when(F.col("policy") == p, F.struct("requests", "timeouts", "average_latency_ms"))).alias(p)
+    j = summaries.agg(side("round_robin"), side("q_learning")).where("round_robin is not null and q_learning is not null")
+    v = L.verdict(F.col("round_robin.timeouts"), F.col("round_robin.average_latency_ms"), F.col("q_learning.timeouts"), F.col("q_learning.average_latency_ms"), F.col("round_robin.requests"))
     return j.select(v.alias("v")).select("v.winner", "v.equivalent")
 
 

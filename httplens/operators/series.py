@@ -28,11 +28,11 @@ def request_rate(df: DataFrame, client: str, ts: str, seconds: int = 60, name: s
 def recent_improvement(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """(by, n, improvement): the relative fall from the value at four fifths to the last; null for
     fewer than two, 0 if the first is about 0."""
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(by, order, F.col(value).alias("v"))
-    rows = scan(rows, [by], [order], number="i", total="n")
-    at = F.greatest(F.lit(1), F.floor(F.col("n") * 0.8))
-    start, end = F.max(F.when(F.col("i") == at, F.col("v"))), F.max(F.when(F.col("i") == F.col("n"), F.col("v")))
-    both = rows.groupBy(by).agg(F.max("n").alias("n"), start.alias("a"), end.alias("z"))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(by, F.col(order).alias("__o"), F.col(value).alias("__v"))
+    rows = scan(rows, [by], ["__o"], number="__at", total="__n")
+    at = F.greatest(F.lit(1), F.floor(F.col("__n") * 0.8))
+    start, end = F.max(F.when(F.col("__at") == at, F.col("__v"))), F.max(F.when(F.col("__at") == F.col("__n"), F.col("__v")))
+    both = rows.groupBy(by).agg(F.max("__n").alias("n"), start.alias("a"), end.alias("z"))
     change = F.when(F.abs("a") > 1e-12, F.try_divide(F.col("a") - F.col("z"), F.abs("a"))).otherwise(0.0)
     return both.select(by, "n", F.when(F.col("n") >= 2, change).alias("improvement"))
 

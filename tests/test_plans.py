@@ -13,7 +13,7 @@ from httplens.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-PYTHON = {"network_scores_batched", "rl_replay", "rl_session", "ga_fitness"}
+PYTHON = {"network_scores_batched", "rl_replay", "rl_session", "ga_fitness", "residual_loads", "partition_manifest", "index_digests"}
 
 
 def plan(df) -> str:
