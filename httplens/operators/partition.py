@@ -68,7 +68,8 @@ def schema_difference(df: DataFrame, expected: tuple[str, ...]) -> tuple[list[st
 
 def stratified(df: DataFrame, label: str, order: list[Column], train: float = 0.70, validation: float = 0.15) -> DataFrame:
     """``df`` with ``split`` (treino, validacao, teste) by rank within the label, cut at the whole
-    parts of 70 % and 15 %; the rest is for the test.
+    parts of 70 % and 15 %, each a product in double precision as the reference has it (62 of 90 rows
+    are for training: 90 * 0.7 is a little under 63); the rest is for the test.
 
     Ranks come from sums over hash buckets and a rank inside each, so a label of any size is
     spread over tasks. ``order`` must end in unique values for the split to be reproducible."""
