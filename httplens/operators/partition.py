@@ -24,14 +24,17 @@ def select_top(df: DataFrame, quantity: int, dataset: str = "dataset", sequence:
     seed, dataset, sequence and content, reserved for the rest.
 
     Only the key and the two identifying columns go through the ranking, and the engine keeps
-    ``quantity`` rows of each task before it shuffles; members are then found by a semi-join, so
-    neither content nor rejected rows are sorted in one place."""
+    ``quantity`` rows of each task before it shuffles. Of what is chosen the last key and sequence of
+    each dataset go on, a row for each, and every row is compared with those where it is: neither
+    content nor rejected rows are sorted or shuffled. Rows of one dataset, sequence and content share
+    a key and so a part."""
     key = selection_key(seed, F.col(dataset), F.col(sequence), F.col(content))
     order = W.partitionBy("__d").orderBy("__k", "__s")
     ranked = df.select(F.col(dataset).alias("__d"), F.col(sequence).alias("__s"), key.alias("__k")).withColumn("__n", F.row_number().over(order))
-    chosen = ranked.where(F.col("__n") <= quantity).select("__d", "__s")
-    marked = df.join(chosen, (df[dataset] == chosen["__d"]) & (df[sequence] == chosen["__s"]), "left")
-    return marked.withColumn("partition", F.when(F.col("__d").isNotNull(), "development").otherwise("reserved")).drop("__d", "__s")
+    last = ranked.where(F.col("__n") <= quantity).groupBy("__d").agg(F.max(F.struct("__k", "__s")).alias("__last"))
+    marked = df.join(F.broadcast(last), df[dataset] == last["__d"], "left")
+    chosen = F.struct(key.alias("__k"), F.col(sequence).alias("__s")) <= F.col("__last")
+    return marked.withColumn("partition", F.when(chosen, "development").otherwise("reserved")).drop("__d", "__last")
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -52,6 +55,12 @@ def repeated(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def multiplicities(df: DataFrame, key: str, parts: dict[str, Column]) -> DataFrame:
+    """(key, whole, and each of ``parts``): how many rows of each key there are, and in the rows that
+    each condition takes. One grouping tells what ``overlap``, ``incomplete`` and ``repeated`` find."""
+    return df.groupBy(key).agg(F.count("*").alias("whole"), *[F.count_if(c).alias(n) for n, c in parts.items()])
+
+
 def mismatches(first: DataFrame, second: DataFrame, on: list[str], fields: list[str]) -> DataFrame:
     """Rows of two scans whose fields differ at the same place, or that one scan lacks."""
     a, b = first.select(*on, *[F.col(f).alias(f"{f}_1") for f in fields]), second.select(*on, *[F.col(f).alias(f"{f}_2") for f in fields])
