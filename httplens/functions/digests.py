@@ -122,9 +122,10 @@ def _digests(df: DataFrame, by: list[str], id_col: Column, told: Callable[[list]
     few = rows.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > large).select(*[F.col(c).alias(f"__k{n}") for n, c in enumerate(by)])
     few = written(few)  # a row for each group of more than ``large`` rows
     same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{n}")) for n, c in enumerate(by)])
-    small = rows.join(F.broadcast(few), same, "left_anti").repartition(*by).sortWithinPartitions(*by, "__id")
-    small = small.mapInArrow(lambda b: run(b, digest, hashed), out)
-    if few.isEmpty():
+    none = few.isEmpty()
+    small = rows if none else rows.join(F.broadcast(few), same, "left_anti")
+    small = small.repartition(*by).sortWithinPartitions(*by, "__id").mapInArrow(lambda b: run(b, digest, hashed), out)
+    if none:
         return small
     big = rows.join(F.broadcast(few), same, "left_semi").repartitionByRange(*by, "__id").sortWithinPartitions(*by, "__id")
     big = big.mapInArrow(lambda b: run(b, chunks, raw), T.StructType([*key, T.StructField("__chunk", T.BinaryType())]))
