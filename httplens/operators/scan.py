@@ -3,10 +3,11 @@ itself, and what a range takes over from those before it is carried over a short
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,23 +83,40 @@ def _then(first: tuple, second: tuple) -> tuple:
 
 def clamped_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], add: str, low: str, high: str, start: float, name: str) -> DataFrame:
     """``df`` with x after each row of its series: x becomes min(high, max(low, x + add)), from ``start``
-    on. Such maps are closed under composition, so ranges are composed apart, then joined up."""
+    on. Such maps are closed under composition, so ranges are composed apart, then joined up. The rows
+    of a range stream in order, and what a task holds is a batch of them, whatever the range's size."""
     parts = ["__a", "__l", "__h"]
     rows = ranged(df.withColumns(dict(zip(parts, (F.col(c).cast("double") for c in (add, low, high)), strict=True))), by, order)
     key = [*by, RANGE]
 
-    def composed(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(list(order), kind="stable").reset_index(drop=True)
-        maps = tuple(f[c].to_numpy(float) for c in parts)
-        step = 1
-        while step < len(f):  # each map so far is of ``step`` rows at most
-            longer = _then(tuple(x[:-step] for x in maps), tuple(x[step:] for x in maps))
-            maps = tuple(np.r_[x[:step], y] for x, y in zip(maps, longer, strict=True))
-            step *= 2
-        return f.assign(**dict(zip(parts, maps, strict=True)), __i=np.arange(len(f)))
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, whole, n = None, None, 0  # the range so far: its map and rows
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            given = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in parts]
+            out, at = [np.empty(len(keys)) for _ in parts], np.empty(len(keys), np.int64)
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if hi == lo:
+                    continue
+                maps, step = tuple(x[lo:hi] for x in given), 1
+                while step < hi - lo:  # each map so far is of ``step`` rows at most
+                    longer = _then(tuple(x[:-step] for x in maps), tuple(x[step:] for x in maps))
+                    maps = tuple(np.r_[x[:step], y] for x, y in zip(maps, longer, strict=True))
+                    step *= 2
+                if whole is not None and keys[lo] == last:
+                    maps = _then(whole, maps)
+                else:
+                    n = 0
+                for x, y in zip(out, maps, strict=True):
+                    x[lo:hi] = y
+                at[lo:hi] = np.arange(n, n + hi - lo)
+                last, whole, n = keys[lo], tuple(x[-1] for x in maps), n + hi - lo
+            cols = dict(zip(batch.schema.names, batch.columns, strict=True)) | dict(zip(parts, map(pa.array, out), strict=True)) | {"__i": pa.array(at)}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     schema = T.StructType([*rows.schema.fields, T.StructField("__i", T.LongType())])
-    done = written(rows.groupBy(*key).applyInPandas(composed, schema))
+    done = written(rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(composed, schema))
     whole = done.groupBy(*key).agg(F.max_by(F.struct(*parts), "__i").alias("w")).select(*key, *[F.col(f"w.{c}").alias(c) for c in parts])
 
     def carried(f: pd.DataFrame) -> pd.DataFrame:

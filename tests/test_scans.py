@@ -3,9 +3,12 @@
 import datetime as dt
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -147,3 +150,23 @@ def test_streamed_rates_equal_the_window(spark, tmp_path):
     assert len(got) == len(rows)
     for i, c, t in rows:
         assert got[i][2] == sum(d == c and 0 <= (t - u).total_seconds() <= 60 for _, d, u in rows)
+
+
+def test_clamped_sums_over_batches(spark, monkeypatch):
+    """A range of more rows than a batch: its map is carried from batch to batch, and no task holds a range."""
+    plans, write = [], scan.written
+    monkeypatch.setattr(scan, "written", lambda df: plans.append(df._jdf.queryExecution().toString()) or write(df))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, i, float((i * 37 % 23) - 11), float(i % 5), 40.0) for k in ("a", "b", None) for i in range(100)]
+        df = spark.createDataFrame(rows, "k string, i bigint, a double, l double, h double")
+        done = scan.clamped_sums(df, ["k"], ["i"], "a", "l", "h", 10.0, "x")
+        got = {(r.k, r.i): r.x for r in done.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in ("a", "b", None):
+        x = 10.0
+        for _, i, a, lo, hi in (r for r in rows if r[0] == k):
+            x = min(hi, max(lo, x + a))
+            assert got[k, i] == pytest.approx(x, abs=1e-9)
+    assert len(plans) == 2 and not any("InPandas" in p for p in plans)
