@@ -58,21 +58,32 @@ def request_rate(stream: DataFrame, client: str = "client", event: str = "event_
 
 
 _LOADS = "node string, event_id bigint, at double, load double"
+#: Arrivals told at a time.
+SLICE = 1 << 14
 
 
 def residual_load(stream: DataFrame, node: str = "node", event: str = "event_id", at: str = "at", decay: float = L.DECAY, impact: float = L.IMPACT, start: float = 50.0) -> DataFrame:
     """Each node's load after an arrival: what decayed since the last, plus the request's part, which is
-    larger on nodes of less capacity (a node that isn't known has a capacity of 1)."""
+    larger on nodes of less capacity (a node that isn't known has a capacity of 1). Of a batch's arrivals
+    at a node, two numbers each are held, in order of which loads are told by slices."""
+
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         load, last = state.get if state.exists else (start, None)
-        out, part = [], impact / math.sqrt(L.CAPACITY.get(str(key[0]), 1.0))
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        for e, t in zip(rows["event_id"], rows["at"], strict=True):
-            load = max(0.0, load - decay * (max(0.0, t - last) if last is not None else 0.0))
-            load, last = min(100.0, load + part), t
-            out.append((str(key[0]), e, t, load))
-        state.update((load, last))
-        yield pd.DataFrame(out, columns=["node", "event_id", "at", "load"])
+        part, parts = impact / math.sqrt(L.CAPACITY.get(str(key[0]), 1.0)), {"at": [], "event_id": []}
+        for f in frames:
+            for c, held in parts.items():
+                held.append(f[c].to_numpy(copy=True))  # a view would keep the whole frame
+        at, events = (np.concatenate(parts.pop(c)) for c in ("at", "event_id"))
+        order = np.lexsort((events, at))
+        for lo in range(0, len(order), SLICE):
+            own, loads = order[lo : lo + SLICE], []
+            for t in at[own].tolist():
+                load = max(0.0, load - decay * (max(0.0, t - last) if last is not None else 0.0))
+                load, last = min(100.0, load + part), t
+                loads.append(load)
+            if lo + SLICE >= len(order):
+                state.update((load, last))
+            yield pd.DataFrame({"node": str(key[0]), "event_id": events[own], "at": at[own], "load": loads})
 
     rows = stream.select(F.col(node).cast("string").alias("node"), F.col(event).alias("event_id"), F.col(at).cast("double").alias("at"))
     return rows.groupBy("node").applyInPandasWithState(fold, _LOADS, "load double, last double", "append", GroupStateTimeout.NoTimeout)

@@ -170,3 +170,32 @@ def test_clamped_sums_over_batches(spark, monkeypatch):
             x = min(hi, max(lo, x + a))
             assert got[k, i] == pytest.approx(x, abs=1e-9)
     assert len(plans) == 2 and not any("InPandas" in p for p in plans)
+
+
+def test_streamed_loads_hold_two_numbers_an_arrival(spark, monkeypatch):
+    """A batch of 200,000 arrivals in two frames, not in order, and one after it."""
+    found = []
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", lambda self, f, *more: found.append(f))
+    online.residual_load(spark.createDataFrame([("node1", 1, 1.0)], "node string, event_id bigint, at double"))
+
+    class State:
+        exists = False
+
+        def update(self, x):
+            self.get, self.exists = x, True
+
+    n, state = 200_000, State()
+    order = np.random.default_rng(5).permutation(n)
+    frames = (pd.DataFrame({"node": ["node1"] * len(o), "event_id": o, "at": o * 0.125}) for o in np.array_split(order, 20))
+    load, told = 50.0, 0
+    tracemalloc.start()
+    for f in found[0](("node1",), frames, state):
+        for i, got in zip(f["event_id"], f["load"], strict=True):
+            load = min(100.0, max(0.0, load - 6.0 * (0.125 if i else 0.0)) + 1.5)
+            assert i == told and got == load
+            told += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told == n and state.get == (load, (n - 1) * 0.125) and peak < 60 * n
+    last = list(found[0](("node1",), iter([pd.DataFrame({"node": ["node1"], "event_id": [n], "at": [n * 0.125]})]), state))
+    assert last[0]["load"].tolist() == [min(100.0, max(0.0, load - 0.75) + 1.5)]
