@@ -217,32 +217,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = rows.schema["id"].dataType.simpleString()
     signed = staged(rows.mapInArrow(run, f"id {kind}, own string, shingles array<bigint>, bands array<bigint>"))
     texts = staged(signed.groupBy("own").agg(F.min("id").alias("least"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")))
-    sets = texts.select("own", "shingles")
-    keyed = texts.select("own", F.explode("bands").alias("key"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keyed = texts.select("own", F.size("shingles").alias("n"), F.explode("bands").alias("key"))
+    full = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
     pending = staged(keyed.join(full, "key"))
+    # only sets that share a bucket are met: the others aren't read again
+    sets = staged(texts.join(pending.select("own").distinct(), "own", "left_semi").select("own", "shingles"))
     links, root = _verified(pending.select(F.col("own").alias("a"), F.col("own").alias("b")).limit(0), sets, similar), None
+    # sets of too different a size have no such part in common
+    sized = lambda a, b: F.least(a, b) >= F.lit(similar) * F.greatest(a, b)
     for _ in range(rounds):
         if pending.isEmpty():
             break
-        rep = pending.groupBy("key").agg(F.min("own").alias("rep"))
-        met = pending.join(rep, "key").where("own <> rep").select(F.col("rep").alias("a"), F.col("own").alias("b")).distinct()
+        rep = pending.groupBy("key").agg(F.min(F.struct("own", "n")).alias("first")).select("key", F.col("first.own").alias("rep"), F.col("first.n").alias("of"))
+        met = pending.join(rep, "key").where("own <> rep").where(sized(F.col("n"), F.col("of"))).select(F.col("rep").alias("a"), F.col("own").alias("b")).distinct()
         links, root = _joined(links, met, sets, similar, root)
-        left = pending.join(rep, "key").where("own <> rep").select("key", "own")
-        left = left.join(root, left["own"] == root["node"], "left").select("key", "own", F.coalesce("root", "own").alias("root"))
+        left = pending.join(rep, "key").where("own <> rep").select("key", "own", "n")
+        left = left.join(root, left["own"] == root["node"], "left").select("key", "own", "n", F.coalesce("root", "own").alias("root"))
         apart = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        before, pending = pending, staged(left.join(apart, "key").select("key", "own"))
+        before, pending = pending, staged(left.join(apart, "key").select("key", "own", "n"))
         release(before)
     if not pending.isEmpty():
-        left = pending.join(root, pending["own"] == root["node"], "left").select("key", "own", F.coalesce("root", "own").alias("root"))
+        left = pending.join(root, pending["own"] == root["node"], "left").select("key", "own", "n", F.coalesce("root", "own").alias("root"))
         x, y = left.alias("x"), left.alias("y")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.own") < F.col("y.own")) & (F.col("x.root") != F.col("y.root")))
-        met = met.select(F.col("x.own").alias("a"), F.col("y.own").alias("b")).distinct()
+        met = met.where(sized(F.col("x.n"), F.col("y.n"))).select(F.col("x.own").alias("a"), F.col("y.own").alias("b")).distinct()
         links, root = _joined(links, met, sets, similar, root)
     if root is None:
         root = connected_components(links)
     classes = staged(texts.select("own", "least").join(root, texts["own"] == root["node"], "left").select("own", "least", F.coalesce("root", "own").alias("root")))
-    release(texts, pending, links, root)
+    release(texts, sets, pending, links, root)
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
     told = classes.join(least, "root").select("own", "class_id")
     return signed.select("id", "own").join(told, "own").select(F.col("id").alias(id_col), "class_id")

@@ -319,3 +319,13 @@ def test_classes_ignore_clashing_columns(docs):
     clash = docs.withColumns({c: F.lit(1) for c in ("own", "least", "shingles", "bands", "key", "rep", "root", "node", "class_id")})
     own = lambda df: sorted((r.doc_id, r.class_id) for r in df.collect())
     assert own(minhash.near_duplicates(clash)) == own(minhash.near_duplicates(docs))
+
+
+def test_only_sets_that_share_a_bucket_are_met(spark, monkeypatch):
+    """A set that meets no other, or one of too different a size, isn't read again."""
+    long = [" ".join(f"w{n}x{i}" for i in range(60)) for n in range(8)]
+    df = spark.createDataFrame([*enumerate(long), (8, long[0] + " end")], "doc_id bigint, text string")
+    seen, verified = [], minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, sets, similar: seen.append(sets.count()) or verified(pairs, sets, similar))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == {**{n: n for n in range(8)}, 8: 0} and set(seen) == {2}
