@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -46,6 +47,10 @@ CROWD, PART = 1 << 14, 1 << 12
 HELD = 1 << 18
 #: Anchors of one grain that are sorted in one task; those of more are counted by aggregates.
 HOT = 1 << 20
+#: Grains are counted by themselves only in those of so many buckets that hold more than ``HOT`` anchors.
+BUCKETS = 1 << 14
+#: Ranges of grains that meet one after the other: disk holds the shuffle files of one of them.
+RANGES = 2
 
 
 class Shape(NamedTuple):
@@ -212,6 +217,12 @@ def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
     """Of the anchors that are not met, those whose grain occurs again (if ranked: in another rank).
     apart: it goes on, as the first of its surroundings, or as the second (if ranked: the first of
     a larger rank). The others are twins, and name the one of those two that stands for them."""
+    return reduce(DataFrame.union, meetings(marks, shape, hot_rows))
+
+
+def meetings(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> list[DataFrame]:
+    """``meet`` by ranges of grains, which each read their own part of ``marks``: batches lie there in
+    order of their grains."""
     schema = ("grain", "around", "more", *_PLACE)
     hot_rows = hot_rows or HOT
 
@@ -264,12 +275,26 @@ def meet(marks: DataFrame, shape: Shape, hot_rows: int = 0) -> DataFrame:
             yield settle(held, spread == held["grain"][0])
 
     own = marks.where("not met").select(*schema)
-    hot = own.groupBy("grain").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("grain")
-    sort = lambda df: df.repartition("grain").sortWithinPartitions("grain", "around", "more", "rank", "rid", "pos").mapInArrow(run, MET)
-    if hot.isEmpty():
-        return sort(own)
-    hot = staged(hot)  # at most a row for each ``hot_rows`` anchors
-    return sort(own.join(hot, "grain", "left_anti")).union(_meet_hot(staged(own.join(hot, "grain", "left_semi")), shape))
+    hot = _hot(own, hot_rows)
+    rest = own if hot is None else own.join(hot, "grain", "left_anti")
+    edges = [(n << 64) // RANGES - (1 << 63) for n in range(1, RANGES)]
+    met = []
+    for lo, hi in zip([None, *edges], [*edges, None], strict=True):
+        part = rest if lo is None else rest.where(F.col("grain") >= lo)
+        part = part if hi is None else part.where(F.col("grain") < hi)
+        met.append(part.repartition("grain").sortWithinPartitions("grain", "around", "more", "rank", "rid", "pos").mapInArrow(run, MET))
+    return met if hot is None else [*met, _meet_hot(staged(own.join(hot, "grain", "left_semi")), shape)]
+
+
+def _hot(own: DataFrame, rows: int) -> DataFrame | None:
+    """Grains of more than so many anchors, at most one for each so many. A bucket of grains holds more
+    than one of them does, so few or no grains are left to be counted by themselves."""
+    bucket = F.col("grain").bitwiseAND(BUCKETS - 1).alias("bucket")
+    full = staged(own.groupBy(bucket).count().where(F.col("count") > rows).select("bucket"))
+    if full.isEmpty():
+        return None
+    hot = staged(own.select("grain", bucket).join(full, "bucket", "left_semi").groupBy("grain").count().where(F.col("count") > rows).select("grain"))
+    return None if hot.isEmpty() else hot
 
 
 def _meet_hot(own: DataFrame, shape: Shape) -> DataFrame:
@@ -448,7 +473,7 @@ def covered(texts: DataFrame, shape: Shape, solve: Solve, windows: Windows, crow
     Each step is written and what it read is dropped, so that disk follows the largest step."""
     marks = staged(mark(texts.select("rid", "rank", "text"), shape))
     with scoped(texts.sparkSession) as keep:
-        met = keep(staged(meet(marks, shape)))
+        met = keep(staged(*meetings(marks, shape)))
     w, g = shape.window, shape.grain
     key = ["rid", "rank"]
     whole = lambda df: df.select(*key, F.greatest(F.lit(0), F.col("pos") - (w - g)).alias("lo"), (F.col("pos") + w).alias("hi"))

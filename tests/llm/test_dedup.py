@@ -125,6 +125,14 @@ def test_a_crowd_gives_one_span_an_anchor(docs):
     assert near.groupBy("rid", "rank", "pos").count().where("count > 1").isEmpty() and not near.isEmpty()
 
 
+def test_a_part_of_the_anchors_meets_at_a_time(docs):
+    """Each meeting reads and shuffles its own range of grains, and together they are all."""
+    shape = anchors.Shape(True, 13, 4, True)
+    marks = anchors.staged(anchors.mark(anchors.texts_of(docs, "doc_id", "text", True).select("rid", "rank", "text"), shape))
+    grains = [{r.grain for r in part.select("grain").collect()} for part in anchors.meetings(marks, shape)]
+    assert len(grains) > 1 and max(map(len, grains)) < 0.7 * len(set.union(*grains)) and sum(map(len, grains)) == len(set.union(*grains))
+
+
 def test_a_third_of_all_rows_are_equal(spark, monkeypatch):
     """Many equal rows, of one id or of none, in several batches."""
     rng = np.random.default_rng(4)
