@@ -25,7 +25,8 @@ Everything streams over sorted partitions; no group is ever held whole unless it
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -106,9 +107,12 @@ def _sliding(op, x: np.ndarray, w: int, fill: int) -> np.ndarray:
     return op(suffix[:m], prefix[w - 1 : w - 1 + m])
 
 
-def chosen(h: np.ndarray, w: int) -> np.ndarray:
-    """Places whose hash is the smallest of some run of w of them."""
+def chosen(h: np.ndarray, w: int, upto: np.ndarray | None = None) -> np.ndarray:
+    """Places whose hash is the smallest of some run of w of them; upto: the place after the last
+    of each place's text, if there are several, as no run goes from one into the next."""
     least = _sliding(np.minimum, h, w, (1 << 64) - 1)
+    if upto is not None:
+        least[np.arange(w, len(h) + 1) > upto[: len(least)]] = 0
     none = np.zeros(w - 1, h.dtype)
     return np.flatnonzero(_sliding(np.maximum, np.concatenate([none, least, none]), w, 0) == h)
 
@@ -134,6 +138,57 @@ def anchors(shape: Shape, text: Units) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return tuple(np.concatenate([*x, y]) for x, y in zip(zip(*found, strict=True) if found else ((), (), (), ()), (none.astype(np.int64), none, none, none), strict=True))
 
 
+class Part(NamedTuple):
+    """Texts of consecutive rows from ``lo``: their bytes, their units (words joined by single spaces;
+    bytes need no places), and the first unit of each and of the one after."""
+
+    raw: bytes
+    start: np.ndarray | None
+    end: np.ndarray | None
+    first: np.ndarray
+    lo: int
+
+    def around(self, shape: Shape, row: int, pos: int) -> tuple[bytes, int]:
+        """The surroundings of an anchor, and the units of them that lie before it."""
+        a, b = int(self.first[row - self.lo]), int(self.first[row - self.lo + 1])
+        left, right = max(a, a + pos - (shape.window - shape.grain)), min(b, a + pos + shape.window)
+        before = a + pos - left
+        return (self.raw[left:right] if self.start is None else self.raw[self.start[left] : self.end[right - 1]]), before
+
+
+def block_anchors(shape: Shape, data: np.ndarray, at: np.ndarray, lo: int) -> tuple[Part, tuple[np.ndarray, ...]]:
+    """(row, unit, hash of the grain, two halves of the digest of the surroundings) of the anchors of a
+    block of texts, the first of which is row ``lo``."""
+    n, (words, window, grain, _, bits) = len(at) - 1, shape
+    if n == 1 or np.diff(at).max() > STRETCH:
+        each = [units(shape, data[at[i] : at[i + 1]]) for i in range(n)]
+        found = [(np.full(len(x[0]), lo + i), *x) for i, x in enumerate(anchors(shape, own) for own in each)]
+        first = np.r_[0, np.cumsum([len(own) for own in each])]
+        byte = np.r_[0, np.cumsum([len(own.data) for own in each])]
+        places = [np.concatenate([x + b for x, b in zip(column, byte.tolist(), strict=False)]) for column in zip(*(own[1:] for own in each), strict=True)] if words else [None, None]
+        return Part(b"".join(own.data.tobytes() for own in each), *places, first, lo), tuple(map(np.concatenate, zip(*found, strict=True)))
+    if words:
+        w = tb.words(data, at)
+        data, start, end, first = w
+    else:
+        start, first = np.arange(len(data)), at
+        end = start + 1
+    raw = data.tobytes()
+    size = np.diff(first)
+    number = np.where(size >= window, size - grain + 1, 0)
+    upto = np.cumsum(number)
+    doc = np.repeat(np.arange(n), number)
+    place = np.arange(len(doc)) + (first[:-1] - (upto - number))[doc]
+    if len(doc):
+        it = chosen(tb.PlaceHash(data).of(start[place], end[place + grain - 1]), window - grain + 1, upto[doc])
+        doc, place = doc[it], place[it]
+    left, right = np.maximum(first[doc], place - (window - grain)), np.minimum(first[doc + 1], place + window)
+    pieces = lambda a, b: (raw[x:y] for x, y in zip(start[a].tolist(), end[b - 1].tolist(), strict=True))
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces(place, place + grain)), np.uint64, len(place)) >> np.uint64(64 - bits)
+    around, more = (x.view(np.uint64) for x in digests(pieces(left, right), (place - left).tolist()))
+    return Part(raw, *((start, end) if words else (None, None)), first, lo), (doc + lo, place - first[doc], own, around, more)
+
+
 def _record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
@@ -153,30 +208,31 @@ def mark(texts: DataFrame, shape: Shape) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, rank = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows: list[list[np.ndarray]] = [[], [], [], [], []]
-            whole: dict[int, tuple[bytes, Units]] = {}
-            for lo, hi, data, at in tb.blocks(batch.column(2)):
-                for i in range(hi - lo):
-                    own = units(shape, data[at[i] : at[i + 1]])
-                    if len(own) >= shape.window:
-                        found = anchors(shape, own)
-                        whole[lo + i] = own.data.tobytes(), own
-                        for x, y in zip(rows, (np.full(len(found[0]), lo + i), *found), strict=True):
-                            x.append(y)
-            if not rows[0]:
+            parts: list[Part] = []
+            found: list[tuple[np.ndarray, ...]] = []
+            for lo, _, data, at in tb.blocks(batch.column(2)):
+                part, own = block_anchors(shape, data, at, lo)
+                parts.append(part)
+                found.append(own)
+            if not sum(len(own[0]) for own in found):
                 continue
-            row, pos, grain, around, more = map(np.concatenate, rows)
-            order = np.lexsort((pos, rank[row], more, around, grain))
+            row, pos, grain, around, more = map(np.concatenate, zip(*found, strict=True))
+            del found
+            order = np.argsort(grain)
+            same = np.diff(grain[order]) == 0
+            again = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+            some = np.sort(order[again])  # of these alone the order within a grain is open
+            order[again] = some[np.lexsort((pos[some], rank[row[some]], more[some], around[some], grain[some]))]
             row, pos, grain, around, more = (x[order] for x in (row, pos, grain, around, more))
             new = np.r_[True, (grain[1:] != grain[:-1]) | (around[1:] != around[:-1]) | (more[1:] != more[:-1])]
             first, second = pairs(np.cumsum(new) - 1, new, rank[row] if shape.ranked else None)
             here = np.arange(len(row))
             met = (second >= 0) & (second < here)
 
+            above = [part.lo for part in parts]
+
             def text(n: int) -> tuple[bytes, int]:
-                raw, own = whole[int(row[n])]
-                a, b = extent(shape, pos[n : n + 1], len(own))
-                return own.pieces(raw, a, b)[0], int(pos[n] - a[0])
+                return parts[bisect_right(above, row[n]) - 1].around(shape, int(row[n]), int(pos[n]))
 
             held: tuple[int, tuple[bytes, int]] = (-1, (b"", 0))
             for n in np.flatnonzero(met).tolist():
@@ -447,9 +503,10 @@ def compare(around: DataFrame, shape: Shape, solve: Solve, windows: Windows, cro
     return spans.union(both.groupBy(*_PLACE).agg(F.min("lo").alias("lo"), (F.max("lo") + shape.window).alias("hi")))
 
 
-def digests(texts: list[bytes], left: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def digests(texts: Iterable[bytes], left: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Two halves of the 128-bit digest of each text with so many units before its anchor."""
-    raw = b"".join(hashlib.blake2b(t, digest_size=16, salt=n.to_bytes(8, "little")).digest() for t, n in zip(texts, left, strict=True))
+    blake, salts = hashlib.blake2b, [n.to_bytes(8, "little") for n in range(max(left, default=0) + 1)]
+    raw = b"".join([blake(t, digest_size=16, salt=salts[n]).digest() for t, n in zip(texts, left, strict=True)])
     return tuple(np.frombuffer(raw, np.int64).reshape(-1, 2).T)
 
 

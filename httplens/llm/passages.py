@@ -131,9 +131,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                 removed, kept = [], []
                 gone = np.zeros(len(w.start), bool)
                 for i in range(lo, hi):
+                    if cut[i] == cut[i + 1]:
+                        removed.append([])
+                        continue
                     a, b = w.first[i - lo], w.first[i - lo + 1]
-                    if b > a:
-                        gone[a:b] = an.mask(int(b - a), *(x[cut[i] : cut[i + 1]] for x in parts))
+                    gone[a:b] = an.mask(int(b - a), *(x[cut[i] : cut[i + 1]] for x in parts))
                     edge = np.flatnonzero(np.diff(np.r_[False, gone[a:b], False]))
                     removed.append([{"lo": x, "hi": y} for x, y in edge.reshape(-1, 2).tolist()])
                 size = w.end - w.start + 1

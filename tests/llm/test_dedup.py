@@ -125,6 +125,22 @@ def test_a_crowd_gives_one_span_an_anchor(docs):
     assert near.groupBy("rid", "rank", "pos").count().where("count > 1").isEmpty() and not near.isEmpty()
 
 
+@pytest.mark.parametrize("stretch", [anchors.STRETCH, 300])
+@pytest.mark.parametrize("shape", [anchors.Shape(True, 13, 4, True), anchors.Shape(True, 5, 2, True, 3), anchors.Shape(False, 40, 9, False)])
+def test_anchors_of_a_block_are_those_of_its_texts(rows, shape, stretch, monkeypatch):
+    monkeypatch.setattr(anchors, "STRETCH", stretch)
+    texts = [(r["text"] or "").encode() for r in rows]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    part, (row, pos, *kind) = anchors.block_anchors(shape, data, at, 5)
+    for i, t in enumerate(texts):
+        own = anchors.units(shape, np.frombuffer(t, np.uint8))
+        here = row == i + 5
+        assert all((x[here] == y).all() for x, y in zip((pos, *kind), anchors.anchors(shape, own), strict=True))
+        for p in pos[here][::7].tolist():
+            left, right = anchors.extent(shape, np.array([p]), len(own))
+            assert part.around(shape, i + 5, p) == (own.pieces(own.data.tobytes(), left, right)[0], p - left[0])
+
+
 def test_a_part_of_the_anchors_meets_at_a_time(docs):
     """Each meeting reads and shuffles its own range of grains, and together they are all."""
     shape = anchors.Shape(True, 13, 4, True)
