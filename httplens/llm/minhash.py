@@ -7,6 +7,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -183,8 +184,12 @@ def chained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     return dealt.mapInArrow(run, f"id {kind}, {_CHAINED}").withColumnRenamed("id", id_col)
 
 
-#: Rounds in which a bucket's members meet one representative each, before those left meet in pairs.
+#: Rounds in which the members of a bucket meet one representative each, one round if a block holds the rest.
 ROUNDS = 6
+#: Texts and shingles of a block, about; bins in which the shingles of two texts are counted before they are compared.
+MEMBERS, SHINGLES, BINS = 2048, 1 << 19, 256
+#: Shingles that go to blocks at a time: a share of those of all texts, and how many at least.
+PART, LEAST = 0.25, 1 << 22
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, k: int = WORDS, functions: int = FUNCTIONS, band: int = BAND, rounds: int = ROUNDS) -> DataFrame:
@@ -192,72 +197,93 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts of ``similar`` Jaccard similarity or more.
 
     Rows of equal shingle sets stand as one text. Texts that agree on all of a band of ``band``
-    values share a bucket, and are compared on their whole shingle sets. A bucket isn't opened into
-    pairs: in each round its members meet one of them, those it is similar to join its class, and
-    buckets of one class are done; the few texts that are still apart after ``rounds`` meet in pairs
-    of different classes. No link is lost but those that no band shows, with a chance of
-    (1 - s^band)^(functions / band) at similarity s: 5e-8 at 0.8. Null text is empty; texts without
-    words form one class; repeated rows and ids give a row each; null ids belong to classes but name
-    none (null only if all are); texts of any length are read whole, and their set of shingles is a
-    row; an empty table gives an empty one; other columns, whatever their names, are ignored."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    values share a bucket, and are compared on their whole shingle sets. Only the bands of a text are
+    written; the sets of those that share a bucket are told from the table again, which has to give
+    the same rows twice. A bucket isn't opened into pairs: in each round its members meet one of them,
+    those it is similar to join its class, and buckets of one class are done; what is still apart meets
+    in blocks, as soon as one block holds it or after ``rounds``. No link is lost but those that no
+    band shows, with a chance of (1 - s^band)^(functions / band) at similarity s: 5e-8 at 0.8. Null
+    text is empty; texts without words form one class; repeated rows and ids give a row each; null ids
+    belong to classes but name none (null only if all are); texts of any length are read whole, and
+    their set of shingles is a row; an empty table gives an empty one; other columns, whatever their
+    names, are ignored."""
+
+    def sets_of(column: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray], pa.Array]]:
+        for lo, hi, data, at in tb.blocks(column):
+            doc, h = shingle_hashes(tb.words(data, at), k)
+            cut = np.searchsorted(doc, np.arange(len(at)))
+            sets = [np.unique(h[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+            yield lo, hi, sets, pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in tb.blocks(batch.column(1)):
-                doc, h = shingle_hashes(tb.words(data, at), k)
-                cut = np.searchsorted(doc, np.arange(len(at)))
-                sets = [np.unique(h[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+            for lo, hi, sets, own in sets_of(batch.column(2)):
                 keys = [[int.from_bytes(hashlib.blake2b(bytes([j]) + x.tobytes(), digest_size=8).digest(), "little", signed=True) for j, x in enumerate(signature(s, functions).reshape(-1, band))] for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([hashlib.sha256(s.tobytes()).hexdigest() for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["id", "own", "shingles", "bands"],
-                )
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), own, sizes, pa.array(keys, pa.list_(pa.int64()))], names=["id", "at", "own", "n", "bands"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, sets, own in sets_of(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([own, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["own", "shingles"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("id", F.xxhash64("id", "text").alias("at"), "text")
     kind = rows.schema["id"].dataType.simpleString()
-    signed = staged(rows.mapInArrow(run, f"id {kind}, own string, shingles array<bigint>, bands array<bigint>"))
-    texts = staged(signed.groupBy("own").agg(F.min("id").alias("least"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")))
-    keyed = texts.select("own", F.size("shingles").alias("n"), F.explode("bands").alias("key"))
+    signed = staged(rows.mapInArrow(sign, f"id {kind}, at bigint, own binary, n bigint, bands array<bigint>"))
+    texts = staged(signed.groupBy("own").agg(F.min("id").alias("least"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    keyed = texts.select("own", "n", F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    pending = staged(keyed.join(full, "key"))
-    # only sets that share a bucket are met: the others aren't read again
-    sets = staged(texts.join(pending.select("own").distinct(), "own", "left_semi").select("own", "shingles"))
+    pending = staged(keyed.join(full, "key").select("key", "own", "n"))
+    # sets that share no bucket are never written; another row of the same hash is read for nothing
+    again = texts.join(pending.select("own").distinct(), "own", "left_semi").select("at")
+    sets = staged(rows.join(again, "at", "left_semi").select("text").mapInArrow(read, "own binary, shingles array<bigint>").groupBy("own").agg(F.first("shingles").alias("shingles")))
     links, root = _verified(pending.select(F.col("own").alias("a"), F.col("own").alias("b")).limit(0), sets, similar), None
     # sets of too different a size have no such part in common
     sized = lambda a, b: F.least(a, b) >= F.lit(similar) * F.greatest(a, b)
+    waiting, written = [], [pending]
     for _ in range(rounds):
         if pending.isEmpty():
             break
         rep = pending.groupBy("key").agg(F.min(F.struct("own", "n")).alias("first")).select("key", F.col("first.own").alias("rep"), F.col("first.n").alias("of"))
         met = pending.join(rep, "key").where("own <> rep").where(sized(F.col("n"), F.col("of"))).select(F.col("rep").alias("a"), F.col("own").alias("b")).distinct()
-        links, root = _joined(links, met, sets, similar, root)
+        links, root = _joined(links, _verified(met, sets, similar), root)
         left = pending.join(rep, "key").where("own <> rep").select("key", "own", "n")
-        left = left.join(root, left["own"] == root["node"], "left").select("key", "own", "n", F.coalesce("root", "own").alias("root"))
-        apart = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        before, pending = pending, staged(left.join(apart, "key").select("key", "own", "n"))
-        release(before)
-    if not pending.isEmpty():
-        left = pending.join(root, pending["own"] == root["node"], "left").select("key", "own", "n", F.coalesce("root", "own").alias("root"))
-        x, y = left.alias("x"), left.alias("y")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.own") < F.col("y.own")) & (F.col("x.root") != F.col("y.root")))
-        met = met.where(sized(F.col("x.n"), F.col("y.n"))).select(F.col("x.own").alias("a"), F.col("y.own").alias("b")).distinct()
-        links, root = _joined(links, met, sets, similar, root)
+        written.append(staged(left.join(_apart(_rooted(left, root)), "key").select("key", "own", "n", "of")))
+        pending = written[-1].where("of > 1").drop("of")
+        waiting.append(written[-1].where("of = 1").drop("of"))
     if root is None:
         root = connected_components(links)
-    classes = staged(texts.select("own", "least").join(root, texts["own"] == root["node"], "left").select("own", "least", F.coalesce("root", "own").alias("root")))
-    release(texts, sets, pending, links, root)
+    left = reduce(DataFrame.union, waiting, pending)
+    if not left.isEmpty():
+        part = max(LEAST, int(PART * texts.agg(F.sum("n")).first()[0]))
+        links, root = _joined(links, _blocks(_rooted(left, root), sets, similar, part), root)
+    classes = staged(_rooted(texts.select("own", "least"), root))
+    release(texts, sets, *written, links, root)
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
     told = classes.join(least, "root").select("own", "class_id")
     return signed.select("id", "own").join(told, "own").select(F.col("id").alias(id_col), "class_id")
 
 
-def _joined(links: DataFrame, met: DataFrame, sets: DataFrame, similar: float, root: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Links with those of the pairs met that are near, and their components, written anew."""
-    after = staged(links.union(_verified(met, sets, similar)))
-    release(links, *([] if root is None else [root]))
+def _joined(links: DataFrame, more: DataFrame, root: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Links with more of them, and their components, written anew."""
+    after = staged(links.union(more))
+    release(links, more, *([] if root is None else [root]))
     return after, connected_components(after)
 
 
+def _rooted(texts: DataFrame, root: DataFrame) -> DataFrame:
+    """Texts (own, ...) with the root of their class."""
+    return texts.join(root, texts["own"] == root["node"], "left").select(*texts.columns, F.coalesce("root", "own").alias("root"))
+
+
+def _apart(left: DataFrame) -> DataFrame:
+    """(key, of) of each bucket that holds several classes: in how many blocks it is met, as many as its
+    texts or its shingles ask for."""
+    of = F.ceil(F.greatest(F.count("*") / F.lit(MEMBERS), F.sum("n") / F.lit(SHINGLES))).cast("int")
+    return left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), of.alias("of")).where("lo <> hi").select("key", "of")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Of pairs (a, b), those whose sets are similar enough."""
     left = sets.select(F.col("own").alias("a"), F.col("shingles").alias("sa"))
@@ -265,3 +291,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     union = F.size("sa") + F.size("sb") - F.col("common")
     return both.where((union > 0) & (F.col("common") >= F.lit(similar) * union)).select("a", "b")
+
+
+def _blocks(left: DataFrame, sets: DataFrame, similar: float, part: int) -> DataFrame:
+    """Links enough to tell the classes of the texts (key, own, n, root) of each bucket.
+
+    A bucket is dealt into blocks by a hash, each two of its blocks meet in a task, and texts of
+    different classes are compared there. Disk holds the sets of about ``part`` shingles, or of one
+    pair of blocks, at a time: pairs of blocks go one part after the other."""
+    left = staged(left)
+    dealt = left.join(_apart(left), "key").withColumn("block", F.pmod(F.xxhash64("own"), "of").cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    dealt = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "own", "root", "n")
+    parts = -(-(dealt.agg(F.sum("n")).first()[0] or 0) // part) or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            found = []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
+            own, root, block = (batch.column(c).to_pylist() for c in ("own", "root", "block"))
+            lists = batch.column("shingles")
+            values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for n, key in enumerate(keys):
+                if key != at:
+                    found += _linked(held, similar)
+                    at, held = key, []
+                held.append((own[n], root[n], block[n], values[cuts[n] : cuts[n + 1]].view(np.uint64)))
+            yield _pairs(found)
+        yield _pairs(_linked(held, similar))
+
+    def of_part(n: int) -> DataFrame:
+        some = dealt.where(F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)) == n).drop("n").join(sets, "own")
+        return some.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a binary, b binary")
+
+    out = staged(*map(of_part, range(parts)))
+    release(left)
+    return out
+
+
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _linked(texts: list[tuple[bytes, bytes, int, np.ndarray]], similar: float) -> list[tuple[bytes, bytes]]:
+    """Pairs of similar texts (own, root, block, set) that join what is in different classes so far;
+    of two blocks, only texts of different ones meet. Texts that differ too much in the numbers of
+    shingles of each bin can't have enough in common; all others are compared whole."""
+    if len(texts) < 2:
+        return []
+    own, roots, blocks, sets = zip(*texts, strict=True)
+    root = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+    block, size = np.array(blocks), np.array([len(s) for s in sets])
+    two = (block != block[0]).any()
+    counts = np.array([np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS) for s in sets])
+    counts = counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
+    out = []
+    for x in range(len(sets) - 1):
+        y = np.arange(x + 1, len(sets))
+        y = y[(root[y] != root[x]) & ((block[y] != block[x]) | (not two)) & (np.minimum(size[y], size[x]) >= similar * np.maximum(size[y], size[x]))]
+        near = y[_enough(np.minimum(counts[y], counts[x]).sum(axis=1, dtype=np.int64), size[y] + size[x], similar)]
+        for y in near.tolist():
+            if root[y] != root[x] and _enough(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), size[y] + size[x], similar):
+                out.append((own[x], own[y]))
+                root[root == root[y]] = root[x]
+    return out
+
+
+def _enough(common: np.ndarray, both: np.ndarray, similar: float) -> np.ndarray:
+    """Whether so many common shingles make sets of ``both`` together similar."""
+    return (both > common) & (common >= similar * (both - common))

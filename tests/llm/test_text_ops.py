@@ -329,3 +329,57 @@ def test_only_sets_that_share_a_bucket_are_met(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_verified", lambda pairs, sets, similar: seen.append(sets.count()) or verified(pairs, sets, similar))
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
     assert got == {**{n: n for n in range(8)}, 8: 0} and set(seen) == {2}
+
+
+def test_only_bands_are_written_of_sets_that_share_no_bucket(spark, monkeypatch):
+    long = [" ".join(f"w{n}x{i}" for i in range(60)) for n in range(8)]
+    df = spark.createDataFrame([*enumerate(long), (8, long[0] + " end"), (9, long[0] + " end")], "doc_id bigint, text string")
+    written, staged = [], minhash.staged
+
+    def told(one, *more):
+        out = staged(one, *more)
+        if "shingles" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "staged", told)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == {**{n: n for n in range(8)}, 8: 0, 9: 0} and written == [2]
+
+
+@pytest.mark.parametrize(("members", "rounds"), [(minhash.MEMBERS, minhash.ROUNDS), (9, 1), (9, 3)])
+def test_bucket_is_not_opened_into_pairs(spark, monkeypatch, members, rounds):
+    """What no representative joins meets in blocks, each sent whole, and a part of them at a time."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    # most are apart, as each changes words of its own; every fourth is near the one before
+    texts: list[list[str]] = []
+    for n in range(48):
+        words = list(texts[-1] if n % 4 == 3 else base)
+        for i in rng.sample(range(120), 1 if n % 4 == 3 else 3):
+            words[i] = f"x{n}"
+        texts.append(words)
+    df = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id bigint, text string")
+    monkeypatch.setattr(minhash, "MEMBERS", members)
+    monkeypatch.setattr(minhash, "LEAST", 1 << 22 if members > 9 else 20_000)
+    met, parts, verified, staged = [], [], minhash._verified, minhash.staged
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, sets, similar: met.append(pairs.count()) or verified(pairs, sets, similar))
+    monkeypatch.setattr(minhash, "staged", lambda *frames: parts.append(len(frames)) or staged(*frames))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df, rounds=rounds).collect()}
+    sets = [set(shingles(" ".join(t))) for t in texts]
+    root = list(range(48))
+    for a, b in ((a, b) for a in range(48) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert got == dict(enumerate(root)) and 10 < len(set(root)) < 48
+    assert max(met) < 48 * 47 / 3 and len(met) == (4 if rounds == 3 else 2) and (max(parts) > 1) == (members == 9)
+
+
+def test_bins_rule_out_no_similar_sets():
+    """At the very limit of similarity, with sets so large that a bin counts more than a byte holds."""
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(0, 1 << 63, 90_100, dtype=np.uint64))[:90_000]
+    near, far = np.delete(h, np.s_[:18_000]), np.delete(h, np.s_[-18_001:])
+    texts = [(b"c", b"c", 0, far), (b"a", b"a", 0, h), (b"b", b"b", 0, near), (b"d", b"a", 0, h[:5])]
+    assert minhash._linked(texts, 0.8) == [(b"a", b"b")] and minhash._linked(texts[:1], 0.8) == []
+    # of two blocks, only texts of different ones meet
+    assert minhash._linked([(b"a", b"a", 0, h), (b"b", b"b", 0, near), (b"c", b"c", 1, far)], 0.8) == []
