@@ -186,10 +186,12 @@ def chained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
 
 #: Rounds in which the members of a bucket meet one representative each, one round if a block holds the rest.
 ROUNDS = 6
+#: Readings of the table for sets, each of its own part of the rows, so that disk holds the texts of one.
+READINGS = 2
 #: Texts and shingles of a block, about; bins in which the shingles of two texts are counted before they are compared.
 MEMBERS, SHINGLES, BINS = 2048, 1 << 19, 256
-#: Shingles that go to blocks at a time: a share of those of all texts, and how many at least.
-PART, LEAST = 0.25, 1 << 22
+#: Shingles that go to pairs or blocks at a time: a share of those of all texts, and how many at least.
+PART, LEAST = 0.25, 1 << 24
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, k: int = WORDS, functions: int = FUNCTIONS, band: int = BAND, rounds: int = ROUNDS) -> DataFrame:
@@ -237,17 +239,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pending = staged(keyed.join(full, "key").select("key", "own", "n"))
     # sets that share no bucket are never written; another row of the same hash is read for nothing
     again = texts.join(pending.select("own").distinct(), "own", "left_semi").select("at")
-    sets = staged(rows.join(again, "at", "left_semi").select("text").mapInArrow(read, "own binary, shingles array<bigint>").groupBy("own").agg(F.first("shingles").alias("shingles")))
-    links, root = _verified(pending.select(F.col("own").alias("a"), F.col("own").alias("b")).limit(0), sets, similar), None
+    chosen = lambda n: rows.where(F.pmod("at", F.lit(READINGS)) == n).join(again, "at", "left_semi").select("text")
+    sets = staged(*(chosen(n).mapInArrow(read, "own binary, shingles array<bigint>").groupBy("own").agg(F.first("shingles").alias("shingles")) for n in range(READINGS)))
+    links, root = pending.select(F.col("own").alias("a"), F.col("own").alias("b")).limit(0), None
     # sets of too different a size have no such part in common
     sized = lambda a, b: F.least(a, b) >= F.lit(similar) * F.greatest(a, b)
+    part = max(LEAST, int(PART * (texts.agg(F.sum("n")).first()[0] or 0)))
     waiting, written = [], [pending]
     for _ in range(rounds):
         if pending.isEmpty():
             break
         rep = pending.groupBy("key").agg(F.min(F.struct("own", "n")).alias("first")).select("key", F.col("first.own").alias("rep"), F.col("first.n").alias("of"))
-        met = pending.join(rep, "key").where("own <> rep").where(sized(F.col("n"), F.col("of"))).select(F.col("rep").alias("a"), F.col("own").alias("b")).distinct()
-        links, root = _joined(links, _verified(met, sets, similar), root)
+        met = pending.join(rep, "key").where("own <> rep").where(sized(F.col("n"), F.col("of")))
+        met = staged(met.select(F.col("rep").alias("a"), F.col("own").alias("b"), "of").distinct())
+        links, root = _joined(links, root, *(_verified(some, sets, similar) for some in _parts(met, "of", part, "b")))
+        release(met)
         left = pending.join(rep, "key").where("own <> rep").select("key", "own", "n")
         written.append(staged(left.join(_apart(_rooted(left, root)), "key").select("key", "own", "n", "of")))
         pending = written[-1].where("of > 1").drop("of")
@@ -256,8 +262,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         root = connected_components(links)
     left = reduce(DataFrame.union, waiting, pending)
     if not left.isEmpty():
-        part = max(LEAST, int(PART * texts.agg(F.sum("n")).first()[0]))
-        links, root = _joined(links, _blocks(_rooted(left, root), sets, similar, part), root)
+        links, root = _joined(links, root, _blocks(_rooted(left, root), sets, similar, part))
     classes = staged(_rooted(texts.select("own", "least"), root))
     release(texts, sets, *written, links, root)
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
@@ -265,13 +270,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return signed.select("id", "own").join(told, "own").select(F.col("id").alias(id_col), "class_id")
 
 
-def _joined(links: DataFrame, more: DataFrame, root: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Links with more of them, and their components, written anew."""
-    after = staged(links.union(more))
-    release(links, more, *([] if root is None else [root]))
+def _joined(links: DataFrame, root: DataFrame | None, *more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with more of them, one frame after the other, and their components, written anew."""
+    after = staged(links, *more)
+    release(links, *more, *([] if root is None else [root]))
     return after, connected_components(after)
 
 
+def _parts(rows: DataFrame, size: str, most: int, *keys: str) -> list[DataFrame]:
+    """The rows by a hash of their keys, in parts whose sizes sum up to about ``most``."""
+    n = -(-(rows.agg(F.sum(size)).first()[0] or 0) // most) or 1
+    return [rows.where(F.pmod(F.xxhash64(*keys), F.lit(n)) == i).drop(size) for i in range(n)]
+
+
 def _rooted(texts: DataFrame, root: DataFrame) -> DataFrame:
     """Texts (own, ...) with the root of their class."""
     return texts.join(root, texts["own"] == root["node"], "left").select(*texts.columns, F.coalesce("root", "own").alias("root"))
@@ -303,7 +314,6 @@ def _blocks(left: DataFrame, sets: DataFrame, similar: float, part: int) -> Data
     dealt = left.join(_apart(left), "key").withColumn("block", F.pmod(F.xxhash64("own"), "of").cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     dealt = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "own", "root", "n")
-    parts = -(-(dealt.agg(F.sum("n")).first()[0] or 0) // part) or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -321,11 +331,8 @@ def _blocks(left: DataFrame, sets: DataFrame, similar: float, part: int) -> Data
             yield _pairs(found)
         yield _pairs(_linked(held, similar))
 
-    def of_part(n: int) -> DataFrame:
-        some = dealt.where(F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)) == n).drop("n").join(sets, "own")
-        return some.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a binary, b binary")
-
-    out = staged(*map(of_part, range(parts)))
+    met = (some.join(sets, "own").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j") for some in _parts(dealt, "n", part, "key", "i", "j"))
+    out = staged(*(some.mapInArrow(run, "a binary, b binary") for some in met))
     release(left)
     return out
 
